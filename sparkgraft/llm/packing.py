@@ -20,9 +20,11 @@ split, and are the same again when a lost task is run again over the same split.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,29 +36,64 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
-class ChunkTokens(dict):
-    """Ids by space-separated chunk. The tokenizer's pattern never spans a space, so a text's ids are its chunks' ids."""
+#: The tokenizer's own splitting pattern, and the texts for which its letters, case and composition are certain.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 
-    def __init__(self, path: str, most: int = 400_000):
+
+class Generations(dict):
+    """A table of bounded size: when the young half is full it becomes the old half; what is used again is kept."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+class Pieces(Generations):
+    """Packed ids by piece of the splitting pattern, which is what the tokenizer merges on its own."""
+
+    def __init__(self, path: str, most: int = 350_000):
         from tokenizers import Tokenizer
 
-        super().__init__({"": ()})
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        super().__init__(most)
+        self.tokenizer = Tokenizer.from_file(path)
 
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
-        if len(self) >= self.most:  # bounded memory; an emptied table only costs time
-            self.clear()
-            self[""] = ()
-        ids = tuple(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
-        if len(chunk) <= 64:
-            self[chunk] = ids
-        return ids
+    def make(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+class ChunkTokens(Generations):
+    """Packed ids by space-separated chunk. The pattern never spans a space, so a text's ids are its chunks' ids."""
+
+    def __init__(self, path: str, most: int = 250_000):
+        super().__init__(most)
+        self.pieces = Pieces(path)
+
+    def make(self, chunk: str) -> bytes:
+        if PLAIN.fullmatch(chunk) and "<|" not in chunk:
+            return b"".join(map(self.pieces.__getitem__, PIECES.findall(chunk.lower())))
+        return self.pieces.make(chunk)
 
     def encode(self, text: str | None, end_id: int) -> np.ndarray:
         chunks = (text or "").replace("\n", " ").split(" ")
-        ids = list(chain.from_iterable(map(self.__getitem__, chunks)))
-        ids.append(end_id)
-        return np.array(ids, dtype="<u4")
+        return np.frombuffer(b"".join([*map(self.__getitem__, chunks), struct.pack("<I", end_id)]), dtype="<u4")
+
+
+@lru_cache(maxsize=2)
+def chunk_tokens(path: str) -> ChunkTokens:
+    """One table for all tasks that a worker runs."""
+    return ChunkTokens(path)
 
 
 class TierPacker:
@@ -155,7 +192,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, tiers:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], NAMES)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = ChunkTokens(tokenizer_path)
+        tokens = chunk_tokens(tokenizer_path)
         packer = TierPacker(tiers, TaskContext.get().partitionId() << 40, step_tokens)
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):

@@ -3,11 +3,14 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from sparkgraft.llm import packing
 from sparkgraft.llm.queries import op1_packing, tokenizer_path
 
+PLAIN_TOKENIZER = Tokenizer.from_file(tokenizer_path())
 SF = "/root/testdata/sf0.001"
 
 
@@ -74,3 +77,19 @@ def test_groups_are_balanced_and_windows_full(seed):
         per_tier[tier].append(n)
     for sizes in per_tier.values():
         assert sum(n != 8192 for n in sizes) <= 1 and max(sizes) <= 8192
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.characters(max_codepoint=0x17F), st.sampled_from("'srtvemdl Σς_ﬁ٣\u0301<|endoftx>")), max_size=60))
+def test_chunks_give_the_tokenizers_ids(text):
+    path = tokenizer_path()
+    want = PLAIN_TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert packing.chunk_tokens(path).encode(text, 2).tolist() == [*want, 2]
+
+
+def test_tables_stay_bounded():
+    tokens = packing.ChunkTokens(tokenizer_path(), most=50)
+    tokens.pieces.most = 20
+    text = " ".join(f"w{i % 137} x{i % 7}" for i in range(1000))
+    assert tokens.encode(text, 2).tolist() == [*PLAIN_TOKENIZER.encode(text, add_special_tokens=False).ids, 2]
+    assert len(tokens) <= 50 and len(tokens.old) <= 50
