@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def without(docs: DataFrame, ids: DataFrame, few_ids: int = 1_000_000) -> DataFrame:
+    """The rows of docs whose doc_id is not among ids; ids are broadcast while they are few, so that texts needn't move."""
+    ids = ids.where("doc_id IS NOT NULL").select("doc_id").distinct()
+    if ids.limit(few_ids + 1).count() <= few_ids:
+        ids = broadcast(ids)
+    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+
+
 class Scratch:
     """Written tables of one run, under one fresh folder of the shared directory."""
 

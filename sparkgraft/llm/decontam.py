@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Scratch, without
 from .shingles import mix, shingles
 
 WORD = re.compile(r"\w+")
@@ -204,5 +205,5 @@ def search(spark: SparkSession, docs: DataFrame, items: DataFrame, k: int, thres
 
 def clean_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that share no window with the benchmark, with all their columns."""
-    found = contaminated(spark, docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    found = Scratch(spark, "decontam").cut(contaminated(spark, docs, benchmark, **options).select("doc_id"), "found")
+    return without(docs, found)

@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, neardup, packing, pii, topk, toxicity, warc
+from . import decontam, htmltext, linededup, neardup, packing, pii, quality, topk, toxicity, warc
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_main_text(table(spark, sf_dir, "pages"))
 
@@ -51,15 +55,22 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = linededup.drop_lines(spark, table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "text", "n_lines", "n_removed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_topk": op2_topk,
     "op3_pii": op3_pii,
     "op4_decontam": op4_decontam,
     "op5_warc": op5_warc,
+    "op6_quality": op6_quality,
     "op7_html": op7_html,
     "op8_neardup": op8_neardup,
     "op9_toxicity": op9_toxicity,
+    "op10_linededup": op10_linededup,
 }
 
 ORACLES: dict[str, str] = {
@@ -118,4 +129,33 @@ ORACLES: dict[str, str] = {
         SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, m.component_id, s.doc_id = m.component_id AS kept
         FROM s JOIN m USING (doc_id)
     """,
+    "op10_linededup": """
+        WITH a AS (
+            SELECT row_number() OVER () AS r, doc_id, text, coalesce('s' || source, '') AS site,
+                   string_split(coalesce(text, ''), chr(10)) AS l
+            FROM documents
+        ), b AS (
+            SELECT r, doc_id, site, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM a
+        ), c AS (
+            SELECT *, trim(line, E' \t\n\r\x0b\x0c') AS k FROM b
+        ), d AS (
+            SELECT *, length(k) >= 20 AS counts,
+                   CASE WHEN length(k) >= 20 THEN k ELSE '-' END AS seen
+            FROM c
+        ), e AS (
+            SELECT *, coalesce(lag(seen) OVER w, '') || chr(10) || coalesce(lead(seen) OVER w, '') AS context
+            FROM d WINDOW w AS (PARTITION BY r ORDER BY i)
+        ), g AS (
+            SELECT k FROM e WHERE counts GROUP BY k
+            HAVING count(DISTINCT site) >= 8 AND count(DISTINCT context) >= 0.5 * count(*)
+        ), f AS (
+            SELECT e.*, g.k IS NOT NULL AS gone FROM e LEFT JOIN g ON g.k = e.k AND e.counts
+        ), h AS (
+            SELECT r, any_value(doc_id) AS doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept,
+                   count(*) AS n_lines, count_if(gone)::BIGINT AS n_removed
+            FROM f GROUP BY r
+        )
+        SELECT h.doc_id, CASE WHEN a.text IS NOT NULL THEN h.kept END AS text, h.n_lines, h.n_removed
+        FROM h JOIN a USING (r)
+    """,
 }
