@@ -67,10 +67,24 @@ class Scan:
         self.rows: list[list] = []
         self.tokens = [(m.lastgroup if m.lastgroup != "h" else "s", m[0], m.start(), m.end()) for m in LEXERS[self.family].finditer(text)]
         self.breaks = [i for i, c in enumerate(text) if c == "\n"]
-        self.stack, self.broken = [Frame(name, name)], None
+        self.stack = [Frame(name, name)]
         (self.python if self.family == "python" else self.braces)()
-        if self.broken is not None:
-            self.row("diagnostic", line=self.broken)
+        if (broken := self.unbalanced()) is not None:
+            self.row("diagnostic", line=broken)
+
+    def unbalanced(self) -> int | None:
+        """The line of the first bracket or quote without its partner."""
+        opened: list[tuple[str, int]] = []
+        for kind, text, at, _ in self.tokens:
+            if kind != "p":
+                continue
+            if text in "([{":
+                opened.append((")]}"["([{".index(text)], at))
+            elif text in ")]}" and (not opened or opened.pop()[0] != text):
+                return self.line(at)
+            elif text in "\"`" or (text == "'" and self.family != "rust"):
+                return self.line(at)
+        return self.line(opened[0][1]) if opened else None
 
     def line(self, at: int) -> int:
         from bisect import bisect_left
@@ -231,8 +245,6 @@ class Scan:
                     if frame.fact is not None:
                         frame.fact[9] = self.line(at)
                     self.stack[-1].pending = []
-                elif self.broken is None:
-                    self.broken = self.line(at)
             elif kind == "p" and text in "()":
                 depth += 1 if text == "(" else -1
             elif kind == "w" and i + 1 < n and tokens[i + 1][1] == "(":
@@ -245,8 +257,6 @@ class Scan:
             elif text == "," and self.stack[-1].kind in ("struct", "union", "enum", "interface"):
                 start, modifiers = None, []
             i += 1
-        if len(self.stack) > 1 and self.broken is None:
-            self.broken = self.line(len(self.text) - 1)
 
     def until(self, i: int, stops: str) -> int:
         """The first token from i on that is one of stops outside of round and square brackets."""
@@ -419,8 +429,6 @@ class Scan:
                 if kind == "p":
                     depth += (text in "([{") - (text in ")]}")
                 j += 1
-            if depth and self.broken is None:
-                self.broken = self.line(tokens[i][2])
             at = self.indent(tokens[i][2])
             self.leave(at, last)
             last = self.line(tokens[j - 1][3] - 1)

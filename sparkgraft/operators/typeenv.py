@@ -3,13 +3,17 @@
 Direct bindings (annotations, constructors) need no iteration. The others are resolved per
 file in source order, each seeing what the round has found so far; the first writer of a name
 wins. What they may look up in the batch (return types of functions and methods, types of
-fields) is joined to them beforehand, by name. Only files with such bindings are grouped, so a
-group is the bindings of one file.
+fields) is joined to them beforehand, by name. Only files with such bindings are dealt out, by file, and read
+in order; a file's bindings are held at a time.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from itertools import groupby
+from typing import NamedTuple
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,12 +24,23 @@ SELF = ("self", "this", "Self")
 OUT = "file_ord long, scope string, name string, type string, rounds int, bound boolean"
 
 
-def solve(rows: pd.DataFrame) -> pd.DataFrame:
-    """rows of one file: scope, name, kind, x, y, ord, known (a scalar), options (owner to type)."""
-    rows = rows.sort_values("ord")
+class Row(NamedTuple):
+    file_ord: int
+    ord: int
+    scope: str
+    name: str
+    kind: str
+    x: str | None
+    y: str | None
+    known: str | None
+    options: list[dict] | None
+
+
+def solve(rows: list[Row]) -> list[tuple]:
+    """The rows of OUT for one file, whose bindings come in source order."""
     env: dict[tuple[str, str], str] = {}
-    enclosing = {r.scope: r.x for r in rows.itertuples() if r.kind == "enclosing"}
-    for r in rows.itertuples():
+    enclosing = {r.scope: r.x for r in rows if r.kind == "enclosing"}
+    for r in rows:
         if r.kind in ("annotation", "constructor"):
             env.setdefault((r.scope, r.name), r.x)
 
@@ -34,17 +49,17 @@ def solve(rows: pd.DataFrame) -> pd.DataFrame:
             return enclosing[scope]
         return env.get((scope, name)) or env.get(("", name))
 
-    def resolve(r) -> str | None:
+    def resolve(r: Row) -> str | None:
         if r.kind == "copy":
             return lookup(r.scope, r.x)
         if r.kind == "call":
             return r.known
         owner = lookup(r.scope, r.x)
-        return next((o["type"] for o in r.options if o["owner"] == owner), None) if owner is not None and r.options is not None else None
+        return next((o["type"] for o in r.options or () if o["owner"] == owner), None) if owner is not None else None
 
-    pending = [r for r in rows.itertuples() if r.kind in ("copy", "call", "field", "method")]
-    rounds = 0
-    while rounds < MAX_ROUNDS:
+    pending = [r for r in rows if r.kind in ("copy", "call", "field", "method")]
+    rounds, progressed = 0, True
+    while rounds < MAX_ROUNDS and (rounds == 0 or (pending and progressed)):
         rounds, left = rounds + 1, []
         for r in pending:
             found = resolve(r)
@@ -52,16 +67,31 @@ def solve(rows: pd.DataFrame) -> pd.DataFrame:
                 left.append(r)
             else:
                 env.setdefault((r.scope, r.name), found)
-        progressed = len(left) < len(pending)
-        pending = left
-        if not pending or not progressed:
-            break
-    else:
-        progressed = True
+        progressed, pending = len(left) < len(pending), left
     bound = bool(pending) and progressed and rounds == MAX_ROUNDS
-    ordinal = int(rows.file_ord.iloc[0])
-    out = [(ordinal, s, n, t, rounds, bound) for (s, n), t in env.items()] or [(ordinal, None, None, None, rounds, bound)]
-    return pd.DataFrame(out, columns=["file_ord", "scope", "name", "type", "rounds", "bound"])
+    ordinal = rows[0].file_ord
+    return [(ordinal, s, n, t, rounds, bound) for (s, n), t in env.items()] or [(ordinal, None, None, None, rounds, bound)]
+
+
+def solve_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by file and place; a file is solved when its last row has been read."""
+
+    def rows() -> Iterator[Row]:
+        for b in batches:
+            yield from map(Row._make, zip(*(c.to_pylist() for c in b.columns), strict=True))
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [c.split()[0] for c in OUT.split(", ")])
+
+    out: list[tuple] = []
+    for _, group in groupby(rows(), key=lambda r: r.file_ord):
+        out += solve(list(group))
+        if len(out) > 20_000:
+            yield batch(out)
+            out = []
+    if out:
+        yield batch(out)
 
 
 def type_environment(bindings: DataFrame, enclosing: DataFrame, functions: DataFrame, methods: DataFrame, returns: DataFrame, fields: DataFrame) -> DataFrame:
@@ -79,9 +109,10 @@ def type_environment(bindings: DataFrame, enclosing: DataFrame, functions: DataF
     wanted = pending.select("kind", "y").where("y IS NOT NULL").distinct()
     options = of_method.union(of_field).join(wanted, ["kind", "y"], "left_semi").groupBy("kind", "y").agg(F.collect_list(F.struct("owner", "type")).alias("options"))
     asked = pending.join(of_function, ["kind", "x"], "left").join(options, ["kind", "y"], "left")
-    columns = ["file_ord", "scope", "name", "kind", "x", "y", "ord", "known", "options"]
+    columns = list(Row._fields)
     nothing = asked.schema["options"].dataType
     others = bindings.where(direct).join(files, "file_ord", "left_semi").withColumn("known", F.lit(None).cast("string")).withColumn("options", F.lit(None).cast(nothing))
     around = enclosing.join(files, "file_ord", "left_semi").select("file_ord", "scope", F.lit("").alias("name"), F.lit("enclosing").alias("kind"), F.col("owner").alias("x"), F.lit(None).cast("string").alias("y"), "ord", F.lit(None).cast("string").alias("known"), F.lit(None).cast(nothing).alias("options"))
     rows = asked.select(*columns).unionByName(others.select(*columns)).unionByName(around)
-    return plain.unionByName(rows.groupBy("file_ord").applyInPandas(solve, OUT))
+    dealt = rows.select(*columns).repartition("file_ord").sortWithinPartitions("file_ord", "ord")
+    return plain.unionByName(dealt.mapInArrow(solve_all, OUT))
