@@ -13,11 +13,13 @@ from ..operators import edges as E
 from ..operators import imports as I
 from ..operators import measurement as M
 from ..operators import mentions as R
+from ..operators import resolve as V
 from ..operators import selection as S
 from ..operators import typeenv as T
 from ..sources import corpora
 from ..sources.tree import census
 from .extract import Extraction, extract
+from .select import extract_selected
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -372,6 +374,57 @@ def type_fixpoint(spark, sf_dir):
     return env.where("name IS NOT NULL").select("file_ord", "name", "type")
 
 
+# -- call tiers
+
+
+def numbered(*parts) -> F.Column:
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+
+
+@query("""
+    WITH p AS (SELECT p_partkey AS k, p_partkey + 1 IN (SELECT p_partkey FROM part) AS one, p_partkey + 2 IN (SELECT p_partkey FROM part) AS two FROM part)
+    SELECT k AS call_id, CASE k % 6 WHEN 0 THEN 'f' || k || '::T' || k || '::m' || k WHEN 1 THEN 'f' || k || '::T' || k || '::same' WHEN 2 THEN CASE WHEN NOT one THEN 'f' || k || '::T' || k || '::same' END
+           WHEN 3 THEN CASE WHEN one THEN 'f' || (k + 1) || '::T' || (k + 1) || '::m' || (k + 1) END WHEN 4 THEN CASE WHEN two THEN 'f' || (k + 2) || '::T' || (k + 2) || '::m' || (k + 2) END
+           ELSE CASE WHEN one THEN 'f' || (k + 1) || '::g' || (k + 1) END END AS target,
+           CASE WHEN k % 6 < 2 THEN 'receiver-typed' WHEN k % 6 = 2 AND NOT one THEN 'import-scoped' WHEN k % 6 = 3 AND one THEN 'import-scoped' ELSE 'name-match' END AS reason
+    FROM p
+""")
+def call_tiers(spark, sf_dir):
+    """A typed receiver, a type-cased one, two reachable types with the method, one, a unique name, a free function."""
+    k = F.col("p_partkey")
+    part = table(spark, sf_dir, "part").select(k, k.alias("file_ord"), numbered("f", k).alias("path"), F.lit(0).alias("ord"))
+    types = part.select("file_ord", "path", "ord", numbered("T", k).alias("simple"), numbered("f", k, "::T", k).alias("target"))
+    own = part.select("file_ord", "ord", numbered("T", k).alias("owner"), numbered("m", k).alias("method"), numbered("f", k, "::T", k, "::m", k).alias("target"))
+    methods = own.union(part.select("file_ord", "ord", numbered("T", k).alias("owner"), F.lit("same").alias("method"), numbered("f", k, "::T", k, "::same").alias("target")))
+    functions = part.select("file_ord", "ord", numbered("g", k).alias("simple"), numbered("f", k, "::g", k).alias("target"))
+    case = k % 6
+    callee = F.when(case == 0, numbered("m", k)).when(case < 3, "same").when(case == 3, numbered("m", k + 1)).when(case == 4, numbered("m", k + 2)).otherwise(numbered("g", k + 1))
+    receiver = F.when(case == 0, "x").when(case == 1, numbered("T", k)).when(case < 5, "y")
+    calls = part.select(k.alias("call_id"), "file_ord", F.lit("").alias("scope"), receiver.alias("receiver"), callee.alias("callee"))
+    env = part.where(case == 0).select("file_ord", F.lit("").alias("scope"), F.lit("x").alias("name"), numbered("T", k).alias("type"))
+    enclosing = part.limit(0).select("file_ord", F.lit("").alias("scope"), F.lit("").alias("owner"), "ord")
+    imported = part.where(case.isin(2, 3)).select("path", numbered("f", k + 1).alias("target_path"))
+    reachable = V.reachable_types(types, imported.join(part.select(F.col("path").alias("target_path")), "target_path", "left_semi"), part)
+    found = V.resolve_calls(calls, env, enclosing, reachable, methods, functions)
+    return found.select("call_id", "target", "reason")
+
+
+@query("""
+    WITH p AS (SELECT p_partkey AS k, p_partkey + 1 IN (SELECT p_partkey FROM part) AS one FROM part)
+    SELECT k AS file_ord, 'f' || k || '::T' || k AS source_ref, 'f' || (k + 1) || '::T' || (k + 1) AS target_ref, CASE WHEN k % 2 = 0 THEN 'implements_trait' ELSE 'extends' END AS edge_type FROM p WHERE one
+    UNION ALL SELECT k, 'f' || k || '::T' || k, 'f' || k || '::Same', 'extends' FROM p
+""")
+def type_relations(spark, sf_dir):
+    """A parent that is unique in the batch, and one of a name that every file declares: the file's own wins."""
+    k = F.col("p_partkey")
+    part = table(spark, sf_dir, "part").select(k, k.alias("file_ord"), numbered("f", k).alias("path"))
+    types = part.select("file_ord", F.lit(0).alias("ord"), numbered("T", k).alias("simple"), numbered("f", k, "::T", k).alias("target"))
+    types = types.union(part.select("file_ord", F.lit(1).alias("ord"), F.lit("Same").alias("simple"), numbered("f", k, "::Same").alias("target")))
+    relations = part.select("file_ord", "path", numbered("T", k).alias("child"), numbered("T", k + 1).alias("parent"), (k % 2 == 0).alias("is_trait"))
+    relations = relations.union(part.select("file_ord", "path", numbered("T", k).alias("child"), F.lit("Same").alias("parent"), F.lit(False).alias("is_trait")))
+    return V.resolve_relations(relations, types).drop("path")
+
+
 # -- whole batches
 
 
@@ -462,3 +515,17 @@ def python_edges(spark, sf_dir):
 """)
 def typescript_edges(spark, sf_dir):
     return shown(extract(corpora.typescript_corpus(table(spark, sf_dir, "customer"))).edges).drop("confidence")
+
+
+@query("""
+    WITH p AS (SELECT s_suppkey AS n, 'shop/supply/tool/s' || s_suppkey || '.py' AS f FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey % 10 <> 0)
+    SELECT 'code_file' AS object_type, f AS name FROM p UNION ALL SELECT 'code_type', f || '::Supplier' || n FROM p UNION ALL SELECT 'code_function', f || '::main_' || n FROM p
+    UNION ALL SELECT 'code_function', f || '::Supplier' || n || '::ship' FROM p UNION ALL SELECT 'code_function', f || '::Supplier' || n || '::pack_' || n FROM p
+""")
+def selected_nodes(spark, sf_dir):
+    """Even suppliers are selected; of every tenth the identity is another."""
+    files = corpora.python_corpus(table(spark, sf_dir, "supplier"))
+    n = F.regexp_extract("path", r"(\d+)\.py$", 1).cast("long")
+    modules = files.where(n % 2 == 0).select("org", "repo", "path", F.when(n % 10 == 0, "other").otherwise(N.content_identity(F.col("content"))).alias("identity"), F.array(F.concat(F.lit("shop/supply/"), "path", F.lit("::main_"), n.cast("string"))).alias("functions"))
+    _, _, found = extract_selected(modules, files)
+    return found.nodes.select("object_type", "name")
