@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..front.parse import normalized
+from ..front.parse import Parsed, normalized, scan
 from ..functions.naming import node_id
+from ..operators.corpus import batch_order
 from ..operators.selection import absent_functions, accepted_files, account, scope
 from .extract import Extraction, extract
 
@@ -17,9 +18,9 @@ def extract_selected(modules: DataFrame, files: DataFrame) -> tuple[DataFrame, D
     Only accepted files are seen by name resolution. There is no extraction where the scope is
     unavailable.
     """
-    files = normalized(files)
-    first = extract(files)
-    broken = first.diagnostics.where("severity = 'error'").join(files, "path").select("org", "repo", "path").distinct()
+    ordered = batch_order(normalized(files))
+    files = ordered.drop("file_ord")
+    broken = Parsed(ordered, scan(ordered)).diagnostics().join(ordered.select("file_ord", "org", "repo"), "file_ord").select("org", "repo", "path").distinct()
     accounted = account(modules, files, broken)
     taken = extract(accepted_files(files, accounted))
     facts = taken.nodes.select("object_type", F.col("name").alias("qualified_name"))
