@@ -63,7 +63,7 @@ class Generations(dict):
 class Pieces(Generations):
     """Packed ids by piece of the splitting pattern, which is what the tokenizer merges on its own."""
 
-    def __init__(self, path: str, most: int = 350_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         super().__init__(most)
@@ -76,7 +76,7 @@ class Pieces(Generations):
 class ChunkTokens(Generations):
     """Packed ids by space-separated chunk. The pattern never spans a space, so a text's ids are its chunks' ids."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 120_000):
         super().__init__(most)
         self.pieces = Pieces(path)
 
