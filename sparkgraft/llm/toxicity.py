@@ -21,8 +21,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -51,9 +52,18 @@ class Trie:
                 node = node.setdefault(c, {})
             node[""] = i
         self.stems, self.fuzzy_from = stems, fuzzy_from
-        # a word within one edit of a stem keeps one half of it: a lossless test before the walk
-        halves = {h for s in stems if len(s) >= fuzzy_from for h in (s[: len(s) // 2], s[len(s) // 2 :])}
-        self.halves = re.compile("|".join(sorted(map(re.escape, halves), key=lambda h: (-len(h), h)))) if halves else None
+        # a word within one edit of a stem keeps its first half in place, or its second half moved by one letter at most: a lossless test before the walk
+        self.first: dict[int, set[str]] = defaultdict(set)
+        self.second: dict[tuple[int, int], set[str]] = defaultdict(set)
+        for s in stems:
+            if len(s) >= fuzzy_from:
+                half = len(s) // 2
+                self.first[half].add(s[:half])
+                for at in (half - 1, half, half + 1):
+                    self.second[at, at + len(s) - half].add(s[half:])
+
+    def near(self, word: str) -> bool:
+        return any(word[:n] in found for n, found in self.first.items()) or any(word[a:b] in found for (a, b), found in self.second.items())
 
     def find(self, word: str) -> tuple[int, int] | None:
         node = self.root
@@ -63,7 +73,7 @@ class Trie:
                 break
             if "" in node:
                 return node[""], 0
-        if self.halves is None or len(word) < self.fuzzy_from - 1 or not self.halves.search(word):
+        if len(word) < self.fuzzy_from - 1 or not self.near(word):
             return None
         best = None
         # states: (trie node, letters of the stem, {letters of the word: edits}); the automaton's positions within one edit
@@ -96,7 +106,7 @@ class Scorer:
 
     NAMES = ("exact", "fuzzy", "weight", "top", "distinct", "quoted", "addressed", "share", "abuse")
 
-    def __init__(self, lexicon: list[tuple[str, float]], most: int = 500_000):
+    def __init__(self, lexicon: list[tuple[str, float]], most: int = 300_000):
         self.trie, self.weights, self.known, self.most = Trie([s for s, _ in lexicon]), [w for _, w in lexicon], {}, most
 
     def look(self, word: str) -> tuple[int, int] | None:
@@ -136,6 +146,12 @@ class Scorer:
         return [np.log1p(exact), np.log1p(fuzzy), np.log1p(weight), top, np.log1p(len(terms)), quoted / len(hits), addressed / len(hits), min(1.0, 20 * len(hits) / n), np.log1p(abuse)]
 
 
+@lru_cache(maxsize=2)
+def scorer_of(lexicon: tuple[tuple[str, float], ...]) -> Scorer:
+    """One table of words for all tasks that a worker runs."""
+    return Scorer(list(lexicon))
+
+
 def stems_of(words: set[str]) -> set[str]:
     low, high = STEM
     return {w[:k] for w in words for k in range(low, min(high, len(w)) + 1)}
@@ -193,7 +209,7 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
         shared = spark.sparkContext.broadcast(lexicon)
 
         def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            scorer = Scorer(shared.value)
+            scorer = scorer_of(tuple(shared.value))
             for b in batches:
                 yield pd.DataFrame({"toxic": b.toxic, "x": [scorer.features(t) for t in b.text]})
 
@@ -204,7 +220,7 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, fitted = shared_model.value
-        scorer = Scorer(words)
+        scorer = scorer_of(tuple(words))
         for b in batches:
             ids = b.column(0).to_pylist()
             held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 0 for i in ids]
