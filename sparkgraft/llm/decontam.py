@@ -69,31 +69,25 @@ def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 class MultiIndex:
-    """Fingerprints of the items of one length; `within` finds all at most `radius` bits away."""
+    """Fingerprints of the items of one length; `within` finds all pairs at most `radius` bits apart.
+
+    For each block a table gives, by its 256 values, the items (as bits) whose block differs by
+    at most radius // 16 bits. A pair within the radius shares such a block.
+    """
 
     def __init__(self, prints: np.ndarray, radius: int):
         self.prints, self.radius = prints, radius
-        self.tables: list[dict[int, list[int]]] = []
-        for block in range(BLOCKS):
-            table = defaultdict(list)
-            for i, value in enumerate(prints[:, block].tolist()):
-                table[value].append(i)
-            self.tables.append(table)
-        off = radius // BLOCKS
-        self.near = [x for x in range(256) if x.bit_count() <= off]
-
-    def within(self, one: np.ndarray) -> list[int]:
-        found: set[int] = set()
-        for block, value in enumerate(one.tolist()):
-            table = self.tables[block]
-            for flip in self.near:
-                if (value ^ flip) in table:
-                    found.update(table[value ^ flip])
-        some = sorted(found)
-        if not some:
-            return []
-        away = np.bitwise_count(self.prints[some] ^ one).sum(axis=1)
-        return [i for i, d in zip(some, away.tolist(), strict=True) if d <= self.radius]
+        values = np.arange(256, dtype=np.uint8)
+        self.tables = [np.packbits(np.bitwise_count(values[:, None] ^ prints[:, block]) <= radius // BLOCKS, axis=1) for block in range(BLOCKS)]
+
+    def within(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of `some` and items, of each pair within the radius."""
+        near = self.tables[0][some[:, 0]]
+        for block in range(1, BLOCKS):
+            near = near | self.tables[block][some[:, block]]
+        rows, items = np.nonzero(np.unpackbits(near, axis=1, count=len(self.prints)))
+        good = np.bitwise_count(some[rows] ^ self.prints[items]).sum(axis=1) <= self.radius
+        return rows[good], items[good]
 
 
 class Benchmark:
@@ -157,15 +151,16 @@ class Benchmark:
             starts = np.flatnonzero(counts[size:] - counts[:-size] >= need)
             for start, stop in self.regions(starts, length):
                 exact = shingles(np.array([self.values[at[j]] if at[j] >= 0 else word_value(words[j]) for j in range(start, stop)], dtype=np.uint64), k)
-                summed = np.vstack([np.zeros((1, BITS), dtype=np.int64), np.cumsum(signs(exact), axis=0)])
-                for s in starts[(starts >= start) & (starts <= stop - length)].tolist():
-                    window = s - start
-                    one = fingerprints((summed[window + size] - summed[window])[None, :])[0]
-                    for i in index.within(one):
+                summed = np.vstack([np.zeros((1, BITS), dtype=np.int32), np.cumsum(signs(exact), axis=0, dtype=np.int32)])
+                inside = starts[(starts >= start) & (starts <= stop - length)]
+                for part in np.array_split(inside, -(-len(inside) // 2000)):
+                    windows = part - start
+                    for row, i in zip(*index.within(fingerprints(summed[windows + size] - summed[windows])), strict=True):
                         item_id, shingled = items[i]
-                        similarity = weighted_similarity(exact[window : window + size], shingled)
+                        at_word = int(windows[row])
+                        similarity = weighted_similarity(exact[at_word : at_word + size], shingled)
                         if similarity >= self.threshold and similarity > best.get(item_id, (0.0,))[0]:
-                            best[item_id] = (similarity, s, length)
+                            best[item_id] = (similarity, at_word + start, length)
         return out + [(i, *b) for i, b in sorted(best.items())]
 
     @staticmethod

@@ -57,9 +57,8 @@ def test_multi_index_finds_all_within_radius():
     base = rng.integers(0, 256, (300, 16), dtype=np.uint8)
     base[100:] = base[:200] ^ np.packbits(rng.random((200, 128)) < 0.25, axis=1)
     index = MultiIndex(base, 40)
-    for one in base[::7]:
-        away = np.bitwise_count(base ^ one).sum(axis=1)
-        assert index.within(one) == np.flatnonzero(away <= 40).tolist()
+    away = np.bitwise_count(base[::7, None] ^ base[None]).sum(axis=2)
+    assert np.array_equal(np.stack(index.within(base[::7])), np.stack(np.nonzero(away <= 40)))
 
 
 def test_whole_table(spark):
