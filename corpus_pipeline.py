@@ -28,8 +28,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cross-site boilerplate lines go; n_chars follows the text."""
-    done = linededup.drop_lines(spark, docs)
+    """Lines that stand on many sites, in more than copies of one text, go; n_chars follows the text."""
+    done = linededup.drop_lines(spark, docs, varied=None)
     return done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

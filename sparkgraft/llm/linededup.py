@@ -7,6 +7,10 @@ contexts vary, being at least `varied` of its occurrences: lines of a document t
 from site to site keep their neighbours, and are left to document de-duplication. Lines whose
 estimates lie within `margin` of a bound get exact distinct counts instead.
 
+With `varied` None the spread alone decides, whatever the neighbours: a line goes if it stands
+on at least `min_sites` sites and in as many distinct whole texts, so that only exact copies of
+one document are spared. The pipeline takes this rule; the query's SQL states the other.
+
 Sketches are merged map-side, so a line that stands in a third of all documents is one small
 row per task. Boilerplate hashes are broadcast while they are few, and else joined to the
 documents that hold them. Only text of the documents that are asked for moves.
@@ -42,20 +46,22 @@ def keys(text: str | None, min_chars: int) -> list[bytes | None]:
     return [key_of(s) if len(s := x.strip()) >= min_chars else None for x in (text or "").split("\n")]
 
 
-def lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """A row for each line that is long enough: its key, its site and a hash of its neighbours."""
+def lines(docs: DataFrame, min_chars: int, whole: bool = False) -> DataFrame:
+    """A row for each line that is long enough: its key, its site and a hash of its neighbours (whole: of its whole text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found, sites, contexts = [], [], []
             for site, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                all_keys = keys(text.as_py(), min_chars)
+                text = text.as_py()
+                all_keys = keys(text, min_chars)
                 around = [b"", *(k or b"-" for k in all_keys), b""]
+                own = xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass")) - 2**63 if whole else 0
                 for i, k in enumerate(all_keys):
                     if k is not None:
                         found.append(k)
                         sites.append(site)
-                        contexts.append(xxhash.xxh64_intdigest(around[i] + b"|" + around[i + 2]) - 2**63)
+                        contexts.append(own if whole else xxhash.xxh64_intdigest(around[i] + b"|" + around[i + 2]) - 2**63)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(sites, pa.string()), pa.array(contexts, pa.int64())], ["line", "site", "context"])
 
     site = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(""))
@@ -66,20 +72,21 @@ def near(value: Column, bound, margin: float) -> Column:
     return (value >= bound / margin) & (value <= bound * margin)
 
 
-def boilerplate(spark: SparkSession, docs: DataFrame, min_sites: int = 8, varied: float = 0.5, min_chars: int = 20, margin: float = 1.5, lg_k: int = 8) -> DataFrame:
-    """line (the key) of each boilerplate line, with its occurrences and counts."""
-    rows = lines(docs, min_chars)
+def boilerplate(spark: SparkSession, docs: DataFrame, min_sites: int = 8, varied: float | None = 0.5, min_chars: int = 20, margin: float = 1.5, lg_k: int = 8) -> DataFrame:
+    """line (the key) of each boilerplate line, with its occurrences and counts (varied None: contexts are whole texts)."""
+    rows = lines(docs, min_chars, varied is None)
+    least = F.lit(float(min_sites)) if varied is None else F.col("n") * varied
     sketched = rows.groupBy("line").agg(
         F.count("*").alias("n"), F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites"), F.hll_sketch_estimate(F.hll_sketch_agg("context", lg_k)).alias("contexts")
     )
-    spread = sketched.where((F.col("n") >= min_sites) & (F.col("sites") >= min_sites / margin) & (F.col("contexts") >= F.col("n") * varied / margin))
+    spread = sketched.where((F.col("n") >= min_sites) & (F.col("sites") >= min_sites / margin) & (F.col("contexts") >= least / margin))
     spread = Scratch(spark, "lines").cut(spread, "spread")
-    unsure = near(F.col("sites"), F.lit(float(min_sites)), margin) | near(F.col("contexts"), F.col("n") * varied, margin)
+    unsure = near(F.col("sites"), F.lit(float(min_sites)), margin) | near(F.col("contexts"), least, margin)
     sure = spread.where(~unsure)
     counted = rows.join(spread.where(unsure).select("line"), "line", "left_semi")
     by_context = counted.groupBy("line", "context").agg(F.count("*").alias("n")).groupBy("line").agg(F.sum("n").alias("n"), F.count("*").alias("contexts"))
     by_site = counted.groupBy("line", "site").agg(F.count("*").alias("n")).groupBy("line").agg(F.count("*").alias("sites"))
-    exact = by_context.join(by_site, "line").where((F.col("sites") >= min_sites) & (F.col("contexts") >= F.col("n") * varied))
+    exact = by_context.join(by_site, "line").where((F.col("sites") >= min_sites) & (F.col("contexts") >= least))
     return sure.select("line", "n", "sites", "contexts").union(exact.select("line", "n", "sites", "contexts"))
 
 

@@ -55,3 +55,18 @@ def test_edges(spark):
         assert got[3] == (f"own 3 {'x' * 20}", 3, 2) and got[90] == (None, 1, 0) and got[91] == ("", 1, 0)
         assert got[None] == ("", 1, 1) and got[92] == ("short\n\nshort", 3, 0) and got[93][2] == 0
     assert linededup.drop_lines(spark, df.limit(0)).count() == 0
+
+
+def test_spread_alone_decides_in_the_pipeline(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    block = "\n".join(f"inner line {c} of one notice on all the sites" for c in "abcde")
+    alone = "a notice that stands between two blank lines"
+    bound = "a line that stands on seven sites and no more"
+    mirrored = "the first line of a mirrored document\nand the second line of the same document"
+    own = [f"line {i} of this document and of no other" for i in range(300)]
+    rows = [(i, f"{x}\n{block}\n\n{alone}\n\n{bound if i % 20 < 7 else ''}", "en", f"s{i % 20}", 1) for i, x in enumerate(own)]
+    rows += [(1000 + i, mirrored, "en", f"s{i % 20}", 1) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id: r for r in corpus_pipeline.line_stage(spark, docs, "").collect()}
+    assert len(left) == 360 and all(left[i].text == f"{x}\n\n\n{bound if i % 20 < 7 else ''}" for i, x in enumerate(own))
+    assert all(left[1000 + i].text == mirrored for i in range(60)) and left[0].n_chars == len(left[0].text)
