@@ -3,7 +3,7 @@
 Every document is read in windows of each benchmark item's own length in words. A window
 gets a 128-bit SimHash of its five-word shingles. A multi-index of sixteen 8-bit blocks finds
 all items of that length whose fingerprints lie within the radius: of a pair within 40 bits
-some block differs by at most two. Candidates are verified by the exact weighted similarity
+some block differs by at most two. A text shorter than an item is one window as a whole. Candidates are verified by the exact weighted similarity
 of shingle multisets (the sum of least counts over the sum of greatest counts).
 
 Windows that cannot reach the threshold are left out first, without loss: such a window holds
@@ -15,7 +15,8 @@ Documents stay where they are: no shuffle. The benchmark is broadcast in parts o
 `part_rows` items and `part_chars` characters; a larger benchmark takes a pass per part.
 
 Defined results: a row per document and item that share a window at the threshold, with the
-best window (the first of equals). Words are lower-cased runs of letters, digits and
+best window (the first of equals; n_words is the window's length, less than the item's only if
+the text is shorter). Words are lower-cased runs of letters, digits and
 underscores. An item of fewer than five words matches only a text that consists of just
 these words; items without words, null texts and null item_ids match nothing. Items with equal
 words are reported each. Repeated documents are reported each; a null doc_id is kept; empty
@@ -142,10 +143,24 @@ class Benchmark:
         if not counts[-1]:
             return out
         best: dict[int, tuple[float, int, int]] = {}
+        whole = printed = None
         for length, (items, index) in self.lengths.items():
             size = length - k + 1
-            if length > n:
-                break
+            if length > n:  # the whole text is the one window: common >= t (size + own) / (1 + t), and common <= own
+                own = n - k + 1
+                if self.threshold * size > own + 1e-9:
+                    break
+                if counts[-1] < math.ceil(self.threshold * (size + own) / (1 + self.threshold) - 1e-9):
+                    continue
+                if whole is None:
+                    whole = shingles(np.array([self.values[at[j]] if at[j] >= 0 else word_value(words[j]) for j in range(n)], dtype=np.uint64), k)
+                    printed = fingerprints(signs(whole).sum(axis=0)[None])
+                for i in index.within(printed)[1]:
+                    item_id, shingled = items[i]
+                    similarity = weighted_similarity(whole, shingled)
+                    if similarity >= self.threshold and similarity > best.get(item_id, (0.0,))[0]:
+                        best[item_id] = (similarity, 0, n)
+                continue
             # a window reaches t only with common >= 2 t n / (1 + t) shingles, all of them known ones
             need = math.ceil(2 * self.threshold * size / (1 + self.threshold) - 1e-9)
             starts = np.flatnonzero(counts[size:] - counts[:-size] >= need)

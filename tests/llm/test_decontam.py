@@ -84,3 +84,38 @@ def test_edges(spark):
     left = decontam.clean_documents(spark, docs, bench)
     assert left.columns == docs.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 2, 4]
     assert decontam.contaminated(spark, docs, bench.limit(0)).count() == 0 and decontam.contaminated(spark, docs.limit(0), bench).count() == 0
+
+
+def brute_whole(text, items, k=5, t=0.8):
+    """As brute, and a text shorter than an item is held against it as one window."""
+    words, out = re.findall(r"\w+", (text or "").lower()), brute(text, items, k, t)
+    for i, item in items:
+        w = re.findall(r"\w+", item.lower())
+        if len(w) > len(words) >= k:
+            a, b = grams(w), grams(words)
+            common = sum((a & b).values())
+            similarity = common / (sum(a.values()) + sum(b.values()) - common)
+            if similarity >= t and similarity > out.get(i, (0,))[0]:
+                out[i] = (similarity, 0, len(words))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_texts_shorter_than_an_item(seed):
+    r = random.Random(seed)
+    vocabulary = [f"v{i}" for i in range(30 if seed % 2 else 300)]
+    items = [(i, " ".join(r.choice(vocabulary) for _ in range(r.choice([3, 5, 9, 20, 59, 60, 200])))) for i in range(40)]
+    held, short = Benchmark(items, 5, 0.8, 40), 0
+    for _ in range(200):
+        words = r.choice(items)[1].split()
+        lost = r.randrange(1 + len(words) // 4)
+        at = r.randrange(lost + 1)
+        words = words[at : len(words) - lost + at]
+        if words and r.random() < 0.3:
+            words[r.randrange(len(words))] = "other"
+        got = {i: tuple(m) for i, *m in held.matches(" ".join(words))}
+        assert got == brute_whole(" ".join(words), items)
+        short += got != brute(" ".join(words), items)
+    assert short > 20
+    words = " ".join(f"w{i}" for i in range(59))
+    assert Benchmark([(1, words)], 5, 0.8, 40).matches(words.rsplit(" ", 2)[0]) == [(1, 53 / 55, 0, 57)]
