@@ -1,10 +1,14 @@
 """Toxicity by Levenshtein automata over a lexicon trie, with context windows.
 
 The lexicon is learned from labelled rows: word stems that are far more frequent in toxic
-documents than in clean ones, found by two counting jobs. A trie holds the stems. A word that
-no stem begins is run through the trie together with its Levenshtein automaton, so that
-misspelled terms are found; both walks stop as soon as the automaton dies. Each hit is then
-seen in a window of its text: quotation marks and words of reporting speak for a quotation,
+documents than in clean ones, found by two counting jobs. A trie holds the stems, of 4 to 12
+letters. A word that no stem begins is run through the trie together with its Levenshtein
+automaton, so that misspelled terms are found; both walks stop as soon as the automaton dies.
+In stems of 4 and 5 letters two neighbouring letters may also be exchanged, and their hits are
+kept apart by whether the whole word or only its beginning is near. What a misspelt hit is
+worth follows from a third counting job: how often clean documents hold words so near. The
+regression sees each labelled row twice, the second time as if its terms were misspelt, as
+labelled rows hold few misspellings to learn from. Each hit is seen in a window of its text: quotation marks and words of reporting speak for a quotation,
 words of address speak for abuse. A logistic regression over these counts gives the score.
 
 The model is fitted on at most `sample` labelled rows, taken by hash; every document is
@@ -41,17 +45,25 @@ ADDRESS = frozenset("you your youre yours u ur are du dein bist tu toi ton es t
 STEM = (4, 12)
 
 
+EXACT, FUZZY, SHORT, LOOSE = range(4)  # how a stem is found: as it is; misspelt; if it is short, misspelt as the whole word or as a beginning
+
+
 class Trie:
-    """Stems; `find` gives the index and distance of the nearest stem that begins a word."""
+    """Stems; `find` gives the index of the stem that begins a word, and how it does (EXACT to LOOSE, the least of these)."""
 
-    def __init__(self, stems: list[str], fuzzy_from: int = 6):
+    def __init__(self, stems: list[str], fuzzy_from: int = 6, short_from: int = 4):
         self.root: dict = {}
         for i, stem in enumerate(stems):
             node = self.root
             for c in stem:
                 node = node.setdefault(c, {})
             node[""] = i
-        self.stems, self.fuzzy_from = stems, fuzzy_from
+        self.stems, self.fuzzy_from, self.short_from = stems, fuzzy_from, short_from
+        self.short = {s: i for i, s in enumerate(stems) if short_from <= len(s) < fuzzy_from}
+        self.sizes = sorted({len(s) for s in self.short})
+        # a beginning within one edit or exchange of a short stem equals it with one letter left out of it, of the stem or of both: lossless too
+        self.parts = {s[:i] + s[i + 1 :] for s in self.short for i in range(len(s))} | set(self.short)
+        self.spans = sorted({n for size in self.sizes for n in (size, size + 1)})
         # a word within one edit of a stem keeps its first half in place, or its second half moved by one letter at most: a lossless test before the walk
         self.first: dict[int, set[str]] = defaultdict(set)
         self.second: dict[tuple[int, int], set[str]] = defaultdict(set)
@@ -65,6 +77,29 @@ class Trie:
     def near(self, word: str) -> bool:
         return any(word[:n] in found for n, found in self.first.items()) or any(word[a:b] in found for (a, b), found in self.second.items())
 
+    def near_short(self, word: str) -> bool:
+        parts = self.parts
+        for size in self.sizes:
+            if word[: size - 1] in parts:
+                return True
+        for n in self.spans:
+            start = word[:n]
+            if len(start) == n:
+                for i in range(n):
+                    if start[:i] + start[i + 1 :] in parts:
+                        return True
+        return False
+
+    def exchanged(self, word: str) -> tuple[int, int] | None:
+        """A short stem with two neighbouring letters exchanged, which Levenshtein's distance takes for two edits."""
+        found = []
+        for size in self.sizes:
+            for i in range(size - 1 if len(word) >= size else 0):
+                stem = self.short.get(word[:i] + word[i + 1] + word[i] + word[i + 2 : size])
+                if stem is not None:
+                    found.append((SHORT if len(word) == size else LOOSE, stem))
+        return min(found, default=None)
+
     def find(self, word: str) -> tuple[int, int] | None:
         node = self.root
         for c in word:
@@ -73,15 +108,16 @@ class Trie:
                 break
             if "" in node:
                 return node[""], 0
-        if len(word) < self.fuzzy_from - 1 or not self.near(word):
+        short = self.near_short(word)
+        if not short and (len(word) < self.fuzzy_from - 1 or not self.near(word)):
             return None
-        best = None
+        best = self.exchanged(word) if short else None
         # states: (trie node, letters of the stem, {letters of the word: edits}); the automaton's positions within one edit
         stack = [(self.root, 0, {0: 0, 1: 1})]
         while stack:
             node, depth, at = stack.pop()
-            if "" in node and depth >= self.fuzzy_from and at:
-                found = (node[""], min(at.values()))
+            if "" in node and depth >= self.short_from and at:
+                found = (FUZZY if depth >= self.fuzzy_from else SHORT if len(word) in at else LOOSE, node[""])
                 best = found if best is None or found < best else best
             for c, below in node.items():
                 if c == "":
@@ -98,16 +134,18 @@ class Trie:
                                 after[i + 2] = min(after.get(i + 2, 2), 1)  # a letter too many
                 if after:
                     stack.append((below, depth + 1, after))
-        return best
+        return best and best[::-1]
 
 
 class Scorer:
     """Features of a text, with a bounded table of words already looked up."""
 
-    NAMES = ("exact", "fuzzy", "weight", "top", "distinct", "quoted", "addressed", "share", "abuse")
+    NAMES = ("exact", "fuzzy", "short", "loose", "weight", "top", "distinct", "quoted", "addressed", "share", "abuse")
 
-    def __init__(self, lexicon: list[tuple[str, float]], most: int = 300_000):
+    def __init__(self, lexicon: list[tuple[str, float]], most: int = 300_000, worth: dict[tuple[int, int], float] | None = None):
+        """worth: of a term misspelt in each of the ways, by term and way; half the weight if it isn't given."""
         self.trie, self.weights, self.known, self.most = Trie([s for s, _ in lexicon]), [w for _, w in lexicon], {}, most
+        self.worth = worth or {}
 
     def look(self, word: str) -> tuple[int, int] | None:
         try:
@@ -115,41 +153,80 @@ class Scorer:
         except KeyError:
             if len(self.known) >= self.most:
                 self.known.clear()
-            found = self.known[word] = self.trie.find(word)
+            found = self.trie.find(word)
+            if found and found[1] != EXACT and self.worth.get(found, 1.0) <= 0:
+                found = None
+            self.known[word] = found
             return found
 
-    def features(self, text: str | None) -> list[float]:
+    def misspelt(self, word: str, term: int) -> int:
+        """How the term would be found if this word, which it begins, were misspelt."""
+        stem = self.trie.stems[term]
+        return FUZZY if len(stem) >= self.trie.fuzzy_from else SHORT if len(word) == len(stem) else LOOSE
+
+    def features(self, text: str | None, misspell: bool = False) -> list[float]:
+        """misspell: as if all terms of the text were misspelt."""
         text = (text or "").lower()
         words = WORD.findall(text)
         hits = [(i, h) for i, h in enumerate(map(self.look, words)) if h]
+        if misspell:
+            hits = [(i, (term, how or self.misspelt(words[i], term))) for i, (term, how) in hits]
+            hits = [(i, h) for i, h in hits if self.worth.get(h, 1.0) > 0]
         if not hits:
             return [0.0] * len(self.NAMES)
         wanted, spans = {i for i, _ in hits}, {}
         for i, m in enumerate(WORD.finditer(text)):
             if i in wanted:
                 spans[i] = m.span()
-        exact = fuzzy = weight = top = quoted = addressed = abuse = 0.0
+        count = [0, 0, 0, 0]
+        whole = 0.0  # hits, each by its share of the worth of an exact one
+        weight = top = quoted = addressed = abuse = 0.0
         terms = set()
-        for i, (term, edits) in hits:
-            worth = self.weights[term] * (1.0 if edits == 0 else 0.5)
+        for i, (term, how) in hits:
+            worth = self.weights[term] if how == EXACT else self.worth.get((term, how), self.weights[term] / 2)
             around = words[max(0, i - 6) : i] + words[i + 1 : i + 7]
             a, b = spans[i]
             marks = (text[a - 1 : a] in QUOTES and a > 0) + (b < len(text) and text[b] in QUOTES)
             reported = marks == 2 or (marks and any(w in REPORTING for w in around)) or sum(w in REPORTING for w in around) > 1
             faced = any(w in ADDRESS for w in around)
-            exact, fuzzy = exact + (edits == 0), fuzzy + (edits > 0)
+            count[how] += 1
+            whole += min(1.0, worth / self.weights[term])
             weight, top = weight + worth, max(top, worth)
             quoted, addressed = quoted + bool(reported), addressed + faced
             abuse += worth * (0.25 if reported else 1.0)
             terms.add(term)
         n = len(words)
-        return [np.log1p(exact), np.log1p(fuzzy), np.log1p(weight), top, np.log1p(len(terms)), quoted / len(hits), addressed / len(hits), min(1.0, 20 * len(hits) / n), np.log1p(abuse)]
+        return [*np.log1p(count), np.log1p(weight), top, np.log1p(len(terms)), quoted / len(hits), addressed / len(hits), min(1.0, 20 * whole / n), np.log1p(abuse)]
 
 
 @lru_cache(maxsize=2)
-def scorer_of(lexicon: tuple[tuple[str, float], ...]) -> Scorer:
+def scorer_of(lexicon: tuple[tuple[str, float], ...], worth: tuple[tuple[tuple[int, int], float], ...] | None = None) -> Scorer:
     """One table of words for all tasks that a worker runs."""
-    return Scorer(list(lexicon))
+    return Scorer(list(lexicon), worth=dict(worth or ()))
+
+
+def misspelt_worth(lexicon: list[tuple[str, float]], toxic: dict[str, int], false: dict[tuple[int, int], int], n_toxic: int, n_clean: int) -> dict[tuple[int, int], float]:
+    """The log-odds of each term if all its toxic rows misspelt it, against the clean rows that hold words so near to it; none below nought."""
+    return {
+        (i, how): max(0.0, float(np.log((toxic[stem] + 0.5) / (n_toxic + 1)) - np.log((false.get((i, how), 0) + 0.5) / (n_clean + 1))))
+        for i, (stem, _) in enumerate(lexicon)
+        for how in (FUZZY, SHORT, LOOSE)
+    }
+
+
+def count_false(rows: DataFrame, lexicon: list[tuple[str, float]]) -> DataFrame:
+    """term, how, n: the number of rows whose text has a word that is found so, though not exactly."""
+    shared = rows.sparkSession.sparkContext.broadcast(tuple(lexicon))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = scorer_of(shared.value)
+        for b in batches:
+            n: Counter = Counter()
+            for text in b.column(0):
+                n.update({h for h in map(scorer.look, set(WORD.findall((text.as_py() or "").lower()))) if h and h[1] != EXACT})
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in n], pa.int32()), pa.array([h for _, h in n], pa.int32()), pa.array(list(n.values()), pa.int64())], ["term", "how", "n"])
+
+    return rows.select("text").mapInArrow(run, "term int, how int, n long").groupBy("term", "how").agg(F.sum("n").alias("n"))
 
 
 def stems_of(words: set[str]) -> set[str]:
@@ -199,28 +276,31 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     lexicon: list[tuple[str, float]] = []
-    model = None
+    model, worth = None, ()
     if n_toxic and n_clean:
         least = max(3, n_toxic // 200)
         often = count_stems(train.where("toxic = 1"), None).where(F.col("n") >= least).orderBy(F.desc("n"), "stem").limit(50_000).collect()
         toxic = {r["stem"]: r["n"] for r in often}
         clean = {r["stem"]: r["n"] for r in count_stems(train.where("toxic = 0"), set(toxic)).collect()}
         lexicon = choose([(s, a, clean.get(s, 0)) for s, a in toxic.items()], n_toxic, n_clean, terms)
-        shared = spark.sparkContext.broadcast(lexicon)
+        false = {(r["term"], r["how"]): r["n"] for r in count_false(train.where("toxic = 0"), lexicon).collect()}
+        worth = tuple(misspelt_worth(lexicon, toxic, false, n_toxic, n_clean).items())
+        shared = spark.sparkContext.broadcast((tuple(lexicon), worth))
 
         def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            scorer = scorer_of(tuple(shared.value))
+            scorer = scorer_of(*shared.value)
             for b in batches:
-                yield pd.DataFrame({"toxic": b.toxic, "x": [scorer.features(t) for t in b.text]})
+                for misspell in (False, True):  # misspelt terms are rare in labelled rows, so each row is also learned from as if it had them
+                    yield pd.DataFrame({"toxic": b.toxic, "x": [scorer.features(t, misspell) for t in b.text]})
 
         rows = train.mapInPandas(measure, "toxic int, x array<double>").toPandas()
         model = Logistic.fit(np.array(rows.x.tolist()), rows.toxic.to_numpy())
     train.unpersist()
-    shared_model = spark.sparkContext.broadcast((lexicon, model))
+    shared_model = spark.sparkContext.broadcast((tuple(lexicon), worth, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, fitted = shared_model.value
-        scorer = scorer_of(tuple(words))
+        words, own, fitted = shared_model.value
+        scorer = scorer_of(words, own)
         for b in batches:
             ids = b.column(0).to_pylist()
             held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 0 for i in ids]

@@ -90,3 +90,44 @@ def test_logistic_is_calibrated():
     assert np.abs(fitted.predict(x) - p).mean() < 0.03
     with pytest.raises(ValueError):
         fitted.predict(np.zeros((2, 3)))
+
+
+def exchanged(stem):
+    return {stem[:i] + stem[i + 1] + stem[i] + stem[i + 2 :] for i in range(len(stem) - 1)}
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text("abcd", min_size=1, max_size=9))
+def test_short_stems_against_edit_distances(word):
+    stems = ["abcda", "bdca", "cbbdac", "ddd"]
+    found = toxicity.Trie(stems).find(word)
+    ways = []
+    for i, s in enumerate(stems):
+        ends = [k for k in range(len(word) + 1) if distance(word[:k], s) <= 1 or (len(s) < 6 and word[:k] in exchanged(s))]
+        if len(s) >= 4 and ends:
+            ways.append((1 if len(s) >= 6 else 2 if len(word) in ends else 3, i))
+    if any(word.startswith(s) for s in stems):
+        assert found[1] == 0
+    else:
+        assert found == (min(ways)[::-1] if ways else None)
+
+
+def test_misspelt_terms_of_five_letters(spark):
+    r = random.Random(3)
+    plain = [f"{a}{b}" for a in ("ba", "ko", "mi", "tu") for b in ("ra", "lo", "ne", "si", "va")]
+
+    def text(terms):
+        words = [r.choice(plain) for _ in range(40)]
+        for t in terms:
+            words.insert(r.randrange(len(words)), t)
+        return " ".join(words)
+
+    names = ["idiot", "loser", "clown", "moron", "scum"]
+    rows = [(i, text(r.choices(names, k=3) if i % 3 == 0 else []), int(i % 3 == 0)) for i in range(600)]
+    wrong = ["idoit", "l0ser", "cl0wn", "mor0n", "scvm", "idots", "looser", "l0sers", "cluwn", "mroon"]
+    extra = [(9000 + i, text([w, wrong[i - 1], w])) for i, w in enumerate(wrong)] + [(9100 + i, text([])) for i in range(10)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + extra, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {x.doc_id: x.predicted for x in toxicity.score(spark, docs, labels).collect()}
+    assert all(got[9000 + i] == 1 for i in range(10)) and not any(got[9100 + i] for i in range(10))
+    assert all(got[i] == y for i, _, y in rows)
