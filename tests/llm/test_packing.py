@@ -80,16 +80,33 @@ def test_groups_are_balanced_and_windows_full(seed):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(st.one_of(st.characters(max_codepoint=0x17F), st.sampled_from("'srtvemdl Σς_ﬁ٣\u0301<|endoftx>")), max_size=60))
-def test_chunks_give_the_tokenizers_ids(text):
-    path = tokenizer_path()
-    want = PLAIN_TOKENIZER.encode(text, add_special_tokens=False).ids
-    assert packing.chunk_tokens(path).encode(text, 2).tolist() == [*want, 2]
-
-
-def test_tables_stay_bounded():
-    tokens = packing.ChunkTokens(tokenizer_path(), most=50)
-    tokens.pieces.most = 20
-    text = " ".join(f"w{i % 137} x{i % 7}" for i in range(1000))
-    assert tokens.encode(text, 2).tolist() == [*PLAIN_TOKENIZER.encode(text, add_special_tokens=False).ids, 2]
-    assert len(tokens) <= 50 and len(tokens.old) <= 50
+@given(st.lists(st.text(st.one_of(st.characters(max_codepoint=0x17F, exclude_categories=["Cs"]), st.sampled_from("'srtvemdl Σς_ﬁ٣ÉÞ×÷\u0301<|endoftx>")), max_size=60), max_size=5))
+def test_ids_are_the_tokenizers(texts):
+    want = [[*PLAIN_TOKENIZER.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    got = packing.piece_tokens(tokenizer_path()).encode([t.encode() for t in texts], 2)
+    assert [ids.tolist() for ids in got] == want
+
+
+def test_a_small_table_and_a_small_chunk_give_the_same_ids(monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK", 300)
+    tokens = packing.PieceTokens(tokenizer_path(), slots=4, most_ids=2000)
+    texts = [" ".join(f"w{i % (n + 1)}-É{i % 7} _.{i}" for i in range(n * 9)) for n in (0, 1, 3, 90, 2, 30)] + ["x" * 5000, "x" * 900 + " y" * 900, "a don't"]
+    got = tokens.encode([t.encode() for t in texts], 2)
+    assert [ids.tolist() for ids in got] == [[*PLAIN_TOKENIZER.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert len(tokens.keys) == 16 and tokens.used <= 2000
+
+
+def test_another_tokenizer_is_used_as_it_is():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = "Plain words, 12 Of Them\nand more"
+    assert next(packing.PieceTokens(path).encode([text.encode()], 7)).tolist() == [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 7]
+
+
+def test_waiting_pieces_hold_their_own_ids_only():
+    packer = packing.TierPacker(packing.TIERS, 0, 8192)
+    for i in range(50):
+        packer.add(i, np.arange(20_000, dtype=np.uint32))
+    waiting = [p for tier in packer.waiting.values() for p in tier]
+    assert len(waiting) == 50 and all(p[1].base is None and len(p[1]) == p[3] for p in waiting)
