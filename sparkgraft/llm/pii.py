@@ -3,8 +3,10 @@
 One Aho-Corasick pass over a whole text finds anchors: at-signs, plus-signs, digits, schemes
 and identifier cues. From each anchor a small deterministic parser expands to the boundaries
 of an address, account or number and validates it. Four kinds (email, ip, card, phone) are
-the leftmost non-overlapping matches of fixed patterns; the parsers give exactly these, in
-time linear in the text. The other kinds (url, iban, account, secret) are added by cues.
+the leftmost non-overlapping matches of fixed patterns; the parsers give exactly these. The
+other kinds are added: url by its scheme, iban by country and check digits, account and secret
+by cues in any case, standing as words of their own, and a value that holds a digit. No span
+is cut short; each parser's scans are disjoint, so the time is linear in the text.
 
 Rows are read, scanned and returned where they lie: no shuffle, nothing grouped, nothing
 broadcast, so neither hot keys nor long texts matter to any other row.
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "iban", "account", "secret")
@@ -34,10 +37,15 @@ IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 DIGITS = re.compile(r"[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
+SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 REST_OF_URL = re.compile(r"[^\s<>\"'`{}|\\^]+")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
-VALUE = re.compile(r"(?:\s?(?:no|nr|number|id)\b\.?)?\s?[:=#]?\s?[\"']?([A-Za-z0-9][A-Za-z0-9_/+.-]{5,127})", re.I)
+CUED_IBAN = re.compile(r"\W{0,3}(?:(?:no|nr|number)\b\W{0,3})?(?=[A-Z]{2}[0-9]{2})", re.I)
+GAP = re.compile(r"(?:\s?(?:no|nr|number|id)\b\.?)?\s?[:=#]?\s?[\"']?", re.I)
+VALUE = re.compile(r"[A-Za-z0-9][A-Za-z0-9_/+.-]{5,}")
+IBAN_LENGTHS = dict(
+    AD=24, AT=20, BE=16, BG=22, CH=21, CY=28, CZ=24, DE=22, DK=18, EE=20, ES=24, FI=18, FR=27, GB=22, GR=27, HR=21, HU=28, IE=22, IS=26, IT=27, LI=21, LT=20, LU=20, LV=21, MC=27, MT=31, NL=18, NO=15, PL=28, PT=25, RO=24, SE=24, SI=19, SK=24, SM=27
+)
 ACCOUNT_CUES = ("account", "acct", "passport", "ssn", "konto", "compte", "cuenta")
 SECRET_CUES = ("password", "passwd", "token", "secret", "api_key", "apikey", "access_key")
 
@@ -55,6 +63,12 @@ def iban_ok(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def lowered(text: str) -> str:
+    """In small letters, each sign at its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def anchors():
     import ahocorasick
 
@@ -66,8 +80,7 @@ def anchors():
     found.add_word("://", ("scheme", 3))
     for kind, cues in (("account", ACCOUNT_CUES), ("secret", SECRET_CUES), ("iban", ("iban",))):
         for cue in cues:
-            for word in {cue, cue.upper(), cue.capitalize()}:
-                found.add_word(word, (kind, len(word)))
+            found.add_word(cue, (kind, len(cue)))
     found.make_automaton()
     return found
 
@@ -81,13 +94,17 @@ class Finder:
     def spans(self, text: str) -> list[tuple[int, str, int]]:
         out: list[tuple[int, str, int]] = []
         done = dict.fromkeys(KINDS, 0)  # up to where each kind has been decided
-        for end, (anchor, size) in self.automaton.iter(text):
+        for end, (anchor, size) in self.automaton.iter(lowered(text)):
             at = end - size + 1
             if anchor == "digit":
                 if at >= done["ip"]:
                     self.ip(text, at, done, out)
                 if at >= done["card"]:
                     self.card(text, at, done, out)
+                if at >= done["iban"] and at > 1 and "A" <= text[at - 1] <= "Z":
+                    self.iban(text, at, done, out)
+            elif anchor in ("account", "secret", "iban"):
+                self.cued(anchor, text, at, end + 1, done, out)
             else:
                 getattr(self, anchor)(text, at, done, out)
         return sorted(out, key=lambda s: (s[0], ORDER[s[1]]))
@@ -95,7 +112,7 @@ class Finder:
     def ip(self, text, at, done, out):
         if m := IP.match(text, at):
             done["ip"] = m.end()
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(x) <= 3 and int(x or 0) <= 255 for x in (p.lstrip("0") for p in m[0].split("."))):
                 out.append((at, "ip", m.end()))
         else:
             done["ip"] = DIGITS.match(text, at).end()
@@ -124,36 +141,52 @@ class Finder:
             out.append((start, "email", m.end()))
 
     def scheme(self, text, at, done, out):
-        if at < done["url"]:
-            return
-        left, right = SCHEME.search(text[max(0, at - 20, done["url"]) : at]), REST_OF_URL.match(text, at + 3)
-        if left and right:
-            end = at + 3 + len(right[0].rstrip(".,;:!?)]"))
+        start = at
+        while start > done["url"] and text[start - 1] in SCHEME:
+            start -= 1
+        while start < at and not text[start].isalpha():
+            start += 1
+        if start < at and (m := REST_OF_URL.match(text, at + 3)):
+            done["url"] = m.end()
+            end = at + 3 + len(m[0].rstrip(".,;:!?)]"))
             if end > at + 3:
-                done["url"] = end
-                out.append((at - len(left[0]), "url", end))
+                out.append((start, "url", end))
 
     def iban(self, text, at, done, out):
-        m = IBAN.search(text, at + 4, at + 60)
-        if m and m.start() >= done["iban"]:
-            found = m[0]
-            while len(found.replace(" ", "")) >= 15 and not iban_ok(found):
-                found = found[:-1].rstrip()
-            if len(found.replace(" ", "")) >= 15:
-                done["iban"] = m.start() + len(found)
-                out.append((m.start(), "iban", done["iban"]))
-
-    def cued(self, kind, text, at, size, done, out):
-        m = VALUE.match(text, at + size)
-        if m and m.start(1) >= done[kind] and any(c.isdigit() for c in m[1]):
-            done[kind] = m.end(1)
-            out.append((m.start(1), kind, m.end(1)))
-
-    def account(self, text, at, done, out):
-        self.cued("account", text, at, next(len(c) for c in ACCOUNT_CUES if text.startswith((c, c.upper(), c.capitalize()), at)), done, out)
-
-    def secret(self, text, at, done, out):
-        self.cued("secret", text, at, next(len(c) for c in SECRET_CUES if text.startswith((c, c.upper(), c.capitalize()), at)), done, out)
+        """The digit at `at` may be the first check digit of an account number of a known country."""
+        start = at - 2
+        want = IBAN_LENGTHS.get(text[start:at])
+        if want and not text[start - 1 : start].isalnum() and (m := IBAN.match(text, start)):
+            self.iban_of(m, want, done, out)
+
+    def iban_of(self, m, want, done, out):
+        """Ends of the match at which it has the wanted length (any, if None) and its check digits are right; the longest counts."""
+        for end in range(m.end(), m.start(), -1):
+            found = m.string[m.start() : end]
+            n = len(found) - found.count(" ")
+            if n < (want or 15):
+                return
+            if found[-1] != " " and n == (want or n) and not m.string[end : end + 1].isalnum() and iban_ok(found):
+                done["iban"] = end
+                out.append((m.start(), "iban", end))
+                return
+
+    def cued(self, kind, text, at, end, done, out):
+        """A value after a cue that is a word of its own (or a part set off by other than letters and digits)."""
+        if end < done[kind] or text[at - 1 : at].isalnum() or text[end : end + 1].isalnum():
+            return
+        if kind == "iban":
+            if (m := CUED_IBAN.match(text, end)) and (m := IBAN.match(text, m.end())) and m.start() >= done["iban"]:
+                self.iban_of(m, IBAN_LENGTHS.get(m[0][:2]), done, out)
+            return
+        start = GAP.match(text, end).end()
+        if start == end or not (m := VALUE.match(text, start)):
+            return
+        if any(c.isdigit() for c in m[0]):
+            out.append((start, kind, m.end()))
+            done[kind] = m.end()
+        elif len(m[0]) > 64:  # cues within it would find the same end and no digit either
+            done[kind] = m.end()
 
 
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
@@ -176,4 +209,4 @@ def find_pii(docs: DataFrame) -> DataFrame:
                 kinds = [pa.int64()] * 5 + [pa.string(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, SCHEMA)

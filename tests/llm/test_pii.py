@@ -1,7 +1,9 @@
 import hashlib
 import random
 import re
+import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -59,6 +61,36 @@ def test_added_spans():
     assert ("account", "12345678") in kinds and ("secret", "b7db7aa4") in kinds and ("secret", "1beb58aa") in kinds
 
 
+def test_spans_are_not_cut_and_cues_are_words():
+    def found(text):
+        return [(k, text[s:e]) for s, k, e in pii.Finder().spans(text)]
+
+    long = "a1" + "Bc9-_." * 200 + "z"
+    assert found(f"TOKEN={long} x") == [("secret", long)]
+    assert found("PassWord: hunter2hunter2") == [("secret", "hunter2hunter2")]
+    assert found("token2024xyz and secretary1234567 tokens 1234567") == []
+    assert found("my_api_key = abc123def") == [("secret", "abc123def")]
+    assert found("averylongschemename-with+more.parts://host/x") == [("url", "averylongschemename-with+more.parts://host/x")]
+    assert found("pay DE89370400440532013000 or GB82 WEST 1234 5698 7654 32, not DE88370400440532013000") == [("iban", "DE89370400440532013000"), ("iban", "GB82 WEST 1234 5698 7654 32")]
+    assert found("IBAN: BR1500000000000010932840814P2 end")[-1] == ("iban", "BR1500000000000010932840814P2")
+    assert found("İİİ token: abc123def")[0] == ("secret", "abc123def")
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["1.2.3." + "0" * 5000 + "1", "1.2.3." + "9" * 900_000, "://" * 330_000, "a://" * 250_000, "token" * 200_000, "token " * 160_000, "secret=" * 140_000, "token=" + "a" * 1_000_000, "iban " * 200_000, "DE89" * 250_000, "AB12 " * 200_000, "+1" * 500_000, "a@" * 500_000, "1 " * 500_000, "a.b" * 330_000 + "@" * 9000],
+    ids=range(15),
+)
+def test_hostile_texts_take_linear_time(text):
+    finder, began = pii.Finder(), time.process_time()
+    finder.spans(text)
+    assert time.process_time() - began < 8
+
+
+def test_zeros_before_a_part():
+    assert base("1.2.3." + "0" * 5000 + "1") == ["ip:0:5007"] and base("1.2.3." + "0" * 5000 + "256") == []
+
+
 def test_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
