@@ -1,25 +1,23 @@
 """Line de-duplication by distinct-site spread.
 
-Every line that is long enough is hashed (128 bits). Spark merges two HyperLogLog sketches per
-hash: one of the sites (sources) it stands on, one of its contexts (the lines before and
-after). A line is boilerplate if it stands on at least `min_sites` distinct sites and its
-contexts vary, being at least `varied` of its occurrences: lines of a document that is copied
-from site to site keep their neighbours, and are left to document de-duplication. Lines whose
-estimates lie within `margin` of a bound get exact distinct counts instead.
-
-With `varied` None the spread alone decides, whatever the neighbours: a line goes if it stands
-on at least `min_sites` sites and in as many distinct whole texts, so that only exact copies of
-one document are spared. The pipeline takes this rule; the query's SQL states the other.
-
-Sketches are merged map-side, so a line that stands in a third of all documents is one small
-row per task. Boilerplate hashes are broadcast while they are few, and else joined to the
-documents that hold them. Only text of the documents that are asked for moves.
-
-Defined results: lines are separated by \\n and compared without outer white space; blank
-lines and lines of fewer than `min_chars` characters always stay; a null text stays null and
-an empty one empty; a null source counts as one site of its own; every occurrence of a
-boilerplate line goes, also in repeated rows; a document may end up empty but no row goes; an
-empty table gives no rows; all columns of the input are kept.
+Every line is hashed (128 bits). Spark merges two HyperLogLog sketches per hash: one of the
+sites (sources) it stands on, one of the whole texts it stands in. A line is boilerplate if it
+stands on at least `min_sites` distinct sites and in as many distinct texts: exact copies of one
+document that is mirrored from site to site count as one text, and are left to document
+de-duplication. Nothing else decides, neither neighbours nor length. Lines whose estimates lie
+within `margin` of the bound get exact distinct counts instead.
+
+Documents are cut into lines once, and again when lines are removed. Sketches are merged
+map-side, so a line that stands in a third of all documents is one small row per task.
+Boilerplate hashes are broadcast while they are few, and else joined to the documents that hold
+them.
+
+Defined results: lines are separated by \\n and compared without outer white space (space and
+\\t-\\r); blank lines always stay, as do lines of fewer than `min_chars` characters if that is set;
+a null text stays null and an empty one empty; a null source counts as one site of its own;
+every occurrence of a boilerplate line goes, also in repeated rows; a document may end up empty
+but no row goes; an empty table gives no rows; all columns of the input are kept, whatever
+their names, but for n_lines and n_removed, which are replaced.
 """
 
 from __future__ import annotations
@@ -28,13 +26,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import Scratch, fresh
 
-LINES = "line binary, site string, context long"
+WHITE = " \t\n\r\x0b\x0c"
 
 
 def key_of(line: str) -> bytes:
@@ -43,76 +41,68 @@ def key_of(line: str) -> bytes:
 
 def keys(text: str | None, min_chars: int) -> list[bytes | None]:
     """A key for each line, None for those that always stay."""
-    return [key_of(s) if len(s := x.strip()) >= min_chars else None for x in (text or "").split("\n")]
+    return [key_of(s) if len(s := x.strip(WHITE)) >= max(1, min_chars) else None for x in (text or "").split("\n")]
 
 
-def lines(docs: DataFrame, min_chars: int, whole: bool = False) -> DataFrame:
-    """A row for each line that is long enough: its key, its site and a hash of its neighbours (whole: of its whole text)."""
+def lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    """A row for each line that may go: its key, its site and a hash of the whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found, sites, contexts = [], [], []
+            found, sites, texts = [], [], []
             for site, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text = text.as_py()
-                all_keys = keys(text, min_chars)
-                around = [b"", *(k or b"-" for k in all_keys), b""]
-                own = xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass")) - 2**63 if whole else 0
-                for i, k in enumerate(all_keys):
-                    if k is not None:
-                        found.append(k)
-                        sites.append(site)
-                        contexts.append(own if whole else xxhash.xxh64_intdigest(around[i] + b"|" + around[i + 2]) - 2**63)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(sites, pa.string()), pa.array(contexts, pa.int64())], ["line", "site", "context"])
+                own = xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass")) - 2**63
+                held = [k for k in keys(text, min_chars) if k is not None]
+                found += held
+                sites += [site] * len(held)
+                texts += [own] * len(held)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(sites, pa.string()), pa.array(texts, pa.int64())], ["line", "site", "text"])
 
     site = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(""))
-    return docs.select(site.alias("site"), "text").mapInArrow(run, LINES)
+    return docs.select(site.alias("site"), "text").mapInArrow(run, "line binary, site string, text long")
 
 
-def near(value: Column, bound, margin: float) -> Column:
-    return (value >= bound / margin) & (value <= bound * margin)
-
-
-def boilerplate(spark: SparkSession, docs: DataFrame, min_sites: int = 8, varied: float | None = 0.5, min_chars: int = 20, margin: float = 1.5, lg_k: int = 8) -> DataFrame:
-    """line (the key) of each boilerplate line, with its occurrences and counts (varied None: contexts are whole texts)."""
-    rows = lines(docs, min_chars, varied is None)
-    least = F.lit(float(min_sites)) if varied is None else F.col("n") * varied
+def boilerplate(spark: SparkSession, docs: DataFrame, min_sites: int = 8, min_chars: int = 1, margin: float = 1.5, lg_k: int = 8) -> DataFrame:
+    """line (the key) of each boilerplate line, with the sites and texts it stands on and in (estimates if far from the bound)."""
+    scratch = Scratch(spark, "lines")
+    rows = scratch.cut(lines(docs, min_chars), "rows")
     sketched = rows.groupBy("line").agg(
-        F.count("*").alias("n"), F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites"), F.hll_sketch_estimate(F.hll_sketch_agg("context", lg_k)).alias("contexts")
+        F.count("*").alias("n"), F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites"), F.hll_sketch_estimate(F.hll_sketch_agg("text", lg_k)).alias("texts")
     )
-    spread = sketched.where((F.col("n") >= min_sites) & (F.col("sites") >= min_sites / margin) & (F.col("contexts") >= least / margin))
-    spread = Scratch(spark, "lines").cut(spread, "spread")
-    unsure = near(F.col("sites"), F.lit(float(min_sites)), margin) | near(F.col("contexts"), least, margin)
-    sure = spread.where(~unsure)
-    counted = rows.join(spread.where(unsure).select("line"), "line", "left_semi")
-    by_context = counted.groupBy("line", "context").agg(F.count("*").alias("n")).groupBy("line").agg(F.sum("n").alias("n"), F.count("*").alias("contexts"))
-    by_site = counted.groupBy("line", "site").agg(F.count("*").alias("n")).groupBy("line").agg(F.count("*").alias("sites"))
-    exact = by_context.join(by_site, "line").where((F.col("sites") >= min_sites) & (F.col("contexts") >= least))
-    return sure.select("line", "n", "sites", "contexts").union(exact.select("line", "n", "sites", "contexts"))
-
-
-def drop_lines(spark: SparkSession, docs: DataFrame, few_lines: int = 200_000, min_chars: int = 20, **options) -> DataFrame:
+    least = F.least("sites", "texts")
+    spread = scratch.cut(sketched.where((F.col("n") >= min_sites) & (least >= min_sites / margin)), "spread")
+    sure = spread.where(least > min_sites * margin)
+    counted = rows.join(spread.where(least <= min_sites * margin).select("line"), "line", "left_semi")
+    by_site = counted.groupBy("line", "site").count().groupBy("line").agg(F.count("*").alias("sites"))
+    by_text = counted.groupBy("line", "text").count().groupBy("line").agg(F.count("*").alias("texts"))
+    exact = by_site.join(by_text, "line").where(F.least("sites", "texts") >= min_sites)
+    return sure.select("line", "sites", "texts").union(exact.select("line", "sites", "texts"))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, few_lines: int = 200_000, min_chars: int = 1, **options) -> DataFrame:
     """docs with their boilerplate lines removed; adds n_lines and n_removed (replacing columns of these names)."""
     scratch = Scratch(spark, "lines")
     gone = scratch.cut(boilerplate(spark, docs, min_chars=min_chars, **options).select("line"), "boilerplate")
-    rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    docs = docs.select(*rest)
+    docs = docs.select(*(c for c in docs.columns if c not in ("n_lines", "n_removed")))
+    own, same = fresh(docs, "own"), fresh(docs, "same")
     if gone.limit(few_lines + 1).count() <= few_lines:
         shared = spark.sparkContext.broadcast(frozenset(bytes(r["line"]) for r in gone.collect()))
-        given = docs.withColumn("__gone", F.lit(None).cast("array<binary>"))
+        given = docs.withColumn(own, F.lit(None).cast("array<binary>"))
     else:
         shared = None
-        with_id = docs.withColumn("__id", F.xxhash64("text"))
-        held = with_id.where("text IS NOT NULL").select("__id", "text").mapInArrow(explode_keys(min_chars), "__id long, line binary").join(gone, "line", "left_semi")
-        sets = held.distinct().groupBy("__id").agg(F.collect_list("line").alias("__gone"))
-        given = with_id.join(sets, "__id", "left").drop("__id")
+        with_id = docs.withColumn(same, F.xxhash64("text"))
+        held = with_id.where("text IS NOT NULL").select(F.col(same).alias("same"), "text").mapInArrow(explode_keys(min_chars), "same long, line binary").join(gone, "line", "left_semi")
+        sets = held.distinct().groupBy(F.col("same").alias(same)).agg(F.collect_list("line").alias(own))
+        given = with_id.join(sets, same, "left").drop(same)
     at = given.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, totals, removed = [], [], []
-            for text, own in zip(b.column(at), b.column(b.num_columns - 1), strict=True):
-                drop = shared.value if shared is not None else frozenset(own.as_py() or ())
+            for text, held in zip(b.column(at), b.column(b.num_columns - 1), strict=True):
+                drop = shared.value if shared is not None else frozenset(held.as_py() or ())
                 text = text.as_py()
                 split = (text or "").split("\n")
                 kept = [x for x, k in zip(split, keys(text, min_chars), strict=True) if k not in drop]
@@ -130,6 +120,6 @@ def explode_keys(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pairs = [(i, k) for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) for k in set(keys(t.as_py(), min_chars)) if k is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in pairs], pa.int64()), pa.array([k for _, k in pairs], pa.binary())], ["__id", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in pairs], pa.int64()), pa.array([k for _, k in pairs], pa.binary())], ["same", "line"])
 
     return run

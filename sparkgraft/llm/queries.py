@@ -131,31 +131,24 @@ ORACLES: dict[str, str] = {
     """,
     "op10_linededup": """
         WITH a AS (
-            SELECT row_number() OVER () AS r, doc_id, text, coalesce('s' || source, '') AS site,
+            SELECT row_number() OVER () AS r, doc_id, text, coalesce('s' || source, '') AS site, md5(coalesce(text, '')) AS whole,
                    string_split(coalesce(text, ''), chr(10)) AS l
             FROM documents
         ), b AS (
-            SELECT r, doc_id, site, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM a
+            SELECT r, site, whole, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM a
         ), c AS (
             SELECT *, trim(line, E' \t\n\r\x0b\x0c') AS k FROM b
-        ), d AS (
-            SELECT *, length(k) >= 20 AS counts,
-                   CASE WHEN length(k) >= 20 THEN k ELSE '-' END AS seen
-            FROM c
-        ), e AS (
-            SELECT *, coalesce(lag(seen) OVER w, '') || chr(10) || coalesce(lead(seen) OVER w, '') AS context
-            FROM d WINDOW w AS (PARTITION BY r ORDER BY i)
         ), g AS (
-            SELECT k FROM e WHERE counts GROUP BY k
-            HAVING count(DISTINCT site) >= 8 AND count(DISTINCT context) >= 0.5 * count(*)
+            SELECT k FROM c WHERE k <> '' GROUP BY k
+            HAVING count(DISTINCT site) >= 8 AND count(DISTINCT whole) >= 8
         ), f AS (
-            SELECT e.*, g.k IS NOT NULL AS gone FROM e LEFT JOIN g ON g.k = e.k AND e.counts
+            SELECT c.*, g.k IS NOT NULL AS gone FROM c LEFT JOIN g USING (k)
         ), h AS (
-            SELECT r, any_value(doc_id) AS doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept,
+            SELECT r, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept,
                    count(*) AS n_lines, count_if(gone)::BIGINT AS n_removed
             FROM f GROUP BY r
         )
-        SELECT h.doc_id, CASE WHEN a.text IS NOT NULL THEN h.kept END AS text, h.n_lines, h.n_removed
+        SELECT a.doc_id, CASE WHEN a.text IS NOT NULL THEN h.kept END AS text, h.n_lines, h.n_removed
         FROM h JOIN a USING (r)
     """,
 }
