@@ -5,8 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.functions import broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,12 +28,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def without(docs: DataFrame, ids: DataFrame, few_ids: int = 1_000_000) -> DataFrame:
-    """The rows of docs whose doc_id is not among ids; ids are broadcast while they are few, so that texts needn't move."""
-    ids = ids.where("doc_id IS NOT NULL").select("doc_id").distinct()
-    if ids.limit(few_ids + 1).count() <= few_ids:
-        ids = broadcast(ids)
-    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+def row_key(docs: DataFrame) -> Column:
+    """A hash of a whole row: equal rows have equal keys."""
+    return F.xxhash64(*docs.columns)
+
+
+def without(docs: DataFrame, gone: DataFrame, few: int = 1_000_000) -> DataFrame:
+    """The rows of docs that gone doesn't name by doc_id, or by doc_id and row_key if it has one; gone is broadcast while it is small, so that texts needn't move."""
+    gone = gone.select(*(F.col(c).alias(f"gone_{c}") for c in gone.columns)).distinct()
+    if gone.limit(few + 1).count() <= few:
+        gone = F.broadcast(gone)
+    same = F.col("doc_id").eqNullSafe(F.col("gone_doc_id"))
+    if "gone_row_key" in gone.columns:
+        same &= row_key(docs) == F.col("gone_row_key")
+    return docs.join(gone, same, "left_anti")
+
+
+def by_hash(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most so many rows, those with the smallest hashes of their key; far more are left out by a bound on the hash before any are sorted."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    at_most = min(1.0, (most + 8 * most**0.5 + 8) / n)
+    few = rows.where(F.xxhash64(key) < F.lit(int(-(2**63) + at_most * (2**64 - 1))))
+    return few.orderBy(F.xxhash64(key), key).limit(most)
 
 
 def fresh(df: DataFrame, name: str) -> str:

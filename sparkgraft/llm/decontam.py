@@ -38,11 +38,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, without
 from .shingles import mix, shingles
 
 WORD = re.compile(r"\w+")
-BITS, BLOCKS = 128, 16
+BITS, BLOCKS = 128, 4
 SCHEMA = "doc_id long, item_id long, similarity double, start_word long, n_words long"
 
 
@@ -72,21 +71,27 @@ def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
 class MultiIndex:
     """Fingerprints of the items of one length; `within` finds all pairs at most `radius` bits apart.
 
-    For each block a table gives, by its 256 values, the items (as bits) whose block differs by
-    at most radius // 16 bits. A pair within the radius shares such a block.
+    A pair within the radius agrees in one of the blocks of 32 bits but for radius // 4 bits.
+    At the radius of 40 that lets 10 % of unrelated pairs through to the whole comparison.
     """
 
     def __init__(self, prints: np.ndarray, radius: int):
-        self.prints, self.radius = prints, radius
-        values = np.arange(256, dtype=np.uint8)
-        self.tables = [np.packbits(np.bitwise_count(values[:, None] ^ prints[:, block]) <= radius // BLOCKS, axis=1) for block in range(BLOCKS)]
+        self.prints, self.radius, self.blocks = prints, radius, self.cut(prints)
+
+    @staticmethod
+    def cut(prints: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(prints).view(np.uint32)
+
+    def near(self, some: np.ndarray) -> np.ndarray:
+        """Which of some and which items share a block."""
+        found = np.zeros((len(some), len(self.prints)), dtype=bool)
+        for mine, theirs in zip(self.cut(some).T, self.blocks.T, strict=True):
+            found |= np.bitwise_count(mine[:, None] ^ theirs[None, :]) <= self.radius // BLOCKS
+        return found
 
     def within(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of `some` and items, of each pair within the radius."""
-        near = self.tables[0][some[:, 0]]
-        for block in range(1, BLOCKS):
-            near = near | self.tables[block][some[:, block]]
-        rows, items = np.nonzero(np.unpackbits(near, axis=1, count=len(self.prints)))
+        rows, items = np.nonzero(self.near(some))
         good = np.bitwise_count(some[rows] ^ self.prints[items]).sum(axis=1) <= self.radius
         return rows[good], items[good]
 
@@ -190,30 +195,56 @@ class Benchmark:
         return [(a, b) for a, b in out]
 
 
+def usable(benchmark: DataFrame) -> DataFrame:
+    return benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+
+
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = 40, part_rows: int = 20_000, part_chars: int = 16 << 20) -> DataFrame:
     """doc_id, item_id, similarity, start_word, n_words of each document and item that share a window."""
-    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
-    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.coalesce(F.max(F.length("text")), F.lit(0)).alias("longest")).first()
-    parts = max(1, -(-size["n"] // part_rows), -(-size["chars"] // part_chars))
-    found = [search(spark, docs, items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part), k, threshold, radius) for part in range(parts)]
+    items = usable(benchmark)
+    found = [part.matching(docs) for part in parted(spark, items, k, threshold, radius, part_rows, part_chars)]
     return reduce(DataFrame.unionByName, found)
 
 
-def search(spark: SparkSession, docs: DataFrame, items: DataFrame, k: int, threshold: float, radius: int) -> DataFrame:
-    shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in items.orderBy("item_id", "text").collect()])
+def parted(spark: SparkSession, items: DataFrame, k: int, threshold: float, radius: int, part_rows: int, part_chars: int) -> list[Part]:
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    parts = max(1, -(-size["n"] // part_rows), -(-size["chars"] // part_chars))
+    return [Part(spark, items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part), k, threshold, radius) for part in range(parts)]
+
+
+class Part:
+    """A part of the benchmark of bounded size, broadcast to the tasks that read it."""
+
+    def __init__(self, spark: SparkSession, items: DataFrame, k: int, threshold: float, radius: int):
+        self.shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in items.orderBy("item_id", "text").collect()])
+        self.options = (k, threshold, radius)
+
+    def matching(self, docs: DataFrame) -> DataFrame:
+        shared, options = self.shared, self.options
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = Benchmark(shared.value, *options)
+            for b in batches:
+                rows = [(i, *m) for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) for m in held.matches(t.as_py())]
+                if rows:
+                    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
+
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+
+    def clean(self, docs: DataFrame) -> DataFrame:
+        shared, options, at = self.shared, self.options, docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Benchmark(shared.value, k, threshold, radius)
-        for b in batches:
-            rows = [(i, *m) for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) for m in held.matches(t.as_py())]
-            if rows:
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = Benchmark(shared.value, *options)
+            for b in batches:
+                yield b.filter(pa.array([not held.matches(t.as_py()) for t in b.column(at)], pa.bool_()))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+        return docs.mapInArrow(run, docs.schema)
 
 
-def clean_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that share no window with the benchmark, with all their columns."""
-    found = Scratch(spark, "decontam").cut(contaminated(spark, docs, benchmark, **options).select("doc_id"), "found")
-    return without(docs, found)
+def clean_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = 40, part_rows: int = 20_000, part_chars: int = 16 << 20) -> DataFrame:
+    """The rows whose text shares no window with the benchmark, as they are; each row is judged on its own, whatever its id."""
+    for part in parted(spark, usable(benchmark), k, threshold, radius, part_rows, part_chars):
+        docs = part.clean(docs)
+    return docs
