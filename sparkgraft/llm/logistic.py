@@ -35,6 +35,14 @@ class Logistic:
                 break
         return cls(mean, scale, w)
 
+    def step(self, x: np.ndarray, y: np.ndarray, gradient: np.ndarray, curvature: np.ndarray, penalty: float = 1.0, most: float = 3.0) -> Logistic:
+        """The model after one step of Newton's method over these rows and others, of which the sums are given; no weight moves further than `most`."""
+        z = np.hstack([(x - self.mean) / self.scale, np.ones((len(x), 1))])
+        ridge = np.diag([penalty] * x.shape[1] + [1e-6])
+        p = sigmoid(z @ self.weights)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + curvature + ridge + 1e-9 * np.eye(len(ridge)), z.T @ (y - p) + gradient - ridge @ self.weights)
+        return Logistic(self.mean, self.scale, self.weights + step * min(1.0, most / max(1e-12, np.abs(step).max())))
+
     def logits(self, x: np.ndarray) -> np.ndarray:
         return ((x - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1]
 

@@ -40,7 +40,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row_key")
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
