@@ -16,7 +16,8 @@ scored by its whole text where it lies, so nothing is shuffled but the bounded s
 nothing grows on the driver (the lexicon is bounded by `terms`). Scores use the text alone.
 
 Defined results: a null or empty text has the score of a text without hits; a null doc_id is
-scored and counts as not held out; repeated rows are scored each; without labelled rows of
+scored and counts as not held out; repeated rows are scored each (learned from once, by the
+smallest text of a doc_id); without labelled rows of
 both kinds every score is 0; an empty table gives no rows; extra columns are ignored. Of
 labels that contradict each other for a doc_id the higher is taken.
 """
@@ -35,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Scratch, by_hash
 from .logistic import Logistic
 
 WORD = re.compile(r"\w+")
@@ -234,32 +236,33 @@ def stems_of(words: set[str]) -> set[str]:
     return {w[:k] for w in words for k in range(low, min(high, len(w)) + 1)}
 
 
-def count_stems(rows: DataFrame, wanted: set[str] | None) -> DataFrame:
-    """stem, n: the number of rows whose text has a word that begins so. wanted: only these stems."""
-    keep = rows.sparkSession.sparkContext.broadcast(wanted)
+def count_stems(rows: DataFrame) -> DataFrame:
+    """stem, a, b: the number of toxic and of clean rows whose text has a word that begins so."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: Counter = Counter()
-            for text in b.column(0):
-                stems = stems_of(set(WORD.findall((text.as_py() or "").lower())))
-                found.update(stems if keep.value is None else stems & keep.value)
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["stem", "n"])
-
-    return rows.select("text").mapInArrow(run, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
-
-
-def choose(candidates: list[tuple[str, int, int]], n_toxic: int, n_clean: int, terms: int) -> list[tuple[str, float]]:
-    """Stems with their log-odds, none the beginning of another: those that tell most about the label, of equals the longest."""
-    rated = []
-    for stem, a, b in candidates:
-        odds = np.log((a + 0.5) / (n_toxic + 1)) - np.log((b + 0.5) / (n_clean + 1))
-        share = (a + b) / (n_toxic + n_clean)
-        told = a * np.log(a / (n_toxic * share)) + (b * np.log(b / (n_clean * share)) if b else 0.0)  # half the likelihood ratio
-        if odds >= 2.0 and told >= 8.0:
-            rated.append((-round(told, 6), -len(stem), stem, float(odds)))
+            found: tuple[Counter, Counter] = (Counter(), Counter())
+            for toxic, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                found[toxic].update(stems_of(set(WORD.findall((text.as_py() or "").lower()))))
+            stems = list(found[0] | found[1])
+            yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), *(pa.array([found[i][s] for s in stems], pa.int64()) for i in (1, 0))], ["stem", "a", "b"])
+
+    return rows.select("toxic", "text").mapInArrow(run, "stem string, a long, b long").groupBy("stem").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
+def telling(counts: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
+    """The stems that tell enough, with their log-odds and what they tell (half the likelihood ratio)."""
+    a, b = F.col("a"), F.col("b")
+    odds = F.log((a + 0.5) / (n_toxic + 1)) - F.log((b + 0.5) / (n_clean + 1))
+    share = (a + b) / F.lit(n_toxic + n_clean)
+    told = a * F.log(a / (n_toxic * share)) + F.when(b > 0, b * F.log(b / (n_clean * share))).otherwise(0.0)
+    return counts.where((a >= max(3, n_toxic // 200)) & (odds >= 2.0) & (told >= 8.0)).select("stem", "a", odds.alias("odds"), F.round(told, 6).alias("told"))
+
+
+def choose(rated: list[tuple[str, float, float]], terms: int) -> list[tuple[str, float]]:
+    """Of stems with their log-odds and what they tell, none the beginning of another: those that tell most about the label, of equals the longest."""
     chosen: list[tuple[str, float]] = []
-    for _, _, stem, odds in sorted(rated):
+    for stem, odds, _ in sorted(rated, key=lambda r: (-r[2], -len(r[0]), r[0])):
         if not any(stem.startswith(s) or s.startswith(stem) for s, _ in chosen):
             chosen.append((stem, odds))
             if len(chosen) >= terms:
@@ -271,18 +274,17 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     """doc_id, held_out, score, predicted for every row of docs. labels: doc_id, toxic."""
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    taken = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    train = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").dropDuplicates(["doc_id"]).select("text", F.col("toxic").cast("int").alias("toxic")).persist()
+    taken = by_hash(marked, "doc_id", sample)
+    held = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))
+    train = Scratch(spark, "toxicity").cut(held.select("text", "toxic"), "train")
     sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     lexicon: list[tuple[str, float]] = []
     model, worth = None, ()
     if n_toxic and n_clean:
-        least = max(3, n_toxic // 200)
-        often = count_stems(train.where("toxic = 1"), None).where(F.col("n") >= least).orderBy(F.desc("n"), "stem").limit(50_000).collect()
-        toxic = {r["stem"]: r["n"] for r in often}
-        clean = {r["stem"]: r["n"] for r in count_stems(train.where("toxic = 0"), set(toxic)).collect()}
-        lexicon = choose([(s, a, clean.get(s, 0)) for s, a in toxic.items()], n_toxic, n_clean, terms)
+        found = telling(count_stems(train), n_toxic, n_clean).collect()  # bounded by the sample
+        toxic = {r["stem"]: r["a"] for r in found}
+        lexicon = choose([(r["stem"], r["odds"], r["told"]) for r in found], terms)
         false = {(r["term"], r["how"]): r["n"] for r in count_false(train.where("toxic = 0"), lexicon).collect()}
         worth = tuple(misspelt_worth(lexicon, toxic, false, n_toxic, n_clean).items())
         shared = spark.sparkContext.broadcast((tuple(lexicon), worth))
@@ -295,7 +297,6 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
 
         rows = train.mapInPandas(measure, "toxic int, x array<double>").toPandas()
         model = Logistic.fit(np.array(rows.x.tolist()), rows.toxic.to_numpy())
-    train.unpersist()
     shared_model = spark.sparkContext.broadcast((tuple(lexicon), worth, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
