@@ -6,8 +6,9 @@ docs. All but the last return the columns of `documents`. The rows after packing
 result. ORACLE_SQL is None: the classifier and the tokenizer can't be expressed in SQL, so the
 pipeline is tested against brute force.
 
-Repeated rows, null ids and null texts pass through every stage by its operator's own rules;
-near-dedup keeps one row of those that repeat a doc_id with the same text.
+The classifier and decontamination judge each row on its own, whatever its id. Near-dedup takes
+a doc_id for one vertex: rows that repeat one are judged together, one row of each text stays,
+and rows without an id all stay. Null and empty texts pass through every stage.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from sparkgraft.llm.queries import tokenizer_path
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go."""
     scored = quality.score(spark, docs, table(spark, sf_dir, "labels"))
-    rejected = Scratch(spark, "rejected").cut(scored.where("NOT kept").select("doc_id"), "ids")
+    rejected = Scratch(spark, "rejected").cut(scored.where("NOT kept").select("doc_id", "row_key"), "rows")
     return without(docs, rejected)
 
 
@@ -36,8 +37,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that with the smallest id."""
     found = Scratch(spark, "kept").cut(neardup.near_duplicates(spark, docs).select("doc_id", "kept"), "ids")
-    left = without(docs, found.where("NOT kept"))
-    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    left = without(docs, found.where("NOT kept").select("doc_id"))
+    again = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.limit(1).count():
         left = without(left, again).unionByName(left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
     return left
