@@ -50,7 +50,7 @@ def by_hash(rows: DataFrame, key: str, most: int) -> DataFrame:
     if n <= most:
         return rows
     at_most = min(1.0, (most + 8 * most**0.5 + 8) / n)
-    few = rows.where(F.xxhash64(key) < F.lit(int(-(2**63) + at_most * (2**64 - 1))))
+    few = rows.where(F.xxhash64(key) <= F.lit(min(2**63 - 1, int(-(2**63) + at_most * 2**64))))
     return few.orderBy(F.xxhash64(key), key).limit(most)
 
 

@@ -1,9 +1,9 @@
 """Benchmark decontamination by SimHash windows and exact verification.
 
 Every document is read in windows of each benchmark item's own length in words. A window
-gets a 128-bit SimHash of its five-word shingles. A multi-index of sixteen 8-bit blocks finds
+gets a 128-bit SimHash of its five-word shingles. A multi-index of four 32-bit blocks finds
 all items of that length whose fingerprints lie within the radius: of a pair within 40 bits
-some block differs by at most two. A text shorter than an item is one window as a whole. Candidates are verified by the exact weighted similarity
+some block differs by at most ten. A text shorter than an item is one window as a whole. Candidates are verified by the exact weighted similarity
 of shingle multisets (the sum of least counts over the sum of greatest counts).
 
 Windows that cannot reach the threshold are left out first, without loss: such a window holds
