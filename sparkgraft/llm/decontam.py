@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import lean
 from .shingles import mix, shingles
 
 WORD = re.compile(r"\w+")
@@ -230,7 +231,7 @@ class Part:
                     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
 
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), SCHEMA)
 
     def clean(self, docs: DataFrame) -> DataFrame:
         shared, options, at = self.shared, self.options, docs.columns.index("text")
@@ -240,7 +241,7 @@ class Part:
             for b in batches:
                 yield b.filter(pa.array([not held.matches(t.as_py()) for t in b.column(at)], pa.bool_()))
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(lean(run), docs.schema)
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = 40, part_rows: int = 20_000, part_chars: int = 16 << 20) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, fresh
+from .common import Scratch, fresh, lean
 
 WHITE = " \t\n\r\x0b\x0c"
 
@@ -60,7 +60,7 @@ def lines(docs: DataFrame, min_chars: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(sites, pa.string()), pa.array(texts, pa.int64())], ["line", "site", "text"])
 
     site = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(""))
-    return docs.select(site.alias("site"), "text").mapInArrow(run, "line binary, site string, text long")
+    return docs.select(site.alias("site"), "text").mapInArrow(lean(run), "line binary, site string, text long")
 
 
 def boilerplate(spark: SparkSession, docs: DataFrame, min_sites: int = 8, min_chars: int = 1, margin: float = 1.5, lg_k: int = 8) -> DataFrame:
@@ -92,7 +92,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, few_lines: int = 200_000, m
     else:
         shared = None
         with_id = docs.withColumn(same, F.xxhash64("text"))
-        held = with_id.where("text IS NOT NULL").select(F.col(same).alias("same"), "text").mapInArrow(explode_keys(min_chars), "same long, line binary").join(gone, "line", "left_semi")
+        held = with_id.where("text IS NOT NULL").select(F.col(same).alias("same"), "text").mapInArrow(lean(explode_keys(min_chars)), "same long, line binary").join(gone, "line", "left_semi")
         sets = held.distinct().groupBy(F.col("same").alias(same)).agg(F.collect_list("line").alias(own))
         given = with_id.join(sets, same, "left").drop(same)
     at = given.columns.index("text")
@@ -113,7 +113,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, few_lines: int = 200_000, m
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(totals, pa.int64()), pa.array(removed, pa.int64())], [*b.schema.names[:-1], "n_lines", "n_removed"])
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(lean(run), schema)
 
 
 def explode_keys(min_chars: int):

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import lean
 from .shingles import inverses, mix, powers
 
 TIERS = (4096, 2048, 1024, 512, 256)
@@ -307,4 +308,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, tiers:
         if packer.rows:
             yield batch(packer.rows)
 
-    return docs.select("doc_id", "text").mapInArrow(pack, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(lean(pack), SCHEMA)

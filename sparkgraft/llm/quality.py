@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_hash, row_key
+from .common import Scratch, by_hash, lean, row_key
 from .logistic import Logistic, sigmoid
 
 KINDS = np.zeros(256, dtype=np.int64)  # 0 other, 1 lower, 2 upper, 3 digit, 4 white space, 5 stops, 6 other marks, 7 not ASCII
@@ -81,7 +81,7 @@ def measure(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float32()))], ["doc_id", "row_key", "x"])
 
     columns = [F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row_key"), "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars")]
-    return docs.select(*columns).mapInArrow(run, "doc_id long, row_key long, x array<float>")
+    return docs.select(*columns).mapInArrow(lean(run), "doc_id long, row_key long, x array<float>")
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -135,7 +135,7 @@ class Unlabelled:
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
         total = np.zeros(2 * BINS)
-        for r in self.rows.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        for r in self.rows.mapInArrow(lean(run), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
             total[r["at"]] = r["n"]
         return [total[:BINS], total[BINS:]]
 
@@ -150,7 +150,7 @@ class Unlabelled:
 
         sizes = [1 + d + d * d for d in (len(m.weights) for m in models)]
         total = np.zeros(sum(sizes))
-        for r in self.rows.mapInArrow(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():
+        for r in self.rows.mapInArrow(lean(run), "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():
             total[r["at"]] += r["value"]
         return [total[: sizes[0]], total[sizes[0] :]]
 
@@ -216,4 +216,4 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
                 p, (q, m) = fitted.predict(x), map(sigmoid, fitted.views(x))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, pa.float64()) for v in (p, q, m)), pa.array(p >= 0.5, pa.bool_()), b.column(1)], ["doc_id", "score", "text_score", "metadata_score", "kept", "row_key"])
 
-    return measured.select("doc_id", "row_key", "x").mapInArrow(run, "doc_id long, score double, text_score double, metadata_score double, kept boolean, row_key long")
+    return measured.select("doc_id", "row_key", "x").mapInArrow(lean(run), "doc_id long, score double, text_score double, metadata_score double, kept boolean, row_key long")

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_hash
+from .common import Scratch, by_hash, lean
 from .logistic import Logistic
 
 WORD = re.compile(r"\w+")
@@ -228,7 +228,7 @@ def count_false(rows: DataFrame, lexicon: list[tuple[str, float]]) -> DataFrame:
                 n.update({h for h in map(scorer.look, set(WORD.findall((text.as_py() or "").lower()))) if h and h[1] != EXACT})
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in n], pa.int32()), pa.array([h for _, h in n], pa.int32()), pa.array(list(n.values()), pa.int64())], ["term", "how", "n"])
 
-    return rows.select("text").mapInArrow(run, "term int, how int, n long").groupBy("term", "how").agg(F.sum("n").alias("n"))
+    return rows.select("text").mapInArrow(lean(run), "term int, how int, n long").groupBy("term", "how").agg(F.sum("n").alias("n"))
 
 
 def stems_of(words: set[str]) -> set[str]:
@@ -247,7 +247,7 @@ def count_stems(rows: DataFrame) -> DataFrame:
             stems = list(found[0] | found[1])
             yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), *(pa.array([found[i][s] for s in stems], pa.int64()) for i in (1, 0))], ["stem", "a", "b"])
 
-    return rows.select("toxic", "text").mapInArrow(run, "stem string, a long, b long").groupBy("stem").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return rows.select("toxic", "text").mapInArrow(lean(run), "stem string, a long, b long").groupBy("stem").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
 def telling(counts: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
@@ -309,4 +309,4 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
             p = fitted.predict(np.array(x)) if fitted is not None and x else np.zeros(len(ids))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.bool_()), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32), pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
