@@ -36,8 +36,13 @@ def scan(files: DataFrame) -> DataFrame:
     return small.select("file_ord", file_name(F.col("org"), F.col("repo"), F.col("path")).alias("name"), "path", "language", "content").mapInArrow(run, ROWS)
 
 
+def outlines(files: DataFrame) -> DataFrame:
+    """What is needed of files beside their texts: their size and their last line."""
+    return files.select("file_ord", "org", "repo", "path", "language", F.octet_length("content").alias("size"), file_span_end(F.col("content")).alias("last"))
+
+
 class Parsed:
-    """The relations of a batch, as views over the scanned rows."""
+    """The relations of a batch, as views over the scanned rows and the outlines of files."""
 
     def __init__(self, files: DataFrame, rows: DataFrame):
         self.files, self.rows = files, rows
@@ -50,7 +55,7 @@ class Parsed:
         null = F.lit(None).cast("string")
         whole = self.files.select(
             "file_ord", "path", "language", F.lit(-1).alias("ord"), F.lit("code_file").alias("object_type"), F.lit("file").alias("kind"), name.alias("qualified_name"),
-            F.element_at(F.split("path", "/"), -1).alias("simple_name"), null.alias("parent"), F.lit("public").alias("visibility"), null.alias("signature"), F.lit(1).alias("line"), file_span_end(F.col("content")).alias("last"),
+            F.element_at(F.split("path", "/"), -1).alias("simple_name"), null.alias("parent"), F.lit("public").alias("visibility"), null.alias("signature"), F.lit(1).alias("line"), "last",
         )
         rows = self.pick("fact", object_type="a", kind="b", qualified_name="c", said="d", parent="e", signature="f", line="line", last="last", member="flag")
         simple, modifiers = F.element_at(F.split("said", "\x1f"), 1), F.element_at(F.split("said", "\x1f"), 2)
@@ -93,7 +98,7 @@ class Parsed:
     def diagnostics(self) -> DataFrame:
         null = F.lit(None)
         error = self.pick("diagnostic", line="line").select("file_ord", "ord", F.lit("parse_error").alias("code"), F.lit("syntax error").alias("message"), "path", "line", F.lit(0).alias("column"), F.lit("error").alias("severity"))
-        large = self.files.where(F.octet_length("content") > MAX_FILE_BYTES).select("file_ord", F.lit(0).alias("ord"), F.lit("file_too_large").alias("code"), F.lit("file exceeds the size limit").alias("message"), "path", null.cast("int").alias("line"), null.cast("int").alias("column"), F.lit("error").alias("severity"))
+        large = self.files.where(F.col("size") > MAX_FILE_BYTES).select("file_ord", F.lit(0).alias("ord"), F.lit("file_too_large").alias("code"), F.lit("file exceeds the size limit").alias("message"), "path", null.cast("int").alias("line"), null.cast("int").alias("column"), F.lit("error").alias("severity"))
         return error.unionByName(large)
 
 

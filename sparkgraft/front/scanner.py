@@ -11,12 +11,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field, replace
 
-STRING = r"'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\""
-LEXERS = {
-    "rust": re.compile(r"(?P<c>//[^\n]*|/\*.*?\*/)|(?P<s>b?r(?P<h>#*)\".*?\"(?P=h)|b?\"(?:\\.|[^\"\\])*\"|b?'(?:\\.[^']*|[^'\\\n])')|(?P<l>'\w+)|(?P<w>[^\W\d]\w*)|(?P<n>\d[\w.]*)|(?P<p>->|=>|::|\S)", re.S),
-    "script": re.compile(rf"(?P<c>//[^\n]*|/\*.*?\*/)|(?P<s>{STRING}|`(?:\\.|[^`\\])*`)|(?P<w>[#$]?[^\W\d][\w$]*|\$)|(?P<n>\d[\w.]*)|(?P<p>=>|\.\.\.|\S)", re.S),
-    "python": re.compile(rf"(?P<c>#[^\n]*)|(?P<s>[rbfuRBFU]{{0,2}}(?:\"\"\".*?\"\"\"|'''.*?'''|{STRING}))|(?P<w>[^\W\d]\w*)|(?P<n>\d[\w.]*)|(?P<p>->|\*\*|\S)", re.S),
-}
+from . import lexer
+
 # Keywords by what they begin.
 TYPES = {"rust": {"struct": "struct", "enum": "enum", "trait": "trait", "union": "union", "type": "type_alias"}, "script": {"class": "class", "interface": "interface", "enum": "enum", "type": "type_alias"}}
 MODULES = {"rust": {"mod": "module"}, "script": {"namespace": "namespace", "module": "namespace"}}
@@ -65,7 +61,7 @@ class Scan:
         self.name, self.path, self.text = name, path, text
         self.family = language if language in ("rust", "python") else "script"
         self.rows: list[list] = []
-        self.tokens = [(m.lastgroup if m.lastgroup != "h" else "s", m[0], m.start(), m.end()) for m in LEXERS[self.family].finditer(text)]
+        self.tokens = lexer.tokens(language, text)
         self.breaks = [i for i, c in enumerate(text) if c == "\n"]
         self.stack = [Frame(name, name)]
         (self.python if self.family == "python" else self.braces)()
@@ -339,6 +335,8 @@ class Scan:
                 return j + 1, "more"
             if frame.kind in ("struct", "union") and after[1] == ":" and frame.owner and (found := simple_type(self.span(i + 2, self.field_end(i + 2)))):
                 self.row("field", frame.owner, word, found)
+            if word == "macro_rules" and after[1] == "!" and i + 3 < n and tokens[i + 3][1] in ("(", "[", "{"):
+                return self.closing(i + 3, n) + 1, None  # its patterns and bodies declare nothing here
             if after[1] == "!" and i + 2 < n and tokens[i + 2][1] in ("(", "[", "{"):
                 return self.closing(i + 2, n) + 1, "more"  # a macro's tokens are no calls
             return None

@@ -38,20 +38,35 @@ def python_stem(specifier: Column, importer: Column) -> Column:
     return F.when(dots > 0, F.when(tail == "", folder).when(folder == "", tail).otherwise(F.concat(folder, F.lit("/"), tail)))
 
 
-def candidates(specifier: Column, importer: Column, language: Column) -> Column:
-    """Paths to try, in order; null if the specifier isn't relative or names no module."""
+def endings(language: str) -> list[str]:
+    """What may follow a module's stem in the path of its file, in order."""
+    own = [f".{e}" for e in IMPORT_EXTENSIONS[language]]
+    return ["", *own, *(f"/{s}{e}" for s in INDEX_STEMS[language] for e in own)]
+
+
+def stem_of(specifier: Column, importer: Column, language: Column) -> Column:
+    """The path without ending that a relative specifier names; null if it isn't relative or names no module."""
     stem = F.when(language == "rust", rust_stem(specifier, importer)).when(language == "python", python_stem(specifier, importer)).otherwise(join_relative(parent_dir(importer), specifier))
+    return F.when(is_relative(specifier, language), stem)
+
+
+def family_of(language: Column) -> Column:
+    return F.when(language.isin("rust", "python"), language).otherwise("typescript")
 
-    def endings(name: str) -> Column:
-        own = [f".{e}" for e in IMPORT_EXTENSIONS[name]]
-        return F.array(*map(F.lit, ["", *own, *(f"/{s}{e}" for s in INDEX_STEMS[name] for e in own)]))
 
-    ends = F.when(language == "rust", endings("rust")).when(language == "python", endings("python")).otherwise(endings("typescript"))
-    return F.when(is_relative(specifier, language) & stem.isNotNull(), F.transform(ends, lambda e: F.concat(stem, e)))
+def module_index(paths: DataFrame) -> DataFrame:
+    """family, stem, target_path: for each stem of a path of the batch the path that is tried first."""
+    named = []
+    for family in ("rust", "python", "typescript"):
+        for rank, end in enumerate(endings(family)):
+            fits = F.endswith("path", F.lit(end)) if end else F.lit(True)
+            named.append(F.when(fits, F.struct(F.lit(family).alias("family"), F.expr(f"left(path, length(path) - {len(end)})").alias("stem"), F.lit(rank).alias("rank"))))
+    stems = paths.select("path", F.explode(F.array_compact(F.array(*named))).alias("s")).select("s.*", F.col("path").alias("target_path"))
+    return stems.groupBy("family", "stem").agg(F.min_by("target_path", "rank").alias("target_path"))
 
 
 def resolve_imports(imports: DataFrame, paths: DataFrame) -> DataFrame:
-    """imports (with specifier, path, language and a key `import_id`) plus `relative` and `target_path`: the first candidate in the batch, or null."""
-    tried = imports.select("import_id", F.posexplode(candidates(F.col("specifier"), F.col("path"), F.col("language"))).alias("pos", "target_path"))
-    hits = tried.join(paths.select(F.col("path").alias("target_path")).distinct(), "target_path").groupBy("import_id").agg(F.min_by("target_path", "pos").alias("target_path"))
-    return imports.join(hits, "import_id", "left").withColumn("relative", is_relative(F.col("specifier"), F.col("language")))
+    """imports (with specifier, path, language) plus `relative` and `target_path`: the first candidate in the batch, or null."""
+    specifier, language = F.col("specifier"), F.col("language")
+    keyed = imports.withColumn("stem", stem_of(specifier, F.col("path"), language)).withColumn("family", family_of(language))
+    return keyed.join(module_index(paths), ["family", "stem"], "left").select(*imports.columns, "target_path", is_relative(specifier, language).alias("relative"))

@@ -19,7 +19,7 @@ def reachable_types(types: DataFrame, import_paths: DataFrame, files: DataFrame)
 
 
 def resolve_calls(calls: DataFrame, env: DataFrame, enclosing: DataFrame, reachable: DataFrame, methods: DataFrame, functions: DataFrame) -> DataFrame:
-    """calls with target and reason (null where unresolved). calls: call_id, file_ord, caller, scope, receiver, callee, line.
+    """calls with target and reason (null where unresolved). calls: file_ord, caller, scope, receiver, callee, line.
 
     A known type, or a type-cased receiver, decides alone: if it lacks the method, nothing else
     is tried. Else exactly one reachable type with the method, else exactly one method of that
@@ -39,12 +39,15 @@ def resolve_calls(calls: DataFrame, env: DataFrame, enclosing: DataFrame, reacha
     own_functions = first_writer(functions, ["file_ord", "simple"], "target", ["ord"]).select("file_ord", F.col("simple").alias("callee"), F.col("target").alias("own_function"))
     the_functions = unique_or_nothing(functions, ["simple"], "target").select(F.col("simple").alias("callee"), F.col("target").alias("the_function"))
 
-    open_calls = typed.where("receiver IS NOT NULL AND owner IS NULL").select("call_id", "file_ord", "callee")
-    tried = open_calls.join(reachable, "file_ord").join(own_methods, ["file_ord", "owner", "callee"], "left").join(the_methods, ["owner", "callee"], "left")
-    scoped = tried.withColumn("target", F.coalesce("own_method", "the_method")).where("target IS NOT NULL").groupBy("call_id").agg(F.count("*").alias("n"), F.min("target").alias("scoped"))
+    # the methods in reach of a file, by name, before any call is looked at: a call meets one row of its name
+    wanted = typed.where("receiver IS NOT NULL AND owner IS NULL").select("file_ord", "callee").distinct()
+    in_file = reachable.join(own_methods, ["file_ord", "owner"]).select("file_ord", "owner", "callee", "own_method", F.lit(None).cast("string").alias("the_method"))
+    in_batch = reachable.join(the_methods, "owner").select("file_ord", "owner", "callee", F.lit(None).cast("string").alias("own_method"), "the_method")
+    within = in_file.union(in_batch).join(wanted, ["file_ord", "callee"], "left_semi").groupBy("file_ord", "callee", "owner").agg(F.coalesce(F.max("own_method"), F.max("the_method")).alias("target"))
+    scoped = within.groupBy("file_ord", "callee").agg(F.count("*").alias("n"), F.min("target").alias("scoped"))
 
     joined = (
-        typed.join(own_methods, ["file_ord", "owner", "callee"], "left").join(the_methods, ["owner", "callee"], "left").join(scoped, "call_id", "left")
+        typed.join(own_methods, ["file_ord", "owner", "callee"], "left").join(the_methods, ["owner", "callee"], "left").join(scoped, ["file_ord", "callee"], "left")
         .join(by_name, "callee", "left").join(own_functions, ["file_ord", "callee"], "left").join(the_functions, "callee", "left")
     )
     free, decided = F.col("receiver").isNull(), F.col("owner").isNotNull()

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..front.parse import Parsed, normalized, scan
+from ..front.parse import Parsed, normalized, outlines, scan
 from ..functions.naming import file_name, ix_ref, node_id
 from ..operators.corpus import batch_order, functions_of, methods_of, types_of
 from ..operators.edges import fold_edges, sort_diagnostics, sort_edges, sort_mentions, sort_nodes
@@ -15,6 +15,7 @@ from ..operators.imports import resolve_imports
 from ..operators.mentions import harvest
 from ..operators.resolve import reachable_types, resolve_calls, resolve_relations
 from ..operators.typeenv import type_environment
+from ..sources.scratch import Tables
 
 
 @dataclass
@@ -43,11 +44,14 @@ def site(source, edge_type, target, reason: str, file, line) -> list:
 
 def extract(files: DataFrame, scanned: DataFrame | None = None) -> Extraction:
     """files: org, repo, path, language, content. scanned: rows of front.parse.scan for the same ordered files, if they are kept."""
-    files = batch_order(normalized(files)) if "file_ord" not in files.columns else files
-    # a dozen consumers read the scanned rows; they are small beside the texts
-    rows = (scan(files) if scanned is None else scanned).persist()
+    tables = Tables(files.sparkSession, "extract")
+    ordered = batch_order(normalized(files)) if "file_ord" not in files.columns else files
+    # a dozen consumers read these; they are small beside the texts
+    rows = tables.cut(scan(ordered) if scanned is None else scanned, "rows")
+    files = tables.cut(outlines(ordered), "files")
+    ordered.unpersist()
     parsed = Parsed(files, rows)
-    facts, enclosing = parsed.facts().persist(), parsed.enclosing()
+    facts, enclosing = tables.cut(parsed.facts(), "facts"), parsed.enclosing()
     types, methods, functions = types_of(facts), methods_of(facts), functions_of(facts)
     names = files.select("file_ord", "org", "repo", file_name(F.col("org"), F.col("repo"), F.col("path")).alias("file_ref"))
 
@@ -57,17 +61,18 @@ def extract(files: DataFrame, scanned: DataFrame | None = None) -> Extraction:
     )
     contains = facts.where("parent IS NOT NULL").select(*site(F.col("parent"), F.lit("contains"), F.col("qualified_name"), "syntactic", F.col("path"), F.col("line")))
 
-    imports = resolve_imports(parsed.imports().withColumn("import_id", F.col("file_ord") * (1 << 24) + F.col("ord")), files.select("path")).persist()
+    imports = tables.cut(resolve_imports(parsed.imports(), files.select("path")), "imports")
     found = imports.where("target_path IS NOT NULL").join(names, "file_ord")
     imported = found.select(*site(F.col("file_ref"), F.lit("imports"), file_name(F.col("org"), F.col("repo"), F.col("target_path")), "path-resolved", F.col("path"), F.col("line")))
     warnings = imports.where("relative AND target_path IS NULL").select("file_ord", "ord", F.lit("unresolved_import").alias("code"), F.concat(F.lit("unresolved import: "), "specifier").alias("message"), "path", "line", F.lit(None).cast("int").alias("column"), F.lit("warning").alias("severity"))
 
-    cited = harvest(parsed.comments()).persist()
+    cited = tables.cut(harvest(parsed.comments()), "mentions")
     references = cited.select(*site(F.col("source"), F.lit("references"), F.col("identifier"), "explicit-mention", F.col("file"), F.col("line")))
 
-    env = type_environment(parsed.bindings(), enclosing, functions, methods, parsed.returns(), parsed.fields()).persist()
+    env = type_environment(parsed.bindings(), enclosing, functions, methods, parsed.returns(), parsed.fields())
+    env = tables.cut(env, "types")
     reachable = reachable_types(types, imports.where("target_path IS NOT NULL").select("path", "target_path").distinct(), files)
-    calls = resolve_calls(parsed.calls().withColumn("call_id", F.col("file_ord") * (1 << 24) + F.col("ord")), env, enclosing, reachable, methods, functions).persist()
+    calls = tables.cut(resolve_calls(parsed.calls(), env, enclosing, reachable, methods, functions), "calls")
     called = calls.where("target IS NOT NULL").select(F.col("caller").alias("source_ref"), F.lit("calls").alias("edge_type"), F.col("target").alias("target_ref"), "reason", F.col("path").alias("file"), F.col("line").cast("int").alias("line"))
     related = resolve_relations(parsed.relations(), types)
     relations = related.select("source_ref", "edge_type", "target_ref", F.lit("syntactic").alias("reason"), F.col("path").alias("file"), F.lit(1).alias("line"))

@@ -432,36 +432,46 @@ def rust(spark, sf_dir) -> Extraction:
     return extract(corpora.rust_corpus(table(spark, sf_dir, "part")))
 
 
-RUST = "p AS (SELECT p_partkey AS n, 'shop/parts/src/pkg' || p_partkey // 100 || '/mod' || p_partkey || '.rs' AS f, 'shop/parts/src/pkg' || (p_partkey + 1) // 100 || '/mod' || (p_partkey + 1) || '.rs' AS g, p_partkey + 1 IN (SELECT p_partkey FROM part) AS has_next FROM part), h AS (SELECT p.*, unnest([0, 1, 2, 3]) AS k FROM p)"
+RUST = "p AS (SELECT p_partkey AS n, 'shop/parts/src/shelf' || p_partkey // 100 || '/item' || p_partkey || '.rs' AS f, 'shop/parts/src/shelf' || (p_partkey + 1) // 100 || '/item' || (p_partkey + 1) || '.rs' AS g, p_partkey + 1 IN (SELECT p_partkey FROM part) AS has_next FROM part), h AS (SELECT p.*, unnest([0, 1, 2, 3]) AS k FROM p)"
 
 
 @query(f"""
     WITH {RUST}, x AS (
-        SELECT 'code_file' AS object_type, f AS name, 'file' AS kind, 1 AS first_line, 39 AS last_line, NULL AS parent, 'public' AS visibility, NULL AS signature FROM p
-        UNION ALL SELECT 'code_type', f || '::Part' || n, 'struct', 4, 7, f, 'public', NULL FROM p
-        UNION ALL SELECT 'code_function', f || '::Part' || n || '::size_' || n, 'function', 11, 13, f || '::Part' || n, 'public', '(self) -> u32' FROM p
-        UNION ALL SELECT 'code_function', f || '::Part' || n || '::twice_' || n, 'function', 15, 17, f || '::Part' || n, 'public', '(self) -> u32' FROM p
-        UNION ALL SELECT 'code_function', f || '::Part' || n || '::helper_' || n || '_' || k, 'function', 20 + 4 * k, 22 + 4 * k, f || '::Part' || n, 'public', '(self) -> u32' FROM h
-        UNION ALL SELECT 'code_function', f || '::drive_' || n, 'function', 37, 40, f, 'public', '(Part' || n || ') -> u32' FROM p)
-    SELECT object_type, name, kind, first_line, CASE WHEN kind = 'file' THEN 40 ELSE last_line END AS last_line, parent, visibility, signature, sha256(concat(object_type, chr(31), name)) AS id FROM x
+        SELECT 'code_file' AS object_type, f AS name, 'file' AS kind, 1 AS first_line, 56 AS last_line, NULL AS parent, 'public' AS visibility, NULL AS signature FROM p
+        UNION ALL SELECT 'code_type', f || '::Grade' || n, 'enum', 4, 7, f, 'public', NULL FROM p
+        UNION ALL SELECT 'code_type', f || '::Priced' || n, 'trait', 9, 11, f, 'public', NULL FROM p
+        UNION ALL SELECT 'code_type', f || '::Item' || n, 'struct', 13, 16, f, 'public', NULL FROM p
+        UNION ALL SELECT 'code_function', f || '::Priced' || n || '::price_' || n, 'function', 10, 10, f || '::Priced' || n, 'public', '(self) -> u64' FROM p
+        UNION ALL SELECT 'code_function', f || '::Item' || n || '::price_' || n, 'function', 20, 25, f || '::Item' || n, 'public', '(self) -> u64' FROM p
+        UNION ALL SELECT 'code_function', f || '::Item' || n || '::total_' || n, 'function', 29, 31, f || '::Item' || n, 'public', '(self, u64) -> u64' FROM p
+        UNION ALL SELECT 'code_function', f || '::Item' || n || '::step_' || n || '_' || k, 'function', 34 + 5 * k, 36 + 5 * k, f || '::Item' || n, 'private', '(self, u64) -> u64' FROM h
+        UNION ALL SELECT 'code_function', f || '::order_' || n, 'function', 54, 56, f, 'public', '(&Item' || n || ') -> u64' FROM p)
+    SELECT object_type, name, kind, first_line, last_line, parent, visibility, signature, sha256(concat(object_type, chr(31), name)) AS id FROM x
 """)
 def rust_nodes(spark, sf_dir):
     return rust(spark, sf_dir).nodes.select("object_type", "name", "data.kind", F.col("data.span.start").alias("first_line"), F.col("data.span.end").alias("last_line"), "data.parent", "data.visibility", "data.signature", "id")
 
 
 @query(f"""
-    WITH {RUST}
-    SELECT f AS source_ref, 'imports' AS edge_type, g AS target_ref, 1.0::DOUBLE AS confidence, 'path-resolved' AS reason, 1::BIGINT AS count, f[12:] || ':2' AS evidence FROM p WHERE has_next
-    UNION ALL SELECT f || '::Part' || n || '::twice_' || n, 'calls', f || '::Part' || n || '::size_' || n, 0.9, 'receiver-typed', 2, f[12:] || ':16' FROM p
-    UNION ALL SELECT f || '::drive_' || n, 'calls', f || '::Part' || n || '::twice_' || n, 0.9, 'receiver-typed', 1, f[12:] || ':39' FROM p
-    UNION ALL SELECT f, 'references', 'FR-001', 1.0, 'explicit-mention', 1, f[12:] || ':1' FROM p
-    UNION ALL SELECT f || '::Part' || n || '::size_' || n, 'references', 'TC-' || n % 7 + 1, 1.0, 'explicit-mention', 1, f[12:] || ':10' FROM p
-    UNION ALL SELECT f || '::Part' || n || '::helper_' || n || '_' || k, 'references', 'FR-002', 1.0, 'explicit-mention', 1, f[12:] || ':' || 19 + 4 * k FROM h
-    UNION ALL SELECT f, 'contains', f || '::Part' || n, 1.0, 'syntactic', 1, f[12:] || ':4' FROM p
-    UNION ALL SELECT f, 'contains', f || '::drive_' || n, 1.0, 'syntactic', 1, f[12:] || ':37' FROM p
-    UNION ALL SELECT f || '::Part' || n, 'contains', f || '::Part' || n || '::size_' || n, 1.0, 'syntactic', 1, f[12:] || ':11' FROM p
-    UNION ALL SELECT f || '::Part' || n, 'contains', f || '::Part' || n || '::twice_' || n, 1.0, 'syntactic', 1, f[12:] || ':15' FROM p
-    UNION ALL SELECT f || '::Part' || n, 'contains', f || '::Part' || n || '::helper_' || n || '_' || k, 1.0, 'syntactic', 1, f[12:] || ':' || 20 + 4 * k FROM h
+    WITH {RUST}, x AS (
+        SELECT f AS source_ref, 'imports' AS edge_type, g AS target_ref, 1.0::DOUBLE AS confidence, 'path-resolved' AS reason, 2 AS line FROM p WHERE has_next
+        UNION ALL SELECT f || '::Item' || n || '::total_' || n, 'calls', f || '::Item' || n || '::price_' || n, 0.9, 'receiver-typed', 30 FROM p
+        UNION ALL SELECT f || '::Item' || n || '::step_' || n || '_' || k, 'calls', f || '::Item' || n || '::total_' || n, 0.9, 'receiver-typed', 35 + 5 * k FROM h
+        UNION ALL SELECT f || '::order_' || n, 'calls', f || '::Item' || n || '::total_' || n, 0.9, 'receiver-typed', 55 FROM p
+        UNION ALL SELECT f || '::order_' || n, 'calls', f || '::Item' || n || '::step_' || n || '_0', 0.9, 'receiver-typed', 55 FROM p
+        UNION ALL SELECT f || '::Item' || n, 'implements_trait', f || '::Priced' || n, 1.0, 'syntactic', 1 FROM p
+        UNION ALL SELECT f, 'references', 'ix://shop/parts/NFR-002', 1.0, 'explicit-mention', 1 FROM p
+        UNION ALL SELECT f || '::Item' || n || '::price_' || n, 'references', 'StR-' || n % 7 + 1, 1.0, 'explicit-mention', 19 FROM p
+        UNION ALL SELECT f || '::Item' || n || '::step_' || n || '_' || k, 'references', 'FR-014', 1.0, 'explicit-mention', 33 + 5 * k FROM h
+        UNION ALL SELECT f, 'contains', f || '::Grade' || n, 1.0, 'syntactic', 4 FROM p
+        UNION ALL SELECT f, 'contains', f || '::Priced' || n, 1.0, 'syntactic', 9 FROM p
+        UNION ALL SELECT f || '::Priced' || n, 'contains', f || '::Priced' || n || '::price_' || n, 1.0, 'syntactic', 10 FROM p
+        UNION ALL SELECT f, 'contains', f || '::Item' || n, 1.0, 'syntactic', 13 FROM p
+        UNION ALL SELECT f || '::Item' || n, 'contains', f || '::Item' || n || '::price_' || n, 1.0, 'syntactic', 20 FROM p
+        UNION ALL SELECT f || '::Item' || n, 'contains', f || '::Item' || n || '::total_' || n, 1.0, 'syntactic', 29 FROM p
+        UNION ALL SELECT f || '::Item' || n, 'contains', f || '::Item' || n || '::step_' || n || '_' || k, 1.0, 'syntactic', 34 + 5 * k FROM h
+        UNION ALL SELECT f, 'contains', f || '::order_' || n, 1.0, 'syntactic', 54 FROM p)
+    SELECT source_ref, edge_type, target_ref, confidence, reason, 1::BIGINT AS count, split_part(source_ref, '::', 1)[12:] || ':' || line AS evidence FROM x
 """)
 def rust_edges(spark, sf_dir):
     return shown(rust(spark, sf_dir).edges)
@@ -469,9 +479,9 @@ def rust_edges(spark, sf_dir):
 
 @query(f"""
     WITH {RUST}
-    SELECT 'FR-001' AS identifier, 'requirement_citation' AS kind, f AS source, f[12:] AS file, 1 AS line FROM p
-    UNION ALL SELECT 'TC-' || n % 7 + 1, 'requirement_citation', f || '::Part' || n || '::size_' || n, f[12:], 10 FROM p
-    UNION ALL SELECT 'FR-002', 'requirement_citation', f || '::Part' || n || '::helper_' || n || '_' || k, f[12:], (19 + 4 * k)::INTEGER FROM h
+    SELECT 'ix://shop/parts/NFR-002' AS identifier, 'artifact_reference' AS kind, f AS source, f[12:] AS file, 1 AS line FROM p
+    UNION ALL SELECT 'StR-' || n % 7 + 1, 'requirement_citation', f || '::Item' || n || '::price_' || n, f[12:], 19 FROM p
+    UNION ALL SELECT 'FR-014', 'requirement_citation', f || '::Item' || n || '::step_' || n || '_' || k, f[12:], (33 + 5 * k)::INTEGER FROM h
 """)
 def rust_mentions(spark, sf_dir):
     return rust(spark, sf_dir).mentions
@@ -517,6 +527,23 @@ def typescript_edges(spark, sf_dir):
     return shown(extract(corpora.typescript_corpus(table(spark, sf_dir, "customer"))).edges).drop("confidence")
 
 
+@query("""
+    WITH p AS (SELECT c_custkey AS n, 'shop/view/ui/v' || c_custkey || '.tsx' AS f, 'ui/v' || c_custkey || '.tsx' AS e, c_custkey + 1 IN (SELECT c_custkey FROM customer) AS has_next FROM customer)
+    SELECT f AS source_ref, 'contains' AS edge_type, f || '::View' || n AS target_ref, 'syntactic' AS reason, 1::BIGINT AS count, e || ':5' AS evidence FROM p
+    UNION ALL SELECT f, 'contains', f || '::Row' || n, 'syntactic', 1, e || ':10' FROM p
+    UNION ALL SELECT f || '::View' || n, 'contains', f || '::View' || n || '::label' || n, 'syntactic', 1, e || ':6' FROM p
+    UNION ALL SELECT f || '::View' || n, 'contains', f || '::View' || n || '::all' || n, 'syntactic', 1, e || ':7' FROM p
+    UNION ALL SELECT f || '::View' || n || '::all' || n, 'calls', f || '::View' || n || '::label' || n, 'receiver-typed', 1, e || ':7' FROM p
+    UNION ALL SELECT f || '::Row' || n, 'calls', f || '::View' || n || '::all' || n, 'receiver-typed', 1, e || ':12' FROM p
+    UNION ALL SELECT f || '::Row' || n, 'calls', f || '::View' || n || '::label' || n, 'receiver-typed', 1, e || ':12' FROM p
+    UNION ALL SELECT f || '::Row' || n, 'references', 'FR-' || n % 7 + 1, 'explicit-mention', 1, e || ':11' FROM p
+    UNION ALL SELECT f, 'imports', 'shop/view/ui/v' || n + 1 || '.tsx', 'path-resolved', 1, e || ':1' FROM p WHERE has_next
+""")
+def tsx_edges(spark, sf_dir):
+    """Markup, regular expressions and nested templates whose quotes and brackets stand alone."""
+    return shown(extract(corpora.tsx_corpus(table(spark, sf_dir, "customer"))).edges).drop("confidence")
+
+
 @query("""
     WITH p AS (SELECT s_suppkey AS n, 'shop/supply/tool/s' || s_suppkey || '.py' AS f FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey % 10 <> 0)
     SELECT 'code_file' AS object_type, f AS name FROM p UNION ALL SELECT 'code_type', f || '::Supplier' || n FROM p UNION ALL SELECT 'code_function', f || '::main_' || n FROM p

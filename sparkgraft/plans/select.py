@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..front.parse import Parsed, normalized, scan
+from ..front.parse import Parsed, normalized, outlines, scan
 from ..functions.naming import node_id
 from ..operators.corpus import batch_order
 from ..operators.selection import absent_functions, accepted_files, account, scope
@@ -20,7 +20,7 @@ def extract_selected(modules: DataFrame, files: DataFrame) -> tuple[DataFrame, D
     """
     ordered = batch_order(normalized(files))
     files = ordered.drop("file_ord")
-    broken = Parsed(ordered, scan(ordered)).diagnostics().join(ordered.select("file_ord", "org", "repo"), "file_ord").select("org", "repo", "path").distinct()
+    broken = Parsed(outlines(ordered), scan(ordered)).diagnostics().join(ordered.select("file_ord", "org", "repo"), "file_ord").select("org", "repo", "path").distinct()
     accounted = account(modules, files, broken)
     taken = extract(accepted_files(files, accounted))
     facts = taken.nodes.select("object_type", F.col("name").alias("qualified_name"))

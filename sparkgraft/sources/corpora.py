@@ -18,35 +18,48 @@ def fill(template: str, **values: Column) -> Column:
     return F.concat(*parts)
 
 
-RUST_HEAD = """//! Part module {{n}}. Implements FR-001.
-use crate::pkg{{q}}::mod{{m}}::Part{{m}};
+RUST_HEAD = """//! Catalogue entry {{n}}; see ix://shop/parts/NFR-002.
+use crate::shelf{{q}}::item{{m}}::Item{{m}};
 
-pub struct Part{{n}} {
-    pub size: u32,
-    pub next: Part{{m}},
+pub enum Grade{{n}} {
+    Plain,
+    Fine,
 }
 
-impl Part{{n}} {
-    /// Reads it, as TC-{{t}} asks.
-    pub fn size_{{n}}(&self) -> u32 {
-        self.size
-    }
+pub trait Priced{{n}} {
+    fn price_{{n}}(&self) -> u64;
+}
 
-    pub fn twice_{{n}}(&self) -> u32 {
-        self.size_{{n}}() + self.size_{{n}}()
+pub struct Item{{n}} {
+    grade: Grade{{n}},
+    spare: Option<Item{{m}}>,
+}
+
+impl Priced{{n}} for Item{{n}} {
+    // StR-{{t}} sets it.
+    fn price_{{n}}(&self) -> u64 {
+        match self.grade {
+            Grade{{n}}::Plain => {{n}},
+            Grade{{n}}::Fine => 2 * {{n}},
+        }
     }
+}
 
+impl Item{{n}} {
+    pub fn total_{{n}}(&self, count: u64) -> u64 {
+        count * self.price_{{n}}()
+    }
 """
-RUST_HELPER = """    /// Helper {{k}}. Implements FR-002.
-    pub fn helper_{{n}}_{{k}}(&self) -> u32 {
-        {{k}}
+RUST_STEP = """
+    // Step {{k}} of FR-014.
+    fn step_{{n}}_{{k}}(&self, by: u64) -> u64 {
+        self.total_{{n}}(by + {{k}})
     }
 """
 RUST_TAIL = """}
 
-pub fn drive_{{n}}(value: Part{{n}}) -> u32 {
-    let again = value;
-    again.twice_{{n}}()
+pub fn order_{{n}}(item: &Item{{n}}) -> u64 {
+    item.total_{{n}}(1) + item.step_{{n}}_0(2)
 }
 """
 PYTHON = '''"""Supplier {{n}}."""
@@ -83,12 +96,28 @@ export const open{{n}} = (c: Customer{{n}}): string => {
 """
 
 
-def rust_corpus(part: DataFrame, helpers: int = 4) -> DataFrame:
+TSX = """import { Row{{m}} } from './v{{m}}';
+
+const quoted{{n}} = /[("'`]/g;
+
+export class View{{n}} {
+  label{{n}}(): string { return `a ${quoted{{n}}.test(`b(${1}`) ? "}" : "{"} c`; }
+  all{{n}}(): string { return this.label{{n}}(); }
+}
+
+export function Row{{n}}(v: View{{n}}) {
+  // Shows FR-{{t}}.
+  return <li title="don't (">It's {v.all{{n}}()} <b>isn't {[1, 2].map(() => <i key={v.label{{n}}()}>:(</i>)}</b></li>;
+}
+"""
+
+
+def rust_corpus(part: DataFrame, steps: int = 4) -> DataFrame:
+    """36 + 5 * steps lines a file."""
     n = F.col("p_partkey")
     given = {"n": n, "m": n + 1, "q": F.floor((n + 1) / 100).cast("long"), "t": n % 7 + 1}
-    body = [fill(RUST_HELPER, n=n, k=F.lit(k)) for k in range(helpers)]
-    content = F.concat(fill(RUST_HEAD, **given), *body, fill(RUST_TAIL, **given))
-    return part.select(F.lit("shop").alias("org"), F.lit("parts").alias("repo"), fill("src/pkg{{p}}/mod{{n}}.rs", p=F.floor(n / 100).cast("long"), n=n).alias("path"), F.lit("rust").alias("language"), content.alias("content"))
+    content = F.concat(fill(RUST_HEAD, **given), *(fill(RUST_STEP, n=n, k=F.lit(k)) for k in range(steps)), fill(RUST_TAIL, **given))
+    return part.select(F.lit("shop").alias("org"), F.lit("parts").alias("repo"), fill("src/shelf{{p}}/item{{n}}.rs", p=F.floor(n / 100).cast("long"), n=n).alias("path"), F.lit("rust").alias("language"), content.alias("content"))
 
 
 def python_corpus(supplier: DataFrame) -> DataFrame:
@@ -99,3 +128,8 @@ def python_corpus(supplier: DataFrame) -> DataFrame:
 def typescript_corpus(customer: DataFrame) -> DataFrame:
     n = F.col("c_custkey")
     return customer.select(F.lit("shop").alias("org"), F.lit("web").alias("repo"), fill("ui/c{{n}}.ts", n=n).alias("path"), F.lit("typescript").alias("language"), fill(TYPESCRIPT, n=n, m=n + 1).alias("content"))
+
+
+def tsx_corpus(customer: DataFrame) -> DataFrame:
+    n = F.col("c_custkey")
+    return customer.select(F.lit("shop").alias("org"), F.lit("view").alias("repo"), fill("ui/v{{n}}.tsx", n=n).alias("path"), F.lit("tsx").alias("language"), fill(TSX, n=n, m=n + 1, t=n % 7 + 1).alias("content"))
