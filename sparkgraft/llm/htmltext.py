@@ -15,7 +15,10 @@ boilerplate gives an empty text; null urls share the empty host; repeated rows r
 result; an empty table gives no rows; extra columns are ignored. Character references are
 decoded, white space within a block becomes one space, blocks are joined by a line feed.
 Broken markup is read leniently: unclosed elements end with their parents, a tag that is cut
-off at the end of the page is dropped.
+off at the end of the page is dropped, elements nested deeper than 256 lie in the 256th. Time
+and memory are linear in the page: containers are kept once with their parent, and where quotes
+that never close have been looked for over more than the length of the page, quotes no longer
+hide the end of a tag.
 """
 
 from __future__ import annotations
@@ -29,10 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[a-zA-Z/])[^<>]*(?:\Z|>|(?=<))|[^<]+|<",
-    re.S,
-)
+from .common import Scratch, lean
+
+REST = r"<(?=[a-zA-Z/])[^<>]*(?:\Z|>|(?=<))|[^<]+|<"
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+BARE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+OTHER = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|{REST}", re.S)
+DEEPEST = 256
+STEP = "\x1f"  # between the labels of a path
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 # Element names by their role in a page.
 RAW = frozenset("script style noscript template iframe textarea title svg math object canvas".split())
@@ -51,31 +58,40 @@ DIGITS = re.compile(r"\d+")
 
 
 class Page:
-    """The text blocks of a page, each with the containers it lies in; boilerplate is left out."""
+    """The text blocks of a page, each with the container it lies in; boilerplate is left out."""
 
     def __init__(self, html: str):
-        #: (text, link characters, container paths from the outermost to the innermost)
-        self.blocks: list[tuple[str, int, tuple[str, ...]]] = []
-        self.stack: list[tuple[str, bool, str | None]] = []  # name, unwanted, path if it is a container
+        #: (text, link characters, innermost container)
+        self.blocks: list[tuple[str, int, int]] = []
+        self.stack: list[tuple[str, bool, int]] = []  # name, unwanted, innermost container
+        self.containers: dict[tuple[int, str], int] = {}  # number by parent and label; 0 is outside of all
+        self.parents, self.labels = [0], [""]
         self.text: list[str] = []
-        self.linked = self.links = self.unwanted = 0
-        raw, at = None, 0
+        self.linked = self.links = self.unwanted = self.articles = self.over = 0
+        raw, at, last, wasted = None, 0, html.rfind(">"), 0
         while at < len(html):
             if raw:  # up to the end tag, whatever stands between
                 end = re.compile(rf"</{re.escape(raw)}[\s/>]", re.I).search(html, at)
-                at, raw = (end.start() if end else len(html)), None
                 if not end:
                     break
-            m = TOKEN.match(html, at)
-            at = m.end()
-            if m[2]:
+                at, raw = end.start(), None
+            m = None
+            if html[at] == "<" and at < last:
+                m = (TAG if wasted <= len(html) else BARE_TAG).match(html, at)
+                if not m and html[at + 1 : at + 2].isalpha():
+                    wasted += len(html) - at
+                    m = BARE_TAG.match(html, at) if wasted > len(html) else None
+            if m:
                 name = m[2].lower()
                 if m[1]:
                     self.close(name)
                 else:
                     raw = name if self.open(name, m[3]) and name in RAW else None
-            elif m[0][0] != "<" or m[0] == "<":
-                self.add(m[0])
+            else:
+                m = OTHER.match(html, at)
+                if m[0][0] != "<" or m[0] == "<":
+                    self.add(m[0])
+            at = m.end()
         self.flush()
 
     def add(self, text: str) -> None:
@@ -89,7 +105,7 @@ class Page:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                self.blocks.append((text, self.linked, tuple(p for _, _, p in self.stack if p)))
+                self.blocks.append((text, self.linked, self.stack[-1][2] if self.stack else 0))
         self.text, self.linked = [], 0
 
     def open(self, name: str, attributes: str) -> bool:
@@ -108,22 +124,36 @@ class Page:
             return False
         if attributes.endswith("/") and name not in BLOCKS and name not in RAW:
             return False
+        if len(self.stack) >= DEEPEST:
+            self.over += 1
+            return True
         found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
         classes = found.get("class", "")
-        inside = any(n in ("article", "main") for n, _, _ in self.stack)
-        unwanted = name in RAW or name in BOILERPLATE or (name == "header" and not inside) or "hidden" in found or found.get("role", "") in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog")
+        unwanted = name in RAW or name in BOILERPLATE or (name == "header" and not self.articles) or "hidden" in found or found.get("role", "") in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog")
         if not unwanted and name not in ("html", "body", "article", "main"):
             unwanted = bool(UNWANTED.search(classes) or UNWANTED.search(found.get("id", "")))
-        path = None
+        inside = self.stack[-1][2] if self.stack else 0
         if name in CONTAINERS:
-            above = next((p for _, _, p in reversed(self.stack) if p), "")
-            path = f"{above}>{'.'.join([name, *sorted(DIGITS.sub('#', c) for c in classes.split())])}"
-        self.stack.append((name, unwanted, path))
+            inside = self.container(inside, ".".join([name, *sorted(DIGITS.sub("#", c) for c in classes.replace(STEP, " ").split())]))
+        self.stack.append((name, unwanted, inside))
         self.unwanted += unwanted
         self.links += name == "a"
+        self.articles += name in ("article", "main")
         return True
 
+    def container(self, parent: int, label: str) -> int:
+        at = self.containers.setdefault((parent, label), len(self.labels))
+        if at == len(self.labels):
+            self.parents.append(parent)
+            self.labels.append(label)
+        return at
+
     def close(self, name: str) -> None:
+        if self.over:
+            self.over -= 1
+            if name in BLOCKS:
+                self.flush()
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == name:
                 if name in BLOCKS:
@@ -137,22 +167,47 @@ class Page:
         for name, unwanted, _ in self.stack[i:]:
             self.unwanted -= unwanted
             self.links -= name == "a"
+            self.articles -= name in ("article", "main")
         del self.stack[i:]
 
-    def scores(self) -> dict[str, float]:
-        """Score by container path."""
-        out: dict[str, float] = defaultdict(float)
-        for text, linked, paths in self.blocks:
+    def path(self, at: int) -> str:
+        """The labels from the outermost container to this one."""
+        out = []
+        while at:
+            out.append(self.labels[at])
+            at = self.parents[at]
+        return STEP.join(out[::-1])
+
+    def best(self) -> tuple[int, float] | None:
+        """The container that scores highest, and its score."""
+        scores: dict[int, float] = defaultdict(float)
+        for text, linked, at in self.blocks:
             worth = len(text) - 2 * linked
-            for share, path in zip((1.0, 0.5), paths[::-1], strict=False):
-                out[path] += worth * share
-        return out
+            if at:
+                scores[at] += worth
+            if self.parents[at]:
+                scores[self.parents[at]] += worth / 2
+        if not scores:
+            return None
+        most = max(scores.values())
+        at = max((x for x in scores if scores[x] == most), key=self.path)
+        return at, most
 
     def main_text(self, path: str | None) -> str:
-        if not any(path in paths for _, _, paths in self.blocks):
-            scores = self.scores()
-            path = max(scores, key=lambda p: (scores[p], p)) if scores else None
-        return "\n".join(text for text, _, paths in self.blocks if path is None or path in paths)
+        at: int | None = 0
+        for label in path.split(STEP) if path else ():
+            at = self.containers.get((at, label)) if at is not None else None
+        text = self.below(at) if at else ""
+        if not text:
+            found = self.best()
+            text = self.below(found[0] if found else 0)
+        return text
+
+    def below(self, at: int) -> str:
+        inside = [False] * len(self.labels)
+        for i in range(len(inside)):  # parents come first
+            inside[i] = i == at or inside[self.parents[i]]
+        return "\n".join(text for text, _, own in self.blocks if inside[own])
 
 
 def host_of(url) -> F.Column:
@@ -166,15 +221,15 @@ def vote(pages: DataFrame) -> DataFrame:
         for b in batches:
             votes: dict[tuple[str, str], list[float]] = defaultdict(lambda: [0, 0.0])
             for host, html in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                scores = Page(html.as_py() or "").scores()
-                if scores:
-                    path = max(scores, key=lambda p: (scores[p], p))
+                page = Page(html.as_py() or "")
+                if found := page.best():
+                    path = page.path(found[0])
                     votes[host, path][0] += 1
-                    votes[host, path][1] += scores[path]
+                    votes[host, path][1] += found[1]
             keys = list(votes)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([votes[k][0] for k in keys], pa.int64()), pa.array([round(votes[k][1]) for k in keys], pa.int64())], ["host", "path", "votes", "score"])
 
-    ballots = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(score, "host string, path string, votes long, score long")
+    ballots = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(lean(score), "host string, path string, votes long, score long")
     summed = ballots.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("score").alias("score"))
     return summed.groupBy("host").agg(F.max_by("path", F.struct("votes", "score", "path")).alias("path"))
 
@@ -182,7 +237,7 @@ def vote(pages: DataFrame) -> DataFrame:
 def extract_main_text(pages: DataFrame, few_hosts: int = 100_000, salts: int = 32) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    winners = vote(pages).persist()
+    winners = Scratch(pages.sparkSession, "hosts").cut(vote(pages), "winners")
     if winners.limit(few_hosts + 1).count() <= few_hosts:
         joined = rows.join(F.broadcast(winners), "host", "left")
     else:
@@ -194,4 +249,4 @@ def extract_main_text(pages: DataFrame, few_hosts: int = 100_000, salts: int = 3
             texts = [Page(h.as_py() or "").main_text(p) for h, p in zip(b.column(2), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return joined.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "path").mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+    return joined.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "path").mapInArrow(lean(extract), "page_id long, url string, text string, n_chars long")

@@ -1,5 +1,8 @@
+import time
 from html.parser import HTMLParser
 
+import pytest
+
 from sparkgraft.llm import htmltext
 from sparkgraft.llm.queries import op7_html
 
@@ -76,3 +79,20 @@ def test_edges(spark):
     got = {r.page_id: r.text for r in htmltext.extract_main_text(df).collect()}
     assert got == {1: "", 2: "", 3: "xy", 4: "plain & text <", 5: "a", None: "", 7: "deep", 8: "a < b &am c"}
     assert htmltext.extract_main_text(df.limit(0)).count() == 0
+
+
+HOSTILE = ["<a " * 340_000, "<div>" * 200_000, "<b>" * 100_000 + "<li>x</li>" * 70_000, "<a '" * 125_000 + '<a "' * 125_001 + ">", "<div class='a'><span>" * 45_000 + "x", "<p>x" * 250_000, "<!" * 500_000, "&#" * 500_000, "<script>" * 120_000, "<" * 1_000_000, "<div class=" + "c " * 400_000 + ">x"]
+
+
+@pytest.mark.parametrize("html", HOSTILE, ids=range(len(HOSTILE)))
+def test_hostile_pages_take_linear_time(html):
+    began = time.process_time()
+    page = htmltext.Page(html)
+    page.main_text(page.path(found[0]) if (found := page.best()) else None)
+    assert time.process_time() - began < 12
+
+
+def test_depth_and_quotes():
+    deep = htmltext.Page("<div>" * 400 + "<p>deep</p>" + "</div>" * 400 + "<p>after</p>")
+    assert [b[0] for b in deep.blocks] == ["deep", "after"] and deep.main_text(None) == "deep"
+    assert htmltext.Page("<p title='never closed>one</p><p>two</p>").main_text(None) == "one\ntwo"
