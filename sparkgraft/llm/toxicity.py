@@ -67,17 +67,22 @@ class Trie:
         self.parts = {s[:i] + s[i + 1 :] for s in self.short for i in range(len(s))} | set(self.short)
         self.spans = sorted({n for size in self.sizes for n in (size, size + 1)})
         # a word within one edit of a stem keeps its first half in place, or its second half moved by one letter at most: a lossless test before the walk
-        self.first: dict[int, set[str]] = defaultdict(set)
+        self.first: dict[int, dict[str, set[str]]] = defaultdict(lambda: defaultdict(set))
         self.second: dict[tuple[int, int], set[str]] = defaultdict(set)
         for s in stems:
             if len(s) >= fuzzy_from:
                 half = len(s) // 2
-                self.first[half].add(s[:half])
+                self.first[half][s[:half]] |= {s[half], s[half + 1 : half + 3]}
                 for at in (half - 1, half, half + 1):
                     self.second[at, at + len(s) - half].add(s[half:])
 
     def near(self, word: str) -> bool:
-        return any(word[:n] in found for n, found in self.first.items()) or any(word[a:b] in found for (a, b), found in self.second.items())
+        """Whether a long stem may begin the word within one edit: its second half in place, or its first half and then its next letter, or the two after that moved by one at most."""
+        for n, found in self.first.items():
+            after = found.get(word[:n])
+            if after and (word[n : n + 1] in after or word[n : n + 2] in after or word[n + 1 : n + 3] in after or word[n + 2 : n + 4] in after):
+                return True
+        return any(word[a:b] in found for (a, b), found in self.second.items())
 
     def near_short(self, word: str) -> bool:
         parts = self.parts
@@ -144,9 +149,10 @@ class Scorer:
 
     NAMES = ("exact", "fuzzy", "short", "loose", "weight", "top", "distinct", "quoted", "addressed", "share", "abuse")
 
-    def __init__(self, lexicon: list[tuple[str, float]], most: int = 300_000, worth: dict[tuple[int, int], float] | None = None):
+    def __init__(self, lexicon: list[tuple[str, float]], most: int = 600_000, worth: dict[tuple[int, int], float] | None = None):
         """worth: of a term misspelt in each of the ways, by term and way; half the weight if it isn't given."""
         self.trie, self.weights, self.known, self.most = Trie([s for s, _ in lexicon]), [w for _, w in lexicon], {}, most
+        self.before: dict[str, tuple[int, int] | None] = {}  # what was known before the table was last full
         self.worth = worth or {}
 
     def look(self, word: str) -> tuple[int, int] | None:
@@ -154,8 +160,8 @@ class Scorer:
             return self.known[word]
         except KeyError:
             if len(self.known) >= self.most:
-                self.known.clear()
-            found = self.trie.find(word)
+                self.before, self.known = self.known, {}
+            found = self.before[word] if word in self.before else self.trie.find(word)
             if found and found[1] != EXACT and self.worth.get(found, 1.0) <= 0:
                 found = None
             self.known[word] = found
@@ -201,7 +207,7 @@ class Scorer:
         return [*np.log1p(count), np.log1p(weight), top, np.log1p(len(terms)), quoted / len(hits), addressed / len(hits), min(1.0, 20 * whole / n), np.log1p(abuse)]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def scorer_of(lexicon: tuple[tuple[str, float], ...], worth: tuple[tuple[tuple[int, int], float], ...] | None = None) -> Scorer:
     """One table of words for all tasks that a worker runs."""
     return Scorer(list(lexicon), worth=dict(worth or ()))
