@@ -4,7 +4,7 @@ Vectors are grouped by length (norm) into quantile buckets, and a bucket of more
 `block_rows` vectors into hashed blocks, so that many vectors of equal length never meet in
 one task. Every query is first scored against one bounded block of the longest vectors: its
 k-th score there is a threshold. A bucket whose longest vector cannot reach the threshold is
-never sent the query. In each block the threshold gives a local cosine; where that is high,
+never sent the query, and a block is sent only to those groups of queries that ask for it. In each block the threshold gives a local cosine; where that is high,
 vectors are pruned by the query's largest coordinate, else by length. What is left is scored
 exactly, and each query's best k of all blocks are kept.
 
@@ -16,8 +16,9 @@ Defined results: vectors that are null, empty, or hold null or non-finite compon
 part; vectors of unequal dimension are compared over the shorter one's components; ties go to
 the smaller id; a query with fewer than k partners returns all; rows that repeat an id are
 candidates for others, never for that id itself; rows with a null id take no part; empty
-tables give no rows; extra columns are ignored. Scores are exact integers, clamped to the
-range of a long.
+tables give no rows; extra columns are ignored. Query rows that repeat an id are ranked each on
+its own, so such an id has every rank once for each of its rows. Scores are exact integers,
+clamped to the range of a long.
 """
 
 from __future__ import annotations
@@ -94,8 +95,8 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 5,
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, packed, norms, asks = [], [], [], []
-            for i, v, ask in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            ids, packed, norms, asks, numbers = [], [], [], [], []
+            for i, v, ask, number in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if i is None or not v.is_valid or v.values.null_count or not len(v.values):
                     continue
                 x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
@@ -108,10 +109,12 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 5,
                 packed.append(x.astype("<f8").tobytes())
                 norms.append(float(np.linalg.norm(x)))
                 asks.append(bool(ask))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary()), pa.array(norms, pa.float64()), pa.array(asks, pa.bool_())], ["vec_id", "v", "norm", "ask"])
+                numbers.append(number)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary()), pa.array(norms, pa.float64()), pa.array(asks, pa.bool_()), pa.array(numbers, pa.int64())], ["vec_id", "v", "norm", "ask", "row"])
 
-    measured = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.coalesce(is_query, F.lit(False)).alias("ask"))
-    rows = scratch.cut(measured.mapInArrow(measure, "vec_id long, v binary, norm double, ask boolean"), "rows")
+    # rows are numbered once and written, so the numbers hold for all that follows
+    measured = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.coalesce(is_query, F.lit(False)).alias("ask"), F.monotonically_increasing_id().alias("row"))
+    rows = scratch.cut(measured.mapInArrow(measure, "vec_id long, v binary, norm double, ask boolean, row long"), "rows")
     n = rows.count()
     count = int(min(512, max(1, n // block_rows)))
     edges = rows.agg(F.percentile_approx("norm", [i / count for i in range(1, count)] or [0.5], 10_000)).first()[0] or []
@@ -132,24 +135,24 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 5,
     groups = max(1, -(-rows.where("ask").count() // query_rows))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sends each query to the blocks of those buckets that may hold one of its best."""
+        """The threshold of each query."""
         ids, matrix = np.array(seed.value[0], dtype=np.int64), stack(seed.value[1])
         for b in batches:
-            out: list[tuple] = []
-            for i, v, norm, group in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            needs = []
+            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 scores = products(matrix, np.frombuffer(v, "<f8"))[ids != i]
                 need = float(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else -np.inf
-                need -= abs(need) * 1e-9
-                for name, top, parts in tops:
-                    if norm * top * (1 + 1e-9) < need:
-                        break  # shorter buckets can't reach it either
-                    out += [(name, part, group, i, v, norm, need) for part in range(parts)]
-            if out:
-                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "block", "part", "query_id", "q", "q_norm", "need"])
-
-    asked = rows.where("ask").select("vec_id", "v", "norm", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(groups)).cast("int").alias("part")).mapInArrow(ask, "bucket int, block int, part int, query_id long, q binary, q_norm double, need double")
-    held = rows.select("bucket", "block", "vec_id", "v", "norm", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
+                needs.append(need - abs(need) * 1e-9)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(needs, pa.float64())], ["query_id", "q", "q_norm", "row", "need"])
+
+    queries = rows.where("ask").select("vec_id", "v", "norm", "row").mapInArrow(ask, "query_id long, q binary, q_norm double, row long, need double")
+    queries = scratch.cut(queries, "queries").withColumn("part", F.pmod(F.xxhash64("query_id", F.lit(7)), F.lit(groups)).cast("int"))
+    # a query goes to the buckets whose longest vector may reach its threshold, and a block to the groups that ask for it
+    there = F.array(*[F.struct(F.lit(b).alias("bucket"), F.lit(top).alias("top"), F.lit(parts).alias("parts")) for b, top, parts in tops or [(0, 0.0, 1)]])
+    asked = queries.withColumn("at", F.explode(F.filter(there, lambda t: F.col("q_norm") * t["top"] * (1 + 1e-9) >= F.col("need"))))
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("at.parts") - 1))).withColumn("bucket", F.col("at.bucket")).drop("at")
+    wanted = asked.select(*(F.col(c).alias(c) for c in ("bucket", "block", "part"))).distinct()
+    held = rows.select("bucket", "block", "vec_id", "v", "norm").join(wanted, ["bucket", "block"])
 
     def meet(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
@@ -157,7 +160,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 5,
             block = block.sort_values(["norm", "vec_id"], ascending=[False, True])
             ids, norms, matrix = block.vec_id.to_numpy(), block.norm.to_numpy(), stack(block.v)
             unit = matrix / np.where(norms > 0, norms, 1)[:, None]
-            for i, v, norm, need in zip(queries.query_id, queries.q, queries.q_norm, queries.need, strict=True):
+            for i, v, norm, row, need in zip(queries.query_id, queries.q, queries.q_norm, queries.row, queries.need, strict=True):
                 q = np.frombuffer(v, "<f8")
                 cosine = need / (norm * norms[0]) if norm > 0 and norms[0] > 0 and need > 0 else -1.0
                 left = survivors(q, norm, need, unit, norms, cosine)
@@ -165,10 +168,10 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 5,
                 other = some != i
                 some, scores = some[other], scores[other]
                 at = best(some, scores, k)
-                out += zip([i] * len(at), some[at].tolist(), scores[at].tolist(), strict=True)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+                out += zip([i] * len(at), [row] * len(at), some[at].tolist(), scores[at].tolist(), strict=True)
+        return pd.DataFrame(out, columns=["query_id", "row", "vec_id", "score"]).astype("int64")
 
     keys = ["bucket", "block", "part"]
-    met = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    met = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(meet, "query_id long, row long, vec_id long, score long")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -39,5 +39,13 @@ def test_edges(spark):
     assert topk.top_k(spark, df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_rows_that_repeat_a_query_id_are_ranked_each(spark):
+    rows = [(0, [1.0]), (0, [-1.0]), (0, [1.0])] + [(i, [float(i)]) for i in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = sorted((r["rank"], r.vec_id, r.score) for r in topk.top_k(spark, df, F.col("vec_id") % 50 == 0, k=2, block_rows=2, query_rows=1).collect())
+    up, down = [(1, 3, 3 << 16), (2, 2, 2 << 16)], [(1, 1, -1 << 16), (2, 2, -2 << 16)]
+    assert got == sorted(up + down + up)
+
+
 def test_huge_components_are_exact():
     assert [int(x) for x in topk.products(np.array([[2.0**28, 768.0]]), np.array([2.0**30, 256.0]))] == [2**58 + 768 * 256]
