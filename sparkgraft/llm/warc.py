@@ -211,6 +211,17 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     return manifest.mapInArrow(read, RECORDS)
 
 
+def fetch(manifest: DataFrame, record_ids: DataFrame) -> DataFrame:
+    """The records that record_ids (record_id) names, read from their own frames alone: only their places are passed on.
+
+    An id that stands on several records gives them all; an unknown or null id gives none, a repeated one counts once.
+    """
+    asked = record_ids.select("record_id").distinct()
+    places = manifest.select("bundle", "frame", F.explode("records").alias("r")).select("bundle", "frame", "r", F.col("r.record_id").alias("record_id"))
+    found = places.join(asked, "record_id", "left_semi").groupBy("bundle", "frame").agg(F.collect_list("r").alias("records"))
+    return read_archives(found)
+
+
 def round_trip(spark: SparkSession, pages: DataFrame, **options) -> DataFrame:
     """Writes pages to archives in the shared folder and reads them back, one row per page."""
     scratch = Scratch(spark, "warc")

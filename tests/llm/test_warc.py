@@ -44,6 +44,15 @@ def test_frames_are_independent_and_whole_bundles_decode(spark):
     assert sorted(seen) == list(range(40))
 
 
+def test_single_records_are_sought_by_id(spark):
+    df = spark.createDataFrame([(i % 30, f"u{i}", f"page {i} " * 50) for i in range(40)], "page_id long, url string, html string").repartition(3)
+    scratch = Scratch(spark, "test")
+    manifest = scratch.cut(warc.write_archives(spark, df, scratch.path("b"), frame_bytes=2000), "m")
+    asked = spark.createDataFrame([(warc.urn(i),) for i in (3, 15, 15, 99)] + [(None,)], "record_id string")
+    assert sorted((r.page_id, r.url) for r in warc.fetch(manifest, asked).collect()) == [(3, "u3"), (3, "u33"), (15, "u15")]
+    assert warc.fetch(manifest, asked.limit(0)).count() == 0
+
+
 def test_damage_is_noticed():
     record = warc.write_record(1, "u", b"abc", warc.hashlib.sha256(b"abd").hexdigest(), None, "1970-01-01T00:00:00Z")
     try:
