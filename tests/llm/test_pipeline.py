@@ -39,3 +39,29 @@ def test_near_stage_keeps_one_of_each_group(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     left = corpus_pipeline.near_stage(spark, docs, SF)
     assert left.columns == docs.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 3, 4]
+
+
+def test_near_stage_against_brute_force(spark):
+    """Five words and 0.8 over every pair of whole texts: the least id of each component stays, all else goes."""
+    docs = table(spark, SF, "documents")
+    sets = {}
+    for r in docs.select("doc_id", "text").collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m.group().lower(), r.text or ""))
+        sets[r.doc_id] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            a, b = sets[i], sets[j]
+            if a and b and 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 10 * len(a & b) >= 8 * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    left = corpus_pipeline.near_stage(spark, docs, SF).collect()
+    assert sorted(r.doc_id for r in left) == [i for i in ids if find(i) == i]
+    assert len(left) < len(ids)
