@@ -86,6 +86,11 @@ def python_visibility(name: Column) -> Column:
     return F.when(dunder & ~name.endswith("__"), "private").when(name.startswith("_") & ~dunder, "crate").otherwise("public")
 
 
+def is_exported(visibility: Column) -> Column:
+    """Whether code outside the defining module can refer to a declaration; null counts as no."""
+    return F.coalesce(visibility == "public", F.lit(False))
+
+
 def modifier_visibility(language: Column, modifiers: Column, member: Column, exported: Column, name: Column) -> Column:
     """Visibility from what the source says. member: stands in a trait, trait impl, class or interface."""
     rust = F.when(modifiers.rlike(r"\bpub\s*\("), "crate").when(modifiers.rlike(r"\bpub\b") | member, "public").otherwise("private")

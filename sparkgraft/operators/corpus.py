@@ -27,19 +27,31 @@ def value_sets(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def batch_order(files: DataFrame) -> DataFrame:
-    """files with file_ord, their dense place by org, repo and path, without a window over all rows.
+    """files with file_ord, their dense place by org, repo and path."""
+    return dense_order(files, ["org", "repo", "path"], "file_ord")
 
-    Partitions are ranges of the key; each gets the count of rows in those before it.
+
+def place_in_group(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """rows with place, from 1, among those of equal keys (not null). A group may hold most of the rows: it is dealt over ranges of the order."""
+    numbered = dense_order(rows, [*keys, *order], "__o")
+    first = numbered.groupBy(*keys).agg(F.min("__o").alias("__first"))
+    return numbered.join(first, keys).withColumn("place", (F.col("__o") - F.col("__first") + 1).cast("int")).drop("__o", "__first")
+
+
+def dense_order(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with their dense place in an order, from 0, without a window over all rows.
+
+    Partitions are ranges of the order; each gets the count of rows in those before it.
     """
-    ranged = files.repartitionByRange("org", "repo", "path").sortWithinPartitions("org", "repo", "path").withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
     ranged = ranged.persist()
     sizes = ranged.groupBy("__p").agg(F.count("*").alias("n"), F.min("__i").alias("base")).collect()
     before, at = {}, 0
-    for row in sorted(sizes, key=lambda r: r["__p"]):
-        before[row["__p"]] = at - row["base"]
-        at += row["n"]
-    starts = files.sparkSession.createDataFrame(list(before.items()) or [(0, 0)], "__p int, __start long")
-    return ranged.join(F.broadcast(starts), "__p").withColumn("file_ord", F.col("__i") + F.col("__start")).drop("__p", "__i", "__start")
+    for part in sorted(sizes, key=lambda r: r["__p"]):
+        before[part["__p"]] = at - part["base"]
+        at += part["n"]
+    starts = rows.sparkSession.createDataFrame(list(before.items()) or [(0, 0)], "__p int, __start long")
+    return ranged.join(F.broadcast(starts), "__p").withColumn(name, F.col("__i") + F.col("__start")).drop("__p", "__i", "__start")
 
 
 def types_of(facts: DataFrame) -> DataFrame:

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIMENSIONS = ("language", "node_kind", "relation_kind", "resolver_tier")
+# What lists of results must name, and the strata that hold every open call site.
+RESULT_DIMENSIONS = ("overall", *DIMENSIONS)
+RESULT_LANGUAGES = ("rust", "typescript", "tsx", "python", "mixed")
+STRATA = (("overall", "overall"), ("node_kind", "call_site"), ("relation_kind", "calls"), ("resolver_tier", "unresolved"))
 
 
 def confusion(rows: DataFrame) -> DataFrame:
@@ -82,6 +86,41 @@ def valid_observations(observations: DataFrame) -> DataFrame:
     return observations.select("id", problem.alias("problem"))
 
 
+def open_counts(cases: DataFrame) -> DataFrame:
+    """dimension, key, unresolved, ambiguous of call sites left open, by language and in the four strata that hold all of them.
+
+    cases: name (its last part after a slash is the language), reported and expected (null: 0). Without cases the strata stand at 0.
+    """
+    language = F.coalesce(F.substring_index("name", "/", -1), F.lit("mixed"))
+    held = [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(n) for c, n in (("reported", "unresolved"), ("expected", "ambiguous"))]
+    by_language = cases.groupBy(language.alias("key")).agg(*held).select(F.lit("language").alias("dimension"), "key", "unresolved", "ambiguous")
+    strata = F.array(*[F.struct(F.lit(d).alias("dimension"), F.lit(k).alias("key")) for d, k in STRATA])
+    total = cases.agg(*held).select(F.explode(strata).alias("s"), "unresolved", "ambiguous").select("s.dimension", "s.key", "unresolved", "ambiguous")
+    return by_language.union(total)
+
+
+def result_problems(items: DataFrame, dimensions: tuple[str, ...] = RESULT_DIMENSIONS, languages: tuple[str, ...] = RESULT_LANGUAGES) -> DataFrame:
+    """id, problem (null if none) of lists of results. items: id, place (unique in a list, from 0 without gaps), dimension, key.
+
+    order: an item isn't greater than the one before it, by dimension and key; dimensions: one is
+    not there; language: a key is unknown. Each item meets the one before it by a join, so a long
+    list is not gathered.
+    """
+    before = items.select("id", (F.col("place") + 1).alias("place"), F.struct(F.coalesce("dimension", F.lit("")).alias("d"), F.coalesce("key", F.lit("")).alias("k")).alias("before"))
+    this = F.struct(F.coalesce("dimension", F.lit("")).alias("d"), F.coalesce("key", F.lit("")).alias("k"))
+    met = items.join(before, ["id", "place"], "left").withColumn("fell", this <= F.col("before"))
+    stranger = (F.col("dimension") == "language") & ~F.coalesce(F.col("key").isin(*languages), F.lit(False))
+    found = met.groupBy("id").agg(F.count_if("fell").alias("fell"), F.count_if(stranger).alias("strangers"), *(F.count_if(F.col("dimension") == d).alias(f"has{i}") for i, d in enumerate(dimensions)))
+    lacks = F.least(*(F.col(f"has{i}") for i in range(len(dimensions)))) == 0
+    return found.select("id", F.when(F.col("fell") > 0, "order").when(lacks, "dimensions").when(F.col("strangers") > 0, "language").alias("problem"))
+
+
+def plan_lines(plans: DataFrame, expected: list[str]) -> DataFrame:
+    """plan_id, first_missing: the first of the expected lines that a plan's front matter does not hold whole (null if it holds all). plans: plan_id, text."""
+    front = F.split(F.regexp_extract(F.coalesce("text", F.lit("")), r"(?s)\A---\n(.*?)\n---", 1), "\n")
+    return plans.select("plan_id", F.get(F.filter(F.array(*map(F.lit, expected)), lambda line: ~F.array_contains(front, line)), F.lit(0)).alias("first_missing"))
+
+
 def plan_files(plans: DataFrame) -> DataFrame:
     """plan_id, file, plain for each file listed in a plan's front matter. plans: plan_id, text."""
     front = F.regexp_extract("text", r"(?s)\A---\n(.*?)\n---", 1)

@@ -17,7 +17,7 @@ from ..operators import resolve as V
 from ..operators import selection as S
 from ..operators import typeenv as T
 from ..sources import corpora
-from ..sources.tree import census
+from ..sources.tree import census, population
 from .extract import Extraction, extract
 from .select import extract_selected
 
@@ -292,11 +292,57 @@ def observation(spark, sf_dir):
 def population_states(spark, sf_dir):
     ending = F.element_at(F.array(*map(F.lit, [".rs", ".ts", ".py", ".c"])), (F.col("doc_id") % 4 + 1).cast("int"))
     files = table(spark, sf_dir, "documents").where("doc_id % 4 < 3 OR lang <> 'es'").select("lang", F.concat(F.col("doc_id").cast("string"), ending).alias("path"), ((F.col("doc_id") % 50 > 0) | (F.col("lang") != "fr")).alias("readable"))
-    found = None
-    for lang in ("de", "en", "es", "fr"):
-        one = census(files.where(F.col("lang") == lang)).withColumn("lang", F.lit(lang))
-        found = one if found is None else found.union(one)
-    return found
+    return census(files, ("lang",))
+
+
+@query("""
+    WITH f AS (SELECT source, CASE n_chars % 3 WHEN 0 THEN 'input' WHEN 1 THEN 'variant' ELSE 'inputs' END AS folder, CASE n_chars % 4 WHEN 0 THEN '.rs' WHEN 1 THEN '.tsx' WHEN 2 THEN '.md' ELSE '.pyi' END AS ending, text IS NOT NULL AND lang <> 'fr' AS readable FROM documents),
+    g AS (SELECT source, folder <> 'inputs' AS inside, folder <> 'inputs' AND ending IN ('.rs', '.tsx') AS supported, readable FROM f),
+    h AS (SELECT source, count_if(inside)::BIGINT AS files, count_if(supported)::BIGINT AS supported, count_if(supported AND NOT coalesce(readable, false))::BIGINT AS unreadable, count_if(inside AND NOT supported)::BIGINT AS unsupported FROM g GROUP BY source)
+    SELECT *, CASE WHEN files = 0 THEN 'empty' WHEN unreadable > 0 THEN 'unreadable' WHEN supported = 0 THEN 'unsupported' ELSE 'measured' END AS state FROM h
+""")
+def population_scan(spark, sf_dir):
+    n = F.col("n_chars")
+    folder = F.when(n % 3 == 0, "input").when(n % 3 == 1, "variant").otherwise("inputs")
+    ending = F.when(n % 4 == 0, ".rs").when(n % 4 == 1, ".tsx").when(n % 4 == 2, ".md").otherwise(".pyi")
+    path = F.concat(F.lit("fixtures/"), folder, F.lit("/d"), F.col("doc_id").cast("string"), ending)
+    files = table(spark, sf_dir, "documents").select("source", path.alias("path"), (F.col("text").isNotNull() & (F.col("lang") != "fr")).alias("readable"))
+    return population(files, ("source",))
+
+
+@query("""
+    WITH g AS (SELECT lang AS key, sum(n_chars)::BIGINT AS unresolved, count(*)::BIGINT AS ambiguous FROM documents WHERE lang IS NOT NULL GROUP BY lang),
+    t AS (SELECT sum(unresolved)::BIGINT AS unresolved, sum(ambiguous)::BIGINT AS ambiguous FROM g)
+    SELECT 'language' AS dimension, key, unresolved, ambiguous FROM g
+    UNION ALL SELECT s.dimension, s.key, t.unresolved, t.ambiguous FROM t, (VALUES ('overall', 'overall'), ('node_kind', 'call_site'), ('relation_kind', 'calls'), ('resolver_tier', 'unresolved')) s(dimension, key)
+""")
+def open_counts(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").where("lang IS NOT NULL")
+    return M.open_counts(rows.select(F.concat_ws("/", "source", "lang").alias("name"), F.col("n_chars").alias("reported"), F.lit(1).alias("expected")))
+
+
+@query("""
+    WITH i AS (SELECT doc_id // 5 AS id, doc_id % 5 AS place, CASE WHEN n_chars % 7 = 0 THEN 'overall' ELSE ['language', 'node_kind', 'overall', 'relation_kind', 'resolver_tier'][doc_id % 5 + 1] END AS dimension,
+               CASE WHEN doc_id % 5 = 0 THEN lang ELSE source END AS key FROM documents),
+    j AS (SELECT *, lag((coalesce(dimension, ''), coalesce(key, ''))) OVER (PARTITION BY id ORDER BY place) AS before, lag(place) OVER (PARTITION BY id ORDER BY place) AS prior FROM i),
+    k AS (SELECT id, count_if(prior = place - 1 AND (coalesce(dimension, ''), coalesce(key, '')) <= before) AS fell, count(DISTINCT dimension) AS n,
+                 count_if(dimension = 'language' AND NOT coalesce(key IN ('en', 'de', 'fr'), false)) AS strangers FROM j GROUP BY id)
+    SELECT id, CASE WHEN fell > 0 THEN 'order' WHEN n < 5 THEN 'dimensions' WHEN strangers > 0 THEN 'language' END AS problem FROM k
+""")
+def result_problems(spark, sf_dir):
+    n = F.col("doc_id")
+    names = F.array(*map(F.lit, sorted(M.RESULT_DIMENSIONS)))
+    dimension = F.when(F.col("n_chars") % 7 == 0, "overall").otherwise(F.element_at(names, (n % 5 + 1).cast("int")))
+    items = table(spark, sf_dir, "documents").select(F.floor(n / 5).alias("id"), (n % 5).alias("place"), dimension.alias("dimension"), F.when(n % 5 == 0, F.col("lang")).otherwise(F.col("source")).alias("key"))
+    return M.result_problems(items, languages=("en", "de", "fr"))
+
+
+@query("""
+    SELECT doc_id AS plan_id, CASE WHEN lang IS DISTINCT FROM 'en' THEN 'lang: en' WHEN n_chars % 2 = 1 THEN '  direction: zero' END AS first_missing FROM documents
+""")
+def plan_lines(spark, sf_dir):
+    text = F.concat(F.lit("---\nlang: "), F.coalesce("lang", F.lit("")), F.lit("\nobjective:\n  direction: zero"), F.when(F.col("n_chars") % 2 == 1, "es").otherwise(""), F.lit("\n---\nlang: en\n"), F.coalesce("text", F.lit("")))
+    return M.plan_lines(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("plan_id"), text.alias("text")), ["lang: en", "objective:", "  direction: zero"])
 
 
 @query("""
@@ -345,10 +391,8 @@ def selection_scope(spark, sf_dir):
 @query("SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY sha256(coalesce(source, '')), doc_id)::INTEGER AS place FROM documents WHERE text IS NOT NULL")
 def candidate_order(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    hashed = rows.withColumn("supplied", N.content_identity(F.coalesce("source", F.lit(""))))
-    from pyspark.sql import Window
-
-    return hashed.select("doc_id", F.row_number().over(Window.partitionBy("text").orderBy("supplied", "doc_id")).alias("place"))
+    hashed = rows.select("doc_id", F.sha2("text", 256).alias("digest"), N.content_identity(F.coalesce("source", F.lit(""))).alias("supplied"))
+    return C.place_in_group(hashed, ["digest"], ["supplied", "doc_id"]).select("doc_id", "place")
 
 
 # -- type environment

@@ -54,9 +54,25 @@ def read_tree(spark: SparkSession, root: str, org: str, repo: str) -> tuple[Data
     return files, lost.union(bad)
 
 
-def census(files: DataFrame) -> DataFrame:
-    """One row: files, supported, unreadable and the state of a population. files: path, readable."""
+def population(files: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """files, supported, unreadable, unsupported and state of each population. files: path, readable and the columns of by.
+
+    Only files below (or named) input or variant count; of these, those with one of four endings
+    are supported, and only supported files can be unreadable (a null says so). A null path does not count.
+    """
+    inside = F.coalesce(F.col("path").rlike(r"(^|/)(input|variant)(/|\z)"), F.lit(False))
+    supported = inside & F.col("path").rlike(r"[^/]\.(rs|ts|tsx|py)\z")
+    counts = files.groupBy(*by).agg(
+        F.count_if(inside).alias("files"), F.count_if(supported).alias("supported"),
+        F.count_if(supported & ~F.coalesce("readable", F.lit(False))).alias("unreadable"), F.count_if(inside & ~supported).alias("unsupported"),
+    )
+    state = F.when(F.col("files") == 0, "empty").when(F.col("unreadable") > 0, "unreadable").when(F.col("supported") == 0, "unsupported").otherwise("measured")
+    return counts.withColumn("state", state)
+
+
+def census(files: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """files, supported, unreadable and state of each population, wherever its files lie; one file that isn't supported marks it. files: path, readable and the columns of by."""
     supported = language_of_path(F.col("path")).isNotNull()
-    counts = files.agg(F.count("*").alias("files"), F.count_if(supported).alias("supported"), F.count_if(~F.col("readable")).alias("unreadable"))
+    counts = files.groupBy(*by).agg(F.count("*").alias("files"), F.count_if(supported).alias("supported"), F.count_if(~F.col("readable")).alias("unreadable"))
     state = F.when(F.col("files") == 0, "empty").when(F.col("unreadable") > 0, "unreadable").when(F.col("supported") < F.col("files"), "unsupported").otherwise("measured")
     return counts.withColumn("state", state)

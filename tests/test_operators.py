@@ -8,12 +8,13 @@ from sparkgraft.cli import main
 from sparkgraft.front.parse import scan
 from sparkgraft.front.scanner import Scan, simple_type
 from sparkgraft.functions import naming
+from sparkgraft.functions.naming import is_exported
 from sparkgraft.operators import imports, measurement, mentions, selection
-from sparkgraft.operators.corpus import batch_order
+from sparkgraft.operators.corpus import batch_order, place_in_group
 from sparkgraft.operators.edges import fold_edges
 from sparkgraft.operators.typeenv import Row, solve
 from sparkgraft.plans.select import extract_selected
-from sparkgraft.sources.tree import list_tree, read_tree
+from sparkgraft.sources.tree import list_tree, population, read_tree
 from sparkgraft.streaming.incremental import follow, scan_with_cache
 
 FILES = "org string, repo string, path string, language string, content string"
@@ -145,3 +146,44 @@ def test_stream_fills_the_cache(spark, tmp_path):
     stream = spark.readStream.schema(FILES).parquet(str(tmp_path / "in"))
     follow(stream, str(tmp_path / "cache"), lambda batch, i: seen.append(batch.count()), str(tmp_path / "state")).awaitTermination()
     assert seen == [1] and spark.read.parquet(str(tmp_path / "cache")).where("relation = 'fact'").count() == 1
+
+
+def test_populations_count_source_trees_only(spark):
+    rows = [("a", "x/input/a.rs", True), ("a", "x/variant/b.md", True), ("a", "x/other/c.rs", False), ("a", None, True), ("b", "input/n.pyi", None), ("c", "input/.rs", True), ("c", "input/m.py", None), ("d", "inputs/e.ts", True)]
+    found = {r.g: (r.files, r.supported, r.unreadable, r.unsupported, r.state) for r in population(spark.createDataFrame(rows, "g string, path string, readable boolean"), ("g",)).collect()}
+    assert found == {"a": (2, 1, 0, 1, "measured"), "b": (1, 0, 0, 1, "unsupported"), "c": (2, 1, 1, 1, "unreadable"), "d": (0, 0, 0, 0, "empty")}
+    assert population(spark.createDataFrame([], "path string, readable boolean")).first()["state"] == "empty"
+
+
+def test_open_counts_keep_their_strata(spark):
+    cases = spark.createDataFrame([("m/rust", 2, 5), ("n/rust", None, 1), (None, 1, None)], "name string, reported long, expected long")
+    got = {(r.dimension, r.key): (r.unresolved, r.ambiguous) for r in measurement.open_counts(cases).collect()}
+    assert got == {("language", "rust"): (2, 6), ("language", "mixed"): (1, 0), **{s: (3, 6) for s in measurement.STRATA}}
+    assert [(r.unresolved, r.ambiguous) for r in measurement.open_counts(cases.limit(0)).collect()] == [(0, 0)] * 4
+
+
+def test_result_lists_are_checked(spark):
+    names = sorted(measurement.RESULT_DIMENSIONS)
+    good = [(1, i, d, "rust") for i, d in enumerate(names)]
+    rows = good + [(2, i, d, "rust") for i, d in enumerate(reversed(names))] + [(3, i, d, "rust") for i, d in enumerate(names[1:])] + [(4, i, d, "basic") for i, d in enumerate(names)] + good[:0] + [(5, i, d, "rust") for i, d in enumerate([*names, names[-1]])] + [(6, i, d, None) for i, d in enumerate(names)]
+    got = {r.id: r.problem for r in measurement.result_problems(spark.createDataFrame(rows, "id long, place long, dimension string, key string")).collect()}
+    assert got == {1: None, 2: "order", 3: "dimensions", 4: "language", 5: "order", 6: "language"}
+
+
+def test_plan_lines_must_be_whole(spark):
+    plans = spark.createDataFrame([(1, "---\na: 1\n  b: 2\n---\n"), (2, "---\na: 1\n---\n  b: 2"), (3, "a: 1\n  b: 2"), (4, None), (5, "---\na: 12\n  b: 2\n---")], "plan_id long, text string")
+    got = {r.plan_id: r.first_missing for r in measurement.plan_lines(plans, ["a: 1", "  b: 2"]).collect()}
+    assert got == {1: None, 2: "  b: 2", 3: "a: 1", 4: "a: 1", 5: "a: 1"}
+
+
+def test_places_in_a_group_that_holds_most_rows(spark):
+    rows = spark.range(1000).selectExpr("IF(id % 3 < 2, 'hot', 'k' || id % 7) AS k", "id * 7919 % 1000 AS o")
+    got = {}
+    for r in place_in_group(rows, ["k"], ["o"]).collect():
+        got.setdefault(r.k, []).append((r.o, r.place))
+    assert all(sorted(p for _, p in x) == list(range(1, len(x) + 1)) == [p for _, p in sorted(x)] for x in got.values()) and sum(map(len, got.values())) == 1000
+
+
+def test_only_public_names_are_exported(spark):
+    rows = spark.createDataFrame([("public",), ("private",), ("crate",), (None,)], "v string")
+    assert [r.e for r in rows.select(is_exported(rows.v).alias("e")).collect()] == [True, False, False, False]
