@@ -16,10 +16,12 @@ LEXERS = {
     "python": re.compile(rf"(?P<c>#[^\n]*)|(?P<s>[rbfuRBFU]{{0,2}}(?:\"\"\".*?\"\"\"|'''.*?'''|{STRING}))|(?P<w>[^\W\d]\w*)|(?P<n>\d[\w.]*)|(?P<p>->|\*\*|\S)", re.S),
 }
 REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
+#: Words whose round brackets a statement follows, so that a slash after these begins a regular expression.
+HEADS = frozenset("if while for with".split())
 #: Words after which an expression begins.
 BEFORE_VALUE = frozenset("return case typeof default yield await do else in of void delete throw new instanceof".split())
 ELEMENT = re.compile(r"<(?:>|[A-Za-z][\w.:-]*(?=[\s/>])(?!\s+extends\b)(?!\s*,))")
-IN_TAG = re.compile(r"\s+|\"[^\"]*\"|'[^']*'|/>|[>{]|/\*.*?\*/|[^\s\"'/>{]+|/", re.S)
+IN_TAG = re.compile(r"\s+|\"[^\"]*\"|'[^']*'|/>|[>{]|/\*.*?\*/|[^\s\"'/>{]+|[/\"']", re.S)
 MARKUP_TEXT = re.compile(r"[^<{]*")
 CLOSING_TAG = re.compile(r"</[^>]*>")
 COMMENT_EDGE = re.compile(r"/\*|\*/")
@@ -31,6 +33,14 @@ def plain(family: str, text: str) -> list[tuple[str, str, int, int]]:
     return [(m.lastgroup if m.lastgroup != "h" else "s", m[0], m.start(), m.end()) for m in LEXERS[family].finditer(text)]
 
 
+RAW = re.compile(r"b?r(?=#*\")")
+
+
+def broken(start: int, end: int) -> tuple[str, str, int, int]:
+    """What stands for the rest of a text whose comment, string or element never ends: a bracket without its partner."""
+    return "p", "(", start, end
+
+
 def comment_end(text: str, at: int) -> int:
     """The end of a block comment that may hold others."""
     depth = 0
@@ -69,11 +79,13 @@ def template_end(text: str, at: int) -> int:
 
 
 def rust(text: str) -> list[tuple[str, str, int, int]]:
-    if "/*" not in text:
+    if "/*" not in text and not RAW.search(text):
         return plain("rust", text)
     out, at, lexer = [], 0, LEXERS["rust"]
     while m := lexer.search(text, at):
         kind, at = m.lastgroup if m.lastgroup != "h" else "s", m.end()
+        if kind == "w" and m[0] in ("r", "br") and RAW.match(text, m.start()):
+            return [*out, broken(m.start(), len(text))]
         if kind == "c" and m[0].startswith("/*") or m[0] == "/" and text.startswith("/*", m.start()):
             kind, at = "c", comment_end(text, m.start())
         out.append((kind, text[m.start() : at], m.start(), at))
@@ -84,6 +96,8 @@ def script(text: str, markup: bool) -> list[tuple[str, str, int, int]]:
     """Code, and with `markup` elements within it: a stack says where we are."""
     out: list[tuple[str, str, int, int]] = []
     modes: list[list] = [["code", 0]]  # code: open braces; tag; children
+    heads: list[bool] = []  # of open round brackets: whether a statement follows them
+    after_head, closes = False, True  # closes: no template so far is without its end
     at, n, lexer = 0, len(text), LEXERS["script"]
     while at < n:
         mode = modes[-1]
@@ -118,15 +132,21 @@ def script(text: str, markup: bool) -> list[tuple[str, str, int, int]]:
         if not m:
             break
         kind, found, start, at = m.lastgroup, m[0], m.start(), m.end()
-        if kind == "p" and found in "/<`{}":
+        if kind == "p" and found == "/" and text.startswith("/*", start):
+            return [*out, broken(start, n)]
+        if kind == "p" and found == "(":
+            heads.append(bool(out) and out[-1][0] == "w" and out[-1][1] in HEADS)
+        elif kind == "p" and found == ")":
+            after_head = heads.pop() if heads else False
+        elif kind == "p" and found in "/<`{}":
             before = out[-1] if out else ("p", "", 0, 0)
-            value = before[0] == "p" and before[1] not in (")", "]", "}") or before[0] == "w" and before[1] in BEFORE_VALUE
+            value = before[0] == "p" and (before[1] not in (")", "]", "}") or before[1] == ")" and after_head) or before[0] == "w" and before[1] in BEFORE_VALUE
             if found == "/" and value and (r := REGEX.match(text, start)):
                 kind, at = "r", r.end()
             elif found == "`":
-                kind, at = "s", template_end(text, at)
+                kind, at = "s", template_end(text, at) if closes else start + 1
                 if text[at - 1] != "`" or at == start + 1:
-                    kind, at = "p", start + 1  # never closed
+                    kind, at, closes = "p", start + 1, False  # the text is broken here, and no further template is looked for
             elif found == "<" and markup and value and (e := ELEMENT.match(text, start)):
                 kind, at = "j", e.end()
                 modes.append(["children" if e[0] == "<>" else "tag", 0])
@@ -140,7 +160,7 @@ def script(text: str, markup: bool) -> list[tuple[str, str, int, int]]:
                 continue
         out.append((kind, text[start:at], start, at))
     if len(modes) > 1:  # an element that never ends
-        out.append(("p", "(", max(0, n - 1), n))
+        out.append(broken(max(0, n - 1), n))
     return out
 
 

@@ -97,7 +97,7 @@ class Parsed:
 
     def diagnostics(self) -> DataFrame:
         null = F.lit(None)
-        error = self.pick("diagnostic", line="line").select("file_ord", "ord", F.lit("parse_error").alias("code"), F.lit("syntax error").alias("message"), "path", "line", F.lit(0).alias("column"), F.lit("error").alias("severity"))
+        error = self.pick("diagnostic", line="line", column="last").select("file_ord", "ord", F.lit("parse_error").alias("code"), F.lit("syntax error").alias("message"), "path", "line", "column", F.lit("error").alias("severity"))
         large = self.files.where(F.col("size") > MAX_FILE_BYTES).select("file_ord", F.lit(0).alias("ord"), F.lit("file_too_large").alias("code"), F.lit("file exceeds the size limit").alias("message"), "path", null.cast("int").alias("line"), null.cast("int").alias("column"), F.lit("error").alias("severity"))
         return error.unionByName(large)
 

@@ -9,6 +9,7 @@ unclosed string, and what could be read around it.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field, replace
 
 from . import lexer
@@ -19,6 +20,7 @@ MODULES = {"rust": {"mod": "module"}, "script": {"namespace": "namespace", "modu
 MODIFIERS = {"rust": frozenset("pub async unsafe extern default".split()), "script": frozenset("export default declare abstract async public private protected static readonly override get set".split())}
 NO_CALL = frozenset("if while for match return switch catch function fn super import typeof await in of and or not elif assert yield lambda with except del raise else".split())
 PLAIN = re.compile(r"[\w$]+")
+SOMETHING = re.compile(r"\S")
 
 
 def simple_type(text: str) -> str | None:
@@ -27,15 +29,18 @@ def simple_type(text: str) -> str | None:
     text = re.sub(r"^'\w+\s+", "", text)
     while re.match(r"(?:mut|dyn|impl|readonly)\s", text):
         text = text.split(None, 1)[1]
-    while "<" in text:
-        outer, _, inner = text.partition("<")
-        if ">" not in inner:
+    opened, closed, commas = ([m.start() for m in re.finditer(c, text)] for c in "<>,")
+    at, end = 0, len(text)
+    for k, start in enumerate(opened):
+        if start >= end:
+            break
+        if k >= len(closed) or (stop := closed[-1 - k]) < start:
             return None
-        inner = inner.rpartition(">")[0].strip()
-        if not inner or "," in inner:
-            text = outer
+        if not SOMETHING.search(text, start + 1, stop) or bisect_left(commas, start) < bisect_left(commas, stop):
+            end = start
             break
-        text = inner.lstrip("&* ")
+        at, end = start + 1, stop
+    text = text[at:end].strip().lstrip("&* ")
     last = re.split(r"::|\.", text)[-1].strip().rstrip("?![]")
     return last if last and PLAIN.fullmatch(last) and last[0].isupper() else None
 
@@ -53,6 +58,7 @@ class Frame:
     kind: str = ""
     fact: list | None = None
     indent: int = -1
+    ends: int | None = None  # the token that ends an expression, where no brace does
     pending: list = field(default_factory=list)
 
 
@@ -64,12 +70,38 @@ class Scan:
         self.tokens = lexer.tokens(language, text)
         self.breaks = [i for i, c in enumerate(text) if c == "\n"]
         self.stack = [Frame(name, name)]
+        self.later, self.next_string, self.angles = self.indexed()
+        self.partners, self.round = self.matched()
+        self.stops: dict[str, list[int]] = {}
         (self.python if self.family == "python" else self.braces)()
         if (broken := self.unbalanced()) is not None:
-            self.row("diagnostic", line=broken)
+            line = self.line(broken)
+            begin = self.breaks[line - 2] + 1 if line > 1 else 0
+            self.row("diagnostic", line=line, end=len(text[begin:broken].encode("utf-8", "surrogatepass")))
+
+    def indexed(self) -> tuple[list[int], list[int], dict[int, int]]:
+        """By token: the first on a later line, and the first string from it on; and the angle brackets that close others around types alone."""
+        n = len(self.tokens)
+        later, strings, angles, opened = [n] * n, [n] * n, {}, []
+        rows = [self.line(t[2]) for t in self.tokens]
+        for i in range(n - 1, -1, -1):
+            if i + 1 < n:
+                later[i] = i + 1 if rows[i + 1] > rows[i] else later[i + 1]
+                strings[i] = strings[i + 1]
+            if self.tokens[i][0] == "s":
+                strings[i] = i
+        for i, (kind, text, _, _) in enumerate(self.tokens):
+            if kind == "p" and text == "<":
+                opened.append(i)
+            elif kind == "p" and text == ">":
+                if opened:
+                    angles[opened.pop()] = i
+            elif kind not in ("w", "s", "n", "l") and text not in (".", ",", "[", "]", "|", "&", "{", "}", ":", "(", ")", "=>", "->", "::", "?", "*", "+"):
+                opened = []
+        return later, strings, angles
 
     def unbalanced(self) -> int | None:
-        """The line of the first bracket or quote without its partner."""
+        """The place of the first bracket or quote without its partner."""
         opened: list[tuple[str, int]] = []
         for kind, text, at, _ in self.tokens:
             if kind != "p":
@@ -77,14 +109,12 @@ class Scan:
             if text in "([{":
                 opened.append((")]}"["([{".index(text)], at))
             elif text in ")]}" and (not opened or opened.pop()[0] != text):
-                return self.line(at)
+                return at
             elif text in "\"`" or (text == "'" and self.family != "rust"):
-                return self.line(at)
-        return self.line(opened[0][1]) if opened else None
+                return at
+        return opened[0][1] if opened else None
 
     def line(self, at: int) -> int:
-        from bisect import bisect_left
-
         return bisect_left(self.breaks, at) + 1
 
     def row(self, relation: str, a=None, b=None, c=None, d=None, e=None, f=None, line=None, end=None, flag=None) -> list:
@@ -95,16 +125,27 @@ class Scan:
         """The text of tokens i to j, without j."""
         return self.text[self.tokens[i][2] : self.tokens[j - 1][3]] if j > i else ""
 
+    def matched(self) -> tuple[dict[int, int], dict[int, int]]:
+        """By opening bracket: the one that closes it among its own kind, and (round and square together) the one that closes it by depth."""
+        own: dict[str, list[int]] = {c: [] for c in "([{<"}
+        deep, partners, together = [], {}, {}
+        for i, (kind, text, _, _) in enumerate(self.tokens):
+            if kind != "p":
+                continue
+            if text in own:
+                own[text].append(i)
+                if text in "([":
+                    deep.append(i)
+            elif text in (")", "]", "}", ">"):
+                if held := own["([{<"[")]}>".index(text)]]:
+                    partners[held.pop()] = i
+                if text in ")]" and deep:
+                    together[deep.pop()] = i
+        return partners, together
+
     def closing(self, i: int, stop: int) -> int:
-        """The token that closes the bracket at i."""
-        pairs, depth = {"(": ")", "[": "]", "{": "}", "<": ">"}, 0
-        a, b = self.tokens[i][1], pairs[self.tokens[i][1]]
-        for j in range(i, stop):
-            if self.tokens[j][0] == "p":
-                depth += (self.tokens[j][1] == a) - (self.tokens[j][1] == b)
-                if depth == 0:
-                    return j
-        return stop - 1
+        """The token that closes the bracket at i, before stop."""
+        return min(self.partners.get(i, stop - 1), stop - 1)
 
     def comment(self, text: str, at: int) -> None:
         frame = self.stack[-1]
@@ -122,7 +163,7 @@ class Scan:
             comment[3], comment[10] = qualified, test
         frame.pending = []
         fact = self.row("fact", object_type, kind, qualified, f"{name}\x1f{modifiers}", frame.contains, signature, line, line, frame.member)
-        inner = replace(frame, names=frame.names if kind == "type_alias" else qualified, contains=qualified, test=test, kind=kind, fact=fact, pending=[], member=kind in ("trait", "interface", "class"))
+        inner = replace(frame, names=frame.names if kind == "type_alias" else qualified, contains=qualified, test=test, kind=kind, fact=fact, ends=None, pending=[], member=kind in ("trait", "interface", "class"))
         if object_type == "code_function":
             inner.scope = f"{name}@{line}"
             inner.member = False
@@ -188,8 +229,13 @@ class Scan:
         elif PLAIN.fullmatch(value) and not value[0].isupper() and not value[0].isdigit():
             self.row("binding", scope, name, "copy", value)
 
+    def is_generic_call(self, i: int) -> bool:
+        """Whether type arguments and an opening bracket follow word i at once."""
+        shut = self.angles.get(i + 1, -1)
+        return shut > 0 and self.tokens[i + 1][2] == self.tokens[i][3] and shut + 1 < len(self.tokens) and self.tokens[shut + 1][1] == "("
+
     def call(self, i: int) -> None:
-        """Token i is a word before an opening bracket."""
+        """Token i is a word before an opening bracket, or type arguments and one."""
         name, frame = self.tokens[i][1], self.stack[-1]
         before = self.tokens[i - 1][1] if i else ""
         if name in NO_CALL or before in ("fn", "function", "def", "class", "new", "macro_rules"):
@@ -211,6 +257,9 @@ class Scan:
         i, start, modifiers, attributes, depth = 0, None, [], "", 0
         while i < n:
             kind, text, at, end = tokens[i]
+            while (over := self.stack[-1].ends) is not None and i >= over:
+                self.stack.pop().fact[9] = self.line(tokens[over - 1][2])
+                self.stack[-1].pending = []
             if kind == "c":
                 self.comment(text, at)
                 i += 1
@@ -234,7 +283,7 @@ class Scan:
                     self.stack.append(frame)
                 continue
             if text == "{" and kind == "p":
-                self.stack.append(replace(self.stack[-1], fact=None, kind="block", pending=[], member=False))
+                self.stack.append(replace(self.stack[-1], fact=None, kind="block", ends=None, pending=[], member=False))
             elif text == "}" and kind == "p":
                 if len(self.stack) > 1:
                     frame = self.stack.pop()
@@ -243,7 +292,7 @@ class Scan:
                     self.stack[-1].pending = []
             elif kind == "p" and text in "()":
                 depth += 1 if text == "(" else -1
-            elif kind == "w" and i + 1 < n and tokens[i + 1][1] == "(":
+            elif kind == "w" and i + 1 < n and (tokens[i + 1][1] == "(" or family == "script" and self.is_generic_call(i)):
                 self.call(i)
             elif kind == "s" and family == "script" and "export" in modifiers and text[1:2] == ".":
                 self.row("import", text.strip("\"'`"), line=self.line(start))
@@ -254,16 +303,22 @@ class Scan:
                 start, modifiers = None, []
             i += 1
 
-    def until(self, i: int, stops: str) -> int:
-        """The first token from i on that is one of stops outside of round and square brackets."""
-        depth = 0
-        for j in range(i, len(self.tokens)):
-            kind, text = self.tokens[j][:2]
-            if kind == "p":
-                if depth <= 0 and text in stops.split():
-                    return j
-                depth += (text in ("(", "[")) - (text in (")", "]"))
-        return len(self.tokens)
+    def until(self, i: int, stops: str, end: int | None = None) -> int:
+        """The first token from i on (but before end) that is one of stops outside of round and square brackets that open from i on."""
+        n = len(self.tokens)
+        end = n if end is None else end
+        if stops not in self.stops:
+            wanted, found = frozenset(stops.split()), [n] * (n + 1)
+            for j in range(n - 1, -1, -1):
+                kind, text = self.tokens[j][:2]
+                if text in wanted and (kind == "p" or kind == "w" and (not j or self.tokens[j - 1][1] != "*")):
+                    found[j] = j
+                elif kind == "p" and text in ("(", "["):
+                    found[j] = found[self.round[j] + 1] if j in self.round else n
+                else:
+                    found[j] = found[j + 1]
+            self.stops[stops] = found
+        return min(self.stops[stops][min(i, n)], end) if i < end else end
 
     def body(self, frame: Frame, j: int) -> tuple:
         """After a declaration's head: its frame, if a body opens at j, else the end of the declaration."""
@@ -283,8 +338,9 @@ class Scan:
                 return self.closing(i + 1, n) + 1, "more"
             modifiers.append(word)
             if word == "export" and after[1] in ("{", "*"):
-                j = self.until(i + 2 if after[1] == "*" else self.closing(i + 1, n) + 1, ";")
-                self.strings(i, min(j, self.line_end(i)), start)
+                j = i + 2 if after[1] == "*" else self.closing(i + 1, n) + 1
+                j = self.until(j, ";", self.line_end(min(j, n - 1)))
+                self.strings(i, j, start)
                 return min(j + 1, n), None
             return i + 1, "more"
         said = " ".join(modifiers)
@@ -293,7 +349,9 @@ class Scan:
         if word in ("fn", "function") and (after[0] == "w" or after[1] == "*"):
             star = after[1] == "*"
             name = tokens[i + 1 + star][1]
-            opened = self.until(i + 2 + star, "( { ;") if tokens[i + 2 + star][1] != "(" else i + 2 + star
+            opened = i + 2 + star
+            if opened < n and tokens[opened][1] == "<":  # bounds may hold brackets of their own
+                opened = self.closing(opened, n) + 1
             if opened >= n or tokens[opened][1] != "(":
                 return None
             shut = self.closing(opened, n)
@@ -322,17 +380,20 @@ class Scan:
                 simple = simple_type(target) or owner
                 if trait and (found := simple_type(trait)):
                     self.row("relation", owner, found, flag=True)
-                return stop + 1, replace(frame, names=f"{frame.names}::{owner}", owner=simple if simple == owner else owner, fact=None, kind="impl", pending=[], member=bool(trait))
+                return stop + 1, replace(frame, names=f"{frame.names}::{owner}", owner=simple if simple == owner else owner, fact=None, kind="impl", ends=None, pending=[], member=bool(trait))
             if word == "use":
                 stop = self.until(i + 1, ";")
                 self.uses(re.sub(r"\s+", "", re.sub(r"\s+as\s+\w+", "", self.span(i + 1, stop))), self.line(start))
                 return min(stop + 1, n), None
             if word in ("let", "const", "static") and after[0] == "w":
                 j = i + 1 + (after[1] == "mut")
-                stop = self.until(j, "; {")
-                left, _, value = self.span(j + 1, stop).partition("=") if tokens[j + 1][1] != "=" else ("", "", self.span(j + 2, stop))
-                self.bind(tokens[j][1], left.strip().removeprefix(":"), value)
-                return j + 1, "more"
+                if j + 1 < n and tokens[j + 1][1] in (":", "="):  # else a pattern, which binds no plain name
+                    equals = self.until(j + 1, "= ; { } let const static")
+                    stop = self.until(equals, "; { } let const static")
+                    value = self.span(equals + 1, stop) if stop < n and tokens[stop][0] == "p" and tokens[equals][1] == "=" else ""
+                    self.bind(tokens[j][1], self.span(j + 2, equals) if tokens[j + 1][1] == ":" else "", value)
+                    return j + 1, "more"
+                return i + 1, "more"
             if frame.kind in ("struct", "union") and after[1] == ":" and frame.owner and (found := simple_type(self.span(i + 2, self.field_end(i + 2)))):
                 self.row("field", frame.owner, word, found)
             if word == "macro_rules" and after[1] == "!" and i + 3 < n and tokens[i + 3][1] in ("(", "[", "{"):
@@ -341,28 +402,37 @@ class Scan:
                 return self.closing(i + 2, n) + 1, "more"  # a macro's tokens are no calls
             return None
         if word == "import" and fresh and after[1] != "(":
-            stop = min(self.until(i + 1, ";"), self.line_end(self.last_string(i)))
+            stop = self.until(i + 1, ";", self.line_end(min(self.next_string[i], n - 1)))
             self.strings(i, stop, start)
             return min(stop + (stop < n and tokens[stop][1] == ";"), n), None
         if word in ("const", "let", "var") and after[0] == "w":
-            j = self.until(i + 2, "= ; {")
-            rest = j + 1 + (j + 1 < n and tokens[j + 1][1] == "async")
-            if j < n and tokens[j][1] == "=" and rest < n and tokens[rest][1] == "(":
-                shut = self.closing(rest, n)
-                arrow = self.until(shut + 1, "=> ; ,")
-                if arrow < n and tokens[arrow][1] == "=>":
-                    inner = self.callable("function", after[1], after[2], said, rest, shut, self.returns(shut + 1, arrow), attributes)
-                    if arrow + 1 < n and tokens[arrow + 1][1] == "{":
-                        return self.body(inner, arrow + 1)
-                    inner.fact[9] = self.line(tokens[min(self.line_end(arrow), n) - 1][2])
-                    return arrow + 1, None
+            j = self.until(i + 2, "= ; { const let var")
             if j < n and tokens[j][1] == "=":
-                self.bind(after[1], self.span(i + 2, j), self.span(j + 1, min(self.until(j + 1, "; {"), self.line_end(j))))
+                if (found := self.function_value(j + 1)) is not None:
+                    opened, shut, stop = found
+                    bare = opened == shut  # x => ..: one parameter without brackets
+                    inner = self.callable("function", after[1], after[2], said, opened - bare, shut + bare, self.returns(shut + 1, stop), attributes)
+                    if stop < n and tokens[stop][1] == "=>":
+                        stop += 1
+                    if stop < n and tokens[stop][1] == "{":
+                        return self.body(inner, stop)
+                    inner.ends = self.until(stop, "; , } ) const let var export import function class interface return")
+                    inner.fact[9] = self.line(tokens[inner.ends - 1][2])
+                    return stop, inner
+                self.bind(after[1], self.span(i + 2, j), self.span(j + 1, self.until(j + 1, "; { const let var", self.line_end(j))))
             return i + 2, "more"
+        if word == "class" and after[1] != ":" and (i == 0 or tokens[i - 1][1] not in (".", "?.")):  # an expression: its members are declared, it is not
+            return self.until(i + 1, "{ ;") + 1, replace(frame, fact=None, kind="class", ends=None, pending=[], member=True)
+        if frame.kind not in ("class", "interface") and after[1] == "(" and word not in NO_CALL and self.begins_member(i):
+            shut = self.closing(i + 1, n)
+            stop = self.until(shut + 1, "{ ; , )") if shut + 1 < n and tokens[shut + 1][1] == ":" else shut + 1
+            if stop < n and tokens[stop][1] == "{":
+                return self.body(self.callable("method", word, tokens[i][2], "", i + 1, shut, self.returns(shut + 1, stop), attributes), stop)
         if frame.kind in ("class", "interface") and fresh:
             if after[1] in ("(", "<"):
-                opened = self.until(i + 1, "(") if after[1] == "<" else i + 1
-                opened = next((k for k in range(i + 1, n) if tokens[k][1] == "("), n - 1)
+                opened = self.closing(i + 1, n) + 1 if after[1] == "<" else i + 1
+                if opened >= n or tokens[opened][1] != "(":
+                    return None
                 shut = self.closing(opened, n)
                 stop = min(self.until(shut + 1, "{ ;"), n)
                 if stop > self.line_end(shut) and stop < n and tokens[stop][1] == "{" and frame.kind == "interface":
@@ -372,6 +442,40 @@ class Scan:
                 self.row("field", frame.owner, word, found)
         return None
 
+    def begins_member(self, i: int) -> bool:
+        """Whether word i may name a method of an object: it follows a brace or comma, perhaps with words between."""
+        i -= 1
+        while i > 0 and self.tokens[i][1] in ("async", "get", "set", "*"):
+            i -= 1
+        return i >= 0 and self.tokens[i][0] == "p" and self.tokens[i][1] in ("{", ",")
+
+    def function_value(self, j: int) -> tuple[int, int, int] | None:
+        """Of a function that is the value from token j on: where its parameters open and close, and where its body or arrow stands."""
+        tokens, n = self.tokens, len(self.tokens)
+        j += j < n and tokens[j][1] == "async"
+        if j < n and tokens[j][1] == "function":
+            j += 1 + (j + 1 < n and tokens[j + 1][0] == "w")
+            if j < n and tokens[j][1] == "<":
+                j = self.closing(j, n) + 1
+            if j >= n or tokens[j][1] != "(":
+                return None
+            shut = self.closing(j, n)
+            stop = self.until(shut + 1, "{ ;")
+            return (j, shut, stop) if stop < n and tokens[stop][1] == "{" else None
+        if j + 1 < n and tokens[j][0] == "w" and tokens[j + 1][1] == "=>":
+            return j, j, j + 1
+        if j < n and tokens[j][1] == "<" and j in self.angles:
+            j = self.angles[j] + 1
+        if j >= n or tokens[j][1] != "(":
+            return None
+        shut = self.closing(j, n)
+        if shut + 1 < n and tokens[shut + 1][1] == "=>":
+            return j, shut, shut + 1
+        if shut + 1 < n and tokens[shut + 1][1] == ":":
+            stop = self.until(shut + 2, "=> = ; ,", self.line_end(shut))
+            return (j, shut, stop) if stop < n and tokens[stop][1] == "=>" else None
+        return None
+
     def returns(self, i: int, stop: int) -> str:
         text = self.span(i, stop).strip()
         return re.split(r"\bwhere\b", re.sub(r"^(?:->|:)\s*", "", text))[0].strip() if text.startswith(("->", ":")) else ""
@@ -381,11 +485,7 @@ class Scan:
 
     def line_end(self, i: int) -> int:
         """The first token that stands on a later line than token i."""
-        row = self.line(self.tokens[min(i, len(self.tokens) - 1)][2])
-        return next((j for j in range(i + 1, len(self.tokens)) if self.line(self.tokens[j][2]) > row), len(self.tokens))
-
-    def last_string(self, i: int) -> int:
-        return next((j for j in range(i, min(i + 400, len(self.tokens))) if self.tokens[j][0] == "s"), i)
+        return self.later[i] if i < len(self.tokens) else len(self.tokens)
 
     def strings(self, i: int, stop: int, start: int) -> None:
         for j in range(i, stop):
@@ -444,29 +544,37 @@ class Scan:
             self.stack.pop().fact[9] = last
 
     def statement(self, i: int, j: int, at: int) -> None:
-        tokens, frame = self.tokens, self.stack[-1]
-        k = i + (tokens[i][1] == "async")
-        word = tokens[k][1] if k < j else ""
-        if word == "@" or tokens[i][1] == "@":
-            self.comment(self.span(i, j), tokens[i][2])
-            return
-        if word in ("def", "class") and k + 1 < j and tokens[k + 1][0] == "w":
-            name, opened = tokens[k + 1][1], next((x for x in range(k + 2, j) if tokens[x][1] == "("), None)
-            shut = self.closing(opened, j) if opened else k + 1
-            colon = next((x for x in range(j - 1, shut, -1) if tokens[x][1] == ":"), j) if word == "class" else self.until(shut + 1, ":")
+        tokens = self.tokens
+        while True:  # declarations may follow each other on a line
+            frame = self.stack[-1]
+            k = i + (tokens[i][1] == "async")
+            word = tokens[k][1] if k < j else ""
+            if word == "@" or tokens[i][1] == "@":
+                self.comment(self.span(i, j), tokens[i][2])
+                return
+            if word not in ("def", "class") or k + 1 >= j or tokens[k + 1][0] != "w":
+                break
+            name, opened = tokens[k + 1][1], k + 2
+            if opened < j and tokens[opened][1] == "[":  # type parameters
+                opened = self.closing(opened, j) + 1
+            shut = self.closing(opened, j) if opened < j and tokens[opened][1] == "(" else None
+            colon = self.until((shut or k + 1) + 1, ":", j)
             decorators = "".join(c[2] for c in frame.pending if c[2].startswith("@"))
             if word == "def":
-                inner = self.callable("function", name, tokens[i][2], "", opened or k + 1, shut, self.returns(shut + 1, min(colon, j)), decorators)
+                inner = self.callable("function", name, tokens[i][2], "", opened if shut else k + 1, shut or k + 1, self.returns((shut or k + 1) + 1, colon), decorators)
             else:
                 inner = self.declare("class", "code_type", name, tokens[i][2], "", attributes=decorators)
-                for part in self.span(opened + 1, shut).split(",") if opened else ():
-                    if found := simple_type(part):
+                at_part = opened + 1
+                while shut and at_part < shut:
+                    end = self.until(at_part, ",", shut)
+                    if found := simple_type(self.span(at_part, end)):
                         self.row("relation", name, found, flag=False)
+                    at_part = end + 1
             inner.indent, inner.fact[9] = at, self.line(tokens[j - 1][3] - 1)
             self.stack.append(inner)
-            if colon + 1 < j:
-                self.statement(colon + 1, j, at + 1)
-            return
+            if colon + 1 >= j:
+                return
+            i, at = colon + 1, at + 1
         frame.pending = []
         text = self.span(i, j)
         if word in ("import", "from"):
