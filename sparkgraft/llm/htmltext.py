@@ -1,10 +1,14 @@
 """Main text of web pages by consensus host paths.
 
 Each page scores its containers: the text of a block counts for the container that holds it
-and half for the one above, links count against it. Containers are named by generalised
-tag-class paths (numbers in classes become #). Spark sums the votes per host and path and
-keeps each host's winner; pages are then extracted again from the containers on the winning
-path. A page that has no such container falls back on its own best one.
+and half for the one above, links count against it. From the best one the page climbs to the
+container of the whole article: the outermost article element around it, else the outermost main,
+else the highest container with text of its own beside it (headline, lead, closing), and votes
+for that. Quotations, tables and sections are no containers, so they never stand for the whole.
+Containers are named by generalised tag-class paths (numbers in classes become #). Spark sums the
+votes per host and path and keeps each host's winner; pages are then extracted again: all wanted
+blocks below the containers on the winning path. A page that has no such container, or no text
+there, falls back on its own.
 
 Votes are pre-aggregated per task, so a host with a third of all pages is no hot group; the
 winners (one row per host) are joined by broadcast only while they are few, else by a
@@ -14,18 +18,20 @@ Defined results: null or empty html gives an empty text; a page without any text
 boilerplate gives an empty text; null urls share the empty host; repeated rows repeat their
 result; an empty table gives no rows; extra columns are ignored. Character references are
 decoded, white space within a block becomes one space, blocks are joined by a line feed.
-Broken markup is read leniently: unclosed elements end with their parents, a tag that is cut
-off at the end of the page is dropped, elements nested deeper than 256 lie in the 256th. Time
-and memory are linear in the page: containers are kept once with their parent, and where quotes
-that never close have been looked for over more than the length of the page, quotes no longer
-hide the end of a tag.
+Blocks are unwanted by their element, role or whole class or id: each of its words must be an
+unwanted or a layout word, so that ads-free or social-history say nothing; classes of inline
+elements say nothing either. Broken markup is read leniently: unclosed elements end with their
+parents, a tag that is cut off at the end of the page is dropped, quotes hide the end of a tag
+where they close. Time and memory are linear in the page at any depth: containers are kept once
+with their parent, open elements are counted by name, and a search for the end of a tag stops
+where an earlier one in vain has been.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,10 +41,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, lean
 
 REST = r"<(?=[a-zA-Z/])[^<>]*(?:\Z|>|(?=<))|[^<]+|<"
-TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-BARE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"[>\"']")
 OTHER = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|{REST}", re.S)
-DEEPEST = 256
 STEP = "\x1f"  # between the labels of a path
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 # Element names by their role in a page.
@@ -48,15 +53,25 @@ BOILERPLATE = frozenset("nav footer aside form button select menu dialog head".s
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-CONTAINERS = frozenset("article body div main section td blockquote".split())
+CONTAINERS = frozenset("article body div main".split())
 CLOSED_BY = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
-UNWANTED = re.compile(
-    r"(?:^|[-_\s])(?:nav\w*|menus?|sidebars?|side|footer|masthead|breadcrumbs?|cookies?|consent|notices?|banners?|ads?|adverts?|advertisements?|adsense|sponsor(?:ed|s)?|promos?|promotion|share|sharing|social|comments?|commentlist|disqus|replies|respond|related|recommended|newsletter|subscribe|signup|login|popup|modal|overlay|toolbar|widgets?|pagination|pager|skip|search)(?:$|[-_\s])",
-    re.I,
+UNWANTED = frozenset(
+    "nav navbar navigation menu menus sidebar sidebars footer masthead breadcrumb breadcrumbs cookie cookies consent notice notices banner banners ad ads advert adverts advertisement advertisements adsense sponsor sponsors sponsored promo promos promotion share sharing social comment comments commentlist disqus replies respond related recommended newsletter subscribe signup login popup modal overlay toolbar widget widgets pagination pager skip search".split()
 )
+LAYOUT = frozenset("left right top bottom main site page global primary secondary header head list box boxes item items wrap wrapper container block section area bar slot unit inner outer content links link buttons button post posts entry form panel row col column div group holder module text title body message label icon icons image count meta author".split())
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[^\W\dA-Za-z_]+")
 DIGITS = re.compile(r"\d+")
 
 
+def is_unwanted(names: str) -> bool:
+    """Whether one of the names (a class or id attribute) says, as a whole, that its element is no part of an article."""
+    for name in names.split():
+        words = [w.lower() for w in WORDS.findall(name)]
+        if any(w in UNWANTED for w in words) and all(w in UNWANTED or w in LAYOUT for w in words):
+            return True
+    return False
+
+
 class Page:
     """The text blocks of a page, each with the container it lies in; boilerplate is left out."""
 
@@ -64,36 +79,51 @@ class Page:
         #: (text, link characters, innermost container)
         self.blocks: list[tuple[str, int, int]] = []
         self.stack: list[tuple[str, bool, int]] = []  # name, unwanted, innermost container
+        self.levels: list[int] = []  # places of open blocks in the stack
+        self.open_blocks: Counter[str] = Counter()
+        self.open_inline: list[Counter[str]] = [Counter()]  # since each open block
         self.containers: dict[tuple[int, str], int] = {}  # number by parent and label; 0 is outside of all
         self.parents, self.labels = [0], [""]
         self.text: list[str] = []
-        self.linked = self.links = self.unwanted = self.articles = self.over = 0
-        raw, at, last, wasted = None, 0, html.rfind(">"), 0
+        self.linked = self.links = self.unwanted = self.articles = 0
+        self.html, self.dead, self.last = html, set(), {c: html.rfind(c) for c in ">\"'"}
+        raw, at = None, 0
         while at < len(html):
             if raw:  # up to the end tag, whatever stands between
                 end = re.compile(rf"</{re.escape(raw)}[\s/>]", re.I).search(html, at)
                 if not end:
                     break
                 at, raw = end.start(), None
-            m = None
-            if html[at] == "<" and at < last:
-                m = (TAG if wasted <= len(html) else BARE_TAG).match(html, at)
-                if not m and html[at + 1 : at + 2].isalpha():
-                    wasted += len(html) - at
-                    m = BARE_TAG.match(html, at) if wasted > len(html) else None
+            m = NAME.match(html, at) if html[at] == "<" and at < self.last[">"] else None
             if m:
-                name = m[2].lower()
+                name, end = m[2].lower(), self.tag_end(m.end())
                 if m[1]:
                     self.close(name)
                 else:
-                    raw = name if self.open(name, m[3]) and name in RAW else None
+                    raw = name if self.open(name, html[m.end() : end - 1]) and name in RAW else None
+                at = end
             else:
                 m = OTHER.match(html, at)
                 if m[0][0] != "<" or m[0] == "<":
                     self.add(m[0])
-            at = m.end()
+                at = m.end()
         self.flush()
 
+    def tag_end(self, at: int) -> int:
+        """Where a tag ends whose name ends at `at`: after the next > outside of quotes, or the next at all if there is none."""
+        start, passed = at, []
+        while m := STOP.search(self.html, at):
+            at = m.end()
+            if m[0] == ">":
+                return at
+            if m.start() < self.last[m[0]]:  # else it never closes, and is no quote
+                at = self.html.index(m[0], at) + 1
+                if at in self.dead:
+                    break
+                passed.append(at)
+        self.dead.update(passed)
+        return self.html.index(">", start) + 1
+
     def add(self, text: str) -> None:
         if not self.unwanted:
             text = entities.unescape(text) if "&" in text else text
@@ -109,32 +139,36 @@ class Page:
         self.text, self.linked = [], 0
 
     def open(self, name: str, attributes: str) -> bool:
-        if name in BLOCKS:
+        block = name in BLOCKS
+        if block:
             self.flush()
-            for i in range(len(self.stack) - 1, -1, -1):
-                top = self.stack[i][0]
-                if name in CLOSED_BY.get(top, ()):
-                    self.leave(i)
+            for i in range(len(self.levels) - 1, -1, -1):
+                ended_by = CLOSED_BY.get(self.stack[self.levels[i]][0])
+                if ended_by is None:
                     break
-                if top in CONTAINERS or top in ("table", "ul", "ol", "dl"):
+                if name in ended_by:
+                    self.leave(self.levels[i])
                     break
         if name in VOID:
             if name == "br":
                 self.add(" ")
             return False
-        if attributes.endswith("/") and name not in BLOCKS and name not in RAW:
+        if attributes.endswith("/") and not block and name not in RAW:
             return False
-        if len(self.stack) >= DEEPEST:
-            self.over += 1
-            return True
         found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
         classes = found.get("class", "")
         unwanted = name in RAW or name in BOILERPLATE or (name == "header" and not self.articles) or "hidden" in found or found.get("role", "") in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog")
-        if not unwanted and name not in ("html", "body", "article", "main"):
-            unwanted = bool(UNWANTED.search(classes) or UNWANTED.search(found.get("id", "")))
+        if block and not unwanted and name not in ("html", "body", "article", "main"):
+            unwanted = is_unwanted(classes) or is_unwanted(found.get("id", ""))
         inside = self.stack[-1][2] if self.stack else 0
         if name in CONTAINERS:
             inside = self.container(inside, ".".join([name, *sorted(DIGITS.sub("#", c) for c in classes.replace(STEP, " ").split())]))
+        if block:
+            self.levels.append(len(self.stack))
+            self.open_blocks[name] += 1
+            self.open_inline.append(Counter())
+        else:
+            self.open_inline[-1][name] += 1
         self.stack.append((name, unwanted, inside))
         self.unwanted += unwanted
         self.links += name == "a"
@@ -149,25 +183,25 @@ class Page:
         return at
 
     def close(self, name: str) -> None:
-        if self.over:
-            self.over -= 1
-            if name in BLOCKS:
+        if name in BLOCKS:
+            if self.open_blocks[name]:
                 self.flush()
-            return
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == name:
-                if name in BLOCKS:
-                    self.flush()
-                self.leave(i)
-                return
-            if self.stack[i][0] in BLOCKS and name not in BLOCKS:
-                return  # an inline end tag doesn't close blocks
+                self.leave(next(i for i in reversed(self.levels) if self.stack[i][0] == name))
+        elif self.open_inline[-1][name]:  # an inline end tag doesn't close blocks
+            self.leave(next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == name))
 
     def leave(self, i: int) -> None:
         for name, unwanted, _ in self.stack[i:]:
             self.unwanted -= unwanted
             self.links -= name == "a"
             self.articles -= name in ("article", "main")
+            if name in BLOCKS:
+                self.open_blocks[name] -= 1
+            elif not self.levels or self.levels[-1] < i:
+                self.open_inline[-1][name] -= 1
+        while self.levels and self.levels[-1] >= i:
+            self.levels.pop()
+            self.open_inline.pop()
         del self.stack[i:]
 
     def path(self, at: int) -> str:
@@ -179,25 +213,39 @@ class Page:
         return STEP.join(out[::-1])
 
     def best(self) -> tuple[int, float] | None:
-        """The container that scores highest, and its score."""
+        """The container of the whole article, and the score of the best one in it."""
         scores: dict[int, float] = defaultdict(float)
+        own: dict[int, int] = defaultdict(int)
         for text, linked, at in self.blocks:
             worth = len(text) - 2 * linked
+            own[at] += worth
+            scores[at] += worth
             if at:
-                scores[at] += worth
-            if self.parents[at]:
                 scores[self.parents[at]] += worth / 2
         if not scores:
             return None
         most = max(scores.values())
-        at = max((x for x in scores if scores[x] == most), key=self.path)
-        return at, most
+        at = top = min(x for x in scores if scores[x] == most)
+        above = [at]
+        while at:
+            at = self.parents[at]
+            above.append(at)
+        for kind in ("article", "main"):
+            if around := [x for x in above if self.labels[x].split(".", 1)[0] == kind]:
+                return around[-1], most
+        for x in above:
+            if own[x] > 0:
+                top = x
+        return top, most
 
     def main_text(self, path: str | None) -> str:
-        at: int | None = 0
-        for label in path.split(STEP) if path else ():
-            at = self.containers.get((at, label)) if at is not None else None
-        text = self.below(at) if at else ""
+        """The text below the containers on a path (null: the page's own choice)."""
+        at: int | None = None
+        if path is not None:
+            at = 0
+            for label in path.split(STEP) if path else ():
+                at = self.containers.get((at, label)) if at is not None else None
+        text = self.below(at) if at is not None else ""
         if not text:
             found = self.best()
             text = self.below(found[0] if found else 0)

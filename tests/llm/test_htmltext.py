@@ -81,7 +81,7 @@ def test_edges(spark):
     assert htmltext.extract_main_text(df.limit(0)).count() == 0
 
 
-HOSTILE = ["<a " * 340_000, "<div>" * 200_000, "<b>" * 100_000 + "<li>x</li>" * 70_000, "<a '" * 125_000 + '<a "' * 125_001 + ">", "<div class='a'><span>" * 45_000 + "x", "<p>x" * 250_000, "<!" * 500_000, "&#" * 500_000, "<script>" * 120_000, "<" * 1_000_000, "<div class=" + "c " * 400_000 + ">x"]
+HOSTILE = ["<a " * 340_000, "<div>" * 200_000, "<b>" * 100_000 + "<li>x</li>" * 70_000, "<a '" * 125_000 + '<a "' * 125_001 + ">", "<div class='a'><span>" * 45_000 + "x", "<p>x" * 250_000, "<!" * 500_000, "&#" * 500_000, "<script>" * 120_000, "<" * 1_000_000, "<div class=" + "c " * 400_000 + ">x", '<a ">"' * 150_000 + ">", "<b>" * 200_000 + "</i>" * 200_000, "<i>" * 100_000 + "<p>" + "</i>" * 200_000, "<center>" * 100_000 + "<li>x" * 100_000, "<p a='" + "<p a=\">" * 120_000 + "'>x"]
 
 
 @pytest.mark.parametrize("html", HOSTILE, ids=range(len(HOSTILE)))
@@ -93,6 +93,61 @@ def test_hostile_pages_take_linear_time(html):
 
 
 def test_depth_and_quotes():
-    deep = htmltext.Page("<div>" * 400 + "<p>deep</p>" + "</div>" * 400 + "<p>after</p>")
-    assert [b[0] for b in deep.blocks] == ["deep", "after"] and deep.main_text(None) == "deep"
+    deep = htmltext.Page("<div>" * 400 + "<p>deep</p><nav>menu</nav>" + "</div>" * 400 + "<p>after</p>")
+    assert [b[0] for b in deep.blocks] == ["deep", "after"] and deep.main_text(None) == "deep\nafter"
     assert htmltext.Page("<p title='never closed>one</p><p>two</p>").main_text(None) == "one\ntwo"
+    assert htmltext.Page("<p title='>'>one</p><p title=\">\">two</p>").main_text(None) == "one\ntwo"
+
+
+LONG = "many long words of text " * 20
+WHOLE = {
+    "lead and closing around a div": "<article><h1>Title</h1><p>Intro.<div class='content'>{long}</div><p>Closing.</article>",
+    "without an article": "<div id=page><h1>Title</h1><p>Intro.<div class='content'>{long}</div><p>Closing.</div>",
+    "quotation": "<div class=post><p>Title</p><p>Intro.<blockquote>{long}</blockquote><p>Closing.</div>",
+    "table": "<div class=post><h1>Title</h1><p>Intro.<table><tr><td>{long}<tr><td>Closing.</table></div>",
+    "sections": "<article><section class=intro><h1>Title</h1><p>Intro.</section><section class=body>{long}</section><section>Closing.</section></article>",
+    "telling classes inline": "<article><h1>Title</h1><p><span class='notice-text ad'>Intro.</span><p class=ads-free>{long}<div class=social-history>Closing.</div></article>",
+    "nested wrappers": "<main><h1>Title</h1><div><div><p>Intro.</p><div class=x>{long}</div></div></div><p>Closing.</main>",
+    "bare": "<h1>Title</h1><p>Intro.</p><div>{long}</div><p>Closing.",
+}
+AROUND = "<html><head><title>no</title></head><body><nav><a href=/>Home</a></nav><div class='cookie-notice'><p>no no</p></div>{}<div class='comments'><p>{}</p></div><div id=related-posts><a href=/>no</a></div><footer>no</footer></body></html>"
+
+
+@pytest.mark.parametrize("name", list(WHOLE))
+def test_whole_article(spark, name):
+    html = AROUND.format(WHOLE[name].format(long=LONG), "a reader's comment " * 90)
+    rows = [(i, "http://h/", html) for i in range(3)]
+    want = "\n".join(["Title", "Intro.", LONG.strip(), "Closing."])
+    assert {r.text for r in htmltext.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {want}
+
+
+def test_generated_articles_come_back_whole(spark):
+    """Random trees of wanted and unwanted elements: what is kept is known from how they were made."""
+    import random
+
+    pick = random.Random(11)
+    unwanted = ["<nav>{}</nav>", "<aside>{}</aside>", "<div class='ad'>{}</div>", "<form>{}</form>", "<div class='share-buttons'>{}</div>", "<div id=comments>{}</div>", "<script>{}</script>", "<ul class=related-list><li>{}</ul>", "<!-- {} -->", "<p class='cookieNotice'>{}</p>"]
+
+    def tree(depth):
+        html, kept = "", []
+        for _ in range(pick.randrange(1, 4)):
+            text = " ".join(pick.choices(["eins", "zwei", "drei &amp; vier", "fünf"], k=pick.randrange(1, 12)))
+            kind = pick.randrange(8)
+            if kind == 0:
+                html += pick.choice(unwanted).format("not this")
+            elif kind < 4 or depth == 0:
+                html += f"<{(tag := pick.choice(['p', 'h2', 'pre', 'li', 'figcaption']))}>{text} <b class=ad>x</b> <i>y</i></{tag}>"
+                kept.append(f"{text} x y".replace("&amp;", "&"))
+            else:
+                inner, below = tree(depth - 1)
+                html += f"<{(tag := pick.choice(['div', 'section', 'blockquote', 'ul']))} class='c{pick.randrange(9)}'>{inner}</{tag}>"
+                kept += below
+        return html, kept
+
+    rows, want = [], {}
+    for i in range(150):
+        html, kept = tree(4)
+        rows.append((i, f"http://host{i % 7}.org/", AROUND.format(f"<article class=a{i % 3}>{html}</article>", "no")))
+        want[i] = "\n".join(kept)
+    got = {r.page_id: r.text for r in htmltext.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
