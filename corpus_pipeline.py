@@ -29,8 +29,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand on many sites, in more than copies of one text, go; n_chars follows the text."""
-    done = linededup.drop_lines(spark, docs)
+    """Lines that stand on many sites, in more than copies of one text, go from all documents but their home; n_chars follows the text.
+
+    So of near copies on many sites, which share most lines, one is whole when near-dedup looks at them.
+    """
+    done = linededup.drop_lines(spark, docs, keep_home=True)
     return done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -12,7 +12,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 BATCH_BYTES = 4 << 20
 
 
@@ -56,12 +55,13 @@ def row_key(docs: DataFrame) -> Column:
 
 def without(docs: DataFrame, gone: DataFrame, few: int = 1_000_000) -> DataFrame:
     """The rows of docs that gone doesn't name by doc_id, or by doc_id and row_key if it has one; gone is broadcast while it is small, so that texts needn't move."""
-    gone = gone.select(*(F.col(c).alias(f"gone_{c}") for c in gone.columns)).distinct()
+    names = {c: fresh(docs, f"gone_{c}") for c in gone.columns}
+    gone = gone.select(*(F.col(c).alias(name) for c, name in names.items())).distinct()
     if gone.limit(few + 1).count() <= few:
         gone = F.broadcast(gone)
-    same = F.col("doc_id").eqNullSafe(F.col("gone_doc_id"))
-    if "gone_row_key" in gone.columns:
-        same &= row_key(docs) == F.col("gone_row_key")
+    same = F.col("doc_id").eqNullSafe(F.col(names["doc_id"]))
+    if "row_key" in names:
+        same &= row_key(docs) == F.col(names["row_key"])
     return docs.join(gone, same, "left_anti")
 
 

@@ -45,30 +45,31 @@ def keys(text: str | None, min_chars: int) -> list[bytes | None]:
 
 
 def lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """A row for each line that may go: its key, its site and a hash of the whole text."""
+    """A row for each line that may go: its key, its site, a hash of the whole text and the doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found, sites, texts = [], [], []
-            for site, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            found, sites, texts, docs = [], [], [], []
+            for site, text, doc in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 text = text.as_py()
                 own = xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass")) - 2**63
                 held = [k for k in keys(text, min_chars) if k is not None]
                 found += held
                 sites += [site] * len(held)
                 texts += [own] * len(held)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(sites, pa.string()), pa.array(texts, pa.int64())], ["line", "site", "text"])
+                docs += [doc] * len(held)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(sites, pa.string()), pa.array(texts, pa.int64()), pa.array(docs, pa.int64())], ["line", "site", "text", "doc_id"])
 
     site = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(""))
-    return docs.select(site.alias("site"), "text").mapInArrow(lean(run), "line binary, site string, text long")
+    return docs.select(site.alias("site"), "text", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(lean(run), "line binary, site string, text long, doc_id long")
 
 
 def boilerplate(spark: SparkSession, docs: DataFrame, min_sites: int = 8, min_chars: int = 1, margin: float = 1.5, lg_k: int = 8) -> DataFrame:
-    """line (the key) of each boilerplate line, with the sites and texts it stands on and in (estimates if far from the bound)."""
+    """line (the key) of each boilerplate line, the sites and texts it stands on and in (estimates if far from the bound), and its home: the least doc_id that holds it."""
     scratch = Scratch(spark, "lines")
     rows = scratch.cut(lines(docs, min_chars), "rows")
     sketched = rows.groupBy("line").agg(
-        F.count("*").alias("n"), F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites"), F.hll_sketch_estimate(F.hll_sketch_agg("text", lg_k)).alias("texts")
+        F.count("*").alias("n"), F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites"), F.hll_sketch_estimate(F.hll_sketch_agg("text", lg_k)).alias("texts"), F.min("doc_id").alias("home")
     )
     least = F.least("sites", "texts")
     spread = scratch.cut(sketched.where((F.col("n") >= min_sites) & (least >= min_sites / margin)), "spread")
@@ -76,36 +77,41 @@ def boilerplate(spark: SparkSession, docs: DataFrame, min_sites: int = 8, min_ch
     counted = rows.join(spread.where(least <= min_sites * margin).select("line"), "line", "left_semi")
     by_site = counted.groupBy("line", "site").count().groupBy("line").agg(F.count("*").alias("sites"))
     by_text = counted.groupBy("line", "text").count().groupBy("line").agg(F.count("*").alias("texts"))
-    exact = by_site.join(by_text, "line").where(F.least("sites", "texts") >= min_sites)
-    return sure.select("line", "sites", "texts").union(exact.select("line", "sites", "texts"))
+    exact = by_site.join(by_text, "line").where(F.least("sites", "texts") >= min_sites).join(spread.select("line", "home"), "line")
+    return sure.select("line", "sites", "texts", "home").union(exact.select("line", "sites", "texts", "home"))
 
 
-def drop_lines(spark: SparkSession, docs: DataFrame, few_lines: int = 200_000, min_chars: int = 1, **options) -> DataFrame:
-    """docs with their boilerplate lines removed; adds n_lines and n_removed (replacing columns of these names)."""
+def drop_lines(spark: SparkSession, docs: DataFrame, few_lines: int = 200_000, min_chars: int = 1, keep_home: bool = False, **options) -> DataFrame:
+    """docs with their boilerplate lines removed; adds n_lines and n_removed (replacing columns of these names).
+
+    keep_home: a line stays in its home, the rows of the least doc_id that holds it, so that each
+    stands somewhere and a group of near copies on many sites keeps its text once.
+    """
     scratch = Scratch(spark, "lines")
-    gone = scratch.cut(boilerplate(spark, docs, min_chars=min_chars, **options).select("line"), "boilerplate")
+    gone = scratch.cut(boilerplate(spark, docs, min_chars=min_chars, **options).select("line", "home"), "boilerplate")
     docs = docs.select(*(c for c in docs.columns if c not in ("n_lines", "n_removed")))
     own, same = fresh(docs, "own"), fresh(docs, "same")
     if gone.limit(few_lines + 1).count() <= few_lines:
-        shared = spark.sparkContext.broadcast(frozenset(bytes(r["line"]) for r in gone.collect()))
-        given = docs.withColumn(own, F.lit(None).cast("array<binary>"))
+        shared = spark.sparkContext.broadcast({bytes(r["line"]): r["home"] for r in gone.collect()})
+        given = docs.withColumn(own, F.lit(None).cast("array<struct<line:binary,home:long>>"))
     else:
         shared = None
         with_id = docs.withColumn(same, F.xxhash64("text"))
-        held = with_id.where("text IS NOT NULL").select(F.col(same).alias("same"), "text").mapInArrow(lean(explode_keys(min_chars)), "same long, line binary").join(gone, "line", "left_semi")
-        sets = held.distinct().groupBy(F.col("same").alias(same)).agg(F.collect_list("line").alias(own))
+        held = with_id.where("text IS NOT NULL").select(F.col(same).alias("same"), "text").mapInArrow(lean(explode_keys(min_chars)), "same long, line binary").join(gone, "line")
+        sets = held.distinct().groupBy(F.col("same").alias(same)).agg(F.collect_list(F.struct("line", "home")).alias(own))
         given = with_id.join(sets, same, "left").drop(same)
+    ids = given.columns.index("doc_id")
     at = given.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, totals, removed = [], [], []
-            for text, held in zip(b.column(at), b.column(b.num_columns - 1), strict=True):
-                drop = shared.value if shared is not None else frozenset(held.as_py() or ())
+            for doc, text, held in zip(b.column(ids).to_pylist(), b.column(at), b.column(b.num_columns - 1), strict=True):
+                drop = shared.value if shared is not None else {x["line"]: x["home"] for x in held.as_py() or ()}
                 text = text.as_py()
                 split = (text or "").split("\n")
-                kept = [x for x, k in zip(split, keys(text, min_chars), strict=True) if k not in drop]
+                kept = [x for x, k in zip(split, keys(text, min_chars), strict=True) if k not in drop or keep_home and doc is not None and drop[k] == doc]
                 texts.append("\n".join(kept) if text is not None else None)
                 totals.append(len(split))
                 removed.append(len(split) - len(kept))

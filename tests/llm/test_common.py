@@ -20,3 +20,9 @@ def test_without_is_safe_for_nulls(spark):
 
 def test_fresh_names(spark):
     assert fresh(spark.createDataFrame([(1, 2)], "Own int, own_ int"), "own") == "own__"
+
+
+def test_without_takes_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a", 9, "k"), (2, "b", 9, "k")], "doc_id long, text string, gone_doc_id long, Gone_Row_Key string")
+    gone = docs.withColumn("row_key", row_key(docs)).where("doc_id = 1").select("doc_id", "row_key")
+    assert [r.doc_id for r in without(docs, gone).collect()] == [2]
