@@ -8,53 +8,73 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.naming import file_name, file_span_end, modifier_visibility, normalize_path
+from ..functions.naming import content_identity, file_name, file_span_end, modifier_visibility, normalize_path
+from ..operators.structure import structural_errors
 from ..schemas import MAX_FILE_BYTES
 from .scanner import Scan
 
 TEXTS = ("a", "b", "c", "d", "e", "f")
-ROWS = "file_ord long, path string, language string, relation string, ord int, a string, b string, c string, d string, e string, f string, line int, last int, flag boolean"
+COLUMNS = "path string, language string, relation string, ord int, a string, b string, c string, d string, e string, f string, line int, last int, flag boolean"
+ROWS = "file_ord long, " + COLUMNS
 
 
-def scan(files: DataFrame) -> DataFrame:
-    """Tagged rows of every file that isn't too large. files: org, repo, path, language, content, file_ord."""
+def scan(files: DataFrame, identity: bool = False) -> DataFrame:
+    """Tagged rows of every file; a file has one of relation `file`, and that alone if it is too large.
+
+    files: org, repo, path, language, content, and file_ord if files have numbers or names of
+    their own (unique); else they get numbers here, so write the rows before using them twice.
+    Texts stay where they are: what is needed of them beside the rows comes from the same pass
+    (identity: also the digest of each).
+    """
+    own = "file_ord" in files.columns
+    kind = files.schema["file_ord"].dataType.simpleString() if own else "bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), *[pa.string()] * 6, pa.int32(), pa.int32(), pa.bool_()]
-        names = [c.split()[0] for c in ROWS.split(", ")]
+        kinds = [pa.string() if kind == "string" else pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), *[pa.string()] * 6, pa.int32(), pa.int32(), pa.bool_()]
+        names = ["file_ord", *(c.split()[0] for c in COLUMNS.split(", "))]
+
+        def batch(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
         for b in batches:
             out: list[tuple] = []
-            for ordinal, name, path, language, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                out += [(ordinal, path, language, *row) for row in Scan(name, path, language, content).rows]
+            for ordinal, org, repo, name, path, language, size, last, digest, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                out.append((ordinal, path, language, "file", -1, org, repo, name, digest, None, None, size, last, None))
+                if content is not None:
+                    out += [(ordinal, path, language, *row) for row in Scan(name, path, language, content).rows]
                 if len(out) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                    yield batch(out)
                     out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
-
-    small = files.where(F.octet_length("content") <= MAX_FILE_BYTES)
-    return small.select("file_ord", file_name(F.col("org"), F.col("repo"), F.col("path")).alias("name"), "path", "language", "content").mapInArrow(run, ROWS)
+                yield batch(out)
 
-
-def outlines(files: DataFrame) -> DataFrame:
-    """What is needed of files beside their texts: their size and their last line."""
-    return files.select("file_ord", "org", "repo", "path", "language", F.octet_length("content").alias("size"), file_span_end(F.col("content")).alias("last"))
+    content = F.coalesce("content", F.lit(""))
+    size = F.octet_length(content)
+    given = files.select(
+        (F.col("file_ord") if own else F.monotonically_increasing_id()).alias("file_ord"), "org", "repo", file_name(F.col("org"), F.col("repo"), F.col("path")).alias("name"), "path", "language", size.alias("size"), file_span_end(content).cast("int").alias("last"),
+        (content_identity(content) if identity else F.lit(None).cast("string")).alias("digest"), F.when(size <= MAX_FILE_BYTES, content).alias("content"),
+    )
+    return given.mapInArrow(run, f"file_ord {kind}, {COLUMNS}")
 
 
 class Parsed:
-    """The relations of a batch, as views over the scanned rows and the outlines of files."""
+    """The relations of a batch, as views over its scanned rows."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+        self.files = rows.where("relation = 'file'").select("file_ord", F.col("a").alias("org"), F.col("b").alias("repo"), F.col("c").alias("file_ref"), "path", "language", F.col("d").alias("identity"), F.col("line").alias("size"), "last")
 
-    def __init__(self, files: DataFrame, rows: DataFrame):
-        self.files, self.rows = files, rows
+    def only(self, files: DataFrame) -> Parsed:
+        """The relations of some files, by file_ord."""
+        return Parsed(self.rows.join(files, "file_ord", "left_semi"))
 
     def pick(self, relation: str, **names: str) -> DataFrame:
         return self.rows.where(F.col("relation") == relation).select("file_ord", "path", "language", "ord", *(F.col(c).alias(n) for n, c in names.items()))
 
     def facts(self) -> DataFrame:
-        name = file_name(F.col("org"), F.col("repo"), F.col("path"))
         null = F.lit(None).cast("string")
         whole = self.files.select(
-            "file_ord", "path", "language", F.lit(-1).alias("ord"), F.lit("code_file").alias("object_type"), F.lit("file").alias("kind"), name.alias("qualified_name"),
+            "file_ord", "path", "language", F.lit(-1).alias("ord"), F.lit("code_file").alias("object_type"), F.lit("file").alias("kind"), F.col("file_ref").alias("qualified_name"),
             F.element_at(F.split("path", "/"), -1).alias("simple_name"), null.alias("parent"), F.lit("public").alias("visibility"), null.alias("signature"), F.lit(1).alias("line"), "last",
         )
         rows = self.pick("fact", object_type="a", kind="b", qualified_name="c", said="d", parent="e", signature="f", line="line", last="last", member="flag")
@@ -64,6 +84,10 @@ class Parsed:
         declared = self.reparented(rows.withColumn("simple_name", simple).withColumn("visibility", visibility).withColumn("signature", signature))
         return whole.unionByName(declared.select(*whole.columns))
 
+    def declared(self) -> DataFrame:
+        """What indexes need of the facts: object_type, qualified_name, simple_name."""
+        return self.pick("fact", object_type="a", qualified_name="c", said="d").withColumn("simple_name", F.substring_index("said", "\x1f", 1)).drop("said")
+
     @staticmethod
     def reparented(rows: DataFrame) -> DataFrame:
         """The parent is what the name says, where the same file declares it."""
@@ -95,6 +119,11 @@ class Parsed:
     def relations(self) -> DataFrame:
         return self.pick("relation", child="a", parent="b", is_trait="flag")
 
+    def structure(self) -> DataFrame:
+        """file_ord, path, errors, at of broken files: the first error that breaks the structure of declarations, null if all lie in executable bodies. Such a file's declarations can be used."""
+        spans = self.pick("span", body="c", start="line", stop="last").select("file_ord", F.col("body").cast("int").alias("body"), "start", "stop")
+        return structural_errors(spans, self.pick("error", at="line").select("file_ord", "at")).join(self.files.select("file_ord", "path"), "file_ord").select("file_ord", "path", "errors", "at")
+
     def diagnostics(self) -> DataFrame:
         null = F.lit(None)
         error = self.pick("diagnostic", line="line", column="last").select("file_ord", "ord", F.lit("parse_error").alias("code"), F.lit("syntax error").alias("message"), "path", "line", "column", F.lit("error").alias("severity"))

@@ -73,11 +73,16 @@ class Scan:
         self.later, self.next_string, self.angles = self.indexed()
         self.partners, self.round = self.matched()
         self.stops: dict[str, list[int]] = {}
+        self.places: dict[int, list[int | None]] = {}  # by fact: where it starts, where its body does, where it stops
         (self.python if self.family == "python" else self.braces)()
         if (broken := self.unbalanced()) is not None:
             line = self.line(broken)
             begin = self.breaks[line - 2] + 1 if line > 1 else 0
             self.row("diagnostic", line=line, end=len(text[begin:broken].encode("utf-8", "surrogatepass")))
+            self.row("error", line=broken)
+            for fact, (start, body, stop) in self.places.items():  # only where there is an error to place
+                executes = body if self.rows[fact][2] == "code_function" else None
+                self.row("span", line=start, end=len(text) if stop is None else stop, c=None if executes is None else str(executes))
 
     def indexed(self) -> tuple[list[int], list[int], dict[int, int]]:
         """By token: the first on a later line, and the first string from it on; and the angle brackets that close others around types alone."""
@@ -163,6 +168,7 @@ class Scan:
             comment[3], comment[10] = qualified, test
         frame.pending = []
         fact = self.row("fact", object_type, kind, qualified, f"{name}\x1f{modifiers}", frame.contains, signature, line, line, frame.member)
+        self.places[fact[1]] = [start, None, None]
         inner = replace(frame, names=frame.names if kind == "type_alias" else qualified, contains=qualified, test=test, kind=kind, fact=fact, ends=None, pending=[], member=kind in ("trait", "interface", "class"))
         if object_type == "code_function":
             inner.scope = f"{name}@{line}"
@@ -258,7 +264,8 @@ class Scan:
         while i < n:
             kind, text, at, end = tokens[i]
             while (over := self.stack[-1].ends) is not None and i >= over:
-                self.stack.pop().fact[9] = self.line(tokens[over - 1][2])
+                fact = self.stack.pop().fact
+                fact[9], self.places[fact[1]][2] = self.line(tokens[over - 1][2]), tokens[over - 1][3]
                 self.stack[-1].pending = []
             if kind == "c":
                 self.comment(text, at)
@@ -288,7 +295,7 @@ class Scan:
                 if len(self.stack) > 1:
                     frame = self.stack.pop()
                     if frame.fact is not None:
-                        frame.fact[9] = self.line(at)
+                        frame.fact[9], self.places[frame.fact[1]][2] = self.line(at), end
                     self.stack[-1].pending = []
             elif kind == "p" and text in "()":
                 depth += 1 if text == "(" else -1
@@ -322,8 +329,12 @@ class Scan:
 
     def body(self, frame: Frame, j: int) -> tuple:
         """After a declaration's head: its frame, if a body opens at j, else the end of the declaration."""
-        n = len(self.tokens)
+        n, place = len(self.tokens), self.places[frame.fact[1]]
         frame.fact[9] = self.line(self.tokens[min(j, n - 1)][2])
+        if j < n and self.tokens[j][1] == "{":
+            place[1] = self.tokens[j][2]
+        else:
+            place[2] = self.tokens[min(j, n - 1)][3]
         return (j + 1, frame) if j < n and self.tokens[j][1] == "{" else (min(j + 1, n), None)
 
     def head(self, i: int, start: int, modifiers: list, attributes: str):
@@ -416,6 +427,7 @@ class Scan:
                         stop += 1
                     if stop < n and tokens[stop][1] == "{":
                         return self.body(inner, stop)
+                    self.places[inner.fact[1]][1] = tokens[min(stop, n - 1)][2]
                     inner.ends = self.until(stop, "; , } ) const let var export import function class interface return")
                     inner.fact[9] = self.line(tokens[inner.ends - 1][2])
                     return stop, inner
@@ -541,7 +553,8 @@ class Scan:
         while len(self.stack) > 1 and self.stack[-1].indent >= indent:
             if only_if_deeper and self.stack[-1].indent > indent and indent > 0:
                 break
-            self.stack.pop().fact[9] = last
+            fact = self.stack.pop().fact
+            fact[9], self.places[fact[1]][2] = last, self.breaks[last - 1] + 1 if last <= len(self.breaks) else len(self.text)
 
     def statement(self, i: int, j: int, at: int) -> None:
         tokens = self.tokens
@@ -571,6 +584,7 @@ class Scan:
                         self.row("relation", name, found, flag=False)
                     at_part = end + 1
             inner.indent, inner.fact[9] = at, self.line(tokens[j - 1][3] - 1)
+            self.places[inner.fact[1]][1] = tokens[colon][3] if colon < j else None
             self.stack.append(inner)
             if colon + 1 >= j:
                 return

@@ -105,5 +105,5 @@ def modifier_visibility(language: Column, modifiers: Column, member: Column, exp
 
 def file_span_end(content: Column) -> Column:
     """Lines of a text; a trailing line feed adds none."""
-    n = F.size(F.split(content, "\n")) - F.when(content.endswith("\n") | (content == ""), 1).otherwise(0)
+    n = F.length(content) - F.length(F.replace(content, F.lit("\n"))) + F.when(content.endswith("\n") | (content == ""), 0).otherwise(1)
     return F.greatest(F.lit(1), n)

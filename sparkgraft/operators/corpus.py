@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.naming import owning_type_segment, simple_segment
+from ..sources.scratch import Tables
 
 
 def unique_or_nothing(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -43,9 +44,10 @@ def dense_order(rows: DataFrame, order: list[str], name: str) -> DataFrame:
 
     Partitions are ranges of the order; each gets the count of rows in those before it.
     """
+    tables = Tables(rows.sparkSession, "order")
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    ranged = ranged.persist()
-    sizes = ranged.groupBy("__p").agg(F.count("*").alias("n"), F.min("__i").alias("base")).collect()
+    ranged = tables.cut(ranged, "ranged")
+    sizes = ranged.groupBy("__p").agg(F.count("*").alias("n"), F.min("__i").alias("base")).collect()  # a row for each partition
     before, at = {}, 0
     for part in sorted(sizes, key=lambda r: r["__p"]):
         before[part["__p"]] = at - part["base"]

@@ -54,15 +54,19 @@ def family_of(language: Column) -> Column:
     return F.when(language.isin("rust", "python"), language).otherwise("typescript")
 
 
-def module_index(paths: DataFrame) -> DataFrame:
-    """family, stem, target_path: for each stem of a path of the batch the path that is tried first."""
+def stems_of_paths(paths: DataFrame) -> DataFrame:
+    """family, stem, rank, target_path: every stem by which a path may be imported, and how late it is tried."""
     named = []
     for family in ("rust", "python", "typescript"):
         for rank, end in enumerate(endings(family)):
             fits = F.endswith("path", F.lit(end)) if end else F.lit(True)
             named.append(F.when(fits, F.struct(F.lit(family).alias("family"), F.expr(f"left(path, length(path) - {len(end)})").alias("stem"), F.lit(rank).alias("rank"))))
-    stems = paths.select("path", F.explode(F.array_compact(F.array(*named))).alias("s")).select("s.*", F.col("path").alias("target_path"))
-    return stems.groupBy("family", "stem").agg(F.min_by("target_path", "rank").alias("target_path"))
+    return paths.select("path", F.explode(F.array_compact(F.array(*named))).alias("s")).select("s.*", F.col("path").alias("target_path"))
+
+
+def module_index(paths: DataFrame) -> DataFrame:
+    """family, stem, target_path: for each stem of a path of the batch the path that is tried first."""
+    return stems_of_paths(paths).groupBy("family", "stem").agg(F.min_by("target_path", "rank").alias("target_path"))
 
 
 def resolve_imports(imports: DataFrame, paths: DataFrame) -> DataFrame:

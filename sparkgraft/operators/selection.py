@@ -2,27 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.naming import content_identity
+from .corpus import place_in_group
 
 KEY = ["org", "repo", "path"]
 
 
 def candidates(files: DataFrame) -> DataFrame:
-    """files with their identity and place among those of the same key, by content hash; the first is the candidate."""
-    hashed = files.withColumn("supplied", content_identity(F.col("content")))
-    return hashed.withColumn("place", F.row_number().over(Window.partitionBy(*KEY).orderBy("supplied")))
+    """files with their identity and place among those of the same key, by content hash; the first is the candidate.
+
+    files: org, repo, path and content, or `supplied` (its digest) in place of it. Texts are
+    digested where they lie; only digests are ordered, however many files share a key.
+    """
+    hashed = files if "supplied" in files.columns else files.withColumn("supplied", content_identity(F.col("content"))).drop("content")
+    return place_in_group(hashed, KEY, ["supplied"])
 
 
 def account(modules: DataFrame, files: DataFrame, broken: DataFrame | None = None) -> DataFrame:
     """org, repo, path, status of every module and of every file beyond them.
 
-    modules: org, repo, path, identity. broken: keys of files that can't be parsed. Status is
-    accepted, not_supplied, identity_mismatch, unparsable or extra.
+    modules: org, repo, path, identity. files: as candidates takes or gives them. broken: keys of
+    candidates that can't be parsed. Status is accepted, not_supplied, identity_mismatch, unparsable or extra.
     """
-    held = candidates(files)
+    held = files if "place" in files.columns else candidates(files)
     first = held.where("place = 1").select(*KEY, "supplied", F.lit(True).alias("given"))
     wanted = modules.select(*KEY, "identity", F.lit(True).alias("asked"))
     joined = wanted.join(first, KEY, "full_outer")
@@ -50,8 +55,3 @@ def scope(modules: DataFrame, accounted: DataFrame, absent: DataFrame | None = N
     counts = modules.agg(F.count("*").alias("modules")).crossJoin(bad.agg(F.count("*").alias("missing"))).crossJoin(doubled)
     kind = F.when(F.col("doubled"), "unavailable:duplicate_module").when(F.col("modules") == 0, "unavailable:empty_selection").when(F.col("missing") == F.col("modules"), "unavailable:nothing_accounted").when(F.col("missing") > 0, "partial").otherwise("full")
     return counts.select(kind.alias("scope"), "modules", "missing")
-
-
-def accepted_files(files: DataFrame, accounted: DataFrame) -> DataFrame:
-    """The files that extraction may see."""
-    return candidates(files).where("place = 1").join(accounted.where("status = 'accepted'").select(*KEY), KEY, "left_semi").drop("supplied", "place")

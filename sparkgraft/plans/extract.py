@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..front.parse import Parsed, normalized, outlines, scan
+from ..front.parse import Parsed, normalized, scan
 from ..functions.naming import file_name, ix_ref, node_id
-from ..operators.corpus import batch_order, functions_of, methods_of, types_of
+from ..operators.corpus import functions_of, methods_of, types_of
 from ..operators.edges import fold_edges, sort_diagnostics, sort_edges, sort_mentions, sort_nodes
 from ..operators.imports import resolve_imports
 from ..operators.mentions import harvest
@@ -42,48 +42,88 @@ def site(source, edge_type, target, reason: str, file, line) -> list:
     return [source.alias("source_ref"), edge_type.alias("edge_type"), target.alias("target_ref"), F.lit(reason).alias("reason"), file.alias("file"), line.cast("int").alias("line")]
 
 
-def extract(files: DataFrame, scanned: DataFrame | None = None) -> Extraction:
-    """files: org, repo, path, language, content. scanned: rows of front.parse.scan for the same ordered files, if they are kept."""
-    tables = Tables(files.sparkSession, "extract")
-    ordered = batch_order(normalized(files)) if "file_ord" not in files.columns else files
-    # a dozen consumers read these; they are small beside the texts
-    rows = tables.cut(scan(ordered) if scanned is None else scanned, "rows")
-    files = tables.cut(outlines(ordered), "files")
-    ordered.unpersist()
-    parsed = Parsed(files, rows)
-    facts, enclosing = tables.cut(parsed.facts(), "facts"), parsed.enclosing()
-    types, methods, functions = types_of(facts), methods_of(facts), functions_of(facts)
-    names = files.select("file_ord", "org", "repo", file_name(F.col("org"), F.col("repo"), F.col("path")).alias("file_ref"))
-
-    nodes = facts.select(
+@dataclass
+class Known:
+    """What names may resolve to: the declarations, types of members and files of a batch (or those that a part of it may ask for)."""
+
+    types: DataFrame
+    methods: DataFrame
+    functions: DataFrame
+    returns: DataFrame
+    fields: DataFrame
+    files: DataFrame
+
+    @classmethod
+    def of(cls, parsed: Parsed, declared: DataFrame) -> Known:
+        fields = parsed.fields().drop("path").join(parsed.files.select("file_ord", "org", "repo", "path"), "file_ord")
+        return cls(types_of(declared), methods_of(declared), functions_of(declared), parsed.returns(), fields, parsed.files)
+
+
+@dataclass
+class Resolved:
+    """What files say once their names are resolved. sites: file_ord and the columns of edge sites."""
+
+    sites: DataFrame
+    imports: DataFrame
+    mentions: DataFrame
+    env: DataFrame
+    calls: DataFrame
+
+
+def resolve(parsed: Parsed, facts: DataFrame, known: Known, tables: Tables) -> Resolved:
+    """The files of parsed (with their facts) against everything that is known."""
+    enclosing, names = parsed.enclosing(), parsed.files.select("file_ord", "org", "repo", "file_ref")
+    place = [F.col("path"), F.col("line")]
+    contains = facts.where("parent IS NOT NULL").select("file_ord", *site(F.col("parent"), F.lit("contains"), F.col("qualified_name"), "syntactic", *place))
+
+    imports = tables.cut(resolve_imports(parsed.imports(), known.files.select("path")), "imports")
+    found = imports.where("target_path IS NOT NULL")
+    imported = found.join(names, "file_ord").select("file_ord", *site(F.col("file_ref"), F.lit("imports"), file_name(F.col("org"), F.col("repo"), F.col("target_path")), "path-resolved", *place))
+
+    cited = tables.cut(harvest(parsed.comments()), "mentions")
+    references = cited.select("file_ord", *site(F.col("source"), F.lit("references"), F.col("identifier"), "explicit-mention", F.col("file"), F.col("line")))
+
+    env = tables.cut(type_environment(parsed.bindings(), enclosing, known.functions, known.methods, known.returns, known.fields, tables), "types")
+    reachable = reachable_types(known.types, found.select("path", "target_path").distinct(), known.files)
+    calls = tables.cut(resolve_calls(parsed.calls(), env, enclosing, reachable, known.methods, known.functions, tables), "calls")
+    called = calls.where("target IS NOT NULL").select("file_ord", F.col("caller").alias("source_ref"), F.lit("calls").alias("edge_type"), F.col("target").alias("target_ref"), "reason", F.col("path").alias("file"), F.col("line").cast("int").alias("line"))
+    related = resolve_relations(parsed.relations(), known.types)
+    relations = related.select("file_ord", "source_ref", "edge_type", "target_ref", F.lit("syntactic").alias("reason"), F.col("path").alias("file"), F.lit(1).alias("line"))
+    return Resolved(contains.union(imported).union(references).union(called).union(relations), imports, cited, env, calls)
+
+
+def nodes_of(facts: DataFrame) -> DataFrame:
+    return facts.select(
         node_id(F.col("object_type"), F.col("qualified_name")).alias("id"), ix_ref(F.col("qualified_name")).alias("reference"), "object_type", F.col("qualified_name").alias("name"),
         F.struct("kind", "path", F.struct(F.col("line").alias("start"), F.col("last").alias("end")).alias("span"), "parent", "visibility", "signature").alias("data"), "file_ord", "ord",
     )
-    contains = facts.where("parent IS NOT NULL").select(*site(F.col("parent"), F.lit("contains"), F.col("qualified_name"), "syntactic", F.col("path"), F.col("line")))
 
-    imports = tables.cut(resolve_imports(parsed.imports(), files.select("path")), "imports")
-    found = imports.where("target_path IS NOT NULL").join(names, "file_ord")
-    imported = found.select(*site(F.col("file_ref"), F.lit("imports"), file_name(F.col("org"), F.col("repo"), F.col("target_path")), "path-resolved", F.col("path"), F.col("line")))
-    warnings = imports.where("relative AND target_path IS NULL").select("file_ord", "ord", F.lit("unresolved_import").alias("code"), F.concat(F.lit("unresolved import: "), "specifier").alias("message"), "path", "line", F.lit(None).cast("int").alias("column"), F.lit("warning").alias("severity"))
 
-    cited = tables.cut(harvest(parsed.comments()), "mentions")
-    references = cited.select(*site(F.col("source"), F.lit("references"), F.col("identifier"), "explicit-mention", F.col("file"), F.col("line")))
-
-    env = type_environment(parsed.bindings(), enclosing, functions, methods, parsed.returns(), parsed.fields())
-    env = tables.cut(env, "types")
-    reachable = reachable_types(types, imports.where("target_path IS NOT NULL").select("path", "target_path").distinct(), files)
-    calls = tables.cut(resolve_calls(parsed.calls(), env, enclosing, reachable, methods, functions), "calls")
-    called = calls.where("target IS NOT NULL").select(F.col("caller").alias("source_ref"), F.lit("calls").alias("edge_type"), F.col("target").alias("target_ref"), "reason", F.col("path").alias("file"), F.col("line").cast("int").alias("line"))
-    related = resolve_relations(parsed.relations(), types)
-    relations = related.select("source_ref", "edge_type", "target_ref", F.lit("syntactic").alias("reason"), F.col("path").alias("file"), F.lit(1).alias("line"))
-
-    sites = contains.union(imported).union(references).union(called).union(relations)
-    diagnostics = parsed.diagnostics().unionByName(warnings)
-    stats = (
+def warnings_of(imports: DataFrame) -> DataFrame:
+    return imports.where("relative AND target_path IS NULL").select("file_ord", "ord", F.lit("unresolved_import").alias("code"), F.concat(F.lit("unresolved import: "), "specifier").alias("message"), "path", "line", F.lit(None).cast("int").alias("column"), F.lit("warning").alias("severity"))
+
+
+def stats_of(files: DataFrame, diagnostics: DataFrame, calls: DataFrame, env: DataFrame) -> DataFrame:
+    """One row. calls: target; env: file_ord, rounds, bound."""
+    counts = (
         files.agg(F.count("*").alias("files"))
         .crossJoin(diagnostics.agg(F.count_distinct(F.when(F.col("code") == "parse_error", F.col("file_ord"))).alias("files_with_errors")))
         .crossJoin(calls.agg(F.count_if(F.col("target").isNull()).alias("unresolved_calls")))
         .crossJoin(env.agg(F.max("rounds").alias("most"), F.count_distinct(F.when(F.col("bound"), F.col("file_ord"))).alias("files_hitting_iteration_bound")))
     )
-    stats = stats.select(*(F.col(c).cast("int").alias(c) for c in ("files", "files_with_errors", "unresolved_calls")), F.when(F.col("files") > 0, F.greatest(F.lit(1), F.coalesce("most", F.lit(1)))).otherwise(0).cast("int").alias("max_fixpoint_iterations"), F.col("files_hitting_iteration_bound").cast("int").alias("files_hitting_iteration_bound"))
-    return Extraction(nodes, fold_edges(sites), cited.drop("file_ord") if "file_ord" in cited.columns else cited, diagnostics, stats)
+    return counts.select(*(F.col(c).cast("int").alias(c) for c in ("files", "files_with_errors", "unresolved_calls")), F.when(F.col("files") > 0, F.greatest(F.lit(1), F.coalesce("most", F.lit(1)))).otherwise(0).cast("int").alias("max_fixpoint_iterations"), F.col("files_hitting_iteration_bound").cast("int").alias("files_hitting_iteration_bound"))
+
+
+def extract(files: DataFrame, scanned: DataFrame | None = None) -> Extraction:
+    """files: org, repo, path, language, content. scanned: rows of front.parse.scan for the files, if they are kept.
+
+    Texts are read once and never shuffled. The scanned rows are written, as numbers of files are
+    given with them; a dozen consumers read them.
+    """
+    tables = Tables(files.sparkSession, "extract")
+    parsed = Parsed(tables.cut(scan(normalized(files)), "rows") if scanned is None else scanned)
+    facts = tables.cut(parsed.facts(), "facts")
+    found = resolve(parsed, facts, Known.of(parsed, facts), tables)
+    diagnostics = parsed.diagnostics().unionByName(warnings_of(found.imports))
+    stats = stats_of(parsed.files, diagnostics, found.calls, found.env)
+    return Extraction(nodes_of(facts), fold_edges(found.sites.drop("file_ord")), found.mentions.drop("file_ord"), diagnostics, stats)

@@ -15,7 +15,7 @@ from sparkgraft.operators.edges import fold_edges
 from sparkgraft.operators.typeenv import Row, solve
 from sparkgraft.plans.select import extract_selected
 from sparkgraft.sources.tree import list_tree, population, read_tree
-from sparkgraft.streaming.incremental import follow, scan_with_cache
+from sparkgraft.streaming.incremental import scan_with_cache
 
 FILES = "org string, repo string, path string, language string, content string"
 
@@ -74,13 +74,13 @@ def test_lexing(language, text, names):
 
 
 def test_rounds_of_the_fixpoint():
-    row = lambda i, name, kind, x: Row(1, i, "", name, kind, x, None, None, None)
+    row = lambda i, name, kind, x: Row(1, i, "", name, kind, x, None, None)
     forward = [row(0, "v0", "annotation", "T")] + [row(i, f"v{i}", "copy", f"v{i - 1}") for i in range(1, 30)]
-    assert {r[4:] for r in solve(forward)} == {(1, False)} and len(solve(forward)) == 30
+    assert {r[4:6] for r in solve(forward)} == {(1, False)} and len(solve(forward)) == 30
     backward = [row(-i, f"v{i}", "copy", f"v{i - 1}") for i in range(14, 0, -1)] + [row(1, "v0", "annotation", "T")]
     got = solve(backward)
-    assert {r[4:] for r in got} == {(10, True)} and len(got) == 11
-    assert solve([row(0, "a", "copy", "b")]) == [(1, None, None, None, 1, False)]
+    assert {r[4:6] for r in got} == {(10, True)} and len(got) == 11
+    assert solve([row(0, "a", "copy", "b")]) == [(1, None, None, None, 1, False, None)]
 
 
 def test_selection(spark):
@@ -140,14 +140,6 @@ def test_kept_parses_give_the_same_rows(spark, tmp_path):
     assert spark.read.parquet(folder).where("relation = 'fact'").count() == 3
 
 
-def test_stream_fills_the_cache(spark, tmp_path):
-    spark.createDataFrame([("o", "r", "a.rs", "rust", "fn a() {}\n")], FILES).write.parquet(str(tmp_path / "in"))
-    seen = []
-    stream = spark.readStream.schema(FILES).parquet(str(tmp_path / "in"))
-    follow(stream, str(tmp_path / "cache"), lambda batch, i: seen.append(batch.count()), str(tmp_path / "state")).awaitTermination()
-    assert seen == [1] and spark.read.parquet(str(tmp_path / "cache")).where("relation = 'fact'").count() == 1
-
-
 def test_populations_count_source_trees_only(spark):
     rows = [("a", "x/input/a.rs", True), ("a", "x/variant/b.md", True), ("a", "x/other/c.rs", False), ("a", None, True), ("b", "input/n.pyi", None), ("c", "input/.rs", True), ("c", "input/m.py", None), ("d", "inputs/e.ts", True)]
     found = {r.g: (r.files, r.supported, r.unreadable, r.unsupported, r.state) for r in population(spark.createDataFrame(rows, "g string, path string, readable boolean"), ("g",)).collect()}
