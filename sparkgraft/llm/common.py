@@ -48,6 +48,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme: one without is of the session's default file system, wherever it is opened."""
+    held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(held).toString()
+
+
 def row_key(docs: DataFrame) -> Column:
     """A hash of a whole row: equal rows have equal keys."""
     return F.xxhash64(*docs.columns)

@@ -127,7 +127,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 5,
     blocks = {b: -(-m // block_rows) for b, (m, _) in sizes.items()}
     tops = sorted(((b, top, blocks[b]) for b, (_, top) in sizes.items()), reverse=True)
     per_bucket = F.element_at(F.create_map(*[F.lit(x) for b in sorted(blocks) for x in (b, blocks[b])]), F.col("bucket")) if blocks else F.lit(1)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), per_bucket).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("row"), per_bucket).cast("int"))
 
     # one bounded block of the longest vectors gives each query a threshold
     longest = rows.where((F.col("bucket") == (tops[0][0] if tops else 0)) & (F.col("block") == 0)).select("vec_id", "v").limit(2 * block_rows).collect()

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, qualified
 
 # Fixed values of the seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
@@ -151,7 +151,8 @@ def seek_table(f: pa.NativeFile) -> list[tuple[int, int, int]]:
 
 
 def write_archives(spark: SparkSession, pages: DataFrame, folder: str, revisit_from: int = 100, frame_bytes: int = 1 << 20, bundle_bytes: int = 256 << 20, level: int = 3, salts: int = 32, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """The manifest of the bundles written under folder: one row per frame."""
+    """The manifest of the bundles written under folder: one row per frame. A folder without a scheme is of the session's default file system, as for Spark's own writers."""
+    folder = qualified(spark, folder)
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("bytes"))
     spread = F.pmod(F.xxhash64("page_id", "url"), F.lit(salts))

@@ -1,5 +1,8 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -131,3 +134,46 @@ def test_misspelt_terms_of_five_letters(spark):
     got = {x.doc_id: x.predicted for x in toxicity.score(spark, docs, labels).collect()}
     assert all(got[9000 + i] == 1 for i in range(10)) and not any(got[9100 + i] for i in range(10))
     assert all(got[i] == y for i, _, y in rows)
+
+
+def test_choose_takes_every_telling_stem():
+    rated = [(f"{a}{b}xx", 2.5, float(i)) for i, (a, b) in enumerate((a, b) for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst")] + [("aax", 3.0, 500.0), ("aaxxy", 3.0, 1.0), ("zzzz", 2.0, 9.0), ("zzzzz", 2.0, 9.0)]
+    got = dict(toxicity.choose(rated))
+    assert len(got) == 401 and "aax" in got and "aaxx" not in got and "aaxxy" not in got and "zzzzz" in got and "zzzz" not in got
+
+
+def test_scores_recomputed_plainly(spark):
+    """The lexicon, what misspelt terms are worth and the regression by plain loops over all labelled rows."""
+    sf = "/root/testdata/sf0.01"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    words = lambda t: set(re.findall(r"\w+", (t or "").lower()))
+    train = [(labels[i], t) for i, t in docs if labels.get(i) in (0, 1) and zlib.crc32(str(i).encode()) % 5]
+    n = Counter(y for y, _ in train)
+    counts = (Counter(), Counter())
+    for y, t in train:
+        counts[y].update({w[:k] for w in words(t) for k in range(4, min(12, len(w)) + 1)})
+    rated = []
+    for stem, a in counts[1].items():
+        b = counts[0][stem]
+        odds = math.log((a + 0.5) / (n[1] + 1)) - math.log((b + 0.5) / (n[0] + 1))
+        share = (a + b) / (n[0] + n[1])
+        told = a * math.log(a / (n[1] * share)) + (b * math.log(b / (n[0] * share)) if b else 0.0)
+        if a >= max(3, n[1] // 200) and odds >= 2 and told >= 8:
+            rated.append((stem, odds, round(told, 6)))
+    lexicon = []
+    for stem, odds, _ in sorted(rated, key=lambda r: (-r[2], -len(r[0]), r[0])):
+        if not any(stem.startswith(s) or s.startswith(stem) for s, _ in lexicon):
+            lexicon.append((stem, odds))
+    lexicon.sort()
+    trie, false = toxicity.Trie([s for s, _ in lexicon]), Counter()
+    for y, t in train:
+        if y == 0:
+            false.update({h for h in map(trie.find, words(t)) if h and h[1]})
+    worth = {(i, how): max(0.0, math.log((counts[1][s] + 0.5) / (n[1] + 1)) - math.log((false[i, how] + 0.5) / (n[0] + 1))) for i, (s, _) in enumerate(lexicon) for how in (1, 2, 3)}
+    scorer = toxicity.Scorer(lexicon, worth=worth)
+    rows = [(y, scorer.features(t, misspell)) for y, t in train for misspell in (False, True)]
+    model = Logistic.fit(np.array([x for _, x in rows]), np.array([y for y, _ in rows]))
+    want = {i: float(p) for (i, _), p in zip(docs, model.predict(np.array([scorer.features(t) for _, t in docs])), strict=True)}
+    got = {r.doc_id: r.score for r in toxicity.score(spark, spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).collect()}
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in got) < 1e-4

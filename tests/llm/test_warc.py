@@ -60,3 +60,13 @@ def test_damage_is_noticed():
     except ValueError:
         return
     raise AssertionError
+
+
+def test_a_folder_without_a_scheme_is_qualified(spark, tmp_path):
+    """As Spark's writers, bundles go to the default file system; columns of clashing names and an empty table are no matter."""
+    rows = spark.createDataFrame([(1, "u", "x" * 200), (2, "u", "x" * 200), (None, None, None)], "page_id long, url string, html string").selectExpr("*", "'d' AS digest", "1 AS salt", "2 AS payload", "3 AS first_id")
+    manifest = warc.write_archives(spark, rows, str(tmp_path / "b")).collect()
+    assert manifest and all(r.bundle.startswith("file:/") for r in manifest)
+    got = sorted((r.page_id or 0, r.record_type, r.refers_to) for r in warc.round_trip(spark, rows).collect())
+    assert got == [(0, "response", None), (1, "response", None), (2, "revisit", 1)]
+    assert warc.round_trip(spark, rows.limit(0)).count() == 0
