@@ -16,8 +16,11 @@ from ..operators import mentions as R
 from ..operators import resolve as V
 from ..operators import selection as S
 from ..operators import typeenv as T
+from ..operators.structure import compose_names, own_comments, structural_errors
 from ..sources import corpora
+from ..sources.scratch import Tables
 from ..sources.tree import census, population
+from ..streaming.incremental import Graph
 from .extract import Extraction, extract
 from .select import extract_selected
 
@@ -285,13 +288,13 @@ def observation(spark, sf_dir):
 
 
 @query("""
-    WITH f AS (SELECT lang, doc_id % 4 < 3 AS supported, doc_id % 50 > 0 OR lang <> 'fr' AS readable FROM documents WHERE doc_id % 4 < 3 OR lang <> 'es'),
+    WITH f AS (SELECT lang, doc_id % 4 < 3 AS supported, doc_id % 50 > 0 OR lang <> 'fr' AS readable FROM documents ),
     g AS (SELECT lang, count(*)::BIGINT AS files, count_if(supported)::BIGINT AS supported, count_if(NOT readable)::BIGINT AS unreadable FROM f GROUP BY lang)
     SELECT lang, files, supported, unreadable, CASE WHEN unreadable > 0 THEN 'unreadable' WHEN supported < files THEN 'unsupported' ELSE 'measured' END AS state FROM g
 """)
 def population_states(spark, sf_dir):
     ending = F.element_at(F.array(*map(F.lit, [".rs", ".ts", ".py", ".c"])), (F.col("doc_id") % 4 + 1).cast("int"))
-    files = table(spark, sf_dir, "documents").where("doc_id % 4 < 3 OR lang <> 'es'").select("lang", F.concat(F.col("doc_id").cast("string"), ending).alias("path"), ((F.col("doc_id") % 50 > 0) | (F.col("lang") != "fr")).alias("readable"))
+    files = table(spark, sf_dir, "documents").select("lang", F.concat(F.col("doc_id").cast("string"), ending).alias("path"), ((F.col("doc_id") % 50 > 0) | (F.col("lang") != "fr")).alias("readable"))
     return census(files, ("lang",))
 
 
@@ -418,6 +421,102 @@ def type_fixpoint(spark, sf_dir):
     return env.where("name IS NOT NULL").select("file_ord", "name", "type")
 
 
+@query("""
+    WITH p AS (SELECT p_partkey AS k, p_partkey + 1 IN (SELECT p_partkey FROM part) AND (p_partkey + 1) % 5 <> 0 AS makes FROM part),
+    r AS (SELECT k, makes, CASE WHEN NOT makes THEN 2 WHEN k % 7 = 0 THEN 4 ELSE 3 END AS rounds FROM p)
+    SELECT k AS file_ord, '' AS scope, 'a' AS name, 'T' || k AS type, rounds FROM r
+    UNION ALL SELECT k, '', 'b', 'T' || (k + 1), rounds FROM r
+    UNION ALL SELECT k, 'm@1', 'h', 'T' || (k + 1), rounds FROM r
+    UNION ALL SELECT k, '', 'c', 'U' || (k + 1), rounds FROM r WHERE makes
+    UNION ALL SELECT k, '', 'd', 'U' || (k + 1), rounds FROM r WHERE makes
+    UNION ALL SELECT k, '', 'e', 'V' || k, rounds FROM r WHERE k % 7 <> 0
+""")
+def type_members(spark, sf_dir):
+    """Per file: a is annotated, b is a field of a, c what a method of b returns, d a copy of c, e what a function returns, h a field of self; b to e stand in reverse order. Every fifth type has two methods of the name, every seventh function no return type, and each field an older type."""
+    k = F.col("p_partkey")
+    part = table(spark, sf_dir, "part").select(k, k.alias("file_ord"))
+    rows = [("a", "", "annotation", numbered("T", k), None, 9), ("b", "", "field", F.lit("a"), "next", 3), ("c", "", "method", F.lit("b"), "make", 2), ("d", "", "copy", F.lit("c"), None, 1), ("e", "", "call", numbered("g", k), None, 0), ("h", "m@1", "field", F.lit("self"), "next", 4)]
+    rows = [F.struct(F.lit(scope).alias("scope"), F.lit(name).alias("name"), F.lit(kind).alias("kind"), x.cast("string").alias("x"), F.lit(y).cast("string").alias("y"), F.lit(i).alias("ord")) for name, scope, kind, x, y, i in rows]
+    bindings = part.select("file_ord", F.explode(F.array(*rows)).alias("b")).select("file_ord", "b.*")
+    enclosing = part.select("file_ord", F.lit("m@1").alias("scope"), numbered("T", k).alias("owner"), F.lit(0).alias("ord"))
+    functions = part.select(numbered("g", k).alias("simple"), numbered("f", k, "::g", k).alias("target"))
+    method = lambda file: F.concat(file, numbered("::T", k, "::make"))
+    methods = part.select(numbered("T", k).alias("owner"), F.lit("make").alias("method"), method(numbered("f", k)).alias("target"))
+    methods = methods.union(part.where(k % 5 == 0).select(numbered("T", k), F.lit("make"), method(numbered("other", k))))
+    returns = part.select("file_ord", F.lit(0).alias("ord"), method(numbered("f", k)).alias("target"), numbered("U", k).alias("type"))
+    returns = returns.union(part.where(k % 7 != 0).select("file_ord", F.lit(1), numbered("f", k, "::g", k), numbered("V", k)))
+    field = part.select("file_ord", F.lit(0).alias("ord"), numbered("T", k).alias("owner"), F.lit("next").alias("field"), F.lit("Old").alias("type"))
+    fields = field.union(part.select("file_ord", F.lit(1), numbered("T", k), F.lit("next"), numbered("T", k + 1)))
+    # the field of the next file's type is declared there, so a file asks for what it does not hold
+    fields = fields.union(part.select((k - 1).alias("file_ord"), F.lit(7), numbered("T", k), F.lit("next"), F.lit("Older")))
+    return T.type_environment(bindings, enclosing, functions, methods, returns, fields).where("name IS NOT NULL").select("file_ord", "scope", "name", "type", "rounds")
+
+
+# -- structure
+
+
+@query("""
+    WITH RECURSIVE d AS (
+        SELECT p_partkey // 40 AS file_ord, (p_partkey % 40)::INTEGER AS ord, p_size, 'f' || p_partkey // 40 AS file_ref,
+               CASE WHEN p_partkey % 40 > 0 THEN (p_partkey % 40 - 1) // 2 END AS up, CASE p_partkey % 3 WHEN 0 THEN 'class' ELSE 'function' END AS kind,
+               CASE WHEN p_size % 4 > 0 THEN CASE WHEN p_size % 5 = 0 THEN 'same' ELSE 'n' || p_partkey END END AS name FROM part
+    ), g AS (
+        SELECT d.*, d.up IS NULL OR EXISTS (SELECT 1 FROM d e WHERE e.file_ord = d.file_ord AND e.ord = d.up) AS held FROM d
+    ), w AS (
+        SELECT file_ord, ord, file_ref || '::' || coalesce(name, '<' || kind || '#' || (row_number() OVER (PARTITION BY file_ord, kind, name IS NULL ORDER BY ord) - 1) || '>') AS qualified_name FROM g WHERE up IS NULL
+        UNION ALL
+        SELECT g.file_ord, g.ord, w.qualified_name || '::' || coalesce(g.name, '<' || g.kind || '#' || (row_number() OVER (PARTITION BY g.file_ord, w.qualified_name, g.kind, g.name IS NULL ORDER BY g.ord) - 1) || '>')
+        FROM w JOIN g ON g.file_ord = w.file_ord AND g.up = w.ord
+    )
+    SELECT file_ord, ord, qualified_name FROM w
+""")
+def composed_names(spark, sf_dir):
+    """Declarations nested as a binary tree of forty to a file: a quarter without a name, and of the others a fifth of one name."""
+    k, i = F.col("p_partkey"), F.col("p_partkey") % 40
+    declared = table(spark, sf_dir, "part").select(
+        F.floor(k / 40).alias("file_ord"), i.cast("int").alias("ord"), F.when(i > 0, F.floor((i - 1) / 2)).cast("int").alias("up"), numbered("f", F.floor(k / 40)).alias("file_ref"), F.when(k % 3 == 0, "class").otherwise("function").alias("kind"),
+        F.when(F.col("p_size") % 4 > 0, F.when(F.col("p_size") % 5 == 0, "same").otherwise(numbered("n", k))).alias("name"), F.lit(True).alias("named"),
+    )
+    # a declaration of the first file whose holder is missing (part keys begin at 1) has no name to stand below
+    found = compose_names(declared)
+    there = declared.select("file_ord", F.col("ord").alias("top")).where("top = 0").select("file_ord")
+    return found.join(there, "file_ord", "left_semi").select("file_ord", "ord", "qualified_name")
+
+
+@query("""
+    WITH e AS (SELECT DISTINCT l_orderkey AS file_ord, (l_suppkey % 2)::INTEGER AS frame, l_linenumber * 10000000 + l_partkey AS ord, CASE l_partkey % 8 WHEN 0 THEN 'declaration' WHEN 1 THEN 'declaration' WHEN 2 THEN 'other' WHEN 3 THEN 'import' WHEN 4 THEN 'inner' ELSE 'comment' END AS sort,
+                      CASE WHEN l_partkey % 8 < 2 THEN 'd' || l_partkey ELSE 'f' || l_orderkey END AS name FROM lineitem),
+    n AS (SELECT *, (SELECT min(b.ord) FROM e b WHERE b.file_ord = e.file_ord AND b.frame = e.frame AND b.ord > e.ord AND b.sort IN ('declaration', 'other')) AS stop FROM e WHERE sort IN ('comment', 'inner'))
+    SELECT n.file_ord, n.frame, n.ord, CASE WHEN n.sort = 'comment' AND b.sort = 'declaration' THEN b.name ELSE n.name END AS owner FROM n LEFT JOIN e b ON b.file_ord = n.file_ord AND b.frame = n.frame AND b.ord = n.stop
+""")
+def comment_owners(spark, sf_dir):
+    """Lines of orders as places of files in two frames: runs of comments broken by statements, imports and declarations."""
+    mode = F.col("l_partkey") % 8
+    events = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("file_ord"), (F.col("l_suppkey") % 2).cast("int").alias("frame"), (F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")).alias("ord"),
+        F.when(mode < 2, "declaration").when(mode == 2, "other").when(mode == 3, "import").when(mode == 4, "inner").otherwise("comment").alias("sort"),
+        F.when(mode < 2, numbered("d", F.col("l_partkey"))).otherwise(numbered("f", F.col("l_orderkey"))).alias("name"),
+    )
+    return own_comments(events.distinct())
+
+
+@query("""
+    WITH s AS (SELECT o_custkey AS file_ord, 0 AS start, 20000 AS stop, NULL AS body FROM orders UNION SELECT o_custkey, o_orderkey % 97 * 100, o_orderkey % 97 * 100 + 90, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 97 * 100 + 30 END FROM orders
+               UNION SELECT o_custkey, o_orderkey % 97 * 100 + 50, o_orderkey % 97 * 100 + 70, o_orderkey % 97 * 100 + 60 FROM orders WHERE o_orderkey % 2 = 0),
+    e AS (SELECT DISTINCT o_custkey AS file_ord, o_orderkey % 97 * 100 + o_orderkey % 89 AS place FROM orders WHERE o_orderkey % 4 > 0),
+    c AS (SELECT e.*, (SELECT max((s.start, -s.stop, coalesce(s.body, -1))) FROM s WHERE s.file_ord = e.file_ord AND s.start <= e.place AND e.place < s.stop) AS d FROM e)
+    SELECT file_ord, count(*) AS errors, min(CASE WHEN d IS NULL OR d[3] < 0 OR d[3] > place THEN place END)::BIGINT AS "at" FROM c GROUP BY file_ord
+""")
+def structure_probe(spark, sf_dir):
+    """Orders of a customer as declarations of a file: one around all, those within it with and without executable bodies, and further ones within these."""
+    key, base = F.col("o_orderkey"), F.col("o_orderkey") % 97 * 100
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file_ord"), key)
+    none = F.lit(None).cast("bigint")
+    spans = orders.select("file_ord", F.lit(0).cast("bigint").alias("start"), F.lit(20000).cast("bigint").alias("stop"), none.alias("body"))
+    spans = spans.union(orders.select("file_ord", base, base + 90, F.when(key % 3 > 0, base + 30))).union(orders.where(key % 2 == 0).select("file_ord", base + 50, base + 70, base + 60)).distinct()
+    return structural_errors(spans, orders.where(key % 4 > 0).select("file_ord", (base + key % 89).alias("at")), bin_size=1000)
+
+
 # -- call tiers
 
 
@@ -555,6 +654,26 @@ def python_edges(spark, sf_dir):
     return shown(extract(corpora.python_corpus(table(spark, sf_dir, "supplier"))).edges).drop("confidence")
 
 
+@query("""
+    WITH p AS (SELECT s_suppkey AS n, 'shop/supply/tool/s' || s_suppkey || '.py' AS f, 'tool/s' || s_suppkey || '.py' AS e, CASE WHEN s_suppkey % 3 = 0 THEN 'box_' ELSE 'pack_' END || s_suppkey AS pack FROM supplier WHERE s_suppkey % 7 > 0)
+    SELECT f AS source_ref, 'contains' AS edge_type, f || '::Supplier' || n AS target_ref, 'syntactic' AS reason, 1::BIGINT AS count, e || ':5' AS evidence FROM p
+    UNION ALL SELECT f, 'contains', f || '::main_' || n, 'syntactic', 1, e || ':14' FROM p
+    UNION ALL SELECT f || '::Supplier' || n, 'contains', f || '::Supplier' || n || '::ship', 'syntactic', 1, e || ':7' FROM p
+    UNION ALL SELECT f || '::Supplier' || n, 'contains', f || '::Supplier' || n || '::' || pack, 'syntactic', 1, e || ':10' FROM p
+    UNION ALL SELECT f || '::Supplier' || n || '::ship', 'calls', f || '::Supplier' || n || '::' || pack, 'receiver-typed', 1, e || ':8' FROM p
+    UNION ALL SELECT f || '::main_' || n, 'calls', f || '::Supplier' || n || '::ship', 'receiver-typed', 1, e || ':16' FROM p
+    UNION ALL SELECT f || '::Supplier' || n || '::ship', 'references', 'StR-' || n, 'explicit-mention', 1, e || ':6' FROM p
+""")
+def incremental_edges(spark, sf_dir):
+    """A graph of two batches: all files, then every third with other names, and every seventh no more."""
+    files = corpora.python_corpus(table(spark, sf_dir, "supplier"))
+    n = F.regexp_extract("path", r"(\d+)\.py$", 1).cast("long")
+    graph = Graph(spark, Tables(spark, "graph").root)
+    graph.apply(0, files)
+    graph.apply(1, files.where((n % 3 == 0) & (n % 7 > 0)).withColumn("content", F.replace("content", F.lit("pack_"), F.lit("box_"))), files.where(n % 7 == 0).select("org", "repo", "path"))
+    return shown(graph.edges()).drop("confidence")
+
+
 @query("""
     WITH p AS (SELECT c_custkey AS n, 'shop/web/ui/c' || c_custkey || '.ts' AS f, 'ui/c' || c_custkey || '.ts' AS e, c_custkey + 1 IN (SELECT c_custkey FROM customer) AS has_next FROM customer)
     SELECT f AS source_ref, 'contains' AS edge_type, f || '::Customer' || n AS target_ref, 'syntactic' AS reason, 1::BIGINT AS count, e || ':4' AS evidence FROM p

@@ -64,8 +64,8 @@ class Graph:
 
     Tables are folders below one, partitioned by batch; a row counts while its batch is the
     latest of its file (of its edge, for edges). A batch takes effect when its commit is written,
-    last. A batch that is applied again after that changes nothing, and before that is written
-    over. Nothing is collected but the numbers of the batches.
+    last, as an empty file. A batch that is applied again after that changes nothing, and before
+    that is written over.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -73,8 +73,18 @@ class Graph:
 
     # -- tables
 
+    def markers(self, batch: int | None = None):
+        """The file system, and the folder of the commits or the file of one."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/commits" + ("" if batch is None else f"/{batch}"))
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
     def committed(self) -> list[int]:
-        return sorted(r["batch"] for r in stored(self.spark, f"{self.folder}/commits", "batch long").collect())
+        files, path = self.markers()
+        return sorted(int(f.getPath().getName()) for f in files.listStatus(path)) if files.exists(path) else []
+
+    def commit(self, batch: int) -> None:
+        files, path = self.markers(batch)
+        files.create(path, True).close()
 
     def write(self, table: str, batch: int, rows: DataFrame) -> DataFrame:
         rows.write.mode("overwrite").parquet(f"{self.folder}/{table}/batch={batch}")
@@ -128,7 +138,7 @@ class Graph:
         folded = fold_edges(others.unionByName(sites).drop("file_ord"))
         ended = touched.join(folded.select(*KEY), KEY, "left_anti").select(*KEY, F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("array<struct<file:string,line:int>>").alias("evidence"), F.lit(0).cast("long").alias("count"))
         self.write("edges", batch, folded.select(*(c.split()[0] for c in EDGES.split(", ") if not c.startswith("evidence")), "evidence").unionByName(ended))
-        self.spark.createDataFrame([(batch,)], "batch long").coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
+        self.commit(batch)
         tables.drop()
 
     @staticmethod

@@ -54,10 +54,8 @@ def test_random_edits_equal_a_full_run(spark, tmp_path, seed):
         files = spark.createDataFrame([("o", r, p, *v) for (r, p), v in changed.items()], FILES)
         left = spark.createDataFrame([("o", r, p) for r, p in gone], "org string, repo string, path string")
         if batch == 1:  # a try that ends before its commit leaves what the next one writes over
-            graph.spark = Failing(spark)
             with pytest.raises(RuntimeError):
-                graph.apply(batch, files, left)
-            graph.spark = spark
+                Failing(spark, graph.folder).apply(batch, files, left)
         graph.apply(batch, files, left)
     whole = shown(extract(spark.createDataFrame([("o", r, p, *v) for (r, p), v in held.items()], FILES)))
     assert shown(graph.extraction()) == whole and len(whole[0]) > 20
@@ -66,19 +64,11 @@ def test_random_edits_equal_a_full_run(spark, tmp_path, seed):
     assert shown(graph.extraction()) == before
 
 
-class Failing:
-    """A session that is lost when the commit is to be written."""
+class Failing(Graph):
+    """Lost when the commit is to be written."""
 
-    def __init__(self, spark):
-        self.spark = spark
-
-    def createDataFrame(self, rows, ddl):
-        if ddl == "batch long" and rows:
-            raise RuntimeError("lost")
-        return self.spark.createDataFrame(rows, ddl)
-
-    def __getattr__(self, name):
-        return getattr(self.spark, name)
+    def commit(self, batch):
+        raise RuntimeError("lost")
 
 
 def test_only_affected_files_are_resolved_anew(spark, tmp_path):
