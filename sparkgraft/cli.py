@@ -3,24 +3,22 @@
 from __future__ import annotations
 
 import argparse
-import json
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from .plans.extract import extract
+from .sources.sink import print_object, write_ordered
 from .sources.tree import read_tree
 
-
-def rows(df: DataFrame) -> list[dict]:
-    return [json.loads(x) for x in df.toJSON().collect()]
+ORDERS = {"nodes": ["object_type", "name"], "edges": ["source_ref", "edge_type", "target_ref"], "mentions": ["identifier", "kind", "source", "file", "line"], "diagnostics": ["path", "line", "code"], "stats": []}
 
 
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="extract")
     parser.add_argument("--org", required=True)
     parser.add_argument("--repo", required=True)
-    parser.add_argument("--out", help="write each relation as Parquet below this folder instead")
+    parser.add_argument("--out", help="write each relation as ordered lines of JSON below this folder instead, and print their digests")
     parser.add_argument("dir")
     given = parser.parse_args(arguments)
     spark = spark or SparkSession.builder.appName("extract").getOrCreate()
@@ -28,11 +26,10 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     found = extract(files).ordered()
     if given.out:
         for name, df in found.items():
-            df.write.mode("overwrite").parquet(f"{given.out}/{name}")
+            n, digest = write_ordered(df, ORDERS[name], f"{given.out}/{name}").first()
+            print(f"{name} {n} {digest}")
     else:
-        shown = {name: rows(df) for name, df in found.items()}
-        shown["stats"] = shown["stats"][0]
-        print(json.dumps(shown, indent=2, ensure_ascii=False))
+        print_object(found, ("stats",), sys.stdout)
     lost = [r["path"] for r in unreadable.orderBy("path").collect()]
     for path in lost:
         print(f"unreadable: {path}", file=sys.stderr)
