@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .schema import schema_problems
+
 DIMENSIONS = ("language", "node_kind", "relation_kind", "resolver_tier")
 # What lists of results must name, and the strata that hold every open call site.
 RESULT_DIMENSIONS = ("overall", *DIMENSIONS)
@@ -128,3 +130,90 @@ def plan_files(plans: DataFrame) -> DataFrame:
     file = F.trim(F.substring("line", 5, 1_000_000))
     plain = ~file.startswith("/") & ~file.contains("..") & ~file.rlike(r"[*?\[\"'#]") & (file != "")
     return plans.select("plan_id", F.explode(listed).alias("line")).select("plan_id", file.alias("file"), plain.alias("plain"))
+
+
+def closed(**properties: dict) -> dict:
+    """An object of exactly these properties; those whose names end in an underscore may lack."""
+    return {"type": "object", "required": [k for k in properties if not k.endswith("_")], "properties": {k.rstrip("_"): v for k, v in properties.items()}, "additionalProperties": False}
+
+
+def given(**states: dict) -> dict:
+    """A condition on the population of a record."""
+    return {"properties": {"population": {"properties": states}}}
+
+
+def listed(least: int, **columns: dict) -> dict:
+    """A list of rows by dimension and key; the keys of two dimensions are fixed."""
+    by = lambda name: {"properties": {"dimension": {"const": name}}, "required": ["dimension"]}
+    keys = [{"if": by("overall"), "then": {"properties": {"key": {"const": "overall"}}}}, {"if": by("language"), "then": {"properties": {"key": LANGUAGE}}}]
+    return {"type": "array", "minItems": least, "items": closed(dimension={"enum": list(RESULT_DIMENSIONS)}, key=TEXT, **columns) | {"allOf": keys}}
+
+
+# The contract of an observation's record.
+COUNT, TEXT, LANGUAGE = {"type": "integer", "minimum": 0}, {"type": "string", "minLength": 1}, {"type": "string", "enum": list(RESULT_LANGUAGES)}
+POSITIVE, NOUGHT = {"minimum": 1}, {"const": 0}
+CENSUS = {"type": "array", "items": closed(key=TEXT, count=COUNT)}
+POPULATION = closed(
+    state={"enum": ["measured", "empty", "unreadable", "unsupported"]}, files_seen=COUNT, supported_files=COUNT, unreadable_files=COUNT, unsupported_files=COUNT,
+    census=closed(languages={"type": "array", "items": closed(key=LANGUAGE, count=COUNT)}, node_kinds=CENSUS, relation_kinds=CENSUS, resolver_tiers=CENSUS),
+)
+RESULTS = closed(
+    confusion_matrices=listed(5, true_positive=COUNT, false_positive=COUNT, false_negative=COUNT, true_negative={"type": ["integer", "null"], "minimum": 0}),
+    unresolved=listed(5, count=COUNT), ambiguous=listed(5, count=COUNT), recall=listed(1, recovered=COUNT, expected={"type": "integer", "minimum": 1}, ratio={"type": "number", "minimum": 0, "maximum": 1}),
+)
+
+
+def observation_schema(plan: str, definition: str) -> dict:
+    """The contract for records of one plan. Which counts a population may have, and whether there are results, follows from its state."""
+    state = lambda name: given(state={"const": name}) | {"required": ["population"]}
+    record = closed(
+        schema_version={"const": 1}, record_type={"const": "graph_quality_observation"}, observation_id={"type": "string", "pattern": "^sha256:[a-f0-9]{64}$"}, producer=closed(producer_contract_version={"type": "integer", "minimum": 1}),
+        measurement_plan=closed(ref={"const": plan}, definition_version={"const": definition}), population=POPULATION, results_=RESULTS,
+        raw_scorer_output=closed(path=TEXT | {"allOf": [{"not": {"pattern": r"^(?:[\\/]|[A-Za-z]:)"}}, {"not": {"pattern": r"(?:^|[\\/])\.\.(?:[\\/]|$)"}}]}),
+    )
+    by_state = [
+        {"if": state("measured"), "then": {"required": ["results"]} | given(supported_files=POSITIVE, unreadable_files=NOUGHT), "else": {"not": {"required": ["results"]}}},
+        {"if": state("empty"), "then": given(files_seen=NOUGHT, supported_files=NOUGHT, unreadable_files=NOUGHT, unsupported_files=NOUGHT)},
+        {"if": state("unreadable"), "then": given(unreadable_files=POSITIVE)},
+        {"if": state("unsupported"), "then": given(files_seen=POSITIVE, supported_files=NOUGHT, unreadable_files=NOUGHT, unsupported_files=POSITIVE)},
+    ]
+    return record | {"allOf": by_state}
+
+
+def text(value: Column, key: str) -> Column:
+    return F.coalesce(F.try_variant_get(value, f"$.{key}", "string"), F.lit(""))
+
+
+def falling(items: Column, keys: tuple[str, ...]) -> Column:
+    """Whether an item of a list isn't greater than the one before it."""
+    ranked = F.transform(items, lambda x: F.struct(*(text(x, k).alias(k) for k in keys)))
+    return F.exists(F.sequence(F.lit(0), F.greatest(F.size(ranked) - 2, F.lit(0))), lambda i: F.coalesce(F.get(ranked, i) >= F.get(ranked, i + 1), F.lit(False)))
+
+
+def observation_problems(records: DataFrame, schema: dict) -> DataFrame:
+    """The other columns, path and rule of every problem of observations (record: JSON text with sorted keys): the schema's, and what takes the whole record.
+
+    id: the record's digest without its id; order: a list's items don't rise by dimension and key
+    (census: by key); dimensions: a list of a measured record lacks one of the five.
+    """
+    value = F.try_parse_json(F.col("record"))
+    others = [c for c in records.columns if c != "record"]
+    bare = F.regexp_replace("record", r'"observation_id":"[^"]*",', "")
+    checks = [(F.lit("/observation_id"), F.lit("id"), text(value, "observation_id") != digest(bare))]
+    lists = [(f"/population/census/{n}", ("key",)) for n in ("languages", "node_kinds", "relation_kinds", "resolver_tiers")] + [(f"/results/{n}", ("dimension", "key")) for n in ("confusion_matrices", "unresolved", "ambiguous", "recall")]
+    for path, keys in lists:
+        items = F.try_variant_get(value, "$" + path.replace("/", "."), "array<variant>")
+        checks.append((F.lit(path), F.lit("order"), items.isNotNull() & falling(items, keys)))
+        if len(keys) == 2:
+            held = F.transform(items, lambda x: text(x, "dimension"))
+            lacks = F.size(F.array_except(F.array(*map(F.lit, RESULT_DIMENSIONS)), held)) > 0
+            checks.append((F.lit(path), F.lit("dimensions"), (text(value, "population.state") == "measured") & items.isNotNull() & lacks))
+    whole = F.array_compact(F.array(*(F.when(F.coalesce(wrong, F.lit(False)), F.struct(path.alias("path"), rule.alias("rule"))) for path, rule, wrong in checks)))
+    more = records.where(value.isNotNull()).select(*others, F.explode(whole).alias("p")).select(*others, "p.path", "p.rule")
+    return schema_problems(records, schema).union(more)
+
+
+def one_observation(problems_by: DataFrame) -> DataFrame:
+    """collection, n, status of collections: each must hold exactly one observation. problems_by: collection and an observation's state, a row each (state null: none)."""
+    counted = problems_by.groupBy("collection").agg(F.count("state").alias("n"), F.min("state").alias("state"))
+    return counted.select("collection", "n", F.when(F.col("n") == 0, "missing").when(F.col("n") > 1, "several").when(F.col("state") == "measured", "computed").otherwise("not_computed").alias("status"))

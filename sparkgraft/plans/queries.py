@@ -16,6 +16,7 @@ from ..operators import mentions as R
 from ..operators import resolve as V
 from ..operators import selection as S
 from ..operators import typeenv as T
+from ..operators.fingerprint import differing_rows, fingerprint
 from ..operators.structure import compose_names, own_comments, structural_errors
 from ..sources import corpora
 from ..sources.scratch import Tables
@@ -101,6 +102,31 @@ def lexical_predicates(spark, sf_dir):
     )
 
 
+@query(r"""
+    WITH w AS (SELECT lang, unnest(string_split(coalesce(text, ''), ' ')) AS w FROM documents)
+    SELECT coalesce(lang, '') AS lang, count(*) AS words, count_if(regexp_full_match(w, '[\p{L}\p{N}_$]+'))::BIGINT AS plain, count_if(regexp_matches(w, '^\p{Lu}'))::BIGINT AS upper,
+           count_if(starts_with(w, '__') AND NOT suffix(w, '__'))::BIGINT AS private FROM w GROUP BY ALL
+""")
+def word_predicates(spark, sf_dir):
+    """Every word of every text by what it may name."""
+    words = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("")).alias("lang"), F.explode(F.split(F.coalesce("text", F.lit("")), " ")).alias("w"))
+    return words.groupBy("lang").agg(F.count("*").alias("words"), F.count_if(N.is_plain_identifier(F.col("w"))).alias("plain"), F.count_if(N.starts_uppercase(F.col("w"))).alias("upper"), F.count_if(N.python_visibility(F.col("w")) == "private").alias("private"))
+
+
+@query(r"""
+    WITH p AS (SELECT page_id, regexp_extract(coalesce(url, ''), '://[^/?#]*/([^?#]*)', 1) AS path, regexp_extract(coalesce(url, ''), '://([^./?#]*)', 1) AS label FROM pages),
+    d AS (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM p)
+    SELECT page_id, dir, concat_ws('/', nullif(trim(dir, '/'), ''), nullif(label, '')) AS beside,
+           CASE WHEN trim(dir, '/') = '' THEN NULL ELSE concat_ws('/', nullif(regexp_extract(trim(dir, '/'), '^(.*)/[^/]*$', 1), ''), nullif(label, '')) END AS above FROM d
+""")
+def url_joins(spark, sf_dir):
+    """Paths of urls as importers of a module beside them, and of one in the folder above."""
+    url = F.coalesce("url", F.lit(""))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(url, r"://[^/?#]*/([^?#]*)", 1).alias("path"), F.regexp_extract(url, r"://([^./?#]*)", 1).alias("label"))
+    folder = N.parent_dir(F.col("path"))
+    return rows.select("page_id", folder.alias("dir"), N.join_relative(folder, F.concat(F.lit("./"), "label")).alias("beside"), N.join_relative(folder, F.concat(F.lit("./../"), "label")).alias("above"))
+
+
 # -- imports
 
 
@@ -357,6 +383,29 @@ def repetitions(spark, sf_dir):
     return M.reconcile(runs)
 
 
+ORDER_DIGESTS = "SELECT *, md5(concat_ws(chr(31), o_orderkey::VARCHAR, o_custkey::VARCHAR, coalesce(o_orderstatus, chr(30)))) AS d FROM orders"
+
+
+@query(f"""
+    SELECT o_orderpriority, count(*) AS n, sum(('0x' || substr(d, 1, 15))::BIGINT)::VARCHAR AS low, sum(('0x' || substr(d, 17, 15))::BIGINT)::VARCHAR AS high FROM ({ORDER_DIGESTS}) GROUP BY o_orderpriority
+""")
+def relation_fingerprints(spark, sf_dir):
+    return fingerprint(table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", "o_custkey", "o_orderstatus"), ["o_orderpriority"])
+
+
+@query("""
+    WITH a AS (SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem),
+    b AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 97 = 0 THEN 'X' ELSE l_returnflag END AS l_returnflag FROM lineitem WHERE l_orderkey % 89 > 0)
+    SELECT 'left' AS side, * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'right', * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)
+""")
+def relation_differences(spark, sf_dir):
+    """Two runs that differ in a few rows: found by bisection of their digests."""
+    key = F.col("l_orderkey")
+    left = table(spark, sf_dir, "lineitem").select(key, "l_linenumber", "l_returnflag")
+    right = left.where(key % 89 > 0).withColumn("l_returnflag", F.when(key % 97 == 0, "X").otherwise(F.col("l_returnflag")))
+    return differing_rows(left, right)
+
+
 @query("""
     SELECT item_id AS plan_id, unnest(['src/' || item_id || '.rs', '/abs', 'a/../b', 'x*.rs']) AS file, unnest([true, false, false, false]) AS plain FROM benchmark
 """)
