@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 from . import lexer
 
@@ -23,13 +24,14 @@ PLAIN = re.compile(r"[\w$]+")
 SOMETHING = re.compile(r"\S")
 
 
+@lru_cache(maxsize=20_000)
 def simple_type(text: str) -> str | None:
     """The simple name of a type: references off, single-argument generics opened, last segment, type-cased."""
     text = re.sub(r"^(?:->|:)\s*", "", text.strip()).lstrip("&* ")
     text = re.sub(r"^'\w+\s+", "", text)
     while re.match(r"(?:mut|dyn|impl|readonly)\s", text):
         text = text.split(None, 1)[1]
-    opened, closed, commas = ([m.start() for m in re.finditer(c, text)] for c in "<>,")
+    opened, closed, commas = ([m.start() for m in re.finditer(c, text)] for c in "<>,") if "<" in text else ((), (), ())
     at, end = 0, len(text)
     for k, start in enumerate(opened):
         if start >= end:
@@ -62,6 +64,11 @@ class Frame:
     pending: list = field(default_factory=list)
 
 
+@lru_cache(maxsize=64)
+def stops_of(stops: str) -> frozenset[str]:
+    return frozenset(stops.split())
+
+
 class Scan:
     def __init__(self, name: str, path: str, language: str, text: str):
         self.name, self.path, self.text = name, path, text
@@ -70,7 +77,7 @@ class Scan:
         self.tokens = lexer.tokens(language, text)
         self.breaks = [i for i, c in enumerate(text) if c == "\n"]
         self.stack = [Frame(name, name)]
-        self.later, self.next_string, self.angles = self.indexed()
+        self.later, self.next_string, self.angles = self.indexed() if self.family == "script" else ([], [], {})
         self.partners, self.round = self.matched()
         self.stops: dict[str, list[int]] = {}
         self.places: dict[int, list[int | None]] = {}  # by fact: where it starts, where its body does, where it stops
@@ -314,8 +321,18 @@ class Scan:
         """The first token from i on (but before end) that is one of stops outside of round and square brackets that open from i on."""
         n = len(self.tokens)
         end = n if end is None else end
+        wanted = stops_of(stops)
+        depth = 0
+        for j in range(i, min(i + 48, end)):  # most are near; for the rest a table is made once
+            kind, text = self.tokens[j][:2]
+            if depth <= 0 and text in wanted and (kind == "p" or kind == "w" and (not j or self.tokens[j - 1][1] != "*")):
+                return j
+            if kind == "p":
+                depth += (text == "(" or text == "[") - (depth > 0 and (text == ")" or text == "]"))
+        if end <= i + 48:
+            return end
         if stops not in self.stops:
-            wanted, found = frozenset(stops.split()), [n] * (n + 1)
+            found = [n] * (n + 1)
             for j in range(n - 1, -1, -1):
                 kind, text = self.tokens[j][:2]
                 if text in wanted and (kind == "p" or kind == "w" and (not j or self.tokens[j - 1][1] != "*")):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import MAX_EVIDENCE, MENTION_KINDS, REASONS
+from ..sources.scratch import Tables
 
 
 def confidence_of(reason: Column) -> Column:
@@ -17,13 +18,14 @@ def confidence_of(reason: Column) -> Column:
 def fold_edges(sites: DataFrame, most: int = MAX_EVIDENCE) -> DataFrame:
     """One edge per (source, type, target): all sites counted, the strongest reason, the first distinct evidence.
 
-    Self-edges go first. Evidence is made distinct and cut before it is gathered, so that a hub
-    edge never holds more than `most` places in memory; counts come from a partial aggregate.
+    Self-edges go first. Sites are counted by place and written once; counts are added up by partial
+    aggregates, and evidence is cut before it is gathered, so that a hub edge never holds more than
+    `most` places in memory.
     """
     key = ["source_ref", "edge_type", "target_ref"]
     sites = sites.where("source_ref <> target_ref").withColumn("confidence", confidence_of(F.col("reason")))
-    totals = sites.groupBy(*key).agg(F.count("*").alias("count"), F.max(F.struct("confidence", "reason")).alias("best"))
-    places = sites.groupBy(*key, "file", "line").agg(F.count("*").alias("n"))
+    places = Tables(sites.sparkSession, "fold").cut(sites.groupBy(*key, "file", "line").agg(F.count("*").alias("n"), F.max(F.struct("confidence", "reason")).alias("best")), "places")
+    totals = places.groupBy(*key).agg(F.sum("n").alias("count"), F.max("best").alias("best"))
     first = places.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("file", "line"))).where(F.col("rank") <= most)
     evidence = first.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("file", "line"))).alias("evidence"))
     return totals.join(evidence, key).select(*key, F.col("best.confidence").alias("confidence"), F.col("best.reason").alias("reason"), "evidence", "count")

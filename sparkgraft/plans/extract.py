@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -76,14 +77,17 @@ def resolve(parsed: Parsed, facts: DataFrame, known: Known, tables: Tables) -> R
     place = [F.col("path"), F.col("line")]
     contains = facts.where("parent IS NOT NULL").select("file_ord", *site(F.col("parent"), F.lit("contains"), F.col("qualified_name"), "syntactic", *place))
 
-    imports = tables.cut(resolve_imports(parsed.imports(), known.files.select("path")), "imports")
+    # three tables that don't need each other are written side by side
+    with ThreadPoolExecutor(3) as pool:
+        env = pool.submit(lambda: tables.cut(type_environment(parsed.bindings(), enclosing, known.functions, known.methods, known.returns, known.fields, tables), "types"))
+        imports = pool.submit(lambda: tables.cut(resolve_imports(parsed.imports(), known.files.select("path")), "imports"))
+        cited = pool.submit(lambda: tables.cut(harvest(parsed.comments()), "mentions"))
+        env, imports, cited = env.result(), imports.result(), cited.result()
     found = imports.where("target_path IS NOT NULL")
     imported = found.join(names, "file_ord").select("file_ord", *site(F.col("file_ref"), F.lit("imports"), file_name(F.col("org"), F.col("repo"), F.col("target_path")), "path-resolved", *place))
 
-    cited = tables.cut(harvest(parsed.comments()), "mentions")
     references = cited.select("file_ord", *site(F.col("source"), F.lit("references"), F.col("identifier"), "explicit-mention", F.col("file"), F.col("line")))
 
-    env = tables.cut(type_environment(parsed.bindings(), enclosing, known.functions, known.methods, known.returns, known.fields, tables), "types")
     reachable = reachable_types(known.types, found.select("path", "target_path").distinct(), known.files)
     calls = tables.cut(resolve_calls(parsed.calls(), env, enclosing, reachable, known.methods, known.functions, tables), "calls")
     called = calls.where("target IS NOT NULL").select("file_ord", F.col("caller").alias("source_ref"), F.lit("calls").alias("edge_type"), F.col("target").alias("target_ref"), "reason", F.col("path").alias("file"), F.col("line").cast("int").alias("line"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..front.parse import Parsed, scan
 from ..functions import naming as N
 from ..operators import corpus as C
 from ..operators import edges as E
@@ -768,3 +769,69 @@ def selected_nodes(spark, sf_dir):
     modules = files.where(n % 2 == 0).select("org", "repo", "path", F.when(n % 10 == 0, "other").otherwise(N.content_identity(F.col("content"))).alias("identity"), F.array(F.concat(F.lit("shop/supply/"), "path", F.lit("::main_"), n.cast("string"))).alias("functions"))
     _, _, found = extract_selected(modules, files)
     return found.nodes.select("object_type", "name")
+
+
+HEIRS = """
+    p AS (SELECT c_custkey AS n, c_custkey + 1 AS m, 'shop/heir/ui/b' || c_custkey || '.ts' AS f, 'shop/heir/ui/b' || (c_custkey + 1) || '.ts' AS g, 'ui/b' || c_custkey || '.ts' AS e, c_custkey + 1 IN (SELECT c_custkey FROM customer) AS has_next FROM customer)
+"""
+
+
+@query(f"""
+    WITH {HEIRS}, x AS (
+        SELECT f AS source_ref, 'contains' AS edge_type, f || '::Base' || n AS target_ref, 'syntactic' AS reason, e || ':2' AS evidence FROM p
+        UNION ALL SELECT f || '::Base' || n, 'contains', f || '::Base' || n || '::same', 'syntactic', e || ':4' FROM p
+        UNION ALL SELECT f || '::Base' || n, 'contains', f || '::Base' || n || '::make' || n, 'syntactic', e || ':5' FROM p
+        UNION ALL SELECT f, 'contains', f || '::Shown' || n, 'syntactic', e || ':7' FROM p
+        UNION ALL SELECT f || '::Shown' || n, 'contains', f || '::Shown' || n || '::shown' || n, 'syntactic', e || ':7' FROM p
+        UNION ALL SELECT f, 'contains', f || '::helper' || n, 'syntactic', e || ':8' FROM p
+        UNION ALL SELECT f, 'contains', f || '::wrap' || n, 'syntactic', e || ':9' FROM p
+        UNION ALL SELECT f, 'contains', f || '::use' || n, 'syntactic', e || ':10' FROM p
+        UNION ALL SELECT f, 'contains', f || '::test_' || n, 'syntactic', e || ':16' FROM p
+        UNION ALL SELECT f, 'imports', g, 'path-resolved', e || ':1' FROM p WHERE has_next
+        UNION ALL SELECT f || '::Base' || n, 'extends', g || '::Base' || m, 'syntactic', e || ':1' FROM p WHERE has_next
+        UNION ALL SELECT f || '::Base' || n, 'implements_trait', f || '::Shown' || n, 'syntactic', e || ':1' FROM p
+        UNION ALL SELECT f || '::helper' || n, 'calls', f || '::wrap' || n, 'name-match', e || ':8' FROM p
+        UNION ALL SELECT f || '::use' || n, 'calls', f || '::Base' || n || '::make' || n, 'receiver-typed', e || ':11' FROM p
+        UNION ALL SELECT f || '::use' || n, 'calls', g || '::Base' || m || '::make' || m, 'receiver-typed', e || ':12' FROM p WHERE has_next
+        UNION ALL SELECT f || '::use' || n, 'calls', f || '::Base' || n || '::same', 'import-scoped', e || ':13' FROM p WHERE NOT has_next
+        UNION ALL SELECT f || '::test_' || n, 'references', 'TC-' || n % 7 + 1, 'explicit-mention', e || ':15' FROM p)
+    SELECT *, 1::BIGINT AS count FROM x
+""")
+def heirs_edges(spark, sf_dir):
+    """Bases in other files, functions as values, generic calls, types of members, and a method of two types in reach, which gives no edge."""
+    return shown(extract(corpora.heirs_corpus(table(spark, sf_dir, "customer"))).edges).drop("confidence")
+
+
+@query(f"""
+    WITH {HEIRS}
+    SELECT e AS path, 'return' AS sort, f || '::Base' || n || '::make' || n AS of, NULL AS member, 'Base' || m AS type, NULL::BOOLEAN AS is_trait FROM p
+    UNION ALL SELECT e, 'field', 'Base' || n, 'next', 'Base' || m, NULL FROM p UNION ALL SELECT e, 'relation', 'Base' || n, NULL, 'Base' || m, false FROM p UNION ALL SELECT e, 'relation', 'Base' || n, NULL, 'Shown' || n, true FROM p
+    UNION ALL SELECT e, 'tag', f || '::test_' || n, NULL, 'TC-' || n % 7 + 1, NULL FROM p
+""")
+def member_types(spark, sf_dir):
+    """What a scan says of return types, fields, supertypes and tests, before anything is resolved."""
+    parsed = Parsed(scan(corpora.heirs_corpus(table(spark, sf_dir, "customer"))))
+    none, unknown = F.lit(None).cast("string"), F.lit(None).cast("boolean")
+    row = lambda df, sort, of, member, kind, trait: df.select("path", F.lit(sort).alias("sort"), of.alias("of"), member.alias("member"), kind.alias("type"), trait.alias("is_trait"))
+    tags = R.harvest(parsed.comments()).where("kind = 'tracking_tag'").withColumnRenamed("file", "path")
+    return (
+        row(parsed.returns(), "return", F.col("target"), none, F.col("type"), unknown).union(row(parsed.fields(), "field", F.col("owner"), F.col("field"), F.col("type"), unknown))
+        .union(row(parsed.relations(), "relation", F.col("child"), none, F.col("parent"), F.col("is_trait"))).union(row(tags, "tag", F.col("source"), none, F.col("identifier"), unknown))
+    )
+
+
+@query("""
+    SELECT 'o' AS org, 'r' AS repo, 's' || s_suppkey AS path, 'o/r/s' || s_suppkey || '::f' AS function FROM supplier WHERE s_suppkey % 4 = 0
+    UNION ALL SELECT 'o', 'r', 's' || s_suppkey, 'o/r/s' || s_suppkey || '::g' FROM supplier WHERE s_suppkey % 3 = 0
+    UNION ALL SELECT 'o', 'r', 's' || s_suppkey, 'o/r/s' || s_suppkey || '::T' FROM supplier
+""")
+def absent_functions(spark, sf_dir):
+    """Selected functions that no file declares; a type of the name is none."""
+    n = F.col("s_suppkey")
+    path = numbered("s", n)
+    name = lambda what: F.concat(F.lit("o/r/"), path, F.lit(f"::{what}"))
+    supplier = table(spark, sf_dir, "supplier")
+    modules = supplier.select(F.lit("o").alias("org"), F.lit("r").alias("repo"), path.alias("path"), F.array(name("f"), name("g"), name("T")).alias("functions"))
+    fact = lambda rows, what, sort: rows.select(F.lit(sort).alias("object_type"), name(what).alias("qualified_name"))
+    facts = fact(supplier.where(n % 4 > 0), "f", "code_function").union(fact(supplier.where(n % 3 > 0), "g", "code_function")).union(fact(supplier, "T", "code_type"))
+    return S.absent_functions(modules, facts)

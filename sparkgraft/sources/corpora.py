@@ -112,6 +112,31 @@ export function Row{{n}}(v: View{{n}}) {
 """
 
 
+HEIRS = """import { Base{{m}} } from './b{{m}}';
+export class Base{{n}} extends Base{{m}} implements Shown{{n}} {
+  next: Base{{m}};
+  same(): void {}
+  make{{n}}(): Base{{m}} { return this.next; }
+}
+interface Shown{{n}} { shown{{n}}(): void; }
+const helper{{n}} = function (b: Base{{n}}) { return wrap{{n}}<string>(b); };
+const wrap{{n}} = x => x;
+export const use{{n}} = (b: Base{{n}}) => {
+  const c = b.make{{n}}();
+  c.make{{m}}();
+  q.same();
+};
+// TC-{{t}} holds.
+function test_{{n}}() {}
+"""
+
+
+def heirs_corpus(customer: DataFrame) -> DataFrame:
+    """Classes that extend the next file's, functions as values, and a method that every file declares."""
+    n = F.col("c_custkey")
+    return customer.select(F.lit("shop").alias("org"), F.lit("heir").alias("repo"), fill("ui/b{{n}}.ts", n=n).alias("path"), F.lit("typescript").alias("language"), fill(HEIRS, n=n, m=n + 1, t=n % 7 + 1).alias("content"))
+
+
 def rust_corpus(part: DataFrame, steps: int = 4) -> DataFrame:
     """36 + 5 * steps lines a file."""
     n = F.col("p_partkey")
