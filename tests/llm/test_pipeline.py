@@ -65,3 +65,63 @@ def test_near_stage_against_brute_force(spark):
     left = corpus_pipeline.near_stage(spark, docs, SF).collect()
     assert sorted(r.doc_id for r in left) == [i for i in ids if find(i) == i]
     assert len(left) < len(ids)
+
+
+def test_line_stage_against_brute_force(spark):
+    """A line on eight sites and in eight different texts goes from every row but those of the least doc_id that holds it."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    rows = {r.doc_id: r for r in docs.collect()}
+    white = " \t\n\r\x0b\x0c"
+    sites, texts, home = {}, {}, {}
+    for i, r in rows.items():
+        for line in (r.text or "").split("\n"):
+            if k := line.strip(white):
+                sites.setdefault(k, set()).add(r.source)
+                texts.setdefault(k, set()).add(r.text)
+                home[k] = min(i, home.get(k, i))
+    gone = {k for k in sites if len(sites[k]) >= 8 and len(texts[k]) >= 8}
+    want = {i: "\n".join(x for x in (r.text or "").split("\n") if x.strip(white) not in gone or home[x.strip(white)] == i) if r.text is not None else None for i, r in rows.items()}
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, SF).collect()}
+    assert gone and got == want
+
+
+def test_near_copies_on_many_sites_keep_one_whole_text(spark):
+    lines = [" ".join(f"line{i}word{j}" for j in range(30)) for i in range(6)]
+    rows = [(i, "\n".join([*lines, f"only in copy {i}"]), "en", f"site{i}", 1) for i in range(1, 10)] + [(20, "a clean text of its own that stays as it is", "en", "site1", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    after = corpus_pipeline.line_stage(spark, docs, SF)
+    left = {r.doc_id: r.text for r in corpus_pipeline.near_stage(spark, after, SF).collect()}
+    assert left[1] == rows[0][1] and left[20] == rows[9][1]
+    assert all(r.n_chars == len(r.text) for r in after.collect() if r.doc_id not in (1, 20))
+
+
+def test_stages_on_an_empty_table_and_with_clashing_columns(spark):
+    docs = table(spark, SF, "documents").selectExpr("*", "doc_id AS gone_doc_id", "1 AS gone_row_key", "2 AS own", "3 AS same", "4 AS label", "5 AS row_key_")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.count() > 0, name
+    assert corpus_pipeline.packing_stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_packing_stage_holds_every_token_once(spark):
+    """Pieces of a document are gapless, and sequences are filled without gaps or overlaps."""
+    docs = table(spark, SF, "documents")
+    pieces = corpus_pipeline.packing_stage(spark, docs, SF).collect()
+    by_doc, by_sequence = {}, {}
+    for p in pieces:
+        by_doc.setdefault(p.doc_id, []).append((p.start, p.length, p.doc_tokens))
+        by_sequence.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    assert set(by_doc) == {r.doc_id for r in docs.collect()}
+    for held in by_doc.values():
+        at = 0
+        for start, length, _ in sorted(held):
+            assert start == at
+            at += length
+        assert {t for _, _, t in held} == {at}
+    for held in by_sequence.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= 4096
