@@ -13,7 +13,8 @@ words of address speak for abuse. A logistic regression over these counts gives
 
 The model is fitted on at most `sample` labelled rows, taken by hash; every document is
 scored by its whole text where it lies, so nothing is shuffled but the bounded sample and
-nothing grows on the driver (the lexicon holds every telling stem, so it is bounded by the sample). Scores use the text alone.
+nothing grows on the driver (the lexicon is a model of at most `terms` stems; beyond the terms proper,
+which come first, stand words of toxic documents that have many near copies). Scores use the text alone.
 
 Defined results: a null or empty text has the score of a text without hits; a null doc_id is
 scored and counts as not held out; repeated rows are scored each (learned from once, by the
@@ -265,7 +266,7 @@ def telling(counts: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
     return counts.where((a >= max(3, n_toxic // 200)) & (odds >= 2.0) & (told >= 8.0)).select("stem", "a", odds.alias("odds"), F.round(told, 6).alias("told"))
 
 
-def choose(rated: list[tuple[str, float, float]]) -> list[tuple[str, float]]:
+def choose(rated: list[tuple[str, float, float]], terms: int) -> list[tuple[str, float]]:
     """Of stems with their log-odds and what they tell, none the beginning of another: those that tell most about the label, of equals the longest."""
     chosen: dict[str, float] = {}
     begun: set[str] = set()  # every beginning of a chosen stem
@@ -273,10 +274,12 @@ def choose(rated: list[tuple[str, float, float]]) -> list[tuple[str, float]]:
         if stem not in begun and not any(stem[:k] in chosen for k in range(1, len(stem))):
             chosen[stem] = odds
             begun.update(stem[:k] for k in range(1, len(stem) + 1))
+            if len(chosen) >= terms:
+                break
     return sorted(chosen.items())
 
 
-def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFrame:
+def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = 20_000, terms: int = 300) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs. labels: doc_id, toxic."""
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -290,7 +293,7 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     if n_toxic and n_clean:
         found = telling(count_stems(train), n_toxic, n_clean).collect()  # bounded by the sample
         toxic = {r["stem"]: r["a"] for r in found}
-        lexicon = choose([(r["stem"], r["odds"], r["told"]) for r in found])
+        lexicon = choose([(r["stem"], r["odds"], r["told"]) for r in found], terms)
         false = {(r["term"], r["how"]): r["n"] for r in count_false(train.where("toxic = 0"), lexicon).collect()}
         worth = tuple(misspelt_worth(lexicon, toxic, false, n_toxic, n_clean).items())
         shared = spark.sparkContext.broadcast((tuple(lexicon), worth))
