@@ -150,7 +150,7 @@ class Scorer:
 
     NAMES = ("exact", "fuzzy", "short", "loose", "weight", "top", "distinct", "quoted", "addressed", "share", "abuse")
 
-    def __init__(self, lexicon: list[tuple[str, float]], most: int = 600_000, worth: dict[tuple[int, int], float] | None = None):
+    def __init__(self, lexicon: list[tuple[str, float]], most: int = 200_000, worth: dict[tuple[int, int], float] | None = None):
         """worth: of a term misspelt in each of the ways, by term and way; half the weight if it isn't given."""
         self.trie, self.weights, self.known, self.most = Trie([s for s, _ in lexicon]), [w for _, w in lexicon], {}, most
         self.before: dict[str, tuple[int, int] | None] = {}  # what was known before the table was last full
