@@ -143,24 +143,30 @@ class Graph:
 
     @staticmethod
     def contributions(parsed: Parsed) -> DataFrame:
-        """file_ord, path, sort, name, value of everything that a file gives to the indexes."""
+        """file_ord, path, sort, name, value of everything that a file gives to the indexes.
+
+        Of repeated returns and fields the last counts, so theirs have a number among equals of the file.
+        """
         declared = parsed.declared()
+        again = lambda *keys: F.row_number().over(Window.partitionBy("file_ord", *keys).orderBy("ord"))
         row = lambda df, sort, name, value: df.select("file_ord", "path", F.lit(sort).alias("sort"), name.alias("name"), value.alias("value"))
         types = declared.where("object_type = 'code_type'")
         functions = declared.where("object_type = 'code_function'")
-        both = F.concat_ws("\x1f", "a", "b")
+        both = F.concat_ws("\x1f", "a", "b", "nth")
+        returns = parsed.returns().withColumn("nth", again("target")).select("file_ord", "path", F.col("target").alias("a"), F.col("type").alias("b"), "nth")
+        fields = parsed.fields().withColumn("nth", again("owner", "field")).select("file_ord", "path", "field", F.col("owner").alias("a"), F.col("type").alias("b"), "nth")
         return (
             row(types, "type", F.col("simple_name"), F.concat_ws("\x1f", "qualified_name", "ord"))
             .union(row(functions, "function", F.col("simple_name"), F.concat_ws("\x1f", "qualified_name", "ord")))
-            .union(row(parsed.returns().select("file_ord", "path", F.col("target").alias("a"), F.col("type").alias("b")), "function", simple_segment(F.col("a")), both))
-            .union(row(parsed.fields().select("file_ord", "path", "field", F.col("owner").alias("a"), F.col("type").alias("b")), "field", F.col("field"), both))
+            .union(row(returns, "function", simple_segment(F.col("a")), both))
+            .union(row(fields, "field", F.col("field"), both))
         )
 
     def affected(self, tables: Tables, old: DataFrame, new: DataFrame, kept: DataFrame, changed: DataFrame) -> DataFrame:
         """file_ord, alive of the files whose results this batch may change; those that are no more among them."""
         was, now = Parsed(old), Parsed(new)
         counted = self.contributions(was).withColumn("n", F.lit(-1)).union(self.contributions(now).withColumn("n", F.lit(1)))
-        diff = tables.cut(counted.groupBy("path", "sort", "name", "value").agg(F.sum("n").alias("n")).where("n <> 0").select("path", "sort", "name").distinct(), "diff")
+        diff = tables.cut(counted.groupBy("file_ord", "path", "sort", "name", "value").agg(F.sum("n").alias("n")).where("n <> 0").select("path", "sort", "name").distinct(), "diff")
         names = diff.select("sort", "name").distinct()
 
         mentions = kept.where("relation IN ('call', 'binding', 'relation')").select(
@@ -207,7 +213,7 @@ class Graph:
         in_reach = declared.where("object_type = 'code_type'").join(reach, "path", "left_semi")
         types = types_of(of_names.unionByName(in_reach).dropDuplicates(["file_ord", "ord"]))
         returns = whole.returns().withColumn("name", simple_segment(F.col("target"))).join(wanted, "name", "left_semi").drop("name")
-        fields = whole.fields().join(wanted.withColumnRenamed("name", "field"), "field", "left_semi")
+        fields = whole.fields().join(wanted.withColumnRenamed("name", "field"), "field", "left_semi").drop("path").join(files.select("file_ord", "org", "repo", "path"), "file_ord")
         return Known(types, methods_of(of_names), functions_of(of_names), returns, fields, files)
 
     # -- results

@@ -85,6 +85,18 @@ def test_only_affected_files_are_resolved_anew(spark, tmp_path):
     assert {r.file_ord.split("\x01")[2] for r in spark.read.parquet(f"{graph.folder}/resolved/batch=3").collect()} == {"src/a.rs"}
 
 
+def test_the_last_field_in_batch_order_counts(spark, tmp_path):
+    graph = Graph(spark, str(tmp_path / "graph"))
+    lib = "export class A { go() {} }\nexport class B { go() {} }\n"
+    pair = lambda a, b: f"export class T {{\n  next: {a};\n  next: {b};\n}}\n"
+    files = [("o", "r", "lib.ts", "typescript", lib), ("o", "r", "u.ts", "typescript", "function f(x: T) { const y = x.next; y.go(); }\n"), ("o", "r", "z.ts", "typescript", pair("B", "B")), ("o", "s", "a.ts", "typescript", pair("B", "A"))]
+    called = lambda: [r.target_ref.split("::", 1)[1] for r in graph.edges().where("edge_type = 'calls'").collect()]
+    graph.apply(1, spark.createDataFrame(files, FILES))
+    assert called() == ["A::go"]  # repo s stands after r, whatever the paths
+    graph.apply(2, spark.createDataFrame([("o", "s", "a.ts", "typescript", pair("A", "B"))], FILES))  # the same two fields, turned
+    assert called() == ["B::go"]
+
+
 def test_a_stream_of_files_keeps_the_graph(spark, tmp_path):
     rows = [("o", "r", "a.rs", "rust", "fn a() { b(); }\n"), ("o", "r", "b.rs", "rust", "fn b() {}\n")]
     spark.createDataFrame(rows, FILES).write.parquet(str(tmp_path / "in"))
