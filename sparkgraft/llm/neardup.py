@@ -17,10 +17,18 @@ surviving pair across components is verified or implied, and emitted rows stay l
 A bucket of more than `most_rows` rows (or `most_shingles` shingles) is not searched in one
 task: its nodes get a further family of longer bands, and their buckets are searched in its
 place; what is too large in the last family is dealt out as pairs of blocks, which covers all
-its pairs. What remains of chance is the miss probability of each family of bands (at most
-1e-6 for a pair at the threshold) and of the Bayesian bound (1e-6).
-
-Nothing is collected but counts. Ids are broadcast only while they are few; joins on hot keys
+its pairs. So far a pair at the threshold is missed with a chance of at most 1e-6 in each family
+of bands and 1e-6 in the Bayesian bound.
+
+An exact search between the components found closes that gap. Two sets that reach the threshold
+share one of their rarest shingles, so many of each as may be missing from the other. Rows of
+different components meet by these; a pair is dropped only if the places of the shingle, or the
+parities of both sets' shingles over BITS buckets, show that the sets differ too much. Parities
+over buckets in proportion to the sets thin out the distinct pairs that are left, which are
+verified on the full sets. Which shingles are frequent is learned from a sample of `sample` rows: it orders the shingles, which
+saves work, and any order gives the same links. Hence no link is lost by chance.
+
+Nothing is collected but counts and the sample's most frequent shingles (MOST_FREQUENT). Ids are broadcast only while they are few; joins on hot keys
 are plain equi-joins that adaptive execution can split. Intermediate tables are written to
 the shared folder, and dropped once they are used up.
 
@@ -41,6 +49,8 @@ from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +58,9 @@ from .common import Scratch, lean
 from .shingles import many_words, mix, shingles
 
 HASHES, BATCH = 180, 30
-SKETCH = "doc_id long, n_shingles long, key binary, bands array<long>, signature binary"
+BITS = 1024
+MOST_FREQUENT = 100_000
+SKETCH = "doc_id long, n_shingles long, key binary, bands array<long>, signature binary, rarest array<long>, parities binary, wide binary"
 
 
 @lru_cache(maxsize=8)
@@ -124,31 +136,80 @@ def reaches(a: np.ndarray, b: np.ndarray, threshold: Fraction) -> bool:
     return common * threshold.denominator >= threshold.numerator * (len(a) + len(b) - common)
 
 
+def rarest(found: np.ndarray, threshold: Fraction, frequent: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """So many of a sorted set's shingles that another set without any of them misses the threshold: the rarest, by rank and value."""
+    rank = np.zeros(len(found), dtype=np.uint8)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
+        rank = np.where(frequent[at] == found, ranks[at], rank)
+    n = len(found) + 1 - ceil(len(found) * threshold)
+    return found[np.argsort(rank, kind="stable")[:n]]
+
+
+def parities(found: np.ndarray, bits: int = BITS) -> bytes:
+    """Whether each of so many buckets (a power of two) holds an odd number of a set's shingles: two sets differ in at least as many shingles as buckets."""
+    return np.packbits(np.bincount((found >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1).tobytes()
+
+
+def wide(n: int) -> int:
+    """The buckets that suit a set of n shingles."""
+    return max(BITS, 1 << (4 * n).bit_length())
+
+
+def parted(a: bytes, b: bytes) -> int:
+    """The buckets in which parities differ; the finer ones are folded to the coarser."""
+    a, b = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum(dtype=np.int64))
+
+
 def list_column(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values.reshape(-1)))
 
 
-def sketch(docs: DataFrame, k: int, n_bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, key (digest of the whole set), bands and signature (a byte of each hash) of every row."""
+def sketch(docs: DataFrame, k: int, n_bands: int, rows: int, threshold: Fraction, frequent: Broadcast) -> DataFrame:
+    """doc_id, n_shingles, key (digest of the whole set), bands, signature (a byte of each hash), rarest shingles and parities (over BITS buckets, and over as many as suit the set) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, keys, table = [], [], []
+            sizes, keys, table, rare, odd, fine = [], [], [], [], [], []
             for words in many_words(t.as_py() for t in b.column(1).cast(pa.binary())):
                 found = np.unique(shingles(words, k))
                 sizes.append(len(found))
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 if len(found):
                     table.append(signature(found))
+                rare.append(rarest(found, threshold, *frequent.value) if len(found) else found)
+                odd.append(parities(found) if len(found) else None)
+                fine.append(parities(found, wide(len(found))) if len(found) else None)
             some = np.array(sizes, dtype=np.int64) > 0
             table = np.array(table, dtype=np.uint32).reshape(-1, HASHES)
             signatures = iter((table & np.uint32(255)).astype(np.uint8))
             bands_of = list_column(band_keys(table, n_bands, rows), some * n_bands)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), bands_of, pa.array([next(signatures).tobytes() if x else None for x in some], pa.binary())], ["doc_id", "n_shingles", "key", "bands", "signature"])
+            rare_of = list_column(np.concatenate([np.empty(0, np.uint64), *rare]).view(np.int64), np.array([len(x) for x in rare], dtype=np.int64))
+            columns = [b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), bands_of, pa.array([next(signatures).tobytes() if x else None for x in some], pa.binary()), rare_of, pa.array(odd, pa.binary()), pa.array(fine, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "key", "bands", "signature", "rarest", "parities", "wide"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), SKETCH)
 
 
+def frequent_shingles(spark: SparkSession, docs: DataFrame, k: int, sample: int) -> Broadcast:
+    """The most frequent shingles of a sample of rows, sorted, and a rank for each, higher for the more frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.unique(shingles(words, k)) for words in many_words(t.as_py() for t in b.column(0).cast(pa.binary()))]
+            values, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
+            again = counts > 1  # what a batch holds once is hardly frequent
+            yield pa.RecordBatch.from_arrays([pa.array(values[again].view(np.int64)), pa.array(counts[again].astype(np.int64))], ["shingle", "n"])
+
+    rows = docs.select("text").sample(min(1.0, sample / max(1, docs.count())), seed=1)
+    counted = rows.mapInArrow(lean(run), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 2")
+    top = counted.orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).toArrow()
+    values, n = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
+    order = np.argsort(values)
+    return spark.sparkContext.broadcast((values[order], (1 + np.log2(n[order])).astype(np.uint8)))
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], most: int = 2048) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Batches that are sorted by their first column, cut so that none of its values stands in two, of at most so many rows or one value; and where each value starts, with the end."""
 
@@ -290,6 +351,76 @@ def exact_links(threshold: Fraction):
     return run
 
 
+def meeting(threshold: Fraction, most_rows: int):
+    """The rows that may reach the threshold with a row of the same shingle and another label, if that is the first of the rarest that both have; all rows of more than most_rows, with the parts they are to be dealt to.
+
+    Columns: shingle, node, label, n_shingles, place (of the shingle among the rarest).
+    """
+    num, den = threshold.numerator, threshold.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, bounds in whole_groups(batches, 1 << 16):
+            label, sizes = b.column(2).to_numpy(), np.diff(bounds)
+            held = np.minimum.reduceat(label, bounds[:-1]) < np.maximum.reduceat(label, bounds[:-1])
+            large = held & (sizes > most_rows)
+            parts = np.repeat(np.where(large, -(-2 * sizes // most_rows), 0), sizes).astype(np.int32)
+            rows = np.flatnonzero(np.repeat(held & ~large, sizes))
+            label, size, place = (b.column(c).to_numpy()[rows] for c in (2, 3, 4))
+            for i, j in candidates(np.concatenate([[0], np.cumsum(sizes[held & ~large])])):
+                fits = (label[i] != label[j]) & (np.minimum(size[i] - place[i], size[j] - place[j]) >= -(-num * (size[i] + size[j]) // (num + den)))
+                parts[rows[i[fits]]] = parts[rows[j[fits]]] = 1
+            kept = np.flatnonzero(parts)
+            yield pa.RecordBatch.from_arrays([*b.take(pa.array(kept)).columns, pa.array(parts[kept])], [*b.schema.names, "parts"])
+
+    return run
+
+
+def near_rows(b: pa.RecordBatch, bounds: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one group with different labels that may reach the threshold, if the group's shingle is the first of the rarest that both have.
+
+    Columns: bucket, node, label, n_shingles, parities, place (of the shingle among the rarest).
+    """
+    num, den = threshold.numerator, threshold.denominator
+    label, size, place = (b.column(c).to_numpy() for c in (2, 3, 5))
+    left = size - place
+    table = np.frombuffer(b"".join(b.column(4).to_pylist()), dtype=np.uint64).reshape(b.num_rows, BITS // 64)
+    found = [(np.empty(0, np.int64),) * 2]
+    for i, j in candidates(bounds):
+        need = -(-num * (size[i] + size[j]) // (num + den))
+        fits = (label[i] != label[j]) & (np.minimum(left[i], left[j]) >= need)
+        i, j, need = i[fits], j[fits], need[fits]
+        fits = np.bitwise_count(table[i] ^ table[j]).sum(axis=1, dtype=np.int64) <= size[i] + size[j] - 2 * need
+        found.append((i[fits], j[fits]))
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    return i, j
+
+
+def near_pairs(threshold: Fraction):
+    """a, b of the pairs of near_rows(), each once a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, bounds in whole_groups(batches):
+            i, j = near_rows(b, bounds, threshold)
+            node = b.column(1).to_numpy()
+            pairs = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return run
+
+
+def near_enough(threshold: Fraction):
+    """a, b of the pairs whose parities allow the threshold. Columns: a, b, na, nb (the sizes), wa, wb (the parities)."""
+    num, den = threshold.numerator, threshold.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both = pc.add(b.column(2), b.column(3)).to_pylist()
+            keep = [parted(x, y) <= n - 2 * -(-num * n // (num + den)) for n, x, y in zip(both, b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def contract(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """node, label (the least node reachable) for every node of the edges a, b.
 
@@ -337,14 +468,15 @@ def merge(labels: DataFrame | None, edges: DataFrame, scratch: Scratch, name: st
 class Search:
     """One run over one table: what the rounds share."""
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, k: int, threshold: Fraction, few_ids: int, most_rows: int, most_shingles: int):
+    def __init__(self, spark: SparkSession, docs: DataFrame, k: int, threshold: Fraction, few_ids: int, most_rows: int, most_shingles: int, sample: int):
         self.spark, self.k, self.threshold, self.few_ids, self.most_rows, self.most_shingles = spark, k, threshold, few_ids, most_rows, most_shingles
         self.scratch = Scratch(spark, "neardup")
         self.docs = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
         self.n_bands, self.n_rows = bands(threshold)
-        self.rows = self.scratch.cut(sketch(docs, k, self.n_bands, self.n_rows), "rows")
-        usable = self.rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-        classes = usable.groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n_shingles", "signature", "bands")))
+        frequent = frequent_shingles(spark, docs, k, sample)
+        self.rows = self.scratch.cut(sketch(docs, k, self.n_bands, self.n_rows, threshold, frequent), "rows")
+        self.usable = self.rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
+        classes = self.usable.groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n_shingles", "signature", "bands", "rarest", "parities", "wide")))
         self.nodes = self.scratch.cut(classes, "nodes")
 
     def shared(self, nodes: DataFrame, name: str) -> DataFrame:
@@ -358,7 +490,7 @@ class Search:
         full = rows.join(nodes.select("node", "n_shingles", "signature", "bands"), "node")
         return full.select("bucket", "node", "label", "n_shingles", "signature", "bands", *by).repartition("bucket").sortWithinPartitions("bucket")
 
-    def shingle_sets(self, table: DataFrame) -> DataFrame:
+    def shingle_sets(self, table: DataFrame, name: str) -> DataFrame:
         """node, shingles (sorted 64-bit hashes) of the nodes of a table, one row for each set."""
         ids, k = table.select("node").distinct(), self.k
         if ids.limit(self.few_ids + 1).count() <= self.few_ids:
@@ -371,7 +503,7 @@ class Search:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(found, pa.binary())], ["node", "key", "shingles"])
 
         sets = self.docs.join(ids, "node", "left_semi").mapInArrow(lean(run), "node long, key binary, shingles binary")
-        return self.scratch.cut(sets.groupBy("node", "key").agg(F.first("shingles").alias("shingles")).select("node", "shingles"), "sets")
+        return self.scratch.cut(sets.groupBy("node", "key").agg(F.first("shingles").alias("shingles")).select("node", "shingles"), name)
 
     def verified(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
         """The pairs a, b whose full sets reach the threshold."""
@@ -409,7 +541,7 @@ class Search:
             other = hot.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
             blocks = other.select(F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("bucket"), "node", "label", "parts")
             nodes = nodes.withColumn("bands", F.array().cast("array<long>"))
-            small = blocks
+            small = small.unionByName(blocks)
         opened = self.gathered(small, nodes, []).mapInArrow(lean(open_rows(self.threshold)), "bucket long, node long, label long, n_shingles long, signature binary, bands array<long>")
         opened = self.scratch.cut(opened, f"{name}-open")
         full = opened.join(sets, "node").select("bucket", "node", "label", "n_shingles", "signature", "bands", "shingles").repartition("bucket").sortWithinPartitions("bucket")
@@ -436,22 +568,62 @@ class Search:
         given = self.nodes.select("node", "n_shingles", "signature").join(ids, "node", "left_semi").join(sets, "node").where(F.length("shingles") == 8 * F.col("n_shingles"))
         return self.scratch.cut(given.select("node", "n_shingles", "shingles", "signature").mapInArrow(lean(run), "node long, n_shingles long, signature binary, bands array<long>"), f"level{level}-nodes")
 
+    def same_doc(self, labels: DataFrame) -> DataFrame:
+        """Labels after edges between the texts of one doc_id."""
+        several = self.usable.groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("doc_id")
+        if not several.limit(1).count():
+            return labels
+        texts = self.scratch.cut(self.usable.select("doc_id", "key").join(several, "doc_id").join(self.nodes.select("key", "node"), "key").select("doc_id", "node").distinct(), "texts")
+        edges = texts.join(texts.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").where("a < node").select("a", F.col("node").alias("b")).distinct()
+        return merge(labels, edges, self.scratch, "labels-doc")
+
+    def between(self, sets: DataFrame, labels: DataFrame) -> DataFrame:
+        """Labels after every link between components, found by the rarest shingles, whatever the bands have missed."""
+        every = self.nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "n_shingles", F.posexplode("rarest").alias("place", "shingle"))
+        every = every.select("shingle", "node", "label", "n_shingles", "place").repartition("shingle").sortWithinPartitions("shingle")
+        met = every.mapInArrow(lean(meeting(self.threshold, self.most_rows)), "shingle long, node long, label long, n_shingles long, place int, parts int")
+        part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+        dealt = met.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        rows = self.scratch.cut(dealt.select(F.xxhash64("shingle", F.least("part", "other"), F.greatest("part", "other")).alias("bucket"), "node", "label", "n_shingles", "place"), "between-rows")
+        full = rows.join(self.nodes.select("node", "n_shingles", "parities"), ["node", "n_shingles"]).select("bucket", "node", "label", "n_shingles", "parities", "place").repartition("bucket").sortWithinPartitions("bucket")
+        pairs = self.scratch.cut(full.mapInArrow(lean(near_pairs(self.threshold)), "a long, b long").distinct(), "between-pairs")
+        of = self.nodes.select("node", "n_shingles", "wide")
+        near = pairs.join(of.toDF("a", "na", "wa"), "a").join(of.toDF("b", "nb", "wb"), "b").select("a", "b", "na", "nb", "wa", "wb")
+        near = self.scratch.cut(near.mapInArrow(lean(near_enough(self.threshold)), "a long, b long").distinct(), "between-near")
+        if not near.limit(1).count():
+            return labels
+        ids = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+        more = self.scratch.cut(ids.join(sets.select("node"), "node", "left_anti"), "between-nodes")
+        if more.limit(1).count():
+            sets = sets.union(self.shingle_sets(more, "between-sets"))
+        return merge(labels, self.verified(near, sets, "between-links"), self.scratch, "labels-between")
+
+    def whole_docs(self, result: DataFrame) -> DataFrame:
+        """The result with the component of a doc_id on its rows without shingles too."""
+        blank = self.rows.where("n_shingles = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
+        mixed = self.scratch.cut(blank.join(self.usable.select("doc_id"), "doc_id", "left_semi"), "mixed")
+        if not mixed.limit(1).count():
+            return result
+        held = result.where("n_shingles > 0").join(mixed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("held"))
+        return result.join(held, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("held", "component_id").alias("component_id"))
+
     def run(self) -> DataFrame:
         table = self.shared(self.nodes, "buckets")
-        sets = self.shingle_sets(table)
-        labels = self.across(table, self.nodes, sets, self.alike(table, sets), 1)
+        sets = self.shingle_sets(table, "sets")
+        labels = self.across(table, self.nodes, sets, self.same_doc(self.alike(table, sets)), 1)
+        labels = self.between(sets, labels)
         joined = self.nodes.select("key", "node", "copies").join(labels, "node", "left").where("copies > 1 OR label < node")
         known = self.scratch.cut(joined.select("key", F.coalesce("label", "node").alias("label")), "known")
-        for name in ("nodes", "buckets", "sets"):
+        for name in ("nodes", "buckets", "sets", "between-rows", "between-pairs", "between-sets"):
             self.scratch.drop(name)
         if known.limit(self.few_ids + 1).count() <= self.few_ids:
             known = F.broadcast(known)
         component = F.when(F.col("n_shingles") > 0, F.least(F.coalesce("label", "doc_id"), "doc_id")).otherwise(F.col("doc_id"))
         key = F.when(F.col("n_shingles") > 0, F.col("key"))
         result = self.rows.select("doc_id", "n_shingles", key.alias("key")).join(known, "key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
-        return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        return self.whole_docs(result).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(80, 100), few_ids: int = 2_000_000, most_rows: int = 2048, most_shingles: int = 8_000_000) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(80, 100), few_ids: int = 2_000_000, most_rows: int = 2048, most_shingles: int = 8_000_000, sample: int = 10_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row. docs: doc_id, text."""
-    return Search(spark, docs, k, threshold, few_ids, most_rows, most_shingles).run()
+    return Search(spark, docs, k, threshold, few_ids, most_rows, most_shingles, sample).run()

@@ -94,3 +94,54 @@ def test_bounds():
     for t in (Fraction(85, 100), Fraction(80, 100)):
         n, r = neardup.bands(t)
         assert n * r <= neardup.HASHES and (1 - float(t) ** r) ** n <= 1e-6
+
+
+def hidden_pair(k, threshold, n=60):
+    """Two texts that reach the threshold and share no band of their signatures: words are put behind the first until no band is left."""
+    n_bands, n_rows = neardup.bands(threshold)
+    keys = lambda t: neardup.band_keys(neardup.signature(shingles.shingle_set(t, k))[None, :], n_bands, n_rows)[0]
+    first = text = " ".join(f"w{i}" for i in range(n + k - 1))
+    old, turn = keys(first), 0
+    while (keys(text) == old).any():
+        turn += 1
+        tried = [f"{text} x{turn}y{i}" for i in range(600)]
+        text = min(tried, key=lambda t: ((keys(t) == old).sum(), t))
+    return first, text
+
+
+@pytest.mark.parametrize(("k", "threshold"), [(3, Fraction(85, 100)), (5, Fraction(80, 100))])
+def test_a_pair_that_shares_no_band_is_linked(spark, k, threshold):
+    first, text = hidden_pair(k, threshold)
+    rows = [(1, "another text of some words"), (2, first), (3, text)]
+    want = brute(rows, k, threshold.numerator, threshold.denominator)
+    assert want[3][1] == 2
+    got = neardup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), k, threshold).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+@pytest.mark.parametrize("most_rows", [2048, 4])
+def test_against_brute_force_where_bands_miss_nearly_all(spark, monkeypatch, most_rows):
+    monkeypatch.setattr(neardup, "bands", lambda threshold: (1, 60))
+    rows = corpus(4)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark, df, 3, Fraction(85, 100), most_rows=most_rows, sample=100).collect()}
+    assert got == brute(rows, 3, 85, 100)
+
+
+def test_texts_of_one_doc_id_are_linked(spark):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    rows = [(1, one), (2, one), (2, two), (3, two), (4, two), (4, None), (5, three), (4, "of its own")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark, df, 3, Fraction(85, 100)).collect())
+    assert got == [(1, 18, 1), (2, 18, 1), (2, 18, 1), (3, 18, 1), (4, 0, 1), (4, 1, 1), (4, 18, 1), (5, 18, 5)]
+
+
+def test_the_last_family_searches_its_small_buckets_too(spark):
+    """A pair that meets in a small bucket only, beside one that is dealt out in blocks."""
+    far = [" ".join(f"{x}{i}" for i in range(40)) for x in "abcdef"]
+    rows = [(i, t) for i, t in enumerate(far)] + [(10, " ".join(f"z{i}" for i in range(40))), (11, " ".join(f"z{i}" for i in range(41)))]
+    search = neardup.Search(spark, spark.createDataFrame(rows, "doc_id long, text string"), 3, Fraction(85, 100), 100, 4, 10**6, 100)
+    sets = search.shingle_sets(search.nodes, "sets")
+    table = search.nodes.selectExpr("CASE WHEN node < 10 THEN 1L ELSE 2L END AS bucket", "node", "n_shingles")
+    labels = search.across(table, search.nodes, sets, search.nodes.selectExpr("node", "node AS label"), 4)
+    assert {r.node: r.label for r in labels.collect()}[11] == 10
