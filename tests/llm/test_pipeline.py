@@ -1,9 +1,12 @@
 import re
+from fractions import Fraction
 
 import pytest
 
 from sparkgraft.llm.common import table
 
+from .test_neardup import hidden_pair
+
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 SF = "/root/testdata/sf0.001"
 
@@ -125,3 +128,10 @@ def test_packing_stage_holds_every_token_once(spark):
             assert offset == at
             at += length
         assert at <= 4096
+
+
+def test_near_stage_links_a_pair_that_shares_no_band(spark):
+    first, text = hidden_pair(5, Fraction(80, 100))
+    rows = [(1, "another text of some words", "en", "a", 1), (2, first, "en", "a", 1), (3, text, "en", "b", 1), (4, first + " y", "en", "c", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_stage(spark, docs, SF).collect()) == [1, 2]
