@@ -23,8 +23,9 @@ of bands and 1e-6 in the Bayesian bound.
 An exact search between the components found closes that gap. Two sets that reach the threshold
 share one of their rarest shingles, so many of each as may be missing from the other. Rows of
 different components meet by these; a pair is dropped only if the places of the shingle, or the
-parities of both sets' shingles over BITS buckets, show that the sets differ too much. Parities
-over buckets in proportion to the sets thin out the distinct pairs that are left, which are
+parities of both sets' shingles over buckets in proportion to the sets, show that the sets differ
+too much: over fewer buckets, unrelated sets would seem alike, and pairs grow with the square of the
+long texts. Parities over finer buckets thin out the distinct pairs that are left, which are
 verified on the full sets. Which shingles are frequent is learned from a sample of `sample` rows: it orders the shingles, which
 saves work, and any order gives the same links. Hence no link is lost by chance.
 
@@ -58,7 +59,7 @@ from .common import Scratch, lean
 from .shingles import many_words, mix, shingles
 
 HASHES, BATCH = 180, 30
-BITS = 1024
+BITS, MOST_BITS = 1024, 8192
 MOST_FREQUENT = 100_000
 SKETCH = "doc_id long, n_shingles long, key binary, bands array<long>, signature binary, rarest array<long>, parities binary, wide binary"
 
@@ -151,11 +152,26 @@ def parities(found: np.ndarray, bits: int = BITS) -> bytes:
     return np.packbits(np.bincount((found >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1).tobytes()
 
 
+def coarse(n: int) -> int:
+    """The least buckets that tell unrelated sets of n shingles apart, as unrelated parities differ in half of them: half of n and more, within bounds."""
+    return min(MOST_BITS, max(BITS, 1 << max(0, (n - 1).bit_length() - 1)))
+
+
 def wide(n: int) -> int:
     """The buckets that suit a set of n shingles."""
     return max(BITS, 1 << (4 * n).bit_length())
 
 
+def parity_table(column: pa.Array, lengths: np.ndarray, size: int) -> np.ndarray:
+    """A row of 64-bit words for each of the parities, folded to so many bytes; zeros for coarser ones."""
+    out = np.zeros((len(column), size // 8), dtype=np.uint64)
+    for n in np.unique(lengths[lengths >= size]).tolist():
+        rows = np.flatnonzero(lengths == n)
+        data = np.frombuffer(b"".join(column.take(pa.array(rows)).to_pylist()), dtype=np.uint64)
+        out[rows] = np.bitwise_xor.reduce(data.reshape(len(rows), n // size, size // 8), axis=1)
+    return out
+
+
 def parted(a: bytes, b: bytes) -> int:
     """The buckets in which parities differ; the finer ones are folded to the coarser."""
     a, b = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
@@ -167,7 +183,7 @@ def list_column(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 
 def sketch(docs: DataFrame, k: int, n_bands: int, rows: int, threshold: Fraction, frequent: Broadcast) -> DataFrame:
-    """doc_id, n_shingles, key (digest of the whole set), bands, signature (a byte of each hash), rarest shingles and parities (over BITS buckets, and over as many as suit the set) of every row."""
+    """doc_id, n_shingles, key (digest of the whole set), bands, signature (a byte of each hash), rarest shingles and parities (over coarse buckets, and over finer ones where these are more) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -179,8 +195,9 @@ def sketch(docs: DataFrame, k: int, n_bands: int, rows: int, threshold: Fraction
                 if len(found):
                     table.append(signature(found))
                 rare.append(rarest(found, threshold, *frequent.value) if len(found) else found)
-                odd.append(parities(found) if len(found) else None)
-                fine.append(parities(found, wide(len(found))) if len(found) else None)
+                n = len(found)
+                odd.append(parities(found, coarse(n)) if n else None)
+                fine.append(parities(found, wide(n)) if n and wide(n) > coarse(n) else None)
             some = np.array(sizes, dtype=np.int64) > 0
             table = np.array(table, dtype=np.uint32).reshape(-1, HASHES)
             signatures = iter((table & np.uint32(255)).astype(np.uint8))
@@ -383,14 +400,18 @@ def near_rows(b: pa.RecordBatch, bounds: np.ndarray, threshold: Fraction) -> tup
     num, den = threshold.numerator, threshold.denominator
     label, size, place = (b.column(c).to_numpy() for c in (2, 3, 5))
     left = size - place
-    table = np.frombuffer(b"".join(b.column(4).to_pylist()), dtype=np.uint64).reshape(b.num_rows, BITS // 64)
+    lengths = pc.binary_length(b.column(4)).to_numpy()
+    tables = {n: parity_table(b.column(4), lengths, n) for n in np.unique([BITS // 8, *lengths.tolist()]).tolist()}
     found = [(np.empty(0, np.int64),) * 2]
     for i, j in candidates(bounds):
         need = -(-num * (size[i] + size[j]) // (num + den))
         fits = (label[i] != label[j]) & (np.minimum(left[i], left[j]) >= need)
-        i, j, need = i[fits], j[fits], need[fits]
-        fits = np.bitwise_count(table[i] ^ table[j]).sum(axis=1, dtype=np.int64) <= size[i] + size[j] - 2 * need
-        found.append((i[fits], j[fits]))
+        i, j, most = i[fits], j[fits], (size[i] + size[j] - 2 * need)[fits]
+        for n, table in tables.items():  # from the coarsest on, as far as both have them
+            fits = np.minimum(lengths[i], lengths[j]) < n
+            fits |= np.bitwise_count(table[i] ^ table[j]).sum(axis=1, dtype=np.int64) <= most
+            i, j, most = i[fits], j[fits], most[fits]
+        found.append((i, j))
     i, j = (np.concatenate(x) for x in zip(*found, strict=True))
     return i, j
 
@@ -587,13 +608,15 @@ class Search:
         rows = self.scratch.cut(dealt.select(F.xxhash64("shingle", F.least("part", "other"), F.greatest("part", "other")).alias("bucket"), "node", "label", "n_shingles", "place"), "between-rows")
         full = rows.join(self.nodes.select("node", "n_shingles", "parities"), ["node", "n_shingles"]).select("bucket", "node", "label", "n_shingles", "parities", "place").repartition("bucket").sortWithinPartitions("bucket")
         pairs = self.scratch.cut(full.mapInArrow(lean(near_pairs(self.threshold)), "a long, b long").distinct(), "between-pairs")
-        of = self.nodes.select("node", "n_shingles", "wide")
+        of = self.nodes.select("node", "n_shingles", F.coalesce("wide", "parities").alias("wide"))
         near = pairs.join(of.toDF("a", "na", "wa"), "a").join(of.toDF("b", "nb", "wb"), "b").select("a", "b", "na", "nb", "wa", "wb")
         near = self.scratch.cut(near.mapInArrow(lean(near_enough(self.threshold)), "a long, b long").distinct(), "between-near")
         if not near.limit(1).count():
             return labels
         ids = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
         more = self.scratch.cut(ids.join(sets.select("node"), "node", "left_anti"), "between-nodes")
+        if ids.limit(self.few_ids + 1).count() <= self.few_ids:  # few sets are asked for: the others needn't move
+            sets = sets.join(F.broadcast(ids), "node", "left_semi")
         if more.limit(1).count():
             sets = sets.union(self.shingle_sets(more, "between-sets"))
         return merge(labels, self.verified(near, sets, "between-links"), self.scratch, "labels-between")

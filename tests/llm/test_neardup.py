@@ -3,6 +3,7 @@ import re
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkgraft.llm import neardup, shingles
@@ -145,3 +146,36 @@ def test_the_last_family_searches_its_small_buckets_too(spark):
     table = search.nodes.selectExpr("CASE WHEN node < 10 THEN 1L ELSE 2L END AS bucket", "node", "n_shingles")
     labels = search.across(table, search.nodes, sets, search.nodes.selectExpr("node", "node AS label"), 4)
     assert {r.node: r.label for r in labels.collect()}[11] == 10
+
+
+def test_long_unrelated_texts_are_told_apart_where_they_meet(spark, monkeypatch):
+    """Pairs of long texts with rare shingles in common aren't written out: their number grows with the square of the texts."""
+    written, cut = {}, neardup.Scratch.cut
+
+    def counted(self, df, name):
+        out = cut(self, df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(neardup.Scratch, "cut", counted)
+    shared = [f"s{i}" for i in range(500)]
+    rows = [(i, " ".join([*shared, *(f"t{i}w{j}" for j in range(n))])) for i, n in enumerate([3000, 3010, 3020, 3030, 6000, 6010, 9000, 9010, 20000, 20010])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark, df, 3, Fraction(85, 100), sample=0).collect()}
+    assert got == {i: i for i, _ in rows}
+    assert written["between-rows"] > 0 and written["between-pairs"] == 0
+
+
+def test_parities_of_any_size_bound_the_difference():
+    rng = np.random.default_rng(1)
+    for n in (1, 1000, 2048, 2049, 5000, 20000):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[n // 10 :], rng.integers(0, 2**63, n // 7, dtype=np.uint64)]))
+        apart = len(np.setxor1d(a, b))
+        for x in (neardup.coarse(len(a)), neardup.wide(len(a))):
+            for y in (neardup.coarse(len(b)), neardup.wide(len(b))):
+                assert neardup.parted(neardup.parities(a, x), neardup.parities(b, y)) <= apart
+        held = [neardup.parities(s, neardup.coarse(len(s))) for s in (a, b)]
+        lengths = np.array([len(x) for x in held])
+        table = neardup.parity_table(pa.array(held, pa.binary()), lengths, int(lengths.min()))
+        assert np.bitwise_count(table[0] ^ table[1]).sum() == neardup.parted(*held)
