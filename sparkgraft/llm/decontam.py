@@ -9,7 +9,9 @@ of shingle multisets (the sum of least counts over the sum of greatest counts).
 Windows that cannot reach the threshold are left out first, without loss: such a window holds
 at least the share of benchmark shingles that the threshold asks for, which a running count
 tells. At similarity 0.8 a pair's fingerprints differ by 19 bits on average with a standard
-deviation of 4, so the radius misses about one pair in a million.
+deviation of 4, so the radius misses about one pair in a million. These are found exactly: where
+a window holds so many shingles of one item as the threshold asks for, the pair is verified,
+whatever their fingerprints. Hence no pair is lost by chance.
 
 Documents stay where they are: no shuffle. The benchmark is broadcast in parts of at most
 `part_rows` items and `part_chars` characters; a larger benchmark takes a pass per part.
@@ -97,6 +99,28 @@ class MultiIndex:
         return rows[good], items[good]
 
 
+class Holders:
+    """Which items of one length hold a shingle."""
+
+    def __init__(self, items: list[np.ndarray]):
+        own = [np.unique(x) for x in items]
+        values, owners = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
+        order = np.argsort(values, kind="stable")
+        self.values, self.owners = values[order], owners[order]
+
+    def enough(self, found: np.ndarray, need: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Each item that holds at least `need` of the shingles found, and their places."""
+        first, end = np.searchsorted(self.values, found, "left"), np.searchsorted(self.values, found, "right")
+        n = end - first
+        places = np.repeat(np.arange(len(found)), n)
+        owners = self.owners[np.repeat(first - np.cumsum(n) + n, n) + np.arange(len(places))]
+        order = np.argsort(owners, kind="stable")
+        items, starts, counts = np.unique(owners[order], return_index=True, return_counts=True)
+        for item, start, count in zip(items.tolist(), starts.tolist(), counts.tolist(), strict=True):
+            if count >= need:
+                yield item, places[order[start : start + count]]
+
+
 class Benchmark:
     """One part of the benchmark, ready to be held against texts."""
 
@@ -122,7 +146,7 @@ class Benchmark:
             every.append(found)
         self.values = np.array([*values, 0], dtype=np.uint64)  # the last stands for any other word
         self.known = np.unique(np.concatenate(every)) if every else np.empty(0, dtype=np.uint64)
-        self.lengths = {n: (found, MultiIndex(fingerprints(np.array([signs(f).sum(axis=0) for _, f in found])), radius)) for n, found in sorted(by_length.items())}
+        self.lengths = {n: (found, MultiIndex(fingerprints(np.array([signs(f).sum(axis=0) for _, f in found])), radius), Holders([f for _, f in found])) for n, found in sorted(by_length.items())}
 
     def matches(self, text: str | None) -> list[tuple[int, float, int, int]]:
         """(item_id, similarity, first word, words) of the best window for each item found."""
@@ -150,18 +174,19 @@ class Benchmark:
             return out
         best: dict[int, tuple[float, int, int]] = {}
         whole = printed = None
-        for length, (items, index) in self.lengths.items():
+        for length, (items, index, holders) in self.lengths.items():
             size = length - k + 1
             if length > n:  # the whole text is the one window: common >= t (size + own) / (1 + t), and common <= own
                 own = n - k + 1
                 if self.threshold * size > own + 1e-9:
                     break
-                if counts[-1] < math.ceil(self.threshold * (size + own) / (1 + self.threshold) - 1e-9):
+                need = math.ceil(self.threshold * (size + own) / (1 + self.threshold) - 1e-9)
+                if counts[-1] < need:
                     continue
                 if whole is None:
                     whole = shingles(np.array([self.values[at[j]] if at[j] >= 0 else word_value(words[j]) for j in range(n)], dtype=np.uint64), k)
                     printed = fingerprints(signs(whole).sum(axis=0)[None])
-                for i in index.within(printed)[1]:
+                for i in sorted({*index.within(printed)[1].tolist(), *(i for i, _ in holders.enough(whole, need))}):
                     item_id, shingled = items[i]
                     similarity = weighted_similarity(whole, shingled)
                     if similarity >= self.threshold and similarity > best.get(item_id, (0.0,))[0]:
@@ -174,16 +199,28 @@ class Benchmark:
                 exact = shingles(np.array([self.values[at[j]] if at[j] >= 0 else word_value(words[j]) for j in range(start, stop)], dtype=np.uint64), k)
                 summed = np.vstack([np.zeros((1, BITS), dtype=np.int32), np.cumsum(signs(exact), axis=0, dtype=np.int32)])
                 inside = starts[(starts >= start) & (starts <= stop - length)]
+                beside = self.holding(exact, inside - start, size, need, holders, len(items))
                 for part in np.array_split(inside, -(-len(inside) // 2000)):
                     windows = part - start
-                    for row, i in zip(*index.within(fingerprints(summed[windows + size] - summed[windows])), strict=True):
+                    rows, near = index.within(fingerprints(summed[windows + size] - summed[windows]))
+                    held = beside[slice(*np.searchsorted(beside, [windows[0] * len(items), (windows[-1] + 1) * len(items)]))]
+                    for code in np.union1d(windows[rows] * len(items) + near, held).tolist():
+                        at_word, i = divmod(code, len(items))
                         item_id, shingled = items[i]
-                        at_word = int(windows[row])
                         similarity = weighted_similarity(exact[at_word : at_word + size], shingled)
                         if similarity >= self.threshold and similarity > best.get(item_id, (0.0,))[0]:
                             best[item_id] = (similarity, at_word + start, length)
         return out + [(i, *b) for i, b in sorted(best.items())]
 
+    @staticmethod
+    def holding(found: np.ndarray, windows: np.ndarray, size: int, need: int, holders: Holders, n_items: int) -> np.ndarray:
+        """window * n_items + item, sorted, of each window (by its first place) that holds `need` shingles of an item."""
+        out = [np.empty(0, dtype=np.int64)]
+        for item, places in holders.enough(found, need):
+            held = np.searchsorted(places, windows + size) - np.searchsorted(places, windows)
+            out.append(windows[held >= need] * n_items + item)
+        return np.sort(np.concatenate(out))
+
     @staticmethod
     def regions(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
         """Stretches of words that hold the windows at these starts."""

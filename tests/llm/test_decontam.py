@@ -133,3 +133,39 @@ def test_rows_are_judged_on_their_own(spark):
     docs = spark.createDataFrame([(1, long), (1, "clean text"), (None, long), (None, None), (2, "x a b c d e f g y")], "doc_id long, text string")
     for part_rows in (20_000, 1):
         assert sorted((r.doc_id or 0, r.text or "") for r in decontam.clean_documents(spark, docs, bench, part_rows=part_rows).collect()) == [(0, ""), (1, "clean text")]
+
+
+def hidden_pair(radius=40):
+    """An item and a text that reach 0.8 and whose fingerprints lie farther apart than the radius: two runs of one word cancel out in half of the bits, so the words that differ decide."""
+    for turn in range(5000):
+        runs = [f"a{turn}"] * 104 + [f"b{turn}"] * 104
+        item, text = ([*runs, *(f"{x}{turn}w{j}" for j in range(25))] for x in "xy")
+        prints = [decontam.fingerprints(decontam.signs(decontam.shingles(np.array([decontam.word_value(w) for w in words], dtype=np.uint64), 5)).sum(axis=0)[None]) for words in (item, text)]
+        if np.bitwise_count(prints[0] ^ prints[1]).sum() > radius:
+            return " ".join(item), " ".join(text)
+    raise AssertionError("none found")
+
+
+def test_a_pair_beyond_the_radius_is_found():
+    item, text = hidden_pair()
+    for given in (text, "before " + text + " after", " ".join(text.split()[:-3])):
+        want = brute_whole(given, [(7, item)])
+        assert want and {i: tuple(m) for i, *m in Benchmark([(7, item)], 5, 0.8, 40).matches(given)} == want
+
+
+@pytest.mark.parametrize("radius", [-1, 12])
+def test_no_pair_depends_on_the_fingerprints(radius):
+    r = random.Random(radius)
+    vocabulary = [f"v{i}" for i in range(30)]
+    items = [(i, " ".join(r.choice(vocabulary[: r.choice([2, 30])]) for _ in range(r.choice([5, 9, 20, 60])))) for i in range(40)]
+    held, found = Benchmark(items, 5, 0.8, radius), 0
+    for _ in range(60):
+        words = [r.choice(vocabulary) for _ in range(r.randrange(30))]
+        for _ in range(r.randrange(3)):
+            leak = r.choice(items)[1].split()
+            leak[r.randrange(len(leak))] = r.choice(vocabulary)
+            words += leak[: r.choice([99, len(leak) - 1])]
+        got = {i: tuple(m) for i, *m in held.matches(" ".join(words))}
+        assert got == brute_whole(" ".join(words), items)
+        found += len(got)
+    assert found

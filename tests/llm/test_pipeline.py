@@ -5,6 +5,7 @@ import pytest
 
 from sparkgraft.llm.common import table
 
+from .test_decontam import hidden_pair as beyond_the_radius
 from .test_neardup import hidden_pair
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -135,3 +136,11 @@ def test_near_stage_links_a_pair_that_shares_no_band(spark):
     rows = [(1, "another text of some words", "en", "a", 1), (2, first, "en", "a", 1), (3, text, "en", "b", 1), (4, first + " y", "en", "c", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.near_stage(spark, docs, SF).collect()) == [1, 2]
+
+
+def test_decontamination_stage_drops_a_passage_beyond_the_radius(spark, tmp_path):
+    item, text = beyond_the_radius()
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, text, "en", "a", 1), (2, "a clean text of its own words", "en", "a", 1), (3, f"before it {text} and after", "en", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path)).collect()] == [2]
