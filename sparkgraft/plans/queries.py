@@ -810,7 +810,8 @@ def heirs_edges(spark, sf_dir):
 """)
 def member_types(spark, sf_dir):
     """What a scan says of return types, fields, supertypes and tests, before anything is resolved."""
-    parsed = Parsed(scan(corpora.heirs_corpus(table(spark, sf_dir, "customer"))))
+    rows = scan(corpora.heirs_corpus(table(spark, sf_dir, "customer"))).where("relation IN ('return', 'field', 'relation', 'comment')")
+    parsed = Parsed(Tables(spark, "members").cut(rows, "rows"))  # read four times, scanned once
     none, unknown = F.lit(None).cast("string"), F.lit(None).cast("boolean")
     row = lambda df, sort, of, member, kind, trait: df.select("path", F.lit(sort).alias("sort"), of.alias("of"), member.alias("member"), kind.alias("type"), trait.alias("is_trait"))
     tags = R.harvest(parsed.comments()).where("kind = 'tracking_tag'").withColumnRenamed("file", "path")

@@ -1,4 +1,8 @@
-"""Code corpora derived from tables: one module per row, its text built by column expressions."""
+"""Code corpora derived from tables: one module per row, its text built by column expressions.
+
+A row's key becomes a text a hundred times as long, so a table that Spark reads in one piece is
+dealt out by key before: the texts, and the scan of them, lie in parts of DEALT rows on average.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Fixed value: rows of a part, some seconds of scanning.
+DEALT = 2048
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """The keys alone, in parts of about DEALT rows; a number of parts that is given isn't made fewer by adaptive execution."""
+    return rows.select(key).repartition(max(1, -(-rows.count() // DEALT)), key)
+
+
 def fill(template: str, **values: Column) -> Column:
     """The template with {name} replaced by columns."""
     parts: list[Column] = []
@@ -134,7 +147,7 @@ function test_{{n}}() {}
 def heirs_corpus(customer: DataFrame) -> DataFrame:
     """Classes that extend the next file's, functions as values, and a method that every file declares."""
     n = F.col("c_custkey")
-    return customer.select(F.lit("shop").alias("org"), F.lit("heir").alias("repo"), fill("ui/b{{n}}.ts", n=n).alias("path"), F.lit("typescript").alias("language"), fill(HEIRS, n=n, m=n + 1, t=n % 7 + 1).alias("content"))
+    return dealt(customer, "c_custkey").select(F.lit("shop").alias("org"), F.lit("heir").alias("repo"), fill("ui/b{{n}}.ts", n=n).alias("path"), F.lit("typescript").alias("language"), fill(HEIRS, n=n, m=n + 1, t=n % 7 + 1).alias("content"))
 
 
 def rust_corpus(part: DataFrame, steps: int = 4) -> DataFrame:
@@ -142,19 +155,19 @@ def rust_corpus(part: DataFrame, steps: int = 4) -> DataFrame:
     n = F.col("p_partkey")
     given = {"n": n, "m": n + 1, "q": F.floor((n + 1) / 100).cast("long"), "t": n % 7 + 1}
     content = F.concat(fill(RUST_HEAD, **given), *(fill(RUST_STEP, n=n, k=F.lit(k)) for k in range(steps)), fill(RUST_TAIL, **given))
-    return part.select(F.lit("shop").alias("org"), F.lit("parts").alias("repo"), fill("src/shelf{{p}}/item{{n}}.rs", p=F.floor(n / 100).cast("long"), n=n).alias("path"), F.lit("rust").alias("language"), content.alias("content"))
+    return dealt(part, "p_partkey").select(F.lit("shop").alias("org"), F.lit("parts").alias("repo"), fill("src/shelf{{p}}/item{{n}}.rs", p=F.floor(n / 100).cast("long"), n=n).alias("path"), F.lit("rust").alias("language"), content.alias("content"))
 
 
 def python_corpus(supplier: DataFrame) -> DataFrame:
     n = F.col("s_suppkey")
-    return supplier.select(F.lit("shop").alias("org"), F.lit("supply").alias("repo"), fill("tool/s{{n}}.py", n=n).alias("path"), F.lit("python").alias("language"), fill(PYTHON, n=n).alias("content"))
+    return dealt(supplier, "s_suppkey").select(F.lit("shop").alias("org"), F.lit("supply").alias("repo"), fill("tool/s{{n}}.py", n=n).alias("path"), F.lit("python").alias("language"), fill(PYTHON, n=n).alias("content"))
 
 
 def typescript_corpus(customer: DataFrame) -> DataFrame:
     n = F.col("c_custkey")
-    return customer.select(F.lit("shop").alias("org"), F.lit("web").alias("repo"), fill("ui/c{{n}}.ts", n=n).alias("path"), F.lit("typescript").alias("language"), fill(TYPESCRIPT, n=n, m=n + 1).alias("content"))
+    return dealt(customer, "c_custkey").select(F.lit("shop").alias("org"), F.lit("web").alias("repo"), fill("ui/c{{n}}.ts", n=n).alias("path"), F.lit("typescript").alias("language"), fill(TYPESCRIPT, n=n, m=n + 1).alias("content"))
 
 
 def tsx_corpus(customer: DataFrame) -> DataFrame:
     n = F.col("c_custkey")
-    return customer.select(F.lit("shop").alias("org"), F.lit("view").alias("repo"), fill("ui/v{{n}}.tsx", n=n).alias("path"), F.lit("tsx").alias("language"), fill(TSX, n=n, m=n + 1, t=n % 7 + 1).alias("content"))
+    return dealt(customer, "c_custkey").select(F.lit("shop").alias("org"), F.lit("view").alias("repo"), fill("ui/v{{n}}.tsx", n=n).alias("path"), F.lit("tsx").alias("language"), fill(TSX, n=n, m=n + 1, t=n % 7 + 1).alias("content"))
