@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,13 +22,14 @@ def reachable_types(types: DataFrame, import_paths: DataFrame, files: DataFrame)
     return types.select("file_ord", "simple").union(through).distinct().withColumnRenamed("simple", "owner")
 
 
-def resolve_calls(calls: DataFrame, env: DataFrame, enclosing: DataFrame, reachable: DataFrame, methods: DataFrame, functions: DataFrame, tables: Tables | None = None) -> DataFrame:
+def resolve_calls(calls: DataFrame, env: DataFrame, enclosing: DataFrame, reachable: DataFrame | Callable[[], DataFrame], methods: DataFrame, functions: DataFrame, tables: Tables | None = None) -> DataFrame:
     """calls with target and reason (null where unresolved). calls: file_ord, caller, scope, receiver, callee, line.
 
     A known type, or a type-cased receiver, decides alone: if it lacks the method, nothing else
     is tried. Else exactly one reachable type with the method, else exactly one method of that
     name in the batch. A call without receiver takes the file's own function or else the only one.
-    So each call is of one of three sorts, and meets the indexes of its sort only.
+    So each call is of one of three sorts, and meets the indexes of its sort only. reachable may be
+    a function, which is called only where a call needs what lies in reach.
     """
     tables = tables or Tables(calls.sparkSession, "resolve")
     member = calls.where("receiver IS NOT NULL")
@@ -46,14 +49,15 @@ def resolve_calls(calls: DataFrame, env: DataFrame, enclosing: DataFrame, reacha
     decided = decided.join(own_methods, ["file_ord", "owner", "callee"], "left").join(the_methods, ["owner", "callee"], "left")
     decided = decided.select(*calls.columns, F.coalesce("own_method", "the_method").alias("target"), F.lit("receiver-typed").alias("reason"))
 
-    # the methods in reach of a file, by name, before any call is looked at: a call meets one row of its name
-    wanted = unknown.select("file_ord", "callee").distinct()
-    in_file = reachable.join(own_methods, ["file_ord", "owner"]).select("file_ord", "owner", "callee", "own_method", F.lit(None).cast("string").alias("the_method"))
-    in_batch = reachable.join(the_methods, "owner").select("file_ord", "owner", "callee", F.lit(None).cast("string").alias("own_method"), "the_method")
-    within = in_file.union(in_batch).join(wanted, ["file_ord", "callee"], "left_semi").groupBy("file_ord", "callee", "owner").agg(F.coalesce(F.max("own_method"), F.max("the_method")).alias("target"))
-    scoped = within.groupBy("file_ord", "callee").agg(F.count("*").alias("n"), F.min("target").alias("scoped"))
-    by_name = unique_or_nothing(methods, ["method"], "target").select(F.col("method").alias("callee"), F.col("target").alias("named"))
     if unknown.limit(1).count():
+        # the methods in reach of a file, by name, before any call is looked at: a call meets one row of its name
+        reachable = reachable() if callable(reachable) else reachable
+        wanted = unknown.select("file_ord", "callee").distinct()
+        in_file = reachable.join(own_methods, ["file_ord", "owner"]).select("file_ord", "owner", "callee", "own_method", F.lit(None).cast("string").alias("the_method"))
+        in_batch = reachable.join(the_methods, "owner").select("file_ord", "owner", "callee", F.lit(None).cast("string").alias("own_method"), "the_method")
+        within = in_file.union(in_batch).join(wanted, ["file_ord", "callee"], "left_semi").groupBy("file_ord", "callee", "owner").agg(F.coalesce(F.max("own_method"), F.max("the_method")).alias("target"))
+        scoped = within.groupBy("file_ord", "callee").agg(F.count("*").alias("n"), F.min("target").alias("scoped"))
+        by_name = unique_or_nothing(methods, ["method"], "target").select(F.col("method").alias("callee"), F.col("target").alias("named"))
         unknown = unknown.join(scoped, ["file_ord", "callee"], "left").join(by_name, "callee", "left")
         one = F.col("n") == 1
         unknown = unknown.select(*calls.columns, F.when(one, F.col("scoped")).when(F.col("n").isNull(), F.col("named")).alias("target"), F.when(one, "import-scoped").otherwise("name-match").alias("reason"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,40 +62,53 @@ class Known:
         return cls(types_of(declared), methods_of(declared), functions_of(declared), parsed.returns(), fields, parsed.files)
 
 
-@dataclass
 class Resolved:
-    """What files say once their names are resolved. sites: file_ord and the columns of edge sites."""
-
-    sites: DataFrame
-    imports: DataFrame
-    mentions: DataFrame
-    env: DataFrame
-    calls: DataFrame
-
-
-def resolve(parsed: Parsed, facts: DataFrame, known: Known, tables: Tables) -> Resolved:
-    """The files of parsed (with their facts) against everything that is known."""
-    enclosing, names = parsed.enclosing(), parsed.files.select("file_ord", "org", "repo", "file_ref")
-    place = [F.col("path"), F.col("line")]
-    contains = facts.where("parent IS NOT NULL").select("file_ord", *site(F.col("parent"), F.lit("contains"), F.col("qualified_name"), "syntactic", *place))
+    """What the files of parsed (with their facts) say once their names are resolved against everything that is known. sites: file_ord and the columns of edge sites.
 
-    # three tables that don't need each other are written side by side
-    with ThreadPoolExecutor(3) as pool:
-        env = pool.submit(lambda: tables.cut(type_environment(parsed.bindings(), enclosing, known.functions, known.methods, known.returns, known.fields, tables), "types"))
-        imports = pool.submit(lambda: tables.cut(resolve_imports(parsed.imports(), known.files.select("path")), "imports"))
-        cited = pool.submit(lambda: tables.cut(harvest(parsed.comments()), "mentions"))
-        env, imports, cited = env.result(), imports.result(), cited.result()
-    found = imports.where("target_path IS NOT NULL")
-    imported = found.join(names, "file_ord").select("file_ord", *site(F.col("file_ref"), F.lit("imports"), file_name(F.col("org"), F.col("repo"), F.col("target_path")), "path-resolved", *place))
-
-    references = cited.select("file_ord", *site(F.col("source"), F.lit("references"), F.col("identifier"), "explicit-mention", F.col("file"), F.col("line")))
+    Each table is written when it is first asked for, and so only where something needs it.
+    """
 
-    reachable = reachable_types(known.types, found.select("path", "target_path").distinct(), known.files)
-    calls = tables.cut(resolve_calls(parsed.calls(), env, enclosing, reachable, known.methods, known.functions, tables), "calls")
-    called = calls.where("target IS NOT NULL").select("file_ord", F.col("caller").alias("source_ref"), F.lit("calls").alias("edge_type"), F.col("target").alias("target_ref"), "reason", F.col("path").alias("file"), F.col("line").cast("int").alias("line"))
-    related = resolve_relations(parsed.relations(), known.types)
-    relations = related.select("file_ord", "source_ref", "edge_type", "target_ref", F.lit("syntactic").alias("reason"), F.col("path").alias("file"), F.lit(1).alias("line"))
-    return Resolved(contains.union(imported).union(references).union(called).union(relations), imports, cited, env, calls)
+    def __init__(self, parsed: Parsed, facts: DataFrame | Callable[[], DataFrame], known: Known, tables: Tables):
+        self.parsed, self.known, self.tables = parsed, known, tables
+        self.facts = facts if callable(facts) else lambda: facts
+
+    @cached_property
+    def env(self) -> DataFrame:
+        known = self.known
+        return self.tables.cut(type_environment(self.parsed.bindings(), self.parsed.enclosing(), known.functions, known.methods, known.returns, known.fields, self.tables), "types")
+
+    @cached_property
+    def imports(self) -> DataFrame:
+        return self.tables.cut(resolve_imports(self.parsed.imports(), self.known.files.select("path")), "imports")
+
+    @cached_property
+    def mentions(self) -> DataFrame:
+        return self.tables.cut(harvest(self.parsed.comments()), "mentions")
+
+    @cached_property
+    def calls(self) -> DataFrame:
+        known = self.known
+        reachable = lambda: reachable_types(known.types, self.found().select("path", "target_path").distinct(), known.files)
+        return self.tables.cut(resolve_calls(self.parsed.calls(), self.env, self.parsed.enclosing(), reachable, known.methods, known.functions, self.tables), "calls")
+
+    def found(self) -> DataFrame:
+        return self.imports.where("target_path IS NOT NULL")
+
+    @cached_property
+    def sites(self) -> DataFrame:
+        place = [F.col("path"), F.col("line")]
+        # three tables that don't need each other are written side by side
+        with ThreadPoolExecutor(3) as pool:
+            for made in [pool.submit(getattr, self, name) for name in ("env", "imports", "mentions")]:
+                made.result()
+        contains = self.facts().where("parent IS NOT NULL").select("file_ord", *site(F.col("parent"), F.lit("contains"), F.col("qualified_name"), "syntactic", *place))
+        names = self.parsed.files.select("file_ord", "org", "repo", "file_ref")
+        imported = self.found().join(names, "file_ord").select("file_ord", *site(F.col("file_ref"), F.lit("imports"), file_name(F.col("org"), F.col("repo"), F.col("target_path")), "path-resolved", *place))
+        references = self.mentions.select("file_ord", *site(F.col("source"), F.lit("references"), F.col("identifier"), "explicit-mention", F.col("file"), F.col("line")))
+        called = self.calls.where("target IS NOT NULL").select("file_ord", F.col("caller").alias("source_ref"), F.lit("calls").alias("edge_type"), F.col("target").alias("target_ref"), "reason", F.col("path").alias("file"), F.col("line").cast("int").alias("line"))
+        related = resolve_relations(self.parsed.relations(), self.known.types)
+        relations = related.select("file_ord", "source_ref", "edge_type", "target_ref", F.lit("syntactic").alias("reason"), F.col("path").alias("file"), F.lit(1).alias("line"))
+        return contains.union(imported).union(references).union(called).union(relations)
 
 
 def nodes_of(facts: DataFrame) -> DataFrame:
@@ -118,16 +133,49 @@ def stats_of(files: DataFrame, diagnostics: DataFrame, calls: DataFrame, env: Da
     return counts.select(*(F.col(c).cast("int").alias(c) for c in ("files", "files_with_errors", "unresolved_calls")), F.when(F.col("files") > 0, F.greatest(F.lit(1), F.coalesce("most", F.lit(1)))).otherwise(0).cast("int").alias("max_fixpoint_iterations"), F.col("files_hitting_iteration_bound").cast("int").alias("files_hitting_iteration_bound"))
 
 
+class Extracted(Extraction):
+    """The relations of files, each computed when it is first asked for, on tables that are written once, when the first needs them."""
+
+    def __init__(self, files: DataFrame, scanned: DataFrame | None):
+        self.files, self.scanned, self.tables = files, scanned, Tables(files.sparkSession, "extract")
+
+    @cached_property
+    def parsed(self) -> Parsed:
+        return Parsed(self.tables.cut(scan(normalized(self.files)), "rows") if self.scanned is None else self.scanned)
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return self.tables.cut(self.parsed.facts(), "facts")
+
+    @cached_property
+    def resolved(self) -> Resolved:
+        return Resolved(self.parsed, lambda: self.facts, Known.of(self.parsed, self.parsed.declared()), self.tables)
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return nodes_of(self.facts)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return fold_edges(self.resolved.sites.drop("file_ord"))
+
+    @cached_property
+    def mentions(self) -> DataFrame:
+        return self.resolved.mentions.drop("file_ord")
+
+    @cached_property
+    def diagnostics(self) -> DataFrame:
+        return self.parsed.diagnostics().unionByName(warnings_of(self.resolved.imports))
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return stats_of(self.parsed.files, self.parsed.diagnostics(), self.resolved.calls, self.resolved.env)
+
+
 def extract(files: DataFrame, scanned: DataFrame | None = None) -> Extraction:
     """files: org, repo, path, language, content. scanned: rows of front.parse.scan for the files, if they are kept.
 
     Texts are read once and never shuffled. The scanned rows are written, as numbers of files are
-    given with them; a dozen consumers read them.
+    given with them; a dozen consumers read them. Nothing is done before a relation is asked for.
     """
-    tables = Tables(files.sparkSession, "extract")
-    parsed = Parsed(tables.cut(scan(normalized(files)), "rows") if scanned is None else scanned)
-    facts = tables.cut(parsed.facts(), "facts")
-    found = resolve(parsed, facts, Known.of(parsed, facts), tables)
-    diagnostics = parsed.diagnostics().unionByName(warnings_of(found.imports))
-    stats = stats_of(parsed.files, diagnostics, found.calls, found.env)
-    return Extraction(nodes_of(facts), fold_edges(found.sites.drop("file_ord")), found.mentions.drop("file_ord"), diagnostics, stats)
+    return Extracted(files, scanned)

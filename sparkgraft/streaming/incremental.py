@@ -14,7 +14,7 @@ from ..operators.corpus import functions_of, methods_of, types_of
 from ..operators.edges import fold_edges
 from ..operators.imports import family_of, module_index, stem_of, stems_of_paths
 from ..operators.mentions import harvest
-from ..plans.extract import Extraction, Known, nodes_of, resolve, stats_of, warnings_of
+from ..plans.extract import Extraction, Known, Resolved, nodes_of, stats_of, warnings_of
 from ..sources.scratch import Tables
 
 ROWS = "file_ord string, " + COLUMNS
@@ -124,7 +124,7 @@ class Graph:
         affected = self.write("resolved", batch, self.affected(tables, old, new, kept, changed))
         part = Parsed(tables.cut(whole.join(affected.where("alive"), "file_ord", "left_semi"), "part"))
         facts = tables.cut(part.facts(), "facts")
-        found = resolve(part, facts, self.known(tables, part, Parsed(whole)), tables)
+        found = Resolved(part, facts, self.known(tables, part, Parsed(whole)), tables)
         sites = self.write("sites", batch, found.sites)
         self.write("imports", batch, found.imports.select("file_ord", "ord", "path", "line", "specifier", "language", "relative", "target_path"))
         self.write("calls", batch, found.calls.groupBy("file_ord").agg(F.count_if(F.col("target").isNull()).alias("unresolved")))

@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sparkgraft.plans.extract import extract
 from sparkgraft.plans.queries import QUERIES
 from sparkgraft.sources import corpora
+from sparkgraft.sources.scratch import Tables
 
 
 @pytest.mark.parametrize(("corpus", "key"), [("rust_corpus", "p_partkey"), ("heirs_corpus", "c_custkey"), ("typescript_corpus", "c_custkey"), ("tsx_corpus", "c_custkey"), ("python_corpus", "s_suppkey")])
@@ -17,3 +19,12 @@ def test_a_table_in_one_piece_gives_a_corpus_in_many(spark, corpus, key):
 
 def test_members_of_types_come_from_one_scan(spark):
     assert "MapInArrow" not in QUERIES["member_types"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize(("relation", "written"), [("nodes", {"rows", "facts"}), ("mentions", {"rows", "mentions"}), ("diagnostics", {"rows", "imports"})])
+def test_a_relation_takes_only_what_it_needs(spark, monkeypatch, relation, written):
+    names = set()
+    cut = Tables.cut
+    monkeypatch.setattr(Tables, "cut", lambda self, df, name: names.add(name) or cut(self, df, name))
+    assert getattr(extract(corpora.rust_corpus(spark.range(3).withColumnRenamed("id", "p_partkey"))), relation).count()
+    assert names == written
