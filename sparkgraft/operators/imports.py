@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,17 +19,21 @@ def is_relative(specifier: Column, language: Column) -> Column:
 
 def rust_stem(specifier: Column, importer: Column) -> Column:
     """The module a path names: its leading lower-case segments below crate, self or super."""
-    parts = F.split(specifier, "::")
-    rest = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda s: (s != "") & (s != "*"))
-    lower = F.transform(rest, lambda s: s.rlike(r"^[\p{IsLowercase}_]"))
-    stop = F.array_position(lower, False)
-    modules = F.when(stop == 0, rest).otherwise(F.slice(rest, F.lit(1), F.greatest(stop.cast("int") - 1, F.lit(0))))
     directory = parent_dir(importer)
     root = F.when(F.instr(importer, "src/") > 0, F.concat(F.substring_index(importer, "src/", 1), F.lit("src"))).otherwise(directory)
-    head = F.element_at(parts, 1)
+    head = F.substring_index(specifier, "::", 1)
+    # each of the three is taken once, as an argument: a column that is named twice is computed twice
     base = F.when(head == "crate", root).when(head == "self", directory).when(head == "super", parent_dir(directory))
-    joined = F.array_join(modules, "/")
-    return F.when((F.size(modules) > 0) & base.isNotNull(), F.when(base == "", joined).otherwise(F.concat(base, F.lit("/"), joined)))
+    rest = F.filter(F.split(specifier, "::"), lambda s, i: (i > 0) & (s != "") & (s != "*"))
+    lower = lambda segments, n: F.when(n == 0, segments).otherwise(F.slice(segments, F.lit(1), F.greatest(n - 1, F.lit(0))))
+    modules = let(rest, lambda r: lower(r, F.array_position(F.transform(r, lambda s: s.rlike(r"^[\p{IsLowercase}_]")), False).cast("int")))
+    joined = let(modules, lambda m: F.when(F.size(m) > 0, F.array_join(m, "/")))
+    return let(F.struct(base.alias("b"), joined.alias("j")), lambda v: F.when(v["b"] == "", v["j"]).otherwise(F.concat(v["b"], F.lit("/"), v["j"])))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body with the value, which is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def python_stem(specifier: Column, importer: Column) -> Column:
@@ -73,4 +79,5 @@ def resolve_imports(imports: DataFrame, paths: DataFrame) -> DataFrame:
     """imports (with specifier, path, language) plus `relative` and `target_path`: the first candidate in the batch, or null."""
     specifier, language = F.col("specifier"), F.col("language")
     keyed = imports.withColumn("stem", stem_of(specifier, F.col("path"), language)).withColumn("family", family_of(language))
-    return keyed.join(module_index(paths), ["family", "stem"], "left").select(*imports.columns, "target_path", is_relative(specifier, language).alias("relative"))
+    # a path has several stems, and may be made from a number, which Spark's estimate of the index knows nothing of
+    return keyed.join(module_index(paths).hint("merge"), ["family", "stem"], "left").select(*imports.columns, "target_path", is_relative(specifier, language).alias("relative"))

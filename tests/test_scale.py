@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sparkgraft.operators import imports
 from sparkgraft.plans.extract import extract
 from sparkgraft.plans.queries import QUERIES
 from sparkgraft.sources import corpora
@@ -28,3 +29,15 @@ def test_a_relation_takes_only_what_it_needs(spark, monkeypatch, relation, writt
     monkeypatch.setattr(Tables, "cut", lambda self, df, name: names.add(name) or cut(self, df, name))
     assert getattr(extract(corpora.rust_corpus(spark.range(3).withColumnRenamed("id", "p_partkey"))), relation).count()
     assert names == written
+
+
+def test_imports_meet_their_index_without_a_broadcast(spark):
+    found = QUERIES["import_resolution"](spark, "/root/testdata/sf0.001")
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().toString()
+
+
+def test_segments_of_rust_paths(spark):
+    cases = [("crate::a::b::T", "src/m.rs", "src/a/b"), ("self::_x::y", "src/d/m.rs", "src/d/_x/y"), ("super::a", "src/d/e/m.rs", "src/d/a"), ("super::super::a", "d/m.rs", "super/a"), ("crate::*", "src/m.rs", None), ("crate", "src/m.rs", None), ("crate::::a::*::b::T::c", "x/src/m.rs", "x/src/a/b"), ("self::a", "m.rs", "a"), ("crate::T::a", "src/m.rs", None), ("std::a", "src/m.rs", None), (None, "src/m.rs", None)]
+    df = spark.createDataFrame(cases, "s string, p string, want string")
+    assert [(r.s, r.got) for r in df.select("*", imports.rust_stem(F.col("s"), F.col("p")).alias("got")).collect() if r.got != r.want] == []
