@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..sources.scratch import Tables
 from .corpus import dense_order
 
+#: Fixed value: equal rows that are made at a time.
+REPEATS = 10_000
 PRIME, BASE = 2**127 - 1, 0x9E3779B97F4A7C15F39CC0605CEDC835 % (2**127 - 1)
 
 
@@ -36,28 +38,35 @@ def differing_rows(left: DataFrame, right: DataFrame, step: int = 2, few: int =
     """side and the columns of every row that one relation holds oftener than the other, as often as it does.
 
     Both are bisected by the first digits of their rows' digests: groups with equal sums are equal,
-    others are cut further until few rows are left, and only these are compared. Equal relations cost
-    a partial aggregate each.
+    others are cut further until few rows are left, or two cuts on end leave more than half of them,
+    as they do where differences lie in most groups. Only what is left is compared. Equal relations
+    cost a partial aggregate.
     """
     tables = Tables(left.sparkSession, "differing")
     columns = left.columns
-    sides = [side.select(*columns).withColumn("__digest", row_digest(columns)) for side in (left, right)]
-    low, high = halves(F.col("__digest"))
-    kept, depth = None, 0
-    while depth < 32:
+    # sums of 128 bits by four parts, that no number of rows lets overflow
+    hashes = F.xxhash64("__digest"), F.xxhash64(F.lit(1), "__digest")
+    parts = [p for h in hashes for p in (F.shiftright(h, 32), h.bitwiseAND(F.lit(2**32 - 1)))]
+    both = left.select(*columns, F.lit(1).alias("__n")).union(right.select(*columns, F.lit(-1).alias("__n"))).withColumn("__digest", row_digest(columns))
+    kept, at, depth, rows, in_vain = None, 0, 0, None, 0
+    while depth < 32 and in_vain < 2 and (rows is None or rows > few):
         depth += step
-        sums = []
-        for side in sides:
-            held = side if kept is None else side.withColumn("__kept", F.substring("__digest", 1, depth - step)).join(kept, "__kept", "left_semi")
-            sums.append(held.groupBy(F.substring("__digest", 1, depth).alias("p")).agg(F.count("*").alias("n"), F.sum(low).alias("low"), F.sum(high).alias("high")))
-        a, b = sums[0], sums[1].select("p", F.col("n").alias("m"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-        other = ~(F.col("n").eqNullSafe(F.col("m")) & F.col("low").eqNullSafe(F.col("low2")) & F.col("high").eqNullSafe(F.col("high2")))
-        found = tables.cut(a.join(b, "p", "full_outer").where(other).select("p", F.greatest("n", "m").alias("n")), f"level{depth}")
-        kept = found.select(F.col("p").alias("__kept"))
-        if (found.agg(F.sum("n")).first()[0] or 0) <= few:
-            break
-    a, b = (side.withColumn("__kept", F.substring("__digest", 1, depth)).join(kept, "__kept", "left_semi").select(*columns) for side in sides)
-    return a.exceptAll(b).select(F.lit("left").alias("side"), *columns).union(b.exceptAll(a).select(F.lit("right").alias("side"), *columns))
+        held = both if kept is None else within(both, kept, at)
+        sums = held.groupBy(F.substring("__digest", 1, depth).alias("p")).agg(F.count("*").alias("n"), F.sum("__n").alias("more"), *(F.sum(F.col("__n") * p).alias(f"s{i}") for i, p in enumerate(parts)))
+        found = tables.cut(sums.withColumn("differs", F.expr("more <> 0 OR s0 <> 0 OR s1 <> 0 OR s2 <> 0 OR s3 <> 0")), f"level{depth}")
+        whole, rows = found.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("differs"), F.col("n"))), F.lit(0))).first()
+        in_vain = in_vain + 1 if 2 * rows > whole else 0
+        if not in_vain:
+            kept, at = found.where("differs").select(F.col("p").alias("__kept")), depth
+    held = both if kept is None else within(both, kept, at)
+    # one aggregate for both sides: what is left of a row's count says which holds it oftener; repeats are made in blocks
+    over = held.groupBy(*columns).agg(F.sum("__n").alias("__n")).where("__n <> 0").withColumn("side", F.when(F.col("__n") > 0, "left").otherwise("right")).withColumn("__n", F.abs("__n"))
+    blocks = over.withColumn("__at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(REPEATS).cast("long"))))
+    return blocks.select(F.explode(F.array_repeat("side", F.least(F.lit(REPEATS), F.col("__n") - F.col("__at")).cast("int"))).alias("side"), *columns)
+
+
+def within(rows: DataFrame, kept: DataFrame, depth: int) -> DataFrame:
+    return rows.withColumn("__kept", F.substring("__digest", 1, depth)).join(kept, "__kept", "left_semi").drop("__kept")
 
 
 def ordered_digest(rows: DataFrame, order: list[str]) -> DataFrame:

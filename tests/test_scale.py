@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkgraft.operators import imports
+from sparkgraft.operators.fingerprint import differing_rows
 from sparkgraft.plans.extract import extract
 from sparkgraft.plans.queries import QUERIES
 from sparkgraft.sources import corpora
@@ -41,3 +42,15 @@ def test_segments_of_rust_paths(spark):
     cases = [("crate::a::b::T", "src/m.rs", "src/a/b"), ("self::_x::y", "src/d/m.rs", "src/d/_x/y"), ("super::a", "src/d/e/m.rs", "src/d/a"), ("super::super::a", "d/m.rs", "super/a"), ("crate::*", "src/m.rs", None), ("crate", "src/m.rs", None), ("crate::::a::*::b::T::c", "x/src/m.rs", "x/src/a/b"), ("self::a", "m.rs", "a"), ("crate::T::a", "src/m.rs", None), ("std::a", "src/m.rs", None), (None, "src/m.rs", None)]
     df = spark.createDataFrame(cases, "s string, p string, want string")
     assert [(r.s, r.got) for r in df.select("*", imports.rust_stem(F.col("s"), F.col("p")).alias("got")).collect() if r.got != r.want] == []
+
+
+def test_differences_in_most_groups_end_the_bisection(spark, monkeypatch):
+    names = []
+    cut = Tables.cut
+    monkeypatch.setattr(Tables, "cut", lambda self, df, name: names.append(name) or cut(self, df, name))
+    left = spark.range(40_000).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 7).alias("v")).union(spark.createDataFrame([(1, None)] * 5, "id long, v long"))
+    right = left.withColumn("v", F.when(F.col("id") % 20 == 0, -1).otherwise(F.col("v"))).where("id > 1 OR v IS NOT NULL")
+    got = differing_rows(left, right, few=100)
+    assert len([n for n in names if n.startswith("level")]) <= 6
+    want = left.exceptAll(right).selectExpr("'left' AS side", "*").union(right.exceptAll(left).selectExpr("'right' AS side", "*"))
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 and got.count() > 4000
