@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkgraft.operators import imports
+from sparkgraft.operators.edges import fold_edges
 from sparkgraft.operators.fingerprint import differing_rows
 from sparkgraft.plans.extract import extract
 from sparkgraft.plans.queries import QUERIES
@@ -54,3 +55,13 @@ def test_differences_in_most_groups_end_the_bisection(spark, monkeypatch):
     assert len([n for n in names if n.startswith("level")]) <= 6
     want = left.exceptAll(right).selectExpr("'left' AS side", "*").union(right.exceptAll(left).selectExpr("'right' AS side", "*"))
     assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 and got.count() > 4000
+
+
+def test_sites_are_counted_without_a_sort(spark, monkeypatch):
+    plans = []
+    cut = Tables.cut
+    monkeypatch.setattr(Tables, "cut", lambda self, df, name: plans.append(df._jdf.queryExecution().toString()) or cut(self, df, name))
+    rows = [("a", "calls", "b", r, "f", i) for i, r in enumerate(("name-match", "path-resolved", "explicit-mention", "syntactic", "receiver-typed"))]
+    edge, = fold_edges(spark.createDataFrame(rows, "source_ref string, edge_type string, target_ref string, reason string, file string, line int")).collect()
+    assert (edge.reason, edge.confidence, edge["count"]) == ("syntactic", 1.0, 5)
+    assert len(plans) == 1 and "SortAggregate" not in plans[0]
