@@ -65,3 +65,11 @@ def test_sites_are_counted_without_a_sort(spark, monkeypatch):
     edge, = fold_edges(spark.createDataFrame(rows, "source_ref string, edge_type string, target_ref string, reason string, file string, line int")).collect()
     assert (edge.reason, edge.confidence, edge["count"]) == ("syntactic", 1.0, 5)
     assert len(plans) == 1 and "SortAggregate" not in plans[0]
+
+
+def test_stats_take_no_facts_imports_or_mentions(spark, monkeypatch):
+    names = set()
+    cut = Tables.cut
+    monkeypatch.setattr(Tables, "cut", lambda self, df, name: names.add(name) or cut(self, df, name))
+    assert extract(corpora.rust_corpus(spark.range(3).withColumnRenamed("id", "p_partkey"))).stats.first()["unresolved_calls"] == 0
+    assert {"rows", "types", "calls"} <= names and not names & {"facts", "imports", "mentions"}
